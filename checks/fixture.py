@@ -218,6 +218,145 @@ _VIEWS: dict[str, tuple[str, list[str], str | None]] = {
     ], None),
 }
 
+_FLAG_TIME = (
+    "CAST(CASE l_returnflag WHEN 'A' THEN '2002-01-01 00:00:00' WHEN 'N' THEN '2002-01-02 00:00:00' "
+    "ELSE '2002-01-03 00:00:00' END AS TIMESTAMP_NTZ)"
+)
+_NOW = "CAST('2002-01-01 00:00:00' AS TIMESTAMP_NTZ)"
+
+# Requests for the batch jobs, derived from the same tables.
+_REQUESTS: dict[str, tuple[str, list[str], str | None]] = {
+    "suppliers": ("supplier", [
+        "s_suppkey + 1000000 AS request_id",
+        "CASE WHEN s_acctbal < 0 THEN '  ' ELSE CONCAT(' ', s_name, ' new ') END AS name",
+        "'' AS contact_email",
+        "CASE s_suppkey % 3 WHEN 0 THEN '0' WHEN 1 THEN CONCAT(CAST(s_suppkey AS STRING), ' days') ELSE 'soon' END "
+        "AS lead_time_days",
+        "CASE s_suppkey % 2 WHEN 0 THEN 'USD' ELSE '' END AS currency", "CAST(NULL AS STRING) AS notes",
+    ], None),
+    "customers": ("customer", [
+        "c_custkey + 10000000 AS request_id",
+        "CASE WHEN c_acctbal < 0 THEN ' ' WHEN c_mktsegment = 'BUILDING' THEN c_name "
+        "ELSE CONCAT('New ', c_mktsegment, ' ', CAST(CAST(FLOOR(c_custkey / 3) AS BIGINT) AS STRING), ' ') END AS company_name",
+        "CAST(NULL AS STRING) AS contact_name", "'a@example.com' AS email", "'' AS billing_address",
+        "CAST(NULL AS STRING) AS currency_preference", "CAST(NULL AS STRING) AS vat_number",
+        "CAST(NULL AS STRING) AS notes", "c_nationkey AS region",
+        "CASE c_custkey % 2 WHEN 0 THEN 'wholesale' ELSE '' END AS customer_type",
+        "CAST(NULL AS STRING) AS payment_terms",
+        "CASE c_custkey % 2 WHEN 0 THEN '1500.50' ELSE 'unlimited' END AS credit_limit_gbp",
+        "'2.5' AS default_discount_pct", f"{_NOW} AS requested_at",
+    ], None),
+    "pos": ("orders", [
+        "o_orderkey + 100000000 AS request_id",
+        "CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE CAST(FLOOR(o_orderkey / 150) AS BIGINT) END AS supplier_id",
+        "CASE WHEN o_orderpriority = '2-HIGH' THEN NULL ELSE CAST(o_orderkey % 5 AS INT) END AS warehouse_code",
+        "'' AS notes", "o_orderdate AS requested_at",
+    ], None),
+    "po_lines": ("lineitem", [
+        "l_orderkey + 100000000 AS request_id", f"{_LINE_ID} AS line_no", "l_partkey AS product_id",
+        f"CAST({_QTY} AS STRING) AS qty_ordered", f"CAST({_UNIT} AS STRING) AS unit_cost",
+    ], None),
+    "po_actions": ("lineitem", [
+        f"{_LINE_ID} AS request_id", "l_orderkey AS po_id", "l_shipdate AS requested_at",
+    ], None),
+    "receipts": ("lineitem", [
+        "CONCAT(CAST(l_orderkey AS STRING), '-', l_returnflag) AS request_id", "l_orderkey AS po_id",
+        f"{_FLAG_TIME} AS requested_at", f"{_LINE_ID} AS line_no", f"{_LINE_ID} AS line_id",
+        f"CASE l_linenumber WHEN 7 THEN '0' WHEN 6 THEN CAST({_QTY} + 5 AS STRING) ELSE CAST({_QTY} AS STRING) END AS qty",
+    ], None),
+    "transfers": ("orders", [
+        "o_orderkey + 100000000 AS request_id",
+        "CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE CAST(o_orderkey % 5 AS INT) END AS from_warehouse",
+        "CAST(o_custkey % 5 AS INT) AS to_warehouse", "'restock' AS notes", "o_orderdate AS requested_at",
+    ], None),
+    "transfer_lines": ("lineitem", [
+        "l_orderkey + 100000000 AS request_id", f"{_LINE_ID} AS line_no", "l_partkey AS product_id",
+        f"CAST({_QTY} AS STRING) AS qty",
+    ], None),
+    "transfer_actions": ("orders", [
+        "o_orderkey AS request_id", "o_orderkey AS transfer_id", "o_orderdate AS requested_at",
+    ], None),
+    "order_actions": ("lineitem", [
+        f"{_LINE_ID} AS request_id", "l_orderkey AS order_id",
+        "CASE l_returnflag WHEN 'A' THEN 'pick' WHEN 'N' THEN 'pack' ELSE 'ship' END AS action",
+        "l_shipdate AS requested_at",
+    ], None),
+    "reviews": ("orders", [
+        "o_orderkey AS request_id", "o_orderkey AS order_id", "o_orderdate AS requested_at",
+    ], None),
+    "decisions": ("lineitem", [
+        "l_orderkey AS request_id", f"{_LINE_ID} AS line_no", f"{_LINE_ID} AS line_id",
+        "CASE l_linenumber WHEN 2 THEN 'custom' WHEN 3 THEN 'hold' WHEN 6 THEN 'custom' WHEN 7 THEN 'later' "
+        "ELSE 'ship_available' END AS decision",
+        f"CAST(CASE l_linenumber WHEN 6 THEN -3 ELSE {_QTY} + 2 END AS STRING) AS custom_qty",
+    ], None),
+    "totals": ("orders", [
+        "o_orderkey AS request_id", "o_custkey AS customer_id",
+        "CAST(o_totalprice AS DECIMAL(12,2)) AS total_gbp", "o_orderdate AS requested_at",
+    ], None),
+    "new_orders": ("orders", [
+        "o_orderkey + 100000000 AS request_id",
+        "CASE WHEN o_orderkey % 50 = 7 THEN NULL ELSE o_custkey END AS customer_id", "'  ' AS customer_name",
+        "CASE WHEN o_orderstatus = 'O' THEN NULL ELSE CAST(o_custkey % 5 AS INT) END AS warehouse_code",
+        "'' AS currency", "CAST(NULL AS STRING) AS notes", "o_orderpriority = '1-URGENT' AS skip_checks",
+        "o_orderdate AS requested_at",
+    ], None),
+    "new_order_lines": ("lineitem", [
+        "l_orderkey + 100000000 AS request_id", f"{_LINE_ID} AS line_no", "l_partkey AS product_id",
+        "CAST(NULL AS STRING) AS product_name", _SKU.format("l_partkey") + " AS sku",
+        f"CAST({_QTY} AS STRING) AS qty", f"CAST({_UNIT} AS STRING) AS base_price",
+    ], None),
+    "adjustments": ("events", [
+        "event_id AS request_id", "CASE WHEN event_type = 'signup' THEN NULL ELSE user_id END AS product_id",
+        "CAST(user_id % 6 AS INT) AS warehouse",
+        "CASE event_type WHEN 'purchase' THEN CONCAT('-', CAST(CAST(FLOOR(value * 2) AS INT) AS STRING)) "
+        "WHEN 'click' THEN CONCAT('-', CAST(CAST(FLOOR(value) AS INT) AS STRING)) "
+        "ELSE CAST(CAST(FLOOR(value) AS INT) AS STRING) END AS adjustment",
+        "CASE event_type WHEN 'error' THEN 'Damaged on shelf' ELSE '' END AS reason", "ts AS requested_at",
+    ], None),
+    "new_returns": ("lineitem", [
+        f"{_LINE_ID} AS request_id", "l_orderkey AS order_id", "l_suppkey AS customer_id", "l_partkey AS product_id",
+        "CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_suppkey % 5 AS INT) END AS warehouse_code",
+        f"CASE WHEN l_linenumber = 6 THEN '0' ELSE CAST({_QTY} AS STRING) END AS qty",
+        "CAST(NULL AS STRING) AS reason", "CASE WHEN l_linenumber = 1 THEN 'write_off' ELSE '' END AS action",
+        "l_shipdate AS requested_at",
+    ], "l_returnflag = 'R'"),
+    "return_actions": ("lineitem", [
+        f"CONCAT('p-', {_LINE_ID}) AS request_id", f"{_LINE_ID} AS return_id", "l_shipdate AS requested_at",
+    ], None),
+    "counts": ("region", [
+        "r_regionkey + 100 AS request_id", "r_regionkey AS warehouse_code",
+        "CASE r_regionkey WHEN 1 THEN 'brand' WHEN 2 THEN 'zone' WHEN 3 THEN 'random' ELSE '' END AS scope",
+        "CASE r_regionkey WHEN 1 THEN 'Brand#1' WHEN 2 THEN 'A-0' END AS scope_filter", "'' AS notes",
+        "CAST(NULL AS DATE) AS planned_date", f"{_NOW} AS requested_at",
+    ], None),
+    "count_actions": ("region", [
+        "r_regionkey AS request_id", "r_regionkey AS count_id", f"{_NOW} AS requested_at",
+    ], None),
+    "recordings": ("warehouse_stock", [
+        "id AS request_id", "CASE WHEN warehouse = 4 THEN -1 ELSE id END AS line_id",
+        "CASE product_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN '-4' WHEN 2 THEN CONCAT(CAST(qty_on_hand AS STRING), ' pcs') "
+        "ELSE CAST(qty_on_hand + 1 AS STRING) END AS counted_qty", "'' AS notes", f"{_NOW} AS requested_at",
+    ], None),
+    "new_invoices": ("orders", [
+        "o_orderkey + 100000000 AS request_id",
+        "CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN CONCAT('Shop ', CAST(o_custkey % 100 AS STRING)) ELSE "
+        "CONCAT(' Customer#', LPAD(CAST(o_custkey AS STRING), 9, '0')) END AS customer_name",
+        "CASE o_orderstatus WHEN 'O' THEN '9' ELSE CAST(o_orderkey % 5 AS STRING) END AS customer_region",
+        "CASE o_orderpriority WHEN '5-LOW' THEN CONCAT('ORD-', CAST(EXTRACT(YEAR FROM o_orderdate) AS STRING), '-', "
+        "CAST(o_orderkey AS STRING)) WHEN '4-NOT SPECIFIED' THEN CONCAT('N-', CAST(o_orderkey % 40 AS STRING)) "
+        "WHEN '1-URGENT' THEN '' ELSE CONCAT('N-', CAST(o_orderkey AS STRING)) END AS order_number",
+        "CAST(o_orderdate AS DATE) AS order_date", "CAST(NULL AS DATE) AS invoice_date", "'' AS source_filename",
+        "o_orderdate AS requested_at",
+    ], None),
+    "new_invoice_lines": ("lineitem", [
+        "l_orderkey + 100000000 AS request_id", f"{_LINE_ID} AS line_no",
+        "CASE WHEN l_linenumber = 7 THEN 'unknown' ELSE CONCAT(' SKU-', CAST(l_partkey AS STRING)) END AS sku",
+        "'Item' AS description", "CAST(NULL AS STRING) AS barcode", f"CAST({_UNIT} AS STRING) AS trade_price",
+        f"CAST({_QTY} AS STRING) AS quantity", f"CAST(CAST({_QTY} * {_UNIT} AS DECIMAL(12,2)) AS STRING) AS subtotal",
+    ], None),
+}
+
 BASE = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -234,8 +373,8 @@ BASE = {
 _TIERS = [(5, 3), (10, 5), (25, 8)]
 
 
-def fixture(spark: SparkSession, sf_dir: str) -> Tables:
-    """The library's tables, derived lazily from the Parquet files in ``sf_dir``."""
+def fixture(spark: SparkSession, sf_dir: str) -> tuple[Tables, Tables]:
+    """The library's tables and the job requests, derived lazily from the Parquet files in ``sf_dir``."""
 
     def base(name: str) -> DataFrame:
         return spark.read.schema(BASE[name]).parquet(f"{sf_dir}/{name}.parquet")
@@ -251,12 +390,14 @@ def fixture(spark: SparkSession, sf_dir: str) -> Tables:
             return base("customer").join(base("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         return base(name) if name in BASE else view(name)
 
-    def view(name: str) -> DataFrame:
-        origin, columns, condition = _VIEWS[name]
+    def view(name: str, of=_VIEWS) -> DataFrame:
+        origin, columns, condition = of[name]
         frame = source(origin)
         return (frame.where(condition) if condition else frame).selectExpr(*columns)
 
-    return Tables({name: lambda name=name: view(name) for name in _VIEWS})
+    views = {name: lambda name=name: view(name) for name in _VIEWS}
+    asked = {f"req_{name}": lambda name=name: view(name, _REQUESTS) for name in _REQUESTS}
+    return Tables(views), Tables(asked)
 
 
 def _duck_views() -> dict[str, str]:
@@ -266,13 +407,14 @@ def _duck_views() -> dict[str, str]:
         + ", ".join(f"({q}, {d})" for q, d in _TIERS) + ") t(min_qty, discount_pct)",
         "src_customer_nation": "SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey",
     }
-    for name, (source, columns, condition) in _VIEWS.items():
+    named = [(f"wms_{n}", v) for n, v in _VIEWS.items()] + [(f"req_{n}", v) for n, v in _REQUESTS.items()]
+    for name, (source, columns, condition) in named:
         if source in ("part_region", "part_tier", "customer_nation"):
             source = f"src_{source}"
         elif source == "warehouse_stock":
             source = "wms_warehouse_stock"
         text = f"SELECT {', '.join(columns)} FROM {source}" + (f" WHERE {condition}" if condition else "")
-        views[f"wms_{name}"] = text.replace("TIMESTAMP_NTZ", "TIMESTAMP")
+        views[name] = text.replace("TIMESTAMP_NTZ", "TIMESTAMP")
     return views
 
 

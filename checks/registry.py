@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks import reads
+from checks import batch, reads
 from checks.fixture import fixture, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,9 +15,19 @@ ORACLE: dict[str, str] = {}
 
 def _add(entries, shared) -> None:
     for key, (query, sql) in entries.items():
-        QUERIES[key] = lambda spark, sf_dir, query=query: query(fixture(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir, query=query: query(fixture(spark, sf_dir)[0])
         if sql is not None:
             ORACLE[key] = with_views(sql, shared)
 
 
 _add(reads.READS, reads.SHARED)
+
+
+def _add_jobs() -> None:
+    for key, (query, sql) in batch.JOBS.items():
+        QUERIES[key] = lambda spark, sf_dir, query=query: query(*fixture(spark, sf_dir))
+        if sql is not None:
+            ORACLE[key] = with_views(sql, {**reads.SHARED, **batch.SHARED})
+
+
+_add_jobs()

@@ -23,37 +23,40 @@ FOLD_ROWS = 200_000
 def admit_within_limit(
     requests: DataFrame,
     key: str,
-    order: str,
+    order: Sequence[str],
     amount: str,
     limit: str,
     out: str = "accepted",
+    forced: str | None = None,
     fold_rows: int = FOLD_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Accept each request whose ``amount`` fits in what is left of its key's ``limit``.
 
     ``amount`` and ``limit`` are whole numbers (pence), ``amount`` >= 0, and
-    ``order`` is one sortable column, unique within a key. Keys with few
+    the ``order`` columns are unique within a key. Keys with few
     requests are folded by a grouped pandas function; a key with more is
-    decided in rounds that each halve its remaining limit.
+    decided in rounds that each halve its remaining limit. A request marked in
+    the boolean column ``forced`` is taken unchecked, and may overdraw the limit.
     """
     sizes = requests.groupBy(key).agg(F.count("*").alias("_n"))
     large = stage(sizes.where(F.col("_n") > fold_rows).select(key), "large-keys")
     if large.isEmpty():
-        return _fold(requests, key, order, amount, limit, out)
+        return _fold(requests, key, order, amount, limit, out, forced)
     small = requests.join(large, key, "left_anti")
     big = requests.join(large, key, "left_semi")
-    folded = _fold(small, key, order, amount, limit, out)
-    return folded.unionByName(_halve(big, key, order, amount, limit, out, hot_rows))
+    folded = _fold(small, key, order, amount, limit, out, forced)
+    return folded.unionByName(_halve(big, key, order, amount, limit, out, forced, hot_rows))
 
 
-def _fold(requests, key, order, amount, limit, out):
+def _fold(requests, key, order, amount, limit, out, forced):
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
+        pdf = pdf.sort_values(list(order))
         left = int(pdf[limit].iloc[0])
+        unchecked = pdf[forced].tolist() if forced else [False] * len(pdf)
         taken = []
-        for value in pdf[amount].tolist():
-            fits = value <= left
+        for value, free in zip(pdf[amount].tolist(), unchecked):
+            fits = bool(free) or value <= left
             taken.append(fits)
             left -= value if fits else 0
         pdf[out] = taken
@@ -64,7 +67,7 @@ def _fold(requests, key, order, amount, limit, out):
     return requests.groupBy(key).applyInPandas(decide, schema).select(*names)
 
 
-def _halve(requests, key, order, amount, limit, out, hot_rows):
+def _halve(requests, key, order, amount, limit, out, forced, hot_rows):
     """Decide requests up to the point where at most half of the limit is left, then repeat.
 
     With R left, call a request small if it is at most R/2. Before the small
@@ -72,30 +75,33 @@ def _halve(requests, key, order, amount, limit, out, hot_rows):
     if R minus the smalls before it is enough, and the first that does fit
     leaves less than R/2. So everything up to the earlier of these two points is
     decided by one running total, and a limit of R pence needs about log2(R)
-    rounds however many requests there are.
+    rounds however many requests there are. Unchecked requests count like small
+    ones; once the limit is overdrawn nothing else is taken and all is decided.
     """
     columns = list(requests.columns)
     pending = requests.withColumn("_left", F.col(limit).cast("bigint"))
     hot = hot_groups(pending, [key], hot_rows)
     parts: list[DataFrame] = []
+    rank = F.struct(*order)
+    free = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
     while True:
-        small = F.col(amount) * 2 <= F.col("_left")
+        small = free | (F.col(amount) * 2 <= F.col("_left"))
         summed = stage(running_totals(
-            pending, [key], [F.col(order)], {"_smalls": F.when(small, F.col(amount)).otherwise(0)},
+            pending, [key], [F.col(o) for o in order], {"_smalls": F.when(small, F.col(amount)).otherwise(0)},
             hot_rows=hot_rows, hot=hot,
         ), "summed")
         fits_large = ~small & (F.col("_smalls") + F.col(amount) <= F.col("_left"))
         fills_half = small & ((F.col("_smalls") + F.col(amount)) * 2 > F.col("_left"))
         rest = F.col("_left") - F.col("_smalls") - F.col(amount)
-        pivots = summed.where(fits_large | fills_half).groupBy(key).agg(
-            F.min_by(F.struct(F.col(order).alias("at"), rest.alias("rest")), order).alias("_pivot")
+        pivots = summed.where((F.col("_left") >= 0) & (fits_large | fills_half)).groupBy(key).agg(
+            F.min_by(F.struct(rank.alias("at"), rest.alias("rest")), rank).alias("_pivot")
         )
         at = F.col("_pivot.at")
         verdict = (
             # Whatever exceeds what is left now can never fit later.
-            F.when(F.col(amount) > F.col("_left"), F.lit(False))
-            .when(at.isNull() | (F.col(order) < at), small)
-            .when(F.col(order) == at, F.lit(True))
+            F.when(~free & (F.col(amount) > F.col("_left")), F.lit(False))
+            .when(at.isNull() | (rank < at), small)
+            .when(rank == at, F.lit(True))
         )
         marked = stage(summed.join(pivots, key, "left").select(
             *columns, F.coalesce("_pivot.rest", "_left").alias("_left"), verdict.alias(out)
