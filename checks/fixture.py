@@ -400,6 +400,12 @@ def fixture(spark: SparkSession, sf_dir: str) -> tuple[Tables, Tables]:
     return Tables(views), Tables(asked)
 
 
+def project(name: str, source: DataFrame) -> DataFrame:
+    """One table's or request table's columns over another source of the same base rows, e.g. a stream."""
+    _, columns, condition = _VIEWS.get(name) or _REQUESTS[name]
+    return (source.where(condition) if condition else source).selectExpr(*columns)
+
+
 def _duck_views() -> dict[str, str]:
     views = {
         "src_part_region": "SELECT * FROM part CROSS JOIN region",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks import batch, reads
+from checks import batch, live, reads
 from checks.fixture import fixture, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,9 @@ def _add_jobs() -> None:
 
 
 _add_jobs()
+
+
+for _key, (_query, _sql) in live.STREAMS.items():
+    QUERIES[_key] = _query
+    if _sql is not None:
+        ORACLE[_key] = with_views(_sql)
