@@ -111,11 +111,13 @@ def ingest_invoices(
         F.col("customer_id").alias("known_id"), "order_number").distinct().withColumn("_booked", F.lit(True))
     first = valid.where(F.col("order_number").isNotNull()).groupBy("customer_name", "order_number").agg(
         F.min(rank()).alias("_first"))
-    judged = (
+    judged = stage(
         valid.join(customers, "customer_name", "left")
         .join(booked, ["known_id", "order_number"], "left")
         .join(first, ["customer_name", "order_number"], "left")
         .withColumn("_ok", F.col("_booked").isNull() & (F.col("_first").isNull() | (rank() == F.col("_first"))))
+        .drop("_error"),
+        "invoice-headers",
     )
     accepted = judged.where("_ok")
 

@@ -14,7 +14,7 @@ from stockline.operators.allocation import allocate_fifo
 from stockline.operators.movements import apply_deltas, balances
 from stockline.operators.numbering import assign_refs
 from stockline.operators.prefix import HOT_ROWS, running_totals
-from stockline.plans.pricing import moq_failures, price_order_lines
+from stockline.plans.pricing import price_order_lines
 from stockline.sources.staging import stage
 from stockline.tables import Tables
 
@@ -32,7 +32,9 @@ def advance_orders(t: Tables, requests: DataFrame, hot_rows: int = HOT_ROWS) ->
     orders = t.orders.select(
         F.col("id").alias("order_id"), "order_ref", "warehouse_code", F.col("fulfilment_status").alias("was")
     )
-    asked = requests.select("request_id", "order_id", "action", "requested_at").join(orders, "order_id", "left")
+    asked = stage(
+        requests.select("request_id", "order_id", "action", "requested_at").join(orders, "order_id", "left"), "actions"
+    )
     at, action, was = rank(), F.col("action"), F.col("was")
     # Three minima over one grouping key: each narrows what the next may take.
     picked = asked.where((action == "pick") & (was == "confirmed")).groupBy("order_id").agg(F.min(at).alias("pick_at"))
@@ -44,11 +46,12 @@ def advance_orders(t: Tables, requests: DataFrame, hot_rows: int = HOT_ROWS) ->
         was.isin("packing", "packed") | (at > F.col("pack_at"))
     )
     shipped = asked.join(packed, "order_id", "left").where(can_ship).groupBy("order_id").agg(F.min(at).alias("ship_at"))
-    judged = (
+    judged = stage(
         asked.join(picked, "order_id", "left").join(packed, "order_id", "left").join(shipped, "order_id", "left")
         .withColumn("_ok", F.coalesce(
             ((action == "pick") & (at == F.col("pick_at"))) | ((action == "pack") & (at == F.col("pack_at")))
-            | ((action == "ship") & (at == F.col("ship_at"))), F.lit(False)))
+            | ((action == "ship") & (at == F.col("ship_at"))), F.lit(False))),
+        "judged",
     )
     target = F.when(action == "pick", "picking").when(action == "pack", "packing").otherwise("shipped")
     done = judged.where("_ok").withColumn("new_status", target)
@@ -267,46 +270,44 @@ def create_orders(
         "warehouse_code", F.coalesce(F.col("warehouse_code"), F.lit(default_warehouse))
     )
     customers = t.customers.select(F.col("id").alias("customer_id"), F.lit(True).alias("_known"))
-    headers = valid.join(customers, "customer_id", "left").withColumn(
+    headers = stage(valid.join(customers, "customer_id", "left").withColumn(
         "_checked", F.coalesce("_known", F.lit(False)) & ~F.coalesce("skip_checks", F.lit(False))
-    ).withColumn("_unchecked", ~F.col("_checked")).drop("_known")
+    ).withColumn("_unchecked", ~F.col("_checked")).drop("_known"), "order-headers")
 
     items = lines.select(
         "request_id", "line_no", "product_id", text_or("product_name", "").alias("product_name"),
         text_or("sku", "").alias("sku"), parse_int("qty").alias("qty"),
         parse_money("base_price").alias("base_price_gbp"),
     ).join(headers.select("request_id", "customer_id", "warehouse_code", "_checked"), "request_id")
-
-    failures = moq_failures(t, items.where("_checked"))
-    failing = failures.groupBy("request_id").agg(F.count("*").alias("failures"))
-    passed = headers.join(failing, "request_id", "left_anti")
-
-    # Unchecked orders keep the price they came with.
-    priced = price_order_lines(t, items.where("_checked")).unionByName(
-        items.where(~F.col("_checked")).select(
-            "*", F.lit(0).cast("decimal(5,2)").alias("discount_pct"), F.col("base_price_gbp").alias("unit_price_gbp")
-        )
-    ).withColumn(
-        # A line without a product is never discounted.
-        "unit_price_gbp", F.when(F.col("product_id").isNull(), F.col("base_price_gbp"))
-        .otherwise(F.col("unit_price_gbp"))
-    )
     stock = t.warehouse_stock.select(
         "product_id", F.col("warehouse").alias("warehouse_code"), available().alias("_avail")
     )
+    minima = t.products.where(F.col("moq") > 1).select(
+        F.col("id").alias("product_id"), F.col("name").alias("moq_product_name"), "moq"
+    )
+    # Unchecked orders, and lines without a product, keep the price they came with.
+    own_price = ~F.col("_checked") | F.col("product_id").isNull()
     short = F.col("product_id").isNotNull() & (F.col("qty") > F.coalesce("_avail", F.lit(0)))
     ready = stage(
-        priced.join(passed.select("request_id"), "request_id", "left_semi")
-        .join(stock, ["product_id", "warehouse_code"], "left").withColumn("_short", short).drop("_avail"),
+        price_order_lines(t, items)
+        .join(minima, "product_id", "left")
+        .join(stock, ["product_id", "warehouse_code"], "left")
+        .withColumns({
+            "unit_price_gbp": F.when(own_price, F.col("base_price_gbp")).otherwise(F.col("unit_price_gbp")),
+            "_short": short,
+            "_below": F.col("_checked") & F.coalesce(F.col("qty") < F.col("moq"), F.lit(False)),
+        }).drop("_avail"),
         "order-lines",
     )
     totals = ready.groupBy("request_id").agg(
         F.sum(F.col("qty") * F.col("unit_price_gbp")).cast("decimal(12,2)").alias("total_gbp"),
-        F.bool_or("_short").alias("needs_review"),
+        F.bool_or("_short").alias("needs_review"), F.count_if("_below").alias("failures"),
     )
+    summed = stage(headers.join(totals, "request_id"), "order-totals")
+    failing = summed.where(F.col("failures") > 0)
     # Only orders with credit terms are held against the limit; the rest, and
     # unchecked ones, are taken as they are.
-    admitted = stage(_admit(t, passed.join(totals, "request_id"), "_unchecked", fold_rows, hot_rows), "orders")
+    admitted = stage(_admit(t, summed.where(F.col("failures") == 0), "_unchecked", fold_rows, hot_rows), "orders")
     taken = admitted.where("accepted")
     numbered = stage(assign_refs(
         taken, t.orders, "order_ref", "ORD", F.year("requested_at"), [F.col("requested_at"), F.col("request_id")]
@@ -333,14 +334,19 @@ def create_orders(
     )
     bad = union(
         reject(first.where(F.col("_error").isNotNull()), F.col("_error")),
-        reject(failing.join(headers.select("request_id"), "request_id"), "moq_not_met", "failures"),
+        reject(failing, "moq_not_met", "failures"),
         reject(admitted.where(~F.col("accepted")), "credit_limit_exceeded", "total_gbp"),
     )
     state = {
         "orders": append_rows(t.orders, new_orders), "order_lines": append_rows(t.order_lines, new_lines),
         "customers": _charged(t, admitted),
     }
-    return JobResult(state, ledger, bad, new_orders, {"lines": new_lines, "moq_failures": failures})
+    return JobResult(state, ledger, bad, new_orders, {
+        "lines": new_lines,
+        "moq_failures": ready.where("_below").select(
+            "request_id", "line_no", "product_id", "moq_product_name", F.col("qty").alias("ordered"), "moq"
+        ),
+    })
 
 
 # -- backorders --------------------------------------------------------------

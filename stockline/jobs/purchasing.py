@@ -12,6 +12,7 @@ from stockline.operators.movements import apply_deltas, balances
 from stockline.operators.numbering import assign_refs
 from stockline.operators.prefix import HOT_ROWS, running_totals
 from stockline.plans.intelligence import supplier_lead_time_stats
+from stockline.sources.staging import stage
 from stockline.tables import Tables
 
 
@@ -127,10 +128,12 @@ def receive_goods(t: Tables, receipts: DataFrame, hot_rows: int = HOT_ROWS) -> J
     po_lines = t.po_lines.select(
         F.col("id").alias("line_id"), "po_id", "product_id", "qty_ordered", "qty_received"
     )
-    effective = (
+    # Read three times below, so the joins are done once.
+    effective = stage(
         receipts.withColumn("qty", parse_int("qty")).where(F.col("qty") > 0)
         .join(served.select("request_id", "po_id", "po_ref", "warehouse_code"), ["request_id", "po_id"])
-        .join(po_lines, ["line_id", "po_id"])
+        .join(po_lines, ["line_id", "po_id"]),
+        "receipts",
     )
     order = [F.col("requested_at"), F.col("request_id"), F.col("line_no")]
     filled = running_totals(effective, ["line_id"], order, {"_earlier": F.col("qty")}, hot_rows=hot_rows)
@@ -149,9 +152,9 @@ def receive_goods(t: Tables, receipts: DataFrame, hot_rows: int = HOT_ROWS) -> J
         F.col("_complete_at").isNull() | (rank() >= F.col("_complete_at"))
     ).groupBy("po_id").agg(F.min(rank()).alias("_closed"))
 
-    judged = known.join(closing, "po_id", "left").withColumn(
+    judged = stage(known.join(closing, "po_id", "left").withColumn(
         "_ok", F.col("_open") & (F.col("_closed").isNull() | (rank() <= F.col("_closed")))
-    )
+    ), "judged")
     accepted = judged.where("_ok")
     booked = effective.join(accepted.select("request_id", "po_id"), ["request_id", "po_id"], "left_semi").select(
         "request_id", "po_id", "po_ref", "line_id", "line_no", "requested_at", "product_id",
@@ -162,12 +165,14 @@ def receive_goods(t: Tables, receipts: DataFrame, hot_rows: int = HOT_ROWS) -> J
         (F.col(c) + F.coalesce("_got", F.lit(0))).cast("int").alias(c) if c == "qty_received" else F.col(c)
         for c in t.po_lines.columns
     ])
-    any_received = progress.join(per_line, "line_id", "left").groupBy("po_id").agg(
+    any_received = po_lines.join(asked, "po_id", "left_semi").join(per_line, "line_id", "left").groupBy("po_id").agg(
         F.bool_or(F.col("qty_received") + F.coalesce("_got", F.lit(0)) > 0).alias("_any")
     )
-    last = accepted.groupBy("po_id").agg(F.max("requested_at").alias("updated_at"))
+    last = accepted.groupBy("po_id", "status").agg(
+        F.max("requested_at").alias("updated_at"), F.max("_closed").alias("_closed")
+    )
     changes = (
-        last.join(orders, "po_id").join(closing, "po_id", "left").join(any_received, "po_id", "left")
+        last.join(any_received, "po_id", "left")
         .join(t.purchase_orders.select(F.col("id").alias("po_id"), F.col("received_at").alias("_was")), "po_id")
         .select(
             F.col("po_id").alias("id"), F.lit(True).alias("_hit"),

@@ -7,7 +7,7 @@ once in rounds and need only running totals.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from stockline.operators.prefix import HOT_ROWS, hot_groups, running_totals
 from stockline.sources.staging import stage
 
-# A key with fewer requests than this is decided by one vectorised task.
+# A key with at most this many requests is decided by one task in one scan.
 FOLD_ROWS = 200_000
 
 
@@ -35,7 +35,7 @@ def admit_within_limit(
 
     ``amount`` and ``limit`` are whole numbers (pence), ``amount`` >= 0, and
     the ``order`` columns are unique within a key. Keys with few
-    requests are folded by a grouped pandas function; a key with more is
+    requests are folded in one scan per partition; a key with more is
     decided in rounds that each halve its remaining limit. A request marked in
     the boolean column ``forced`` is taken unchecked, and may overdraw the limit.
     """
@@ -50,21 +50,23 @@ def admit_within_limit(
 
 
 def _fold(requests, key, order, amount, limit, out, forced):
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order))
-        left = int(pdf[limit].iloc[0])
-        unchecked = pdf[forced].tolist() if forced else [False] * len(pdf)
-        taken = []
-        for value, free in zip(pdf[amount].tolist(), unchecked):
-            fits = bool(free) or value <= left
-            taken.append(fits)
-            left -= value if fits else 0
-        pdf[out] = taken
-        return pdf
-
-    names = [*requests.columns, out]
+    """Scan each key's requests in order; whole keys share tasks, so many small keys cost no more than their rows."""
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, left = None, 0
+        for pdf in batches:
+            unchecked = pdf[forced].tolist() if forced else [False] * len(pdf)
+            taken = []
+            for k, value, opening, free in zip(pdf[key].tolist(), pdf[amount].tolist(), pdf[limit].tolist(), unchecked):
+                if k != current:
+                    current, left = k, opening
+                fits = bool(free) or value <= left
+                taken.append(fits)
+                left -= value if fits else 0
+            pdf[out] = taken
+            yield pdf
+
     schema = ", ".join(f"`{n}` {t}" for n, t in [*requests.dtypes, (out, "boolean")])
-    return requests.groupBy(key).applyInPandas(decide, schema).select(*names)
+    return requests.repartition(key).sortWithinPartitions(key, *order).mapInPandas(scan, schema)
 
 
 def _halve(requests, key, order, amount, limit, out, forced, hot_rows):

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from stockline.sources.staging import stage
 from stockline.tables import SCHEMAS, Tables
 
 CORRUPT = "_corrupt_record"
@@ -60,11 +61,13 @@ def read_requests(spark: SparkSession, path: str, schema: StructType | str) -> t
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     with_corrupt = StructType(list(schema.fields) + [StructField(CORRUPT, StringType())])
-    raw = (
+    # Parsed once and kept, because both results read it.
+    raw = stage(
         spark.read.schema(with_corrupt)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
+        .json(path),
+        "requests",
     )
     good = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = raw.where(F.col(CORRUPT).isNotNull()).select(

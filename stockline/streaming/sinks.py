@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stockline.jobs.orders import allocate_backorders
-from stockline.sources.snapshots import append_ledger, read_snapshot
-from stockline.tables import SCHEMAS, Tables
+from stockline.operators.prefix import HOT_ROWS
+from stockline.sources.snapshots import append_ledger
+from stockline.tables import Tables
 
 
 def append_sink(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -39,44 +40,61 @@ def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     return newest.select(*keys, "v.*")
 
 
-def allocate_after_receipts(t: Tables, receipts: DataFrame, asof):
-    """Serve backorders of the products and warehouses that just received stock."""
-    touched = receipts.where(F.col("action") == "stock_received").select(
-        "product_id", F.col("warehouse_code").alias("warehouse")
-    ).distinct()
-    in_reach = t.warehouse_stock.join(touched, ["product_id", "warehouse"], "left_semi")
-    return allocate_backorders(t.replace(warehouse_stock=in_reach), asof)
+def _batches(spark: SparkSession, path: str, schema: str, upto: int) -> DataFrame:
+    """Rows of the micro-batches before ``upto``; the folder filter prunes, and no batch yet gives no rows."""
+    if upto == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch int").parquet(path).where(F.col("batch") < upto).drop("batch")
 
 
-def stream_backorder_allocation(ledger: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """After each micro-batch of receipts, allocate backorders and write the next snapshot.
+def stream_backorder_allocation(
+    ledger: DataFrame, t: Tables, root: str, checkpoint: str, hot_rows: int = HOT_ROWS, **trigger
+) -> StreamingQuery:
+    """Serve backorders whenever stock is received, from a stream of ledger rows.
 
-    Micro-batch n reads snapshot n and writes snapshot n + 1 and its ledger
-    rows; a retried micro-batch overwrites exactly these. Receipts themselves are
-    already part of the snapshot's stock.
+    ``t`` is the state the stream starts from and is never rewritten. Each
+    micro-batch appends what moved and what it allocated, and adds up the earlier
+    batches only for the products and warehouses that just received stock. A
+    retried micro-batch replaces its own folders. Results: ``root/allocations``
+    and ledger rows in ``root/ledger``.
     """
-    changing = ("order_lines", "warehouse_stock")
+    lines, stock = dict(t.order_lines.dtypes), dict(t.warehouse_stock.dtypes)
+    key = ["product_id", "warehouse"]
+    moves_schema = f"product_id {stock['product_id']}, warehouse {stock['warehouse']}, change bigint, received boolean"
+    served_schema = f"line_id {lines['id']}, product_id {stock['product_id']}, warehouse {stock['warehouse']}, qty int"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        t = read_snapshot(spark, root, batch_id, [*changing, "orders"])
-        asof = F.current_timestamp()
-        job = allocate_after_receipts(t, batch, asof)
-        served = job.accepted.groupBy("product_id", F.col("warehouse_code").alias("warehouse")).agg(
-            F.sum("qty_fulfilled").cast("int").alias("_gain")
-        )
-        stock = t.warehouse_stock.join(served, ["product_id", "warehouse"], "left").select(*[
-            (F.col(c) + F.coalesce("_gain", F.lit(0))).cast("int").alias(c) if c == "qty_reserved" else F.col(c)
-            for c in t.warehouse_stock.columns
+        mine = f"{root}/moves/batch={batch_id}"
+        batch.where(F.col("product_id").isNotNull()).groupBy(
+            "product_id", F.col("warehouse_code").alias("warehouse")
+        ).agg(
+            F.coalesce(F.sum("qty_change"), F.lit(0)).alias("change"),
+            F.bool_or(F.col("action") == "stock_received").alias("received"),
+        ).write.mode("overwrite").parquet(mine)
+        touched = spark.read.schema(moves_schema).parquet(mine).where("received").select(*key)
+
+        moved = _batches(spark, f"{root}/moves", moves_schema, batch_id + 1).groupBy(*key).agg(F.sum("change").alias("_in"))
+        served = _batches(spark, f"{root}/allocations", served_schema, batch_id)
+        taken = served.groupBy(*key).agg(F.sum("qty").alias("_taken"))
+        now = t.warehouse_stock.join(touched, key, "left_semi").join(moved, key, "left").join(taken, key, "left").select(*key, *[
+            (F.col(c) + F.coalesce(extra, F.lit(0))).cast("int").alias(c)
+            for c, extra in (("qty_on_hand", "_in"), ("qty_reserved", "_taken"))
         ])
-        base = f"{root.rstrip('/')}/snapshot={batch_id + 1}"
-        job.state["order_lines"].write.mode("overwrite").parquet(f"{base}/order_lines")
-        stock.write.mode("overwrite").parquet(f"{base}/warehouse_stock")
-        t.orders.write.mode("overwrite").parquet(f"{base}/orders")
-        append_ledger(job.ledger, f"{root.rstrip('/')}/ledger", f"backorders-{batch_id}")
+        per_line = served.groupBy(F.col("line_id").alias("id")).agg(F.sum("qty").cast("int").alias("_served"))
+        open_lines = t.order_lines.join(per_line, "id", "left").withColumn(
+            "qty_backordered", F.col("qty_backordered") - F.coalesce("_served", F.lit(0))
+        ).drop("_served")
+        job = allocate_backorders(
+            t.replace(warehouse_stock=now, order_lines=open_lines), F.localtimestamp(), hot_rows=hot_rows
+        )
+        out = f"{root}/allocations/batch={batch_id}"
+        job.accepted.select(
+            "line_id", "product_id", F.col("warehouse_code").alias("warehouse"), F.col("qty_fulfilled").alias("qty")
+        ).write.mode("overwrite").parquet(out)
+        append_ledger(job.ledger, f"{root}/ledger", f"backorders-{batch_id}")
 
     return (
-        ledger.where(F.col("action") == "stock_received")
-        .writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        ledger.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
