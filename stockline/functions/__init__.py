@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, functions as F
 
 MONEY = "decimal(18,2)"
@@ -124,6 +126,13 @@ def contains_ci(search: str, *columns: str) -> Column:
 
 # -- time --------------------------------------------------------------------
 
+def moment(at: datetime | str | Column) -> Column:
+    """A wall-clock time as a column; a datetime keeps its face value in any session time zone."""
+    if isinstance(at, Column):
+        return at.cast("timestamp_ntz")
+    return F.lit(str(at)).cast("timestamp_ntz")
+
+
 def days_between(later: Column, earlier: Column) -> Column:
     """Fractional days between two timestamps."""
     return F.timestamp_diff("MICROSECOND", earlier, later).cast("double") / F.lit(86400000000.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stockline.functions import MONEY, available, parse_int, parse_money, text_or
+from stockline.functions import MONEY, available, moment, parse_int, parse_money, text_or
 from stockline.jobs.common import (
     JobResult, append_rows, first_per, ledger_rows, missing, no_ledger, no_rejects, rank, reject, union, updated,
 )
@@ -394,7 +394,7 @@ def allocate_backorders(t: Tables, asof, warehouse=None, hot_rows: int = HOT_ROW
         out, "backorder_fulfilled", "order", F.col("order_id"),
         F.concat(F.lit("Auto-fulfilled "), F.col("qty_fulfilled").cast("string"), F.lit(" of "),
                  F.col("qty_backordered").cast("string"), F.lit(" backordered units for "), "order_ref"),
-        F.lit(asof), F.col("warehouse_code"), F.col("product_id"), F.col("qty_fulfilled"),
+        moment(asof), F.col("warehouse_code"), F.col("product_id"), F.col("qty_fulfilled"),
     )
     state = {
         "order_lines": lines,

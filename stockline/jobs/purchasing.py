@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stockline.functions import parse_int, parse_money, replenish_qty, text_or
+from stockline.functions import moment, parse_int, parse_money, replenish_qty, text_or
 from stockline.jobs.common import (
     JobResult, append_rows, first_per, ledger_rows, missing, no_ledger, no_rejects, rank, reject, union, updated,
 )
@@ -197,7 +197,7 @@ def receive_goods(t: Tables, receipts: DataFrame, hot_rows: int = HOT_ROWS) -> J
 
 def auto_reorder(t: Tables, asof, warehouse=None) -> JobResult:
     """One draft purchase order per warehouse and supplier for stock at or below its reorder point."""
-    at = F.lit(asof).cast("timestamp_ntz")
+    at = moment(asof)
     low = t.warehouse_stock.where((F.col("qty_on_hand") <= F.col("reorder_point")) & (F.col("reorder_point") > 0))
     if warehouse is not None:
         low = low.where(F.col("warehouse") == F.lit(warehouse))
@@ -264,6 +264,6 @@ def update_lead_times(t: Tables, asof) -> JobResult:
         F.concat("supplier_name", F.lit(": lead time adjusted from "), promised.cast("string"), F.lit("d to "),
                  F.col("new_lead_time").cast("string"), F.lit("d (actual avg: "), actual.cast("string"),
                  F.lit("d across "), F.col("po_count").cast("string"), F.lit(" POs)")),
-        F.lit(asof),
+        moment(asof),
     )
     return JobResult({"suppliers": updated(t.suppliers, changes, "id")}, ledger, no_rejects(out), out)

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stockline.functions import parse_int, parse_int_strict, text_or
+from stockline.functions import moment, parse_int, parse_int_strict, text_or
 from stockline.jobs.common import (
     JobResult, append_rows, first_per, ledger_rows, missing, no_ledger, no_rejects, rank, reject, union, updated,
 )
@@ -158,7 +158,7 @@ def returns_disposition(t: Tables, asof, hot_rows: int = HOT_ROWS) -> JobResult:
     )
     products = t.products.select(F.col("id").alias("product_id"), F.col("name").alias("product_name"), "sku")
     processed = pending.drop("at").join(products, "product_id", "left")
-    ledger = ledger.withColumn("created_at", F.lit(asof).cast("timestamp_ntz"))
+    ledger = ledger.withColumn("created_at", moment(asof))
     return JobResult(
         {"warehouse_stock": stock, "returns": updated(t.returns, changes, "id")}, ledger, no_rejects(pending),
         processed, {"summary": disposition_summary(pending)},
@@ -200,7 +200,7 @@ def _count_lines(counts: DataFrame, stock: DataFrame) -> DataFrame:
 def schedule_cycle_counts(t: Tables, asof: datetime, warehouse=None) -> JobResult:
     """Plan this week's counts for every warehouse that has no open count of the last five days."""
     due, week = classes_due(asof)
-    at = F.lit(asof).cast("timestamp_ntz")
+    at = moment(asof)
     codes = t.warehouses.select(F.col("code").alias("warehouse_code"))
     if warehouse is not None:
         codes = codes.where(F.col("warehouse_code") == F.lit(warehouse))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stockline.functions import MONEY, available, matches, money, month, units
+from stockline.functions import MONEY, available, matches, moment, money, month, units
 from stockline.tables import Tables
 
 # Order of the fulfilment stages.
@@ -31,7 +31,7 @@ def default_asof(t: Tables) -> Column:
 
 
 def _asof(t: Tables, asof) -> Column:
-    return default_asof(t) if asof is None else F.lit(asof).cast("timestamp_ntz")
+    return default_asof(t) if asof is None else moment(asof)
 
 
 def _named_products(t: Tables, *extra: str) -> DataFrame:

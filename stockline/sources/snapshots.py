@@ -36,11 +36,12 @@ def append_ledger(ledger: DataFrame, path: str, batch_id: str) -> None:
     """Append ledger rows below ``path``, one folder per batch, partitioned by day and warehouse.
 
     Each batch owns its folder and replaces it, so re-running a batch cannot
-    double its rows. Rows of one (day, warehouse) are spread over all tasks;
-    the writer sorts inside a task, so no warehouse is gathered in one place.
+    double its rows. Rebalancing brings a day's rows of a warehouse together for
+    large files, and splits a busy one over several tasks.
     """
     (
         ledger.withColumn("ledger_date", F.to_date("created_at"))
+        .hint("rebalance", F.col("ledger_date"), F.col("warehouse_code"))
         .write.mode("overwrite")
         .partitionBy("ledger_date", "warehouse_code")
         .parquet(f"{path.rstrip('/')}/batch={batch_id}")

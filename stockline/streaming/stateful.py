@@ -11,6 +11,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from stockline.streaming.ledger import KEY, wall_time, with_event_time, with_reorder_points
 from stockline.tables import Tables
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _use_rocksdb(df: DataFrame) -> None:
+    """Own state needs the RocksDB store; the default store cannot hold it."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 ALERTS = (
     "warehouse_code string, product_id string, at timestamp_ntz, balance bigint, reorder_point int, alert_type string"
 )
@@ -51,6 +59,7 @@ def stream_low_stock_alerts(ledger: DataFrame, t: Tables, every: str = "1 minute
     The reference looked once a minute. Movements are summed per minute before
     they reach the state, so a busy product costs one row per minute there.
     """
+    _use_rocksdb(ledger)
     polled = (
         with_event_time(ledger, delay)
         .groupBy(F.window("_at", every).alias("w"), *KEY)
@@ -103,6 +112,7 @@ def stream_order_states(actions: DataFrame, t: Tables) -> DataFrame:
 
     Filter on ``accepted`` for the two output streams. Unknown orders are dropped by the join.
     """
+    _use_rocksdb(actions)
     orders = t.orders.select(F.col("id").alias("order_id"), F.col("fulfilment_status").alias("opening_status"))
     return (
         actions.select("request_id", "order_id", "action").join(orders, "order_id")
