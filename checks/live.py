@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.fixture import BASE, fixture, project
+from checks.batch import SHARED
 from checks.reads import _CATEGORY
 from stockline import streams
 from stockline.sources.staging import staging_root
@@ -64,7 +65,15 @@ def alerts(spark, d):
 
 def order_states(spark, d):
     actions = project("order_actions", _source(spark, d, "lineitem"))
-    return _appended(streams.stream_order_states(actions, fixture(spark, d)[0]))
+    out, checkpoint = _place(spark)
+    streams.stream_order_states(actions, fixture(spark, d)[0], out, checkpoint).awaitTermination()
+    return spark.read.parquet(f"{out}/moves").select("request_id", "order_id", "action", "to_status", "accepted", "error_code")
+
+
+def backorders(spark, d):
+    out, checkpoint = _place(spark)
+    streams.stream_backorder_allocation(_ledger(spark, d), fixture(spark, d)[0], out, checkpoint).awaitTermination()
+    return spark.read.parquet(f"{out}/allocations").select("line_id", "product_id", "warehouse", "qty")
 
 
 # A window is emitted once the watermark has passed its end.
@@ -86,7 +95,40 @@ STREAMS = {
           CAST(((2 * SUM(n) * 10000 + 30) // 60) * 0.0001 AS DECIMAL(18,4)) AS daily_rate
         FROM w WHERE from_at + INTERVAL '30' DAY <= {_PASSED} GROUP BY ALL"""),
     "stream_dedup_ledger": (dedup, "SELECT * FROM wms_audit_log"),
-    # State that is folded row by row: tested against a plain fold on small fixtures.
-    "stream_low_stock_alerts": (alerts, None),
-    "stream_order_states": (order_states, None),
+    # One row per minute and stock row; a crossing is a change of "at or below the reorder point".
+    "stream_low_stock_alerts": (alerts, """
+        WITH m AS (SELECT DATE_TRUNC('minute', created_at) + INTERVAL '1' MINUTE AS ends, warehouse_code, product_id,
+            SUM(qty_change) AS change FROM wms_audit_log GROUP BY ALL),
+        b AS (SELECT m.*, ws.reorder_point, ws.qty_on_hand, CAST(ws.qty_on_hand + SUM(m.change) OVER (PARTITION BY
+            m.warehouse_code, m.product_id ORDER BY ends) AS BIGINT) AS balance FROM m JOIN wms_warehouse_stock ws
+            ON ws.product_id = m.product_id AND ws.warehouse = m.warehouse_code
+            WHERE ends <= (SELECT MAX(created_at) FROM wms_audit_log) - INTERVAL '10' MINUTE),
+        x AS (SELECT *, balance <= reorder_point AS low, COALESCE(LAG(balance) OVER (PARTITION BY warehouse_code, product_id
+            ORDER BY ends), qty_on_hand) <= reorder_point AS was FROM b)
+        SELECT CAST(warehouse_code AS VARCHAR) AS warehouse_code, CAST(product_id AS VARCHAR) AS product_id,
+          ends - INTERVAL '1' MICROSECOND AS at, balance, reorder_point, CASE WHEN NOT low THEN 'recovered'
+          WHEN balance <= 0 THEN 'out_of_stock' ELSE 'low_stock' END AS alert_type FROM x WHERE low <> was"""),
+    "stream_order_states": (order_states, """
+        SELECT a.request_id, a.order_id, a.action, a.k = i.k OR a.k = p.k OR a.k = s.k AS accepted, CASE WHEN s.k <= a.k
+          THEN 'shipped' WHEN p.k <= a.k THEN 'packing' WHEN i.k <= a.k THEN 'picking' ELSE a.was END AS to_status,
+          CASE WHEN NOT (a.k = i.k OR a.k = p.k OR a.k = s.k) THEN 'invalid_transition' END AS error_code
+        FROM (SELECT * FROM req_adv) a
+        LEFT JOIN req_pick i0 ON i0.order_id = a.order_id LEFT JOIN req_pack p0 ON p0.order_id = a.order_id
+        LEFT JOIN req_ship s0 ON s0.order_id = a.order_id,
+        LATERAL (SELECT COALESCE(i0.k, (TIMESTAMP '9999-01-01', '')) AS k) i,
+        LATERAL (SELECT COALESCE(p0.k, (TIMESTAMP '9999-01-01', '')) AS k) p,
+        LATERAL (SELECT COALESCE(s0.k, (TIMESTAMP '9999-01-01', '')) AS k) s"""),
+    # The whole ledger is one micro-batch here: stock after all movements serves the pairs that received.
+    "stream_backorder_allocation": (backorders, """
+        WITH m AS (SELECT product_id, warehouse_code AS warehouse, SUM(qty_change) AS change FROM wms_audit_log GROUP BY ALL
+            HAVING BOOL_OR(action = 'stock_received')),
+        s AS (SELECT m.product_id, m.warehouse, ws.qty_on_hand + m.change - ws.qty_reserved AS avail FROM m
+            JOIN wms_warehouse_stock ws ON ws.product_id = m.product_id AND ws.warehouse = m.warehouse),
+        a AS (SELECT l.id AS line_id, l.product_id, o.warehouse_code AS warehouse, CAST(GREATEST(0, LEAST(l.qty_backordered,
+            s.avail - COALESCE(SUM(l.qty_backordered) OVER (PARTITION BY l.product_id, o.warehouse_code ORDER BY o.created_at,
+            l.order_id, l.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS INT) AS qty
+          FROM wms_order_lines l JOIN wms_orders o ON o.id = l.order_id JOIN s ON s.product_id = l.product_id
+            AND s.warehouse = o.warehouse_code WHERE l.fulfilment_status IN ('backordered', 'partial')
+            AND l.qty_backordered > 0 AND s.avail > 0)
+        SELECT * FROM a WHERE qty > 0"""),
 }

@@ -36,4 +36,4 @@ _add_jobs()
 for _key, (_query, _sql) in live.STREAMS.items():
     QUERIES[_key] = _query
     if _sql is not None:
-        ORACLE[_key] = with_views(_sql)
+        ORACLE[_key] = with_views(_sql, live.SHARED)

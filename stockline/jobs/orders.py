@@ -21,22 +21,19 @@ from stockline.tables import Tables
 
 # -- fulfilment stages -------------------------------------------------------
 
-def advance_orders(t: Tables, requests: DataFrame, hot_rows: int = HOT_ROWS) -> JobResult:
-    """Move orders through picking, packing and shipping; shipping takes stock.
-
-    ``requests``: request_id, order_id, action (pick, pack, ship), requested_at.
-    An order only ever moves forward, so of each action the first one that comes
-    after the accepted earlier stage is the accepted one. Shipping has no lower
-    bound on stock and does not release reservations.
+def judge_stages(orders: DataFrame, requests: DataFrame) -> DataFrame:
+    """Judge order actions: adds ``from_status``, ``to_status``, ``accepted`` and the order's columns.
+
+    ``orders``: order_id, was (its stage) and any columns to carry along;
+    ``requests``: request_id, order_id, action, requested_at. An order only ever
+    moves forward, so of each action the first one that comes after the accepted
+    earlier stage is the accepted one: three minima over one grouping key, and
+    no order's requests have to be gathered.
     """
-    orders = t.orders.select(
-        F.col("id").alias("order_id"), "order_ref", "warehouse_code", F.col("fulfilment_status").alias("was")
-    )
     asked = stage(
         requests.select("request_id", "order_id", "action", "requested_at").join(orders, "order_id", "left"), "actions"
     )
     at, action, was = rank(), F.col("action"), F.col("was")
-    # Three minima over one grouping key: each narrows what the next may take.
     picked = asked.where((action == "pick") & (was == "confirmed")).groupBy("order_id").agg(F.min(at).alias("pick_at"))
     can_pack = (action == "pack") & (
         was.isin("picking", "picked") | ((was == "confirmed") & (at > F.col("pick_at")))
@@ -46,15 +43,35 @@ def advance_orders(t: Tables, requests: DataFrame, hot_rows: int = HOT_ROWS) ->
         was.isin("packing", "packed") | (at > F.col("pack_at"))
     )
     shipped = asked.join(packed, "order_id", "left").where(can_ship).groupBy("order_id").agg(F.min(at).alias("ship_at"))
-    judged = stage(
+    before = (
+        F.when(F.col("ship_at") < at, "shipped").when(F.col("pack_at") < at, "packing")
+        .when(F.col("pick_at") < at, "picking").otherwise(was)
+    )
+    accepted = F.coalesce(
+        ((action == "pick") & (at == F.col("pick_at"))) | ((action == "pack") & (at == F.col("pack_at")))
+        | ((action == "ship") & (at == F.col("ship_at"))), F.lit(False))
+    target = F.when(action == "pick", "picking").when(action == "pack", "packing").otherwise("shipped")
+    return stage(
         asked.join(picked, "order_id", "left").join(packed, "order_id", "left").join(shipped, "order_id", "left")
-        .withColumn("_ok", F.coalesce(
-            ((action == "pick") & (at == F.col("pick_at"))) | ((action == "pack") & (at == F.col("pack_at")))
-            | ((action == "ship") & (at == F.col("ship_at"))), F.lit(False))),
+        .withColumn("from_status", before).withColumn("accepted", accepted)
+        .withColumn("to_status", F.when(F.col("accepted"), target).otherwise(F.col("from_status")))
+        .drop("pick_at", "pack_at", "ship_at"),
         "judged",
     )
-    target = F.when(action == "pick", "picking").when(action == "pack", "packing").otherwise("shipped")
-    done = judged.where("_ok").withColumn("new_status", target)
+
+
+def advance_orders(t: Tables, requests: DataFrame, hot_rows: int = HOT_ROWS) -> JobResult:
+    """Move orders through picking, packing and shipping; shipping takes stock.
+
+    ``requests``: request_id, order_id, action (pick, pack, ship), requested_at.
+    Shipping has no lower bound on stock and does not release reservations.
+    """
+    orders = t.orders.select(
+        F.col("id").alias("order_id"), "order_ref", "warehouse_code", F.col("fulfilment_status").alias("was")
+    )
+    at, action = rank(), F.col("action")
+    judged = judge_stages(orders, requests).withColumn("_ok", F.col("accepted"))
+    done = judged.where("_ok").withColumn("new_status", F.col("to_status"))
     changes = done.groupBy("order_id").agg(F.max_by("new_status", at).alias("fulfilment_status")).select(
         F.col("order_id").alias("id"), F.lit(True).alias("_hit"), "fulfilment_status"
     )

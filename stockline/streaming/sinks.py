@@ -1,4 +1,4 @@
-"""Starting streams: append and update sinks on Parquet, and the backorder batch hook."""
+"""Starting streams: append and update sinks on Parquet, and streams that run a batch job per micro-batch."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stockline.jobs.orders import allocate_backorders
+from stockline.jobs.orders import allocate_backorders, judge_stages
 from stockline.operators.prefix import HOT_ROWS
 from stockline.sources.snapshots import append_ledger
+from stockline.plans.trading import stage_rank
 from stockline.tables import Tables
 
 
@@ -98,3 +99,36 @@ def stream_backorder_allocation(
         ledger.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
+
+
+def stream_order_states(actions: DataFrame, t: Tables, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Judge a stream of order actions (request_id, order_id, action, requested_at).
+
+    Each micro-batch is judged as a whole, in the order of ``requested_at``, from
+    the stages the earlier micro-batches left, and appended to ``root/moves``;
+    refused rows have ``accepted`` false and an error code. Actions on unknown orders are refused.
+    """
+    ids = dict(t.orders.dtypes)["id"]
+    request = dict(actions.dtypes)["request_id"]
+    schema = (
+        f"request_id {request}, order_id {ids}, action string, from_status string, to_status string, "
+        "accepted boolean, error_code string"
+    )
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # Stages only move forward: the furthest one reached is the current one.
+        reached = _batches(batch.sparkSession, f"{root}/moves", schema, batch_id).where("accepted").groupBy("order_id").agg(
+            F.max_by("to_status", stage_rank("to_status")).alias("_now")
+        )
+        orders = t.orders.select(F.col("id").alias("order_id"), "fulfilment_status").join(reached, "order_id", "left").select(
+            "order_id", F.coalesce("_now", "fulfilment_status").alias("was")
+        )
+        judge_stages(orders, batch).select(
+            "request_id", "order_id", "action", "from_status", "to_status", "accepted",
+            F.when(~F.col("accepted"), "invalid_transition").alias("error_code"),
+        ).write.mode("overwrite").parquet(f"{root}/moves/batch={batch_id}")
+
+    return (
+        actions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )

@@ -1,4 +1,4 @@
-"""Views that need their own state: threshold crossings and the order state machine."""
+"""A view that needs its own state: threshold crossings of stock balances."""
 
 from __future__ import annotations
 
@@ -70,54 +70,3 @@ def stream_low_stock_alerts(ledger: DataFrame, t: Tables, every: str = "1 minute
     return with_reorder_points(polled, t).groupBy(*KEY).transformWithStateInPandas(
         statefulProcessor=_Crossings(), outputStructType=ALERTS, outputMode="Append", timeMode="None"
     )
-
-
-# Which stages an action starts from and where it leads.
-TRANSITIONS = {
-    "pick": (("confirmed",), "picking"),
-    "pack": (("picking", "picked"), "packing"),
-    "ship": (("packing", "packed"), "shipped"),
-}
-MOVES = "order_id string, request_id string, action string, from_status string, to_status string, accepted boolean, error_code string"
-
-
-class _OrderStages(StatefulProcessor):
-    """Keeps an order's stage; rows are judged in order of arrival, chunk by chunk."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stage = handle.getValueState("stage", "status string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status = self.stage.get()[0] if self.stage.exists() else None
-        for chunk in rows:
-            out = []
-            for request, action, opening in zip(chunk["request_id"], chunk["action"], chunk["opening_status"]):
-                status = opening if status is None else status
-                allowed, target = TRANSITIONS.get(action, ((), None))
-                ok = status in allowed
-                out.append((str(key[0]), str(request), action, status, target if ok else status, ok,
-                            None if ok else "invalid_transition"))
-                status = target if ok else status
-            yield pd.DataFrame(out, columns=["order_id", "request_id", "action", "from_status", "to_status", "accepted",
-                                             "error_code"])
-        if status is not None:
-            self.stage.update((status,))
-
-    def close(self) -> None:
-        pass
-
-
-def stream_order_states(actions: DataFrame, t: Tables) -> DataFrame:
-    """Judge a stream of order actions (request_id, order_id, action); refused ones carry an error code.
-
-    Filter on ``accepted`` for the two output streams. Unknown orders are dropped by the join.
-    """
-    _use_rocksdb(actions)
-    orders = t.orders.select(F.col("id").alias("order_id"), F.col("fulfilment_status").alias("opening_status"))
-    return (
-        actions.select("request_id", "order_id", "action").join(orders, "order_id")
-        .groupBy("order_id")
-        .transformWithStateInPandas(
-            statefulProcessor=_OrderStages(), outputStructType=MOVES, outputMode="Append", timeMode="None"
-        )
-    )

@@ -16,7 +16,7 @@ KEYS = ["warehouse_summary", "low_stock_alerts", "stock_valuation", "warehouse_c
 def test_registry_is_consistent():
     queries, oracle = entry.queries(), entry.oracle_sql()
     assert set(oracle) <= set(queries) and set(KEYS) <= set(oracle)
-    assert sorted(set(queries) - set(oracle)) == ["dispatch_transfers", "stream_low_stock_alerts", "stream_order_states"]
+    assert sorted(set(queries) - set(oracle)) == ["dispatch_transfers"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")

@@ -81,22 +81,31 @@ def test_alerts_fire_only_on_crossing(tables, ledger, tmp_path):
         ("00:00", "p", 5, "low_stock"), ("00:10", "p", 13, "recovered"), ("00:20", "p", -1, "out_of_stock")]
 
 
-def test_order_stage_stream_matches_the_state_machine(tables, ledger, tmp_path):
+def test_order_stage_stream_matches_the_state_machine(spark, tables, ledger, tmp_path):
     stages = ["confirmed", "picking", "picked", "packing", "packed", "shipped"]
     legal = {("confirmed", "pick"): "picking", ("picking", "pack"): "packing", ("picked", "pack"): "packing",
              ("packing", "ship"): "shipped", ("packed", "ship"): "shipped"}
     pairs = [(s, a) for s in stages for a in ("pick", "pack", "ship", "fly")]
     t = tables(orders=[dict(id=f"{s}-{a}", fulfilment_status=s) for s, a in pairs] + [dict(id="o", fulfilment_status="confirmed")])
-    schema = "request_id string, order_id string, action string"
-    stream, _ = ledger([dict(request_id=f"{s}-{a}", order_id=f"{s}-{a}", action=a) for s, a in pairs],
-                       [dict(request_id="1", order_id="o", action="pick")], [dict(request_id="2", order_id="o", action="ship")],
-                       [dict(request_id="3", order_id="o", action="pack")], schema=schema)
-    got = {r.request_id: r for r in run_append(streams.stream_order_states(stream, t), tmp_path).collect()}
+    schema = "request_id string, order_id string, action string, requested_at timestamp_ntz"
+    stream, _ = ledger([dict(request_id=f"{s}-{a}", order_id=f"{s}-{a}", action=a, requested_at=T0) for s, a in pairs],
+                       [dict(request_id="1", order_id="o", action="pick", requested_at=T0)],
+                       # Judged by time, not by position in the file.
+                       [dict(request_id="4", order_id="o", action="ship", requested_at=T0 + timedelta(3)),
+                        dict(request_id="2", order_id="o", action="ship", requested_at=T0 + timedelta(1)),
+                        dict(request_id="3", order_id="o", action="pack", requested_at=T0 + timedelta(2))],
+                       [dict(request_id="5", order_id="o", action="pick", requested_at=T0 + timedelta(4))], schema=schema)
+    root = str(tmp_path / "state")
+    streams.stream_order_states(stream, t, root, str(tmp_path / "cp")).awaitTermination()
+    got = {r.request_id: r for r in spark.read.parquet(f"{root}/moves").collect()}
     for s, a in pairs:
         r = got[f"{s}-{a}"]
         assert (r.accepted, r.to_status) == ((s, a) in legal, legal.get((s, a), s))
     # State is kept from batch to batch.
-    assert [(got[i].accepted, got[i].to_status) for i in "123"] == [(True, "picking"), (False, "picking"), (True, "packing")]
+    assert [(got[i].accepted, got[i].from_status, got[i].to_status) for i in "12345"] == [
+        (True, "confirmed", "picking"), (False, "picking", "picking"), (True, "picking", "packing"), (True, "packing", "shipped"),
+        (False, "shipped", "shipped")]
+    assert got["5"].error_code == "invalid_transition"
 
 
 def test_backorders_are_served_as_stock_arrives(spark, tables, ledger, tmp_path):
