@@ -6,12 +6,15 @@ the check does not repeat the closed form the library uses.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from checks.reads import half_up
+from stockline.sources.snapshots import read_ledger
+from stockline.sources.staging import staging_root
 from stockline import jobs
 from stockline.jobs.purchasing import update_lead_times
 from stockline.tables import Tables
@@ -227,6 +230,14 @@ def _ledger(df: DataFrame) -> DataFrame:
     return df.select("action", "entity_id", "warehouse_code", "product_id", "qty_change", "balance_after", "notes")
 
 
+def _appended_ledger(t: Tables, r: Tables) -> DataFrame:
+    """The disposition ledger written to a ledger folder and read back."""
+    spark = t.orders.sparkSession
+    path = f"{staging_root(spark)}/ledger-{uuid.uuid4().hex}"
+    jobs.ledger_append(jobs.returns_disposition(t, NOW).ledger, path, "1")
+    return read_ledger(spark, path)
+
+
 def _new_orders(t: Tables, r: Tables):
     return jobs.create_orders(t, r["req_new_orders"], r["req_new_order_lines"], default_warehouse=0)
 
@@ -375,6 +386,16 @@ JOBS: dict[str, tuple[Job, str | None]] = {
           WHEN 'restock' THEN 'restocked ' ELSE 'written off ' END, d.qty, ' units via ', d.rma_ref, ' (', d.reason_code, ')')
           AS notes FROM req_disposed d JOIN wms_warehouse_stock ws ON ws.product_id = d.product_id
           AND ws.warehouse = d.warehouse_code"""),
+    "ledger_append": (lambda t, r: _appended_ledger(t, r).groupBy("ledger_date", "action").agg(
+        F.count("*").alias("n"), F.sum("qty_change").alias("q"), F.count_distinct("warehouse_code").alias("w")), """
+        SELECT DATE '2002-01-01' AS ledger_date, CASE action WHEN 'restock' THEN 'stock_returned' ELSE 'stock_written_off' END
+          AS action, COUNT(*) AS n, CAST(SUM(CASE action WHEN 'restock' THEN qty ELSE 0 END) AS BIGINT) AS q,
+          COUNT(DISTINCT warehouse_code) AS w FROM req_disposed GROUP BY ALL"""),
+    "assign_refs": (lambda t, r: jobs.assign_refs(
+        t.orders.select("id", "created_at"), t.purchase_orders, "po_ref", "PO", F.year("created_at"),
+        [F.col("created_at"), F.col("id")]), f"""
+        SELECT id, created_at, {ref('PO', 'wms_purchase_orders', 'po_ref', 'created_at, id', 'y')} AS po_ref
+        FROM (SELECT id, created_at, CAST(YEAR(created_at) AS VARCHAR) AS y FROM wms_orders)"""),
     "disposition_summary": (lambda t, r: jobs.returns_disposition(t, NOW).extra["summary"], """
         SELECT COUNT(*) AS total_processed, COUNT(*) FILTER (WHERE action = 'restock') AS restocked,
           COUNT(*) FILTER (WHERE action = 'write_off') AS written_off FROM req_disposed"""),

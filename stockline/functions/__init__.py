@@ -85,14 +85,13 @@ def discounted(base: str | Column, pct: Column) -> Column:
 
 def parse_int(c: str | Column) -> Column:
     """Leading integer of a text, 0 when there is none (lenient request parsing)."""
-    digits = F.regexp_extract(F.trim(col(c).cast("string")), r"^([+-]?\d+)", 1)
-    return F.coalesce(digits.try_cast("int"), F.lit(0))
+    return F.coalesce(parse_int_strict(c), F.lit(0))
 
 
 def parse_int_strict(c: str | Column) -> Column:
-    """Leading integer of a text, NULL when there is none."""
-    digits = F.regexp_extract(F.trim(col(c).cast("string")), r"^([+-]?\d+)", 1)
-    return digits.try_cast("int")
+    """Leading integer of a text, NULL when there is none; only unusual texts reach the pattern."""
+    text = F.trim(col(c).cast("string"))
+    return F.coalesce(text.try_cast("int"), F.regexp_extract(text, r"^([+-]?\d+)", 1).try_cast("int"))
 
 
 def parse_money(c: str | Column) -> Column:

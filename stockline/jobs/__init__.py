@@ -14,3 +14,6 @@ from stockline.jobs.stock import (  # noqa: F401
     record_counts, returns_disposition, schedule_cycle_counts, start_counts,
 )
 from stockline.jobs.transfers import create_transfers, dispatch_transfers, receive_transfers  # noqa: F401
+from stockline.operators.numbering import assign_refs  # noqa: F401
+from stockline.plans.pricing import check_moq, price_order_lines  # noqa: F401
+from stockline.sources.snapshots import append_ledger as ledger_append  # noqa: F401
