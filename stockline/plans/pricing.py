@@ -5,28 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stockline.functions import MONEY, discounted
-from stockline.operators.tiers import best_tier, tier_at, with_tiers
-from stockline.plans.catalogue import tier_arrays
+from stockline.operators.tiers import with_tiers
 from stockline.tables import Tables
 
 
-def _with_discount(t: Tables, lines: DataFrame, tier) -> DataFrame:
+def _with_discount(t: Tables, lines: DataFrame, tier: str) -> DataFrame:
     customers = t.customers.select(
-        F.col("id").alias("customer_id"),
-        F.coalesce("default_discount_pct", F.lit(0)).cast("decimal(5,2)").alias("_default"),
+        F.col("id").alias("customer_id"), F.col("default_discount_pct").cast("decimal(5,2)").alias("_default"),
     )
-    own = F.coalesce("_default", F.lit(0).cast("decimal(5,2)"))
-    found = F.coalesce(tier(F.col("qty")).cast("decimal(5,2)"), F.lit(0).cast("decimal(5,2)"))
+    none = F.lit(0).cast("decimal(5,2)")
     return (
-        with_tiers(lines, tier_arrays(t))
+        with_tiers(lines, t.price_tiers)
         .join(customers, "customer_id", "left")
-        .withColumn("discount_pct", F.greatest(own, found).cast("decimal(5,2)"))
+        .withColumn("discount_pct", F.greatest("_default", F.col(tier).cast("decimal(5,2)"), none))
         .withColumn(
             "unit_price_gbp",
             F.when(F.col("discount_pct") > 0, discounted("base_price_gbp", F.col("discount_pct")))
             .otherwise(F.col("base_price_gbp").cast("decimal(12,2)")),
         )
-        .drop("tiers", "_default")
+        .drop("at_pct", "best_pct", "_default")
     )
 
 
@@ -36,12 +33,12 @@ def price_order_lines(t: Tables, lines: DataFrame) -> DataFrame:
     The tier with the greatest break not above the quantity counts, if it beats
     the customer's own discount. The price passed in must be the base price.
     """
-    return _with_discount(t, lines, tier_at)
+    return _with_discount(t, lines, "at_pct")
 
 
 def effective_price(t: Tables, lines: DataFrame) -> DataFrame:
     """Price lines as the ordering portal shows them: the largest discount of any break reached."""
-    return _with_discount(t, lines, best_tier)
+    return _with_discount(t, lines, "best_pct")
 
 
 def moq_failures(t: Tables, lines: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from stockline.operators.admission import admit_all_or_nothing, admit_within_lim
 from stockline.operators.allocation import allocate_fifo
 from stockline.operators.numbering import assign_refs
 from stockline.operators.prefix import running_totals
-from stockline.operators.tiers import best_tier, tier_at
+from stockline.operators.tiers import with_tiers
 
 # A group above this many rows takes the range-partitioned form; 0 forces it.
 FORMS = [10**9, 40, 0]
@@ -123,8 +123,8 @@ def test_references_continue_per_year_and_grow_beyond_four_digits(spark):
 
 
 def test_tier_lookups_differ_when_tiers_are_not_monotone(spark):
-    df = spark.createDataFrame(
-        [(4, [(5, 3), (10, 5), (25, 1)]), (5, [(5, 3), (10, 5), (25, 1)]), (30, [(5, 3), (10, 5), (25, 1)]), (9, None)],
-        "q int, tiers array<struct<min_qty: int, discount_pct: int>>")
-    got = df.select("q", tier_at(F.col("q")).alias("at"), best_tier(F.col("q")).alias("best")).collect()
-    assert [(r.q, r["at"], r.best) for r in got] == [(4, None, None), (5, 3, 3), (30, 1, 5), (9, None, None)]
+    tiers = spark.createDataFrame([("p", 10, 5), ("p", 25, 1), ("p", 5, 3), ("p", 5, 2)], "product_id string, min_qty int, discount_pct int")
+    lines = spark.createDataFrame([("p", 4), ("p", 5), ("p", 24), ("p", 25), ("x", 9), (None, 9)], "product_id string, qty int")
+    got = with_tiers(lines, tiers).orderBy(F.col("product_id").asc_nulls_last(), "qty").collect()
+    assert [(r.qty, r.at_pct, r.best_pct) for r in got] == [
+        (4, None, None), (5, 3, 3), (24, 5, 5), (25, 1, 5), (9, None, None), (9, None, None)]
