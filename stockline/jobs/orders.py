@@ -286,7 +286,9 @@ def create_orders(
     valid = first.where(F.col("_error").isNull()).drop("_error").withColumn(
         "warehouse_code", F.coalesce(F.col("warehouse_code"), F.lit(default_warehouse))
     )
-    customers = t.customers.select(F.col("id").alias("customer_id"), F.lit(True).alias("_known"))
+    customers = t.customers.select(
+        F.col("id").alias("customer_id"), F.lit(True).alias("_known"), "default_discount_pct"
+    )
     headers = stage(valid.join(customers, "customer_id", "left").withColumn(
         "_checked", F.coalesce("_known", F.lit(False)) & ~F.coalesce("skip_checks", F.lit(False))
     ).withColumn("_unchecked", ~F.col("_checked")).drop("_known"), "order-headers")
@@ -295,7 +297,9 @@ def create_orders(
         "request_id", "line_no", "product_id", text_or("product_name", "").alias("product_name"),
         text_or("sku", "").alias("sku"), parse_int("qty").alias("qty"),
         parse_money("base_price").alias("base_price_gbp"),
-    ).join(headers.select("request_id", "customer_id", "warehouse_code", "_checked"), "request_id")
+    ).join(
+        headers.select("request_id", "customer_id", "warehouse_code", "_checked", "default_discount_pct"), "request_id"
+    )
     stock = t.warehouse_stock.select(
         "product_id", F.col("warehouse").alias("warehouse_code"), available().alias("_avail")
     )

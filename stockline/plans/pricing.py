@@ -10,20 +10,21 @@ from stockline.tables import Tables
 
 
 def _with_discount(t: Tables, lines: DataFrame, tier: str) -> DataFrame:
-    customers = t.customers.select(
-        F.col("id").alias("customer_id"), F.col("default_discount_pct").cast("decimal(5,2)").alias("_default"),
-    )
-    none = F.lit(0).cast("decimal(5,2)")
+    known = "default_discount_pct" in lines.columns
+    if not known:
+        lines = lines.join(
+            t.customers.select(F.col("id").alias("customer_id"), "default_discount_pct"), "customer_id", "left"
+        )
+    own, none = F.col("default_discount_pct").cast("decimal(5,2)"), F.lit(0).cast("decimal(5,2)")
     return (
         with_tiers(lines, t.price_tiers)
-        .join(customers, "customer_id", "left")
-        .withColumn("discount_pct", F.greatest("_default", F.col(tier).cast("decimal(5,2)"), none))
+        .withColumn("discount_pct", F.greatest(own, F.col(tier).cast("decimal(5,2)"), none))
         .withColumn(
             "unit_price_gbp",
             F.when(F.col("discount_pct") > 0, discounted("base_price_gbp", F.col("discount_pct")))
             .otherwise(F.col("base_price_gbp").cast("decimal(12,2)")),
         )
-        .drop("at_pct", "best_pct", "_default")
+        .drop("at_pct", "best_pct", "default_discount_pct")
     )
 
 
@@ -32,6 +33,7 @@ def price_order_lines(t: Tables, lines: DataFrame) -> DataFrame:
 
     The tier with the greatest break not above the quantity counts, if it beats
     the customer's own discount. The price passed in must be the base price.
+    Lines that already carry default_discount_pct save the join with customers.
     """
     return _with_discount(t, lines, "at_pct")
 
