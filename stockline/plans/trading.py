@@ -154,7 +154,7 @@ def _line_totals(t: Tables) -> DataFrame:
     )
 
 
-def fulfilment_pipeline(t: Tables, status: str = "", ordered: bool = False) -> DataFrame:
+def fulfilment_stages(t: Tables, status: str = "", ordered: bool = False) -> DataFrame:
     """Orders with line count and units, by stage and then by age."""
     headers = t.orders if not status else t.orders.where(F.col("fulfilment_status") == status)
     lines = _line_totals(t).select("order_id", "line_count", "total_units")
