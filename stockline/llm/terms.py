@@ -20,6 +20,7 @@ from stockline.llm.store import keep
 
 TRAIN_ROWS = 20_000
 BITS = 18
+LEAST_CHI = 15.0      # of chance alone, about one term in ten thousand gets there
 _SLOTS = 64
 
 # Terms of a slab of texts: (number of the text, hash) pairs, repeats allowed.
@@ -109,16 +110,15 @@ def gather(docs: DataFrame, labelled: DataFrame, terms: Terms, columns: int) ->
 
 
 def _choose(seen: np.ndarray, n1: int, n0: int, columns: int) -> np.ndarray:
-    """The buckets with the largest chi-square between term and class, seen in at least three rows."""
+    """The buckets with the largest chi-square between term and class, of those that chance hardly explains."""
     a, b = seen[1].astype(float), seen[0].astype(float)
     n = n1 + n0
     if n1 == 0 or n0 == 0:
         return np.zeros(0, dtype=np.int64)
     c, d = n1 - a, n0 - b
     chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n1 * n0, 1.0)
-    chi[a + b < 3] = 0
     order = np.lexsort((np.arange(len(chi)), -chi))[:columns]
-    return np.sort(order[chi[order] > 0])
+    return np.sort(order[chi[order] >= LEAST_CHI])
 
 
 def score_texts(docs: DataFrame, terms: Terms, column_of: np.ndarray, score: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> DataFrame:
