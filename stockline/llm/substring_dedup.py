@@ -35,8 +35,8 @@ from stockline.llm.scan import DARK, U64, Words, covered, grams, slabs, utf8, wi
 
 WINDOW = 20
 SEED_WORDS = 8
-BLOCK_BYTES = 24 << 20    # text whose windows one block is meant to index
-SLAB = 16 << 20           # text that a task reduces at once
+BLOCK_BYTES = 12 << 20    # text whose windows one block is meant to index
+SLAB = 8 << 20            # text that a task reduces at once
 _PARTS = "block long, doc_id long, seeds binary, windows binary, docs binary, starts binary"
 
 
