@@ -29,6 +29,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from stockline.llm.scan import DARK, U64, Words, covered, grams, slabs, utf8, window_min
@@ -37,7 +38,7 @@ WINDOW = 20
 SEED_WORDS = 8
 BLOCK_BYTES = 12 << 20    # text whose windows one block is meant to index
 SLAB = 8 << 20            # text that a task reduces at once
-_PARTS = "block long, doc_id long, seeds binary, windows binary, docs binary, starts binary"
+_PARTS = "block long, ready boolean, seeds binary, windows binary, docs binary, starts binary"
 
 
 class _Slab:
@@ -69,29 +70,35 @@ def _first_of_each(seeds, windows, docs, starts) -> tuple[np.ndarray, np.ndarray
     return order, first
 
 
-def _spans(docs: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Per document, its factors as ``begin, end`` words."""
+def _factors(docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Consecutive windows of a document joined: its number and ``begin, end`` words of each factor."""
     if len(docs) == 0:
-        return
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.int32)
     order = np.lexsort((starts, docs))
     d, s = docs[order], starts[order]
     breaks = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] > s[:-1] + WINDOW))))
     stop = np.concatenate((breaks[1:], [len(d)])) - 1
-    pairs = np.stack((s[breaks], s[stop] + WINDOW), axis=1).astype(np.int32)
-    owner = d[breaks]
-    heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(owner)]):
-        yield int(owner[a]), pairs[a:b].tobytes()
+    return d[breaks], np.stack((s[breaks], s[stop] + WINDOW), axis=1).astype(np.int32)
+
+
+def _by_group(docs: np.ndarray, pairs: np.ndarray, groups: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Factors of many documents as one row per group of documents."""
+    group = (docs.view(U64) % U64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    edges = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1]))).tolist() if len(order) else []
+    for a, b in zip(edges, [*edges[1:], len(order)]):
+        rows = order[a:b]
+        yield int(group[rows[0]]), docs[rows].tobytes(), pairs[rows].tobytes()
 
 
 def _emit(slab: _Slab, blocks: int) -> Iterator[pa.RecordBatch]:
-    names = ["block", "doc_id", "seeds", "windows", "docs", "starts"]
+    names = ["block", "ready", "seeds", "windows", "docs", "starts"]
     if not slab.parts:
         return
     seeds, windows, docs, starts = (np.concatenate(x) for x in zip(*slab.parts))
     order, first = _first_of_each(seeds, windows, docs, starts)
     again = order[~first]
-    known = list(_spans(docs[again], starts[again]))
+    known = _factors(docs[again], starts[again])
     kept = np.sort(order[first])  # back to text order, in which documents and starts repeat or count up
     seeds, windows, docs, starts = seeds[kept], windows[kept], docs[kept], starts[kept]
     block = (seeds % U64(blocks)).astype(np.int64)
@@ -102,12 +109,10 @@ def _emit(slab: _Slab, blocks: int) -> Iterator[pa.RecordBatch]:
         if len(rows):
             values = (seeds[rows], windows[rows], docs[rows], starts[rows].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int64()), pa.array([None], pa.int64()), *(pa.array([x], pa.binary()) for x in _packed(*values))], names=names)
-    if known:  # passed through by any block
-        ids = np.array([k[0] for k in known], dtype=np.int64)
-        empty = pa.nulls(len(known), pa.binary())
+                [pa.array([b], pa.int64()), pa.array([False]), *(pa.array([x], pa.binary()) for x in _packed(*values))], names=names)
+    for group, ids, pairs in _by_group(*known, blocks):  # passed through by the block of that number
         yield pa.RecordBatch.from_arrays(
-            [pa.array((ids % blocks).astype(np.int64)), pa.array(ids), empty, empty, empty, pa.array([k[1] for k in known], pa.binary())], names=names)
+            [pa.array([group], pa.int64()), pa.array([True]), *(pa.array([x], pa.binary()) for x in (None, None, ids, pairs))], names=names)
 
 
 def _packed(seeds, windows, docs, starts) -> tuple[bytes, bytes, bytes, bytes]:
@@ -125,24 +130,33 @@ def _unpacked(seeds: bytes, windows: bytes, docs: bytes, starts: bytes) -> tuple
     return np.repeat(np.frombuffer(seeds, U64), lengths), np.frombuffer(windows, U64), np.repeat(np.frombuffer(docs, np.int64), lengths), np.repeat(begin, lengths) + offset
 
 
-def _block_task(table: pa.Table) -> pa.Table:
-    """The factors that a block finds, and those that slabs knew already."""
-    ready = table.filter(table.column("doc_id").is_valid())
-    rows = table.filter(table.column("doc_id").is_null())
-    ids, spans = ready.column("doc_id").to_pylist(), ready.column("starts").to_pylist()
+def _block_task(table: pa.Table, groups: int) -> pa.Table:
+    """The factors that a block finds, and those that slabs knew already, by group of documents."""
+    ready = table.filter(table.column("ready"))
+    rows = table.filter(pc.invert(table.column("ready")))
+    out = [(table.column("block")[0].as_py(), i, p) for i, p in zip(ready.column("docs").to_pylist(), ready.column("starts").to_pylist())]
     if rows.num_rows:
         columns = (rows.column(n).to_pylist() for n in ("seeds", "windows", "docs", "starts"))
         seeds, windows, docs, starts = (np.concatenate(x) for x in zip(*(_unpacked(*r) for r in zip(*columns))))
         order, first = _first_of_each(seeds, windows, docs, starts)
         later = order[~first]
-        for doc, span in _spans(docs[later], starts[later]):
-            ids.append(doc)
-            spans.append(span)
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "spans": pa.array(spans, pa.binary())})
+        out += _by_group(*_factors(docs[later], starts[later]), groups)
+    return pa.table({"grp": pa.array([r[0] for r in out], pa.int64()), "docs": pa.array([r[1] for r in out], pa.binary()), "pairs": pa.array([r[2] for r in out], pa.binary())})
+
+
+def _group_task(table: pa.Table) -> pa.Table:
+    """One row per document: all its factors."""
+    docs = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
+    pairs = np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in table.column("pairs").to_pylist()])
+    order = np.lexsort((pairs[:, 0], docs))
+    docs, pairs = docs[order], pairs[order]
+    heads = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))).tolist()
+    spans = [pairs[a:b].tobytes() for a, b in zip(heads, [*heads[1:], len(docs)])]
+    return pa.table({"own_id": pa.array(docs[heads], pa.int64()), "spans": pa.array(spans, pa.binary())})
 
 
 def duplicate_spans(docs: DataFrame, blocks: int) -> DataFrame:
-    """``doc_id, spans``: factors of at least ``WINDOW`` words as int32 pairs; several rows per document."""
+    """``own_id, spans``: a document's factors, each of at least ``WINDOW`` words, as int32 pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slab = _Slab()
@@ -157,12 +171,13 @@ def duplicate_spans(docs: DataFrame, blocks: int) -> DataFrame:
         yield from _emit(slab, blocks)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return source.mapInArrow(run, _PARTS).groupBy("block").applyInArrow(_block_task, "doc_id long, spans binary")
+    found = source.mapInArrow(run, _PARTS).groupBy("block").applyInArrow(lambda t: _block_task(t, blocks), "grp long, docs binary, pairs binary")
+    return found.groupBy("grp").applyInArrow(_group_task, "own_id long, spans binary")
 
 
-def keep_words(words: list[bytes], spans: list[bytes]) -> tuple[list[bytes], int]:
+def keep_words(words: list[bytes], spans: bytes) -> tuple[list[bytes], int]:
     """The words outside the spans, and how many were removed."""
-    pairs = np.concatenate([np.frombuffer(s, np.int32).reshape(-1, 2) for s in spans]) if spans else np.zeros((0, 2), np.int32)
+    pairs = np.frombuffer(spans, np.int32).reshape(-1, 2)
     if len(pairs) == 0:
         return words, 0
     gone = covered(len(words), pairs[:, 0], pairs[:, 1] - pairs[:, 0])
@@ -172,14 +187,14 @@ def keep_words(words: list[bytes], spans: list[bytes]) -> tuple[list[bytes], int
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id, text`` (the words that stay, one space between), ``n_words, n_removed, kept_sha256``."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    found = duplicate_spans(docs, max(1, -(-size // BLOCK_BYTES))).groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_list("spans").alias("spans"))
+    found = duplicate_spans(docs, max(1, -(-size // BLOCK_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_words, n_removed, digests = [], [], [], []
             for text, spans in zip(batch.column(1), batch.column(2)):
                 words = (text.as_py() or "").encode().split()  # of bytes: ASCII white space only
-                kept, removed = keep_words(words, spans.as_py() or [])
+                kept, removed = keep_words(words, spans.as_py() or b"")
                 joined = b" ".join(kept)
                 texts.append(joined.decode())
                 n_words.append(len(words))
