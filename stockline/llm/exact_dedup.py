@@ -22,7 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stockline.llm.store import keep, place, text_or_empty
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "spark.sql.streaming.stateStore"
+STATE_SETTINGS = {
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STATE}.rocksdb.boundedMemoryUsage": "true",   # one memory limit for all stores of an executor
+    f"{_STATE}.rocksdb.allowFAllocate": "false",      # many small stores would reserve disk for nothing
+}
 
 
 def normalised(column: str = "text") -> Column:
@@ -35,10 +40,13 @@ def _best(length: str = "n_points", doc: str = "doc_id", row: str = "row_no") ->
     return F.min(F.struct((-F.col(length)).alias("shorter"), F.col(doc).alias("doc_id"), F.col(row).alias("row_no")))
 
 
-def _state(spark: SparkSession, path: str, schema, files_per_batch: int) -> DataFrame:
+def _state(spark: SparkSession, path: str, schema, rows: int, files_per_batch: int) -> DataFrame:
     """Run the digest stream to its end; the newest state of every digest."""
     own = spark.newSession()  # its settings stay its own
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for key, value in STATE_SETTINGS.items():
+        own.conf.set(key, value)
+    # A stream keeps its number of stores; stores and their sizes both grow with the root of the rows.
+    own.conf.set("spark.sql.shuffle.partitions", str(max(1, round(rows**0.5 / 50))))
     stream = own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     grouped = stream.groupBy("digest").agg(F.count("*").alias("group_size"), _best().alias("best"))
     changes, checkpoint = place(spark, "digest-state"), place(spark, "digest-checkpoint")
@@ -65,7 +73,7 @@ def exact_groups(docs: DataFrame, files_per_batch: int = 256) -> DataFrame:
         F.monotonically_increasing_id().alias("row_no"), "doc_id",
         F.length(text_or_empty()).alias("n_points"), F.sha2(normalised().cast("binary"), 256).alias("digest"))
     rows, path = keep(digests, "digests")
-    state, _ = keep(_state(spark, path, rows.schema, files_per_batch), "digest-groups")
+    state, _ = keep(_state(spark, path, rows.schema, rows.count(), files_per_batch), "digest-groups")
 
     # Full bytes of every group with a second row.
     hits = docs.select("doc_id", normalised().alias("norm")).join(
