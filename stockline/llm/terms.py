@@ -59,7 +59,7 @@ def training_rows(labels: DataFrame, label: str, fold: Column, rows: int = TRAIN
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def gather(docs: DataFrame, labelled: DataFrame, terms: Terms, columns: int) -> Sample:
+def gather(docs: DataFrame, labelled: DataFrame, terms: Terms, columns: int, frequent: int = 0) -> Sample:
     """Count the sample's terms by class and bring its rows, reduced to the chosen columns, to the driver."""
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,7 @@ def gather(docs: DataFrame, labelled: DataFrame, terms: Terms, columns: int) ->
     for r in slots:
         seen[:, r["slot"] * width : (r["slot"] + 1) * width] = np.frombuffer(r["n"], np.int64).reshape(2, -1)
     classes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    chosen = _choose(seen, classes.get(1, 0), classes.get(0, 0), columns)
+    chosen = _choose(seen, classes.get(1, 0), classes.get(0, 0), columns, frequent)
     column_of = np.full(1 << BITS, -1, dtype=np.int32)
     column_of[chosen] = np.arange(len(chosen))
 
@@ -109,8 +109,11 @@ def gather(docs: DataFrame, labelled: DataFrame, terms: Terms, columns: int) ->
                   np.concatenate([*cols, np.zeros(0, np.int32)]), np.array([l for l, _ in small], dtype=np.int64))
 
 
-def _choose(seen: np.ndarray, n1: int, n0: int, columns: int) -> np.ndarray:
-    """The buckets with the largest chi-square between term and class, of those that chance hardly explains."""
+def _choose(seen: np.ndarray, n1: int, n0: int, columns: int, frequent: int) -> np.ndarray:
+    """The buckets with the largest chi-square between term and class, of those that chance hardly explains.
+
+    The ``frequent`` most frequent ones are added, since terms that mean nothing alone may mean something together.
+    """
     a, b = seen[1].astype(float), seen[0].astype(float)
     n = n1 + n0
     if n1 == 0 or n0 == 0:
@@ -118,7 +121,8 @@ def _choose(seen: np.ndarray, n1: int, n0: int, columns: int) -> np.ndarray:
     c, d = n1 - a, n0 - b
     chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n1 * n0, 1.0)
     order = np.lexsort((np.arange(len(chi)), -chi))[:columns]
-    return np.sort(order[chi[order] >= LEAST_CHI])
+    common = np.lexsort((np.arange(len(chi)), -(a + b)))[:frequent]
+    return np.union1d(order[chi[order] >= LEAST_CHI], common[a[common] + b[common] > 0])
 
 
 def score_texts(docs: DataFrame, terms: Terms, column_of: np.ndarray, score: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> DataFrame:

@@ -20,6 +20,7 @@ from stockline.llm.scan import ALNUM, U64, Words, mix
 from stockline.llm.terms import TRAIN_ROWS, Sample, gather, score_texts, sigmoid, training_rows
 
 COLUMNS = 4096
+FREQUENT = 64         # terms that take part for their frequency alone
 FACTORS = 8
 EPOCHS = 30
 BATCH = 64
@@ -83,7 +84,7 @@ class FactorizationMachine:
 
 def score(docs: DataFrame, labels: DataFrame, fold, rows: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id, score`` of every row of ``docs``; labels are learnt only where ``fold`` holds."""
-    sample = gather(docs, training_rows(labels, "toxic", fold, rows), toxic_terms, COLUMNS)
+    sample = gather(docs, training_rows(labels, "toxic", fold, rows), toxic_terms, COLUMNS, FREQUENT)
     if len(sample.cols) == 0:
         share = float(sample.label.mean()) if len(sample.label) else 0.5
         return docs.select("doc_id", F.lit(share).alias("score"))
