@@ -99,6 +99,18 @@ REQ_REVIEW_FOLD = (
 )
 
 
+def serve_fold(source: str) -> str:
+    """Serve needs one by one: all of a need that fits in what is left, else what is left, if anything."""
+    got = "CASE WHEN acc.b >= x.r[1].n THEN x.r[1].n WHEN acc.b > 0 THEN acc.b ELSE 0 END"
+    return (
+        "SELECT UNNEST(LIST_REDUCE(LIST_PREPEND({'b': CAST(ANY_VALUE(avail) AS BIGINT), 'r': [{'o': NULL::BIGINT, 'l': NULL, 'n': 0::BIGINT, "
+        "'got': 0::BIGINT, 'seen': 0::BIGINT}]}, LIST({'b': 0::BIGINT, 'r': [{'o': CAST(order_key AS BIGINT), 'l': line_key, 'n': CAST(need AS BIGINT), "
+        "'got': 0::BIGINT, 'seen': 0::BIGINT}]} ORDER BY moment, order_key, line_key)), lambda acc, x: {'b': acc.b - "
+        f"{got}, 'r': LIST_APPEND(acc.r, {{'o': x.r[1].o, 'l': x.r[1].l, 'n': x.r[1].n, 'got': {got}, 'seen': acc.b}})}}).r, "
+        f"recursive := true) FROM ({source}) GROUP BY product_id, warehouse"
+    )
+
+
 def credit_fold(source: str) -> str:
     """Accept totals in order while they fit into what is left; ``free`` ones are taken unchecked."""
     return (
@@ -164,14 +176,19 @@ REQ_ADJ = (
     "'n': x.rows[1].n, 'after': GREATEST(0, acc.b + x.rows[1].n)})}).rows, recursive := true), "
     "GENERATE_SUBSCRIPTS(LIST_PREPEND(0, LIST(n)), 1) AS i FROM req_adj_work GROUP BY product_id, warehouse"
 )
-REQ_BACK = (
+REQ_BACK_OPEN = (
     "SELECT l.id AS line_id, l.order_id, o.order_ref, l.product_id, o.warehouse_code, l.product_name, l.sku, l.qty_backordered, "
-    "CAST(GREATEST(0, LEAST(l.qty_backordered, (ws.qty_on_hand - ws.qty_reserved) - COALESCE(SUM(l.qty_backordered) OVER "
-    "(PARTITION BY l.product_id, o.warehouse_code ORDER BY o.created_at, l.order_id, l.id ROWS BETWEEN UNBOUNDED PRECEDING "
-    "AND 1 PRECEDING), 0))) AS INT) AS qty_fulfilled FROM wms_order_lines l JOIN wms_orders o ON o.id = l.order_id "
+    "o.created_at, ws.qty_on_hand - ws.qty_reserved AS avail FROM wms_order_lines l JOIN wms_orders o ON o.id = l.order_id "
     "JOIN wms_warehouse_stock ws ON ws.product_id = l.product_id AND ws.warehouse = o.warehouse_code "
     "WHERE l.fulfilment_status IN ('backordered', 'partial') AND l.qty_backordered > 0 AND ws.qty_on_hand - ws.qty_reserved > 0"
 )
+REQ_BACK_FOLD = serve_fold(
+    "SELECT order_id AS order_key, line_id AS line_key, created_at AS moment, product_id, warehouse_code AS warehouse, "
+    "qty_backordered AS need, avail FROM req_back_open"
+)
+REQ_BACK = (
+    "SELECT b.* EXCLUDE (created_at, avail), f.got AS qty_fulfilled FROM req_back_open b JOIN req_back_fold f ON f.l = b.line_id"
+)
 REQ_DISPOSED = (
     "SELECT id, rma_ref, product_id, warehouse_code, qty, created_at, code AS reason_code, CASE WHEN code IN ('damaged', "
     "'defective', 'expired', 'quality_issue') THEN 'write_off' ELSE 'restock' END AS action FROM (SELECT *, COALESCE("
@@ -207,10 +224,14 @@ REQ_INV_ITEMS = (
     "LEFT JOIN wms_products p ON p.sku = TRIM(l.sku) LEFT JOIN wms_warehouse_stock ws ON ws.product_id = p.id "
     "AND ws.warehouse = CASE o.region WHEN 1 THEN 1 ELSE 0 END"
 )
+REQ_INV_SERVED_FOLD = serve_fold(
+    "SELECT request_id AS order_key, line_no AS line_key, requested_at AS moment, product_id, warehouse, qty AS need, avail "
+    "FROM req_inv_items WHERE avail IS NOT NULL"
+)
 REQ_INV_SERVED = (
-    "SELECT *, CASE WHEN avail IS NULL THEN 0 ELSE CAST(GREATEST(0, LEAST(qty, avail - COALESCE(SUM(qty) OVER (PARTITION BY "
-    "product_id, warehouse ORDER BY requested_at, request_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) "
-    "AS INT) END AS got FROM req_inv_items"
+    "SELECT i.*, COALESCE(f.got, 0) AS got, CASE WHEN f.seen >= i.qty THEN 'fulfilled' WHEN f.seen > 0 THEN 'partial' "
+    "ELSE 'backordered' END AS status FROM req_inv_items i LEFT JOIN req_inv_served_fold f "
+    "ON f.o = i.request_id AND f.l = i.line_no"
 )
 
 SHARED = {name.lower(): value for name, value in dict(globals()).items() if name.startswith("REQ_")}
@@ -442,8 +463,7 @@ JOBS: dict[str, tuple[Job, str | None]] = {
     "ingest_invoices": (lambda t, r: _invoices(t, r).extra["lines"].select(
         "invoice_id", "id", "product_id", "sku", "quantity", "fulfilment_status", "qty_fulfilled", "qty_backordered"), """
         SELECT request_id AS invoice_id, CONCAT(request_id, '-', line_no) AS id, product_id, sku, qty AS quantity,
-          CASE WHEN avail >= 0 AND got = qty THEN 'fulfilled' WHEN got > 0 THEN 'partial' ELSE 'backordered' END
-          AS fulfilment_status, got AS qty_fulfilled, qty - got AS qty_backordered FROM req_inv_served"""),
+          status AS fulfilment_status, CAST(got AS INT) AS qty_fulfilled, CAST(qty - got AS INT) AS qty_backordered FROM req_inv_served"""),
     "ingest_invoices_customers": (lambda t, r: _invoices(t, r).state["customers"].select("id", "company_name", "region"), """
         WITH x AS (SELECT customer_name, MAX(known_id) AS known_id, ARG_MIN(request_id, (requested_at, request_id)) AS new_id,
           ARG_MAX(region, (requested_at, request_id)) FILTER (WHERE region IS NOT NULL) AS region FROM req_inv_ok GROUP BY ALL)

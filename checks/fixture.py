@@ -71,7 +71,7 @@ _VIEWS: dict[str, tuple[str, list[str], str | None]] = {
     "price_tiers": ("part_tier", [
         "p_partkey * 100 + min_qty AS id", "p_partkey AS product_id", "min_qty",
         "CAST(CASE WHEN p_size = 20 AND min_qty = 25 THEN 1 ELSE discount_pct END AS DECIMAL(5,2)) AS discount_pct",
-    ], "p_size >= 10"),
+    ], None),
     "customers": ("customer_nation", [
         "c_custkey AS id", "c_name AS company_name", "CAST(NULL AS STRING) AS contact_name",
         "CONCAT(c_name, '@example.com') AS email", "CAST(NULL AS STRING) AS billing_address",
@@ -153,7 +153,7 @@ _VIEWS: dict[str, tuple[str, list[str], str | None]] = {
         "CASE WHEN l_tax < 0.005 THEN 'expired' END AS reason_code",
         "CASE WHEN l_discount > 0.055 THEN 'write_off' ELSE 'restock' END AS action",
         "CASE WHEN l_linenumber <= 5 THEN 'pending' ELSE 'processed' END AS status", "l_shipdate AS created_at",
-    ], "l_returnflag = 'R' AND l_linestatus = 'F'"),
+    ], None),
     "audit_log": ("events", [
         "event_id AS id", "ts AS created_at",
         "CASE event_type WHEN 'signup' THEN 'stock_received' WHEN 'purchase' THEN 'stock_shipped' "
@@ -320,7 +320,7 @@ _REQUESTS: dict[str, tuple[str, list[str], str | None]] = {
         f"CASE WHEN l_linenumber = 6 THEN '0' ELSE CAST({_QTY} AS STRING) END AS qty",
         "CAST(NULL AS STRING) AS reason", "CASE WHEN l_linenumber = 1 THEN 'write_off' ELSE '' END AS action",
         "l_shipdate AS requested_at",
-    ], "l_returnflag = 'R'"),
+    ], None),
     "return_actions": ("lineitem", [
         f"CONCAT('p-', {_LINE_ID}) AS request_id", f"{_LINE_ID} AS return_id", "l_shipdate AS requested_at",
     ], None),
@@ -353,7 +353,7 @@ _REQUESTS: dict[str, tuple[str, list[str], str | None]] = {
         "l_orderkey + 100000000 AS request_id", f"{_LINE_ID} AS line_no",
         "CASE WHEN l_linenumber = 7 THEN 'unknown' ELSE CONCAT(' SKU-', CAST(l_partkey AS STRING)) END AS sku",
         "'Item' AS description", "CAST(NULL AS STRING) AS barcode", f"CAST({_UNIT} AS STRING) AS trade_price",
-        f"CAST({_QTY} AS STRING) AS quantity", f"CAST(CAST({_QTY} * {_UNIT} AS DECIMAL(12,2)) AS STRING) AS subtotal",
+        f"CASE WHEN l_linenumber = 3 THEN CONCAT('-', CAST({_QTY} AS STRING)) ELSE CAST({_QTY} AS STRING) END AS quantity", f"CAST(CAST({_QTY} * {_UNIT} AS DECIMAL(12,2)) AS STRING) AS subtotal",
     ], None),
 }
 

@@ -265,26 +265,24 @@ READS: dict[str, tuple[Read, str | None]] = {
           (SELECT COUNT(*) FROM wms_products p WHERE p.supplier_id = s.id) AS product_count FROM wms_suppliers s"""),
     "po_summary": (a.po_summary, """
         SELECT po.id, po.po_ref, po.supplier_id, s.name AS supplier_name, po.warehouse_code, po.status, po.created_at,
-          po.submitted_at, po.received_at, COUNT(l.id) AS line_count,
+          po.submitted_at, po.received_at, po.notes, po.updated_at, COUNT(l.id) AS line_count,
           CAST(COALESCE(SUM(l.qty_ordered), 0) AS BIGINT) AS total_ordered,
           CAST(COALESCE(SUM(l.qty_received), 0) AS BIGINT) AS total_received,
           CAST(COALESCE(SUM(l.qty_ordered * l.unit_cost_gbp), 0) AS DECIMAL(18,2)) AS total_cost_gbp
         FROM wms_purchase_orders po LEFT JOIN wms_suppliers s ON s.id = po.supplier_id
         LEFT JOIN wms_po_lines l ON l.po_id = po.id GROUP BY ALL"""),
     "po_detail": (a.po_detail, """
-        SELECT po.id AS po_id, po.po_ref, s.name AS supplier_name, po.warehouse_code, po.status, l.id AS line_id,
+        SELECT po.* RENAME (id AS po_id), s.name AS supplier_name, l.id AS line_id,
           l.product_id, p.name AS product_name, p.sku, p.brand, l.qty_ordered, l.qty_received, l.unit_cost_gbp
-        FROM wms_po_lines l JOIN wms_purchase_orders po ON po.id = l.po_id
-        LEFT JOIN wms_suppliers s ON s.id = po.supplier_id JOIN wms_products p ON p.id = l.product_id"""),
+        FROM wms_purchase_orders po LEFT JOIN wms_po_lines l ON po.id = l.po_id
+        LEFT JOIN wms_suppliers s ON s.id = po.supplier_id LEFT JOIN wms_products p ON p.id = l.product_id"""),
     "transfer_summary": (a.transfer_summary, """
-        SELECT t.id, t.transfer_ref, t.from_warehouse, t.to_warehouse, t.status, t.created_at,
-          COUNT(l.id) AS line_count, CAST(COALESCE(SUM(l.qty), 0) AS BIGINT) AS total_units
+        SELECT t.*, COUNT(l.id) AS line_count, CAST(COALESCE(SUM(l.qty), 0) AS BIGINT) AS total_units
         FROM wms_stock_transfers t LEFT JOIN wms_transfer_lines l ON l.transfer_id = t.id GROUP BY ALL"""),
     "transfer_detail": (a.transfer_detail, """
-        SELECT t.id AS transfer_id, t.transfer_ref, t.from_warehouse, t.to_warehouse, t.status, l.id AS line_id,
-          l.product_id, p.name AS product_name, p.sku, p.brand, l.qty
-        FROM wms_transfer_lines l JOIN wms_stock_transfers t ON t.id = l.transfer_id
-        JOIN wms_products p ON p.id = l.product_id"""),
+        SELECT t.* RENAME (id AS transfer_id), l.id AS line_id, l.product_id, p.name AS product_name, p.sku, p.brand, l.qty
+        FROM wms_stock_transfers t LEFT JOIN wms_transfer_lines l ON t.id = l.transfer_id
+        LEFT JOIN wms_products p ON p.id = l.product_id"""),
     "fulfilment_stages": (a.fulfilment_stages, f"""
         SELECT o.id, o.order_ref, o.customer_name, o.status, o.fulfilment_status, o.warehouse_code, o.currency,
           o.total_gbp, o.created_at, COUNT(l.id) AS line_count,
@@ -297,8 +295,7 @@ READS: dict[str, tuple[Read, str | None]] = {
         FROM wms_products p JOIN wms_price_tiers pt ON pt.product_id = p.id GROUP BY ALL"""),
     "review_queue": (a.review_queue, "SELECT * FROM req_review"),
     "customer_spend": (a.customer_spend, """
-        SELECT c.id, c.company_name, c.email, c.region, c.customer_type, c.payment_terms, c.credit_limit_gbp,
-          c.credit_used_gbp, c.default_discount_pct, COUNT(o.id) AS order_count,
+        SELECT c.*, COUNT(o.id) AS order_count,
           CAST(COALESCE(SUM(o.total_gbp), 0) AS DECIMAL(18,2)) AS total_spend_gbp,
           CASE WHEN c.credit_limit_gbp > 0 THEN CAST(c.credit_limit_gbp - c.credit_used_gbp AS DECIMAL(18,2)) END
             AS credit_available_gbp
@@ -365,8 +362,8 @@ READS: dict[str, tuple[Read, str | None]] = {
           r.created_at FROM wms_returns r LEFT JOIN wms_products p ON p.id = r.product_id
         LEFT JOIN wms_orders o ON o.id = r.order_id LEFT JOIN wms_customers c ON c.id = r.customer_id"""),
     "packing_slip": (a.packing_slip, """
-        SELECT o.id AS order_id, o.order_ref, c.company_name, c.billing_address, c.email, o.warehouse_code, o.created_at,
-          l.id AS line_id, l.product_id, l.product_name, l.sku, p.brand, l.qty_ordered, l.unit_price_gbp
+        SELECT o.* RENAME (id AS order_id, fulfilment_status AS order_fulfilment_status), c.company_name, c.billing_address,
+          c.email, l.* EXCLUDE (order_id) RENAME (id AS line_id), p.brand
         FROM wms_orders o LEFT JOIN wms_order_lines l ON l.order_id = o.id
         LEFT JOIN wms_customers c ON c.id = o.customer_id LEFT JOIN wms_products p ON p.id = l.product_id"""),
     "stock_valuation": (a.stock_valuation, """
@@ -468,13 +465,12 @@ READS: dict[str, tuple[Read, str | None]] = {
     "supplier_lead_times": (a.supplier_lead_times, """
         SELECT id, name, lead_time_days AS promised_days, actual_lead_time_days AS actual_days FROM wms_suppliers"""),
     "cycle_count_summary": (a.cycle_count_summary, """
-        SELECT cc.id, cc.count_ref, cc.warehouse_code, cc.scope, cc.scope_filter, cc.status, cc.planned_date, cc.created_at,
-          COUNT(l.id) AS total_lines, COUNT(l.counted_qty) AS counted_lines
+        SELECT cc.*, COUNT(l.id) AS total_lines, COUNT(l.counted_qty) AS counted_lines
         FROM wms_cycle_counts cc LEFT JOIN wms_cycle_count_lines l ON l.cycle_count_id = cc.id GROUP BY ALL"""),
     "cycle_count_detail": (a.cycle_count_detail, """
-        SELECT cc.id AS cycle_count_id, cc.count_ref, cc.warehouse_code, cc.status, l.id AS line_id, l.product_id,
+        SELECT cc.* RENAME (id AS cycle_count_id), l.id AS line_id, l.product_id, l.counted_at, l.notes AS line_notes,
           p.name AS product_name, p.sku, p.brand, l.location, l.expected_qty, l.counted_qty, l.variance
-        FROM wms_cycle_count_lines l JOIN wms_cycle_counts cc ON cc.id = l.cycle_count_id
+        FROM wms_cycle_counts cc LEFT JOIN wms_cycle_count_lines l ON cc.id = l.cycle_count_id
         LEFT JOIN wms_products p ON p.id = l.product_id"""),
     "raw_stock_list": (a.raw_stock_list, "SELECT * FROM wms_stock"),
     "warehouse_comparison": (lambda t: a.warehouse_comparison(t, W), "SELECT * FROM req_comparison"),

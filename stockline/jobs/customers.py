@@ -157,11 +157,10 @@ def ingest_invoices(
     order = [F.col("requested_at"), F.col("request_id"), F.col("line_no")]
     stocked = items.where(F.col("_avail").isNotNull())
     served = allocate_fifo(stocked, ["product_id", "warehouse"], order, "qty", "_avail", "qty_fulfilled", hot_rows)
-    unserved = items.where(F.col("_avail").isNull()).withColumn("qty_fulfilled", F.lit(0))
+    unserved = items.where(F.col("_avail").isNull()).withColumns({"qty_fulfilled": F.lit(0), "_left": F.lit(None).cast("bigint")})
     short = F.col("qty") - F.col("qty_fulfilled")
     status = (
-        F.when(F.coalesce(F.col("_avail") >= 0, F.lit(False)) & (short == 0), "fulfilled")
-        .when(F.col("qty_fulfilled") > 0, "partial").otherwise("backordered")
+        F.when(F.col("_left") >= F.col("qty"), "fulfilled").when(F.col("_left") > 0, "partial").otherwise("backordered")
     )
     done = stage(served.unionByName(unserved).select(
         F.concat_ws("-", F.col("request_id").cast("string"), F.col("line_no").cast("string")).alias("id"),
@@ -172,7 +171,7 @@ def ingest_invoices(
         parse_money("subtotal").alias("subtotal_gbp"), status.alias("fulfilment_status"), "qty_fulfilled",
         short.cast("int").alias("qty_backordered"), F.col("requested_at").alias("created_at"),
     ), "invoice-lines")
-    reserve = done.where(F.col("qty_fulfilled") > 0).select("product_id", "warehouse", "qty_fulfilled")
+    reserve = done.where(F.col("qty_fulfilled") != 0).select("product_id", "warehouse", "qty_fulfilled")
     state = {
         "customers": append_rows(updated(t.customers, regions, "id"), new_customers),
         "invoices": append_rows(t.invoices, new_invoices),

@@ -243,14 +243,15 @@ def update_lead_times(t: Tables, asof) -> JobResult:
     """Store measured lead times; move the promise when at least two orders differ by more than 20 %.
 
     The new promise is ceil(0.7 × measured + 0.3 × promised); a supplier counts
-    as adjusted only if that changes the number. A promise of 0 is never adjusted,
-    since the difference to it has no percentage.
+    as adjusted only if that changes the number. From a promise of 0 (or none,
+    which counts as 0) any difference is more than 20 %.
     """
     stats = supplier_lead_time_stats(t)
-    actual, promised = F.col("avg_actual_days"), F.col("promised_days")
+    actual, promised = F.col("avg_actual_days"), F.coalesce("promised_days", F.lit(0))
     drift = F.try_divide(F.abs(actual - promised), promised.cast("decimal(10,1)"))
     proposed = F.ceil(actual * F.lit("0.7").cast("decimal(2,1)") + promised * F.lit("0.3").cast("decimal(2,1)"))
-    adjust = (F.col("po_count") >= 2) & (drift > F.lit("0.2").cast("decimal(2,1)")) & (proposed != promised)
+    far = F.coalesce(drift > F.lit("0.2").cast("decimal(2,1)"), actual != 0)
+    adjust = (F.col("po_count") >= 2) & far & (proposed != promised)
     out = stats.select(
         "*", F.coalesce(adjust, F.lit(False)).alias("adjusted"),
         F.when(adjust, proposed).otherwise(promised).cast("int").alias("new_lead_time"),

@@ -33,20 +33,30 @@ def admit_within_limit(
 ) -> DataFrame:
     """Accept each request whose ``amount`` fits in what is left of its key's ``limit``.
 
-    ``amount`` and ``limit`` are whole numbers (pence), ``amount`` >= 0, and
-    the ``order`` columns are unique within a key. Keys with few
-    requests are folded in one scan per partition; a key with more is
-    decided in rounds that each halve its remaining limit. A request marked in
-    the boolean column ``forced`` is taken unchecked, and may overdraw the limit.
+    ``amount`` and ``limit`` are whole numbers (pence) and the ``order`` columns
+    are unique within a key. Keys with few requests are folded in one scan per
+    partition; a key with more is decided in rounds that each halve its
+    remaining limit. A negative amount gives back, so what does not fit now may
+    fit later and halving does not hold: a key that has one is folded whatever
+    its size, which streams over its requests and keeps one number. A request
+    marked in the boolean column ``forced`` is taken unchecked, and may overdraw
+    the limit. Without an amount or a limit a request is refused unless forced,
+    and takes nothing.
     """
-    sizes = requests.groupBy(key).agg(F.count("*").alias("_n"))
-    large = stage(sizes.where(F.col("_n") > fold_rows).select(key), "large-keys")
+    free = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
+    void = F.col(amount).isNull() | F.col(limit).isNull()
+    requests = requests.withColumn("_void", void)
+    settled = requests.where("_void").drop("_void").withColumn(out, free)
+    requests = requests.where("NOT _void").drop("_void")
+    sizes = requests.groupBy(key).agg(F.count("*").alias("_n"), F.min(amount).alias("_least"))
+    large = stage(sizes.where((F.col("_n") > fold_rows) & (F.col("_least") >= 0)).select(key), "large-keys")
     if large.isEmpty():
-        return _fold(requests, key, order, amount, limit, out, forced)
+        return settled.unionByName(_fold(requests, key, order, amount, limit, out, forced))
+    # A request without a key belongs to no large one.
     small = requests.join(large, key, "left_anti")
     big = requests.join(large, key, "left_semi")
     folded = _fold(small, key, order, amount, limit, out, forced)
-    return folded.unionByName(_halve(big, key, order, amount, limit, out, forced, hot_rows))
+    return settled.unionByName(folded).unionByName(_halve(big, key, order, amount, limit, out, forced, hot_rows))
 
 
 def _fold(requests, key, order, amount, limit, out, forced):

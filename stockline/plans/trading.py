@@ -60,7 +60,7 @@ def po_summary(t: Tables, status: str = "", ordered: bool = False) -> DataFrame:
         .join(suppliers, "supplier_id", "left")
         .select(
             "id", "po_ref", "supplier_id", "supplier_name", "warehouse_code", "status", "created_at", "submitted_at",
-            "received_at",
+            "received_at", "notes", "updated_at",
             *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
               for c in ("line_count", "total_ordered", "total_received")],
             F.coalesce("total_cost_gbp", F.lit(0)).cast(MONEY).alias("total_cost_gbp"),
@@ -70,18 +70,17 @@ def po_summary(t: Tables, status: str = "", ordered: bool = False) -> DataFrame:
 
 
 def po_detail(t: Tables, po_id=None, ordered: bool = False) -> DataFrame:
-    """Purchase-order lines with header, supplier and product columns."""
-    headers = _by_id(t.purchase_orders, "id", po_id).select(
-        F.col("id").alias("po_id"), "po_ref", "supplier_id", "warehouse_code", "status"
-    )
+    """Purchase orders with supplier, lines and products; an order without lines is one row without line columns."""
+    headers = _by_id(t.purchase_orders, "id", po_id).withColumnRenamed("id", "po_id")
     lines = _by_id(t.po_lines, "po_id", po_id).withColumnRenamed("id", "line_id")
     suppliers = t.suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name"))
     out = (
-        lines.join(headers, "po_id")
+        headers.join(lines, "po_id", "left")
         .join(suppliers, "supplier_id", "left")
-        .join(_named_products(t), "product_id")
+        .join(_named_products(t), "product_id", "left")
         .select(
-            "po_id", "po_ref", "supplier_name", "warehouse_code", "status", "line_id", "product_id", "product_name",
+            "po_id", "po_ref", "supplier_id", "supplier_name", "warehouse_code", "status", "notes", "created_at",
+            "submitted_at", "received_at", "updated_at", "line_id", "product_id", "product_name",
             "sku", "brand", "qty_ordered", "qty_received", "unit_cost_gbp",
         )
     )
@@ -95,7 +94,7 @@ def transfer_summary(t: Tables, ordered: bool = False) -> DataFrame:
         F.count("*").alias("line_count"), units("qty").alias("total_units")
     )
     out = t.stock_transfers.join(lines, F.col("id") == F.col("transfer_id"), "left").select(
-        "id", "transfer_ref", "from_warehouse", "to_warehouse", "status", "created_at",
+        "id", "transfer_ref", "from_warehouse", "to_warehouse", "status", "notes", "created_at", "updated_at",
         F.coalesce("line_count", F.lit(0)).cast("bigint").alias("line_count"),
         F.coalesce("total_units", F.lit(0)).cast("bigint").alias("total_units"),
     )
@@ -103,16 +102,15 @@ def transfer_summary(t: Tables, ordered: bool = False) -> DataFrame:
 
 
 def transfer_detail(t: Tables, transfer_id=None, ordered: bool = False) -> DataFrame:
-    headers = _by_id(t.stock_transfers, "id", transfer_id).select(
-        F.col("id").alias("transfer_id"), "transfer_ref", "from_warehouse", "to_warehouse", "status"
-    )
+    """Transfers with lines and products; a transfer without lines is one row without line columns."""
+    headers = _by_id(t.stock_transfers, "id", transfer_id).withColumnRenamed("id", "transfer_id")
     lines = _by_id(t.transfer_lines, "transfer_id", transfer_id).withColumnRenamed("id", "line_id")
     out = (
-        lines.join(headers, "transfer_id")
-        .join(_named_products(t), "product_id")
+        headers.join(lines, "transfer_id", "left")
+        .join(_named_products(t), "product_id", "left")
         .select(
-            "transfer_id", "transfer_ref", "from_warehouse", "to_warehouse", "status", "line_id", "product_id",
-            "product_name", "sku", "brand", "qty",
+            "transfer_id", "transfer_ref", "from_warehouse", "to_warehouse", "status", "notes", "created_at",
+            "updated_at", "line_id", "product_id", "product_name", "sku", "brand", "qty",
         )
     )
     return out.orderBy("transfer_id", "brand", "product_name", "line_id") if ordered else out
@@ -180,22 +178,20 @@ def order_totals(t: Tables) -> DataFrame:
 
 
 def packing_slip(t: Tables, order_id=None, ordered: bool = False) -> DataFrame:
-    """Order lines with header, customer and brand, for one order or all."""
-    headers = _by_id(t.orders, "id", order_id).select(
-        F.col("id").alias("order_id"), "order_ref", "customer_id", "warehouse_code", "created_at"
+    """Order lines with the whole header, customer and brand, for one order or all."""
+    headers = _by_id(t.orders, "id", order_id).withColumnsRenamed(
+        {"id": "order_id", "fulfilment_status": "order_fulfilment_status"}
     )
     customers = t.customers.select(F.col("id").alias("customer_id"), "company_name", "billing_address", "email")
     brands = t.products.select(F.col("id").alias("product_id"), "brand")
-    lines = _by_id(t.order_lines, "order_id", order_id).select(
-        F.col("id").alias("line_id"), "order_id", "product_id", "product_name", "sku", "qty_ordered", "unit_price_gbp"
-    )
+    lines = _by_id(t.order_lines, "order_id", order_id).withColumnRenamed("id", "line_id")
     out = (
         headers.join(lines, "order_id", "left")
         .join(customers, "customer_id", "left")
         .join(brands, "product_id", "left")
         .select(
-            "order_id", "order_ref", "company_name", "billing_address", "email", "warehouse_code", "created_at",
-            "line_id", "product_id", "product_name", "sku", "brand", "qty_ordered", "unit_price_gbp",
+            *headers.columns, "company_name", "billing_address", "email",
+            *[c for c in lines.columns if c != "order_id"], "brand",
         )
     )
     return out.orderBy("order_id", "brand", "product_name", "line_id") if ordered else out
@@ -282,7 +278,8 @@ def customer_spend(t: Tables, search: str = "", customer_id=None) -> DataFrame:
     )
     limit, used = F.col("credit_limit_gbp"), F.col("credit_used_gbp")
     return customers.join(spend, F.col("id") == F.col("customer_id"), "left").select(
-        "id", "company_name", "email", "region", "customer_type", "payment_terms", "credit_limit_gbp",
+        "id", "company_name", "contact_name", "email", "billing_address", "currency_preference", "vat_number", "notes",
+        "region", "customer_type", "payment_terms", "credit_limit_gbp",
         "credit_used_gbp", "default_discount_pct",
         F.coalesce("n", F.lit(0)).cast("bigint").alias("order_count"),
         F.coalesce("spend", F.lit(0)).cast(MONEY).alias("total_spend_gbp"),
@@ -340,7 +337,8 @@ def cycle_count_summary(t: Tables) -> DataFrame:
     return (
         t.cycle_counts.join(lines, F.col("id") == F.col("cycle_count_id"), "left")
         .select(
-            "id", "count_ref", "warehouse_code", "scope", "scope_filter", "status", "planned_date", "created_at",
+            "id", "count_ref", "warehouse_code", "scope", "scope_filter", "notes", "status", "planned_date",
+            "created_at", "updated_at", "completed_at",
             F.coalesce("total_lines", F.lit(0)).cast("bigint").alias("total_lines"),
             F.coalesce("counted_lines", F.lit(0)).cast("bigint").alias("counted_lines"),
         )
@@ -349,12 +347,12 @@ def cycle_count_summary(t: Tables) -> DataFrame:
 
 
 def cycle_count_detail(t: Tables, count_id=None, ordered: bool = False) -> DataFrame:
-    headers = _by_id(t.cycle_counts, "id", count_id).select(
-        F.col("id").alias("cycle_count_id"), "count_ref", "warehouse_code", "status"
-    )
-    lines = _by_id(t.cycle_count_lines, "cycle_count_id", count_id).withColumnRenamed("id", "line_id")
-    out = lines.join(headers, "cycle_count_id").join(_named_products(t), "product_id", "left").select(
-        "cycle_count_id", "count_ref", "warehouse_code", "status", "line_id", "product_id", "product_name", "sku",
+    """Counts with lines and products; a count without lines is one row without line columns."""
+    headers = _by_id(t.cycle_counts, "id", count_id).withColumnRenamed("id", "cycle_count_id")
+    lines = _by_id(t.cycle_count_lines, "cycle_count_id", count_id).withColumnsRenamed({"id": "line_id", "notes": "line_notes"})
+    out = headers.join(lines, "cycle_count_id", "left").join(_named_products(t), "product_id", "left").select(
+        "cycle_count_id", "count_ref", "warehouse_code", "scope", "scope_filter", "notes", "planned_date", "status",
+        "created_at", "updated_at", "completed_at", "line_id", "counted_at", "line_notes", "product_id", "product_name", "sku",
         "brand", "location", "expected_qty", "counted_qty", "variance",
     )
     return out.orderBy("cycle_count_id", "brand", "product_name", "line_id") if ordered else out

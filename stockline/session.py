@@ -14,6 +14,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Also where the next operator would have reused the join's partitioning.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Quantities and money must fail loudly on overflow.
     "spark.sql.ansi.enabled": "true",
     # Event times are wall-clock values without a zone.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -61,7 +63,7 @@ def stream_backorder_allocation(
     """
     lines, stock = dict(t.order_lines.dtypes), dict(t.warehouse_stock.dtypes)
     key = ["product_id", "warehouse"]
-    moves_schema = f"product_id {stock['product_id']}, warehouse {stock['warehouse']}, change bigint, received boolean"
+    moves_schema = f"product_id {stock['product_id']}, warehouse {stock['warehouse']}, change bigint, received boolean, latest timestamp_ntz"
     served_schema = f"line_id {lines['id']}, product_id {stock['product_id']}, warehouse {stock['warehouse']}, qty int"
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -72,8 +74,12 @@ def stream_backorder_allocation(
         ).agg(
             F.coalesce(F.sum("qty_change"), F.lit(0)).alias("change"),
             F.bool_or(F.col("action") == "stock_received").alias("received"),
+            F.max("created_at").cast("timestamp_ntz").alias("latest"),
         ).write.mode("overwrite").parquet(mine)
-        touched = spark.read.schema(moves_schema).parquet(mine).where("received").select(*key)
+        own = spark.read.schema(moves_schema).parquet(mine)
+        touched = own.where("received").select(*key)
+        # The time of the batch itself, so that a repeated batch writes the same ledger rows.
+        asof = own.agg(F.max("latest")).first()[0] or datetime(1970, 1, 1)
 
         moved = _batches(spark, f"{root}/moves", moves_schema, batch_id + 1).groupBy(*key).agg(F.sum("change").alias("_in"))
         served = _batches(spark, f"{root}/allocations", served_schema, batch_id)
@@ -87,7 +93,7 @@ def stream_backorder_allocation(
             "qty_backordered", F.col("qty_backordered") - F.coalesce("_served", F.lit(0))
         ).drop("_served")
         job = allocate_backorders(
-            t.replace(warehouse_stock=now, order_lines=open_lines), F.localtimestamp(), hot_rows=hot_rows
+            t.replace(warehouse_stock=now, order_lines=open_lines), asof, hot_rows=hot_rows
         )
         out = f"{root}/allocations/batch={batch_id}"
         job.accepted.select(

@@ -2,7 +2,7 @@ import random
 from decimal import Decimal
 
 import pytest
-from hypothesis import HealthCheck, given, settings, strategies as st
+from hypothesis import HealthCheck, example, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from stockline.operators.admission import admit_all_or_nothing, admit_within_limit
@@ -43,17 +43,19 @@ def test_running_totals_over_whole_table_keeps_money_exact(spark):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 9)), min_size=1, max_size=30), st.integers(0, 40))
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(-9, 9)), min_size=1, max_size=30), st.integers(-12, 40))
+@example([(1, 10), (1, -3), (1, 4)], 5)
+@example([(1, -3), (1, 2), (1, -7), (1, 9), (1, -6)], -5)
 def test_fifo_equals_fold(spark, demand, supply):
     left, expected = {}, []
     for key, need in demand:
-        got = max(0, min(need, left.get(key, supply)))
-        left[key] = left.get(key, supply) - got
-        expected.append(got)
-    assert sum(e for (k, _), e in zip(demand, expected) if k == demand[0][0]) <= supply
+        have = left.get(key, supply)
+        got = need if have >= need else max(0, have)
+        left[key] = have - got
+        expected.append((got, have))
     df = spark.createDataFrame([(k, i, n, supply) for i, (k, n) in enumerate(demand)], "k int, i int, n int, s int")
     got = allocate_fifo(df, ["k"], [F.col("i")], "n", "s").orderBy("i").collect()
-    assert [r.qty_allocated for r in got] == expected
+    assert [(r.qty_allocated, r._left) for r in got] == expected
 
 
 @pytest.mark.parametrize("fold_rows,hot_rows", [(10**6, 10**6), (20, 10**6), (0, 30)])
@@ -94,6 +96,25 @@ def test_credit_admission_takes_few_rounds_on_an_adversarial_order(spark):
     assert len(calls) <= 11  # log2(1000) rounds and a last look
 
 
+@pytest.mark.parametrize("fold_rows", [10**6, 0])
+def test_credit_admission_with_credits_and_missing_numbers(spark, fold_rows):
+    """Both forms refuse what has no amount or limit, and what is given back can be spent again."""
+    rng = random.Random(3)
+    limits = {1: 100, 2: 400, 3: None, 4: 50}
+    asked = [(1, 0, -500, False), (1, 1, 550, False), (1, 2, 40, False)]
+    asked += [(rng.choice([1, 2, 2, 3, 4]), i, rng.choice([None, -40, 0, 5, 90, 300]), rng.random() < 0.1) for i in range(3, 120)]
+    asked = [(k, i, a if k != 4 or a is None else abs(a), f) for k, i, a, f in asked]
+    left, expected = dict(limits), {}
+    for k, i, amount, free in asked:
+        known = amount is not None and left[k] is not None
+        expected[i] = free or (known and amount <= left[k])
+        if expected[i] and known:
+            left[k] -= amount
+    df = spark.createDataFrame([(k, i, a, limits[k], f) for k, i, a, f in asked], "k int, i int, a bigint, lim bigint, free boolean")
+    got = {r.i: r.accepted for r in admit_within_limit(df, "k", ["i"], "a", "lim", forced="free", fold_rows=fold_rows).collect()}
+    assert got == expected and got[0] and got[1] and got[2]
+
+
 @pytest.mark.parametrize("hot_rows", [10**6, 15])
 def test_all_or_nothing_equals_fold(spark, hot_rows):
     rng = random.Random(8)
