@@ -176,6 +176,26 @@ REQ_ADJ = (
     "'n': x.rows[1].n, 'after': GREATEST(0, acc.b + x.rows[1].n)})}).rows, recursive := true), "
     "GENERATE_SUBSCRIPTS(LIST_PREPEND(0, LIST(n)), 1) AS i FROM req_adj_work GROUP BY product_id, warehouse"
 )
+# Dispatch, one transfer after another: taken if the stock less what earlier ones took is enough for each of its products.
+REQ_DISPATCH_WANTED = (
+    "SELECT a.transfer_id, MIN(a.requested_at) AS requested_at FROM req_transfer_actions a JOIN wms_stock_transfers s "
+    "ON s.id = a.transfer_id AND s.status = 'requested' GROUP BY ALL"
+)
+REQ_DISPATCH_NEED = (
+    "SELECT d.transfer_id, d.requested_at, CONCAT(l.product_id, '/', s.from_warehouse) AS k, CAST(SUM(l.qty) AS BIGINT) AS n, "
+    "CAST(COALESCE(ANY_VALUE(ws.qty_on_hand), -1) AS BIGINT) AS have FROM req_dispatch_wanted d JOIN wms_stock_transfers s "
+    "ON s.id = d.transfer_id JOIN wms_transfer_lines l ON l.transfer_id = d.transfer_id LEFT JOIN wms_warehouse_stock ws "
+    "ON ws.product_id = l.product_id AND ws.warehouse = s.from_warehouse GROUP BY ALL"
+)
+_DISPATCH_SHORT = "LEN(LIST_FILTER(x.need, lambda y: y.n + COALESCE(acc.took[y.k], 0) > y.have))"
+REQ_DISPATCH_FOLD = (
+    "SELECT UNNEST(LIST_REDUCE(LIST_PREPEND({'took': MAP([]::VARCHAR[], []::BIGINT[]), 'need': NULL::STRUCT(k VARCHAR, n BIGINT, have BIGINT)[], "
+    "'id': NULL::BIGINT, 'done': []::BIGINT[]}, LIST({'took': NULL::MAP(VARCHAR, BIGINT), 'need': need, 'id': transfer_id, 'done': NULL::BIGINT[]} "
+    "ORDER BY requested_at, transfer_id)), lambda acc, x: {'took': CASE WHEN " + _DISPATCH_SHORT + " > 0 THEN acc.took ELSE "
+    "MAP_CONCAT(acc.took, MAP_FROM_ENTRIES(LIST_TRANSFORM(x.need, lambda y: {'k': y.k, 'v': COALESCE(acc.took[y.k], 0) + y.n}))) END, "
+    "'need': x.need, 'id': x.id, 'done': CASE WHEN " + _DISPATCH_SHORT + " > 0 THEN acc.done ELSE LIST_APPEND(acc.done, x.id) END}).done) AS id "
+    "FROM (SELECT transfer_id, requested_at, LIST({'k': k, 'n': n, 'have': have}) AS need FROM req_dispatch_need GROUP BY ALL)"
+)
 REQ_BACK_OPEN = (
     "SELECT l.id AS line_id, l.order_id, o.order_ref, l.product_id, o.warehouse_code, l.product_name, l.sku, l.qty_backordered, "
     "o.created_at, ws.qty_on_hand - ws.qty_reserved AS avail FROM wms_order_lines l JOIN wms_orders o ON o.id = l.order_id "
@@ -335,8 +355,12 @@ JOBS: dict[str, tuple[Job, str | None]] = {
         FROM (SELECT r.*, CAST(YEAR(requested_at) AS VARCHAR) AS y, (SELECT COUNT(*) FROM req_transfer_lines l
           WHERE l.request_id = r.request_id) AS n FROM req_transfers r)
         WHERE from_warehouse IS NOT NULL AND from_warehouse <> to_warehouse AND n > 0"""),
-    # Acceptance couples products within a transfer: tested against a fold on small fixtures instead.
-    "dispatch_transfers": (lambda t, r: jobs.dispatch_transfers(t, r["req_transfer_actions"]).accepted, None),
+    "dispatch_transfers": (lambda t, r: jobs.dispatch_transfers(t, r["req_transfer_actions"]).accepted.drop("_hit"), """
+        SELECT transfer_id AS id, 'in_transit' AS status, requested_at AS updated_at FROM req_dispatch_wanted
+        WHERE transfer_id IN (SELECT id FROM req_dispatch_fold) OR transfer_id NOT IN (SELECT transfer_id FROM req_dispatch_need)"""),
+    "dispatch_transfers_stock": (lambda t, r: jobs.dispatch_transfers(t, r["req_transfer_actions"]).state["warehouse_stock"],
+        _stock("qty_on_hand", "SELECT l.product_id, s.from_warehouse AS warehouse, -SUM(l.qty) AS q FROM req_dispatch_fold f "
+               "JOIN wms_stock_transfers s ON s.id = f.id JOIN wms_transfer_lines l ON l.transfer_id = f.id GROUP BY ALL")),
     "receive_transfers": (lambda t, r: jobs.receive_transfers(t, r["req_transfer_actions"]).state["warehouse_stock"],
         _stock("qty_on_hand", "SELECT l.product_id, s.to_warehouse AS warehouse, SUM(l.qty) AS q FROM wms_transfer_lines l "
                "JOIN wms_stock_transfers s ON s.id = l.transfer_id WHERE s.status = 'in_transit' GROUP BY ALL")),
