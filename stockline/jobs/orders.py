@@ -391,7 +391,7 @@ def allocate_backorders(t: Tables, asof, warehouse=None, hot_rows: int = HOT_ROW
     served = allocate_fifo(
         eligible_backorders(t, warehouse), ["product_id", "warehouse_code"],
         [F.col("created_at"), F.col("order_id"), F.col("line_id")], "qty_backordered", "qty_available",
-        "qty_fulfilled", hot_rows=hot_rows,
+        "qty_fulfilled", hot_rows=hot_rows, credits=False,
     ).where(F.col("qty_fulfilled") > 0).withColumn(
         "remaining", (F.col("qty_backordered") - F.col("qty_fulfilled")).cast("int")
     ).withColumn("status", F.when(F.col("remaining") <= 0, "fulfilled").otherwise("partial"))

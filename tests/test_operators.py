@@ -45,6 +45,8 @@ def test_running_totals_over_whole_table_keeps_money_exact(spark):
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(1, 3), st.integers(-9, 9)), min_size=1, max_size=30), st.integers(-12, 40))
 @example([(1, 10), (1, -3), (1, 4)], 5)
+@example([(1, 3), (2, 4), (1, 4), (1, 1), (2, 0)], 5)
+@example([(1, 3), (1, 0)], -2)
 @example([(1, -3), (1, 2), (1, -7), (1, 9), (1, -6)], -5)
 def test_fifo_equals_fold(spark, demand, supply):
     left, expected = {}, []
@@ -56,6 +58,9 @@ def test_fifo_equals_fold(spark, demand, supply):
     df = spark.createDataFrame([(k, i, n, supply) for i, (k, n) in enumerate(demand)], "k int, i int, n int, s int")
     got = allocate_fifo(df, ["k"], [F.col("i")], "n", "s").orderBy("i").collect()
     assert [(r.qty_allocated, r._left) for r in got] == expected
+    if all(need >= 0 for _, need in demand):
+        got = allocate_fifo(df, ["k"], [F.col("i")], "n", "s", credits=False).orderBy("i").collect()
+        assert [(r.qty_allocated, r._left) for r in got] == expected
 
 
 @pytest.mark.parametrize("fold_rows,hot_rows", [(10**6, 10**6), (20, 10**6), (0, 30)])
