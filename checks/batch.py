@@ -355,6 +355,7 @@ JOBS: dict[str, tuple[Job, str | None]] = {
         FROM (SELECT r.*, CAST(YEAR(requested_at) AS VARCHAR) AS y, (SELECT COUNT(*) FROM req_transfer_lines l
           WHERE l.request_id = r.request_id) AS n FROM req_transfers r)
         WHERE from_warehouse IS NOT NULL AND from_warehouse <> to_warehouse AND n > 0"""),
+    "eligible_backorders": (lambda t, r: jobs.eligible_backorders(t), "SELECT * RENAME (avail AS qty_available) FROM req_back_open"),
     "dispatch_transfers": (lambda t, r: jobs.dispatch_transfers(t, r["req_transfer_actions"]).accepted.drop("_hit"), """
         SELECT transfer_id AS id, 'in_transit' AS status, requested_at AS updated_at FROM req_dispatch_wanted
         WHERE transfer_id IN (SELECT id FROM req_dispatch_fold) OR transfer_id NOT IN (SELECT transfer_id FROM req_dispatch_need)"""),
