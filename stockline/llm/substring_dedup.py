@@ -13,6 +13,12 @@ Each task first reduces its own rows: of windows equal within a slab only the fi
 to a block, the others are already known to start earlier. A passage that a third of all
 documents share therefore reaches its block once per slab, not once per document.
 
+A seed that stands in very many different windows (a common phrase in ever new surroundings)
+would make its block large. Such seeds are counted on a sample of ``SAMPLE`` of the
+documents and get several blocks, among which the window's own hash decides: equal windows
+still meet, whatever the sample saw. The list of such seeds has at most ``MOST_SPLIT``
+entries, as each stands for that share of the sample.
+
 A block compares seed hash and window hash, 128 bits that are independent of each other.
 
 Defined results: null and empty texts have no words; texts with fewer than 20 words keep
@@ -33,11 +39,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from stockline.llm.scan import DARK, U64, Words, covered, grams, slabs, utf8, window_min
+from stockline.llm.store import keep
 
 WINDOW = 20
 SEED_WORDS = 8
 BLOCK_BYTES = 12 << 20    # text whose windows one block is meant to index
 SLAB = 8 << 20            # text that a task reduces at once
+SAMPLE = 1 / 256          # documents in which frequent seeds are counted
+SPLIT = 4                 # a seed with more than this part of a block gets several
+MOST_SPLIT = 1 << 18
 _PARTS = "block long, ready boolean, seeds binary, windows binary, docs binary, starts binary"
 
 
@@ -51,14 +61,55 @@ class _Slab:
     def add(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
         words = Words(data, offsets, DARK)
         self.size += len(data)
-        if len(words) < WINDOW:
-            return
-        h = words.hashes()
-        windows, seeds = grams(h, WINDOW), window_min(grams(h, SEED_WORDS), WINDOW - SEED_WORDS + 1)
-        text = words.text_of()
-        own = np.flatnonzero(text[: len(windows)] == text[WINDOW - 1 :])
-        at = text[own]
-        self.parts.append((seeds[own], windows[own], ids[at], (own - words.first[at]).astype(np.int64)))
+        own, text, seeds, windows = _windows(words)
+        if len(own):
+            self.parts.append((seeds, windows, ids[text], (own - words.first[text]).astype(np.int64)))
+
+
+def _windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, text number, seed hash and window hash of each window that lies in one text."""
+    if len(words) < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64)
+    h = words.hashes()
+    windows, seeds = grams(h, WINDOW), window_min(grams(h, SEED_WORDS), WINDOW - SEED_WORDS + 1)
+    text = words.text_of()
+    own = np.flatnonzero(text[: len(windows)] == text[WINDOW - 1 :])
+    return own, text[own], seeds[own], windows[own]
+
+
+def frequent_seeds(source: DataFrame, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds that would overfill a block, sorted, and how many blocks each gets."""
+    none = np.zeros(0, U64), np.zeros(0, U64)
+    if blocks == 1:
+        return none
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for i, j in slabs(offsets):
+                _, _, seeds, windows = _windows(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], DARK))
+                # Equal windows count once: a slab sends them once.
+                seed, n = np.unique(seeds[np.unique(windows, return_index=True)[1]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(n.astype(np.int64))], names=["seed", "n"])
+
+    rows = source.select("text").sample(SAMPLE, 17).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    counts, _ = keep(rows, "seed-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    part = max(total / blocks / SPLIT, total / MOST_SPLIT, 16.0)  # below sixteen, chance alone
+    found = counts.where(F.col("n") > part).toPandas()
+    seeds, parts = found["seed"].to_numpy(np.int64).view(U64), np.ceil(found["n"].to_numpy(float) / part).astype(U64)
+    order = np.argsort(seeds)
+    return seeds[order], np.minimum(parts[order], U64(blocks))
+
+
+def _block_of(seeds: np.ndarray, windows: np.ndarray, blocks: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    known, parts = frequent
+    shift = np.zeros(len(seeds), U64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, seeds), len(known) - 1)
+        split = known[at] == seeds
+        shift[split] = windows[split] % parts[at[split]]
+    return ((seeds % U64(blocks) + shift) % U64(blocks)).astype(np.int64)
 
 
 def _first_of_each(seeds, windows, docs, starts) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +142,7 @@ def _by_group(docs: np.ndarray, pairs: np.ndarray, groups: int) -> Iterator[tupl
         yield int(group[rows[0]]), docs[rows].tobytes(), pairs[rows].tobytes()
 
 
-def _emit(slab: _Slab, blocks: int) -> Iterator[pa.RecordBatch]:
+def _emit(slab: _Slab, blocks: int, frequent: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     names = ["block", "ready", "seeds", "windows", "docs", "starts"]
     if not slab.parts:
         return
@@ -101,15 +152,14 @@ def _emit(slab: _Slab, blocks: int) -> Iterator[pa.RecordBatch]:
     known = _factors(docs[again], starts[again])
     kept = np.sort(order[first])  # back to text order, in which documents and starts repeat or count up
     seeds, windows, docs, starts = seeds[kept], windows[kept], docs[kept], starts[kept]
-    block = (seeds % U64(blocks)).astype(np.int64)
+    block = _block_of(seeds, windows, blocks, frequent)
     by_block = np.argsort(block, kind="stable")
-    edges = np.searchsorted(block[by_block], np.arange(blocks + 1))
-    for b in range(blocks):
-        rows = by_block[edges[b] : edges[b + 1]]
-        if len(rows):
-            values = (seeds[rows], windows[rows], docs[rows], starts[rows].astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int64()), pa.array([False]), *(pa.array([x], pa.binary()) for x in _packed(*values))], names=names)
+    edges = np.flatnonzero(np.concatenate(([True], block[by_block][1:] != block[by_block][:-1]))).tolist()
+    for a, b in zip(edges, [*edges[1:], len(by_block)]):
+        rows = by_block[a:b]
+        values = (seeds[rows], windows[rows], docs[rows], starts[rows].astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block[rows[0]]], pa.int64()), pa.array([False]), *(pa.array([x], pa.binary()) for x in _packed(*values))], names=names)
     for group, ids, pairs in _by_group(*known, blocks):  # passed through by the block of that number
         yield pa.RecordBatch.from_arrays(
             [pa.array([group], pa.int64()), pa.array([True]), *(pa.array([x], pa.binary()) for x in (None, None, ids, pairs))], names=names)
@@ -166,11 +216,12 @@ def duplicate_spans(docs: DataFrame, blocks: int) -> DataFrame:
             for i, j in slabs(offsets):
                 slab.add(ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 if slab.size >= SLAB:
-                    yield from _emit(slab, blocks)
+                    yield from _emit(slab, blocks, frequent)
                     slab = _Slab()
-        yield from _emit(slab, blocks)
+        yield from _emit(slab, blocks, frequent)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    frequent = frequent_seeds(source, blocks)
     found = source.mapInArrow(run, _PARTS).groupBy("block").applyInArrow(lambda t: _block_task(t, blocks), "grp long, docs binary, pairs binary")
     return found.groupBy("grp").applyInArrow(_group_task, "own_id long, spans binary")
 

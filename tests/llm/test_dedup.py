@@ -69,6 +69,26 @@ def test_substring_removal_equals_brute_force(frame, corpus, monkeypatch):
         assert all(brute.sha(r["text"]) == r["kept_sha256"] for r in rows)
 
 
+def test_a_phrase_in_ever_new_surroundings_gets_several_blocks(frame, monkeypatch):
+    rnd = random.Random(4)
+
+    def other(n):
+        return " ".join(f"v{rnd.randint(0, 10**6)}" for _ in range(n))
+
+    phrase, shared = "all rights of this work remain with those who made it", other(15)
+    docs = {i: f"{other(15)} {phrase} {other(15) if i % 3 else shared}" for i in range(240)}
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 1.0)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 2000)
+    frequent = substring_dedup.frequent_seeds(frame(docs.items()).select("doc_id", "text"), 30)
+    assert len(frequent[0]) and frequent[1].max() > 1 and (np.diff(frequent[0].astype(float)) > 0).all()
+    seeds = np.full(5000, frequent[0][0])
+    windows = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
+    blocks = substring_dedup._block_of(seeds, windows, 30, frequent)
+    assert len(np.unique(blocks)) == frequent[1][0] and (blocks == substring_dedup._block_of(seeds, windows, 30, frequent)).all()
+    rows = substring_dedup.remove_repeats(frame(docs.items())).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == brute.without_repeats(docs)
+
+
 def test_substring_removal_of_odd_tables(frame):
     assert substring_dedup.remove_repeats(frame([])).count() == 0
     text = " ".join(map(str, range(30)))
