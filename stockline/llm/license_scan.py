@@ -4,9 +4,11 @@ Every run of ``K`` consecutive words of a text is joined by hash to the places w
 the same run stands in a template. Each match votes for its diagonal, text position
 minus template position; neighbouring diagonals merge into one band, which tolerates
 inserted or missing words. The words of each matching run are compared as well, so a
-vote is never a hash collision. A band that holds at least ``MIN_SHARE`` of its
-template's runs gives the template's label. The template table is a constant of the
-library, so the join to it is the only one that may broadcast by its nature.
+vote is never a hash collision. A band is verified by the different template places that
+it holds, each counted once: at least ``MIN_SHARE`` of the template's runs, and among them
+the run that names the licence, where the template has one. Such a band gives the
+template's label. The template table is a constant of the library, so the join to it is
+the only one that may broadcast by its nature.
 
 Defined results: null and empty texts have no words and no labels; of repeated rows
 each gets its own result; rows that share a ``doc_id`` share the method's labels; an
@@ -28,19 +30,20 @@ NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases of the base scan.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Notices as the licences ask for them, and common one-line forms.
+# Notices as the licences ask for them, and common one-line forms; with the run that tells
+# a licence from others of like wording, or none.
 TEMPLATES = [
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("mit", "Released under the MIT License", "the mit license"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", None),
+    ("apache", "Licensed under the Apache License, Version 2.0", "the apache license"),
+    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", None),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3", "general public license"),
+    ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "general public license"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", None),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", "mozilla public license"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", "by nc 4"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "attribution noncommercial 4"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "attribution 4 0"),
 ]
 
 
@@ -59,25 +62,27 @@ def _grams(array: str) -> Column:
 
 
 def template_runs(spark: SparkSession) -> DataFrame:
-    """``label, template, n_runs, t_pos, gram`` of all templates."""
-    rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(TEMPLATES)], "template int, label string, text string")
+    """``label, template, n_runs, core, t_pos, gram`` of all templates; fewer than 64 runs each."""
+    rows = spark.createDataFrame([(i, *row) for i, row in enumerate(TEMPLATES)], "template int, label string, text string, core string")
     rows = rows.withColumn("w", words(F.col("text"))).withColumn("runs", _grams("w"))
-    return rows.select("template", "label", F.size("runs").alias("n_runs"), F.inline("runs").alias("t_pos", "gram"))
+    return rows.select("template", "label", F.size("runs").alias("n_runs"), "core", F.inline("runs").alias("t_pos", "gram"))
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """Merged bands: ``doc_id, label, template, share, first_word, last_word``."""
+    """Merged bands that name their licence: ``doc_id, label, template, share, first_word, last_word``."""
     runs = docs.select("doc_id", words(text_or_empty()).alias("w")).select("doc_id", F.inline(_grams("w")).alias("pos", "gram"))
     templates = template_runs(docs.sparkSession).withColumn("h", F.xxhash64("gram")).withColumnRenamed("gram", "t_gram")
     hits = runs.withColumn("h", F.xxhash64("gram")).join(F.broadcast(templates), "h").where("gram = t_gram")
     diagonals = hits.groupBy("doc_id", "template", "label", "n_runs", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
-        F.countDistinct("pos").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+        F.expr("bit_or(shiftleft(1L, t_pos))").alias("places"), F.max(F.coalesce(F.col("core") == F.col("gram"), F.lit(True))).alias("named"),
+        F.min("pos").alias("low"), F.max("pos").alias("high"))
     order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
     fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > BAND).cast("int"), F.lit(0))
     bands = diagonals.withColumn("fresh", fresh).withColumn("band", F.sum("fresh").over(order))
     return bands.groupBy("doc_id", "template", "label", "n_runs", "band").agg(
-        F.sum("votes").alias("votes"), F.min("low").alias("first_word"), F.max(F.col("high") + K - 1).alias("last_word")).select(
-        "doc_id", "label", "template", F.least(F.lit(1.0), F.col("votes") / F.col("n_runs")).alias("share"), "first_word", "last_word")
+        F.bit_count(F.expr("bit_or(places)")).alias("votes"), F.max("named").alias("named"), F.min("low").alias("first_word"),
+        F.max(F.col("high") + K - 1).alias("last_word")).where("named").select(
+        "doc_id", "label", "template", (F.col("votes") / F.col("n_runs")).alias("share"), "first_word", "last_word")
 
 
 def _stands_at(w: Column, i: Column, phrase: str) -> Column:

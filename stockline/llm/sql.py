@@ -77,20 +77,22 @@ FROM d WINDOW g AS (PARTITION BY norm ORDER BY n DESC, doc_id)
 
 _PLACES = " UNION ALL ".join(
     f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM spot WHERE array_to_string(w[i : i + {len(p.split()) - 1}], ' ') = '{p}'" for p, label in PHRASES.items())
-_TEMPLATES = " UNION ALL ".join(f"SELECT {i} AS template, '{label}' AS label, {_quoted(text)} AS text" for i, (label, text) in enumerate(TEMPLATES))
+_TEMPLATES = " UNION ALL ".join(
+    f"SELECT {i} AS template, '{label}' AS label, {_quoted(text)} AS text, {_quoted(core) if core else 'NULL'} AS core" for i, (label, text, core) in enumerate(TEMPLATES))
 OP8 = f"""
 WITH d AS (SELECT doc_id, {_words(_lower('text'), _ALNUM)} AS w FROM documents),
 spot AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 places AS ({_PLACES}),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS names FROM places GROUP BY doc_id),
-t AS (SELECT template, label, {_words(_lower('text'), _ALNUM)} AS w FROM ({_TEMPLATES})),
-tg AS (SELECT template, label, len(w) - {K - 1} AS n_runs, i, array_to_string(w[i : i + {K - 1}], ' ') AS s
+t AS (SELECT template, label, core, {_words(_lower('text'), _ALNUM)} AS w FROM ({_TEMPLATES})),
+tg AS (SELECT template, label, core, len(w) - {K - 1} AS n_runs, i, array_to_string(w[i : i + {K - 1}], ' ') AS s
        FROM (SELECT *, unnest(range(1, len(w) - {K - 2})) AS i FROM t)),
-hit AS (SELECT DISTINCT doc_id, template, label, n_runs, spot.i, spot.i - tg.i AS diagonal FROM spot JOIN tg ON array_to_string(spot.w[spot.i : spot.i + {K - 1}], ' ') = s),
-diag AS (SELECT doc_id, template, label, n_runs, diagonal, count(*) AS votes FROM hit GROUP BY ALL),
+hit AS (SELECT doc_id, template, label, n_runs, tg.i AS place, coalesce(s = core, true) AS named, spot.i - tg.i AS diagonal FROM spot JOIN tg ON array_to_string(spot.w[spot.i : spot.i + {K - 1}], ' ') = s),
+diag AS (SELECT DISTINCT doc_id, template, diagonal FROM hit),
 step AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {BAND} THEN 1 ELSE 0 END AS fresh FROM diag),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band FROM step),
-bands AS (SELECT doc_id, label, least(1.0, sum(votes) / n_runs) AS share FROM numbered GROUP BY doc_id, template, label, n_runs, band),
+bands AS (SELECT doc_id, label, count(DISTINCT place) / n_runs AS share FROM numbered JOIN hit USING (doc_id, template, diagonal)
+          GROUP BY doc_id, template, label, n_runs, band HAVING bool_or(named)),
 method AS (SELECT doc_id, max(share) AS share, coalesce(list(DISTINCT label) FILTER (share >= {MIN_SHARE}), []) AS names FROM bands GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        array_to_string(list_sort(coalesce(base.names, [])), ',') AS base_labels,
