@@ -2,26 +2,28 @@
 
 Of every ``WINDOW - K + 1`` consecutive ``K``-gram hashes of a text the smallest is kept.
 Two texts that share ``WINDOW`` consecutive words share such a hash, so the join of
-training and test fingerprints misses no window. Items shorter than a window are one
-window of their own length ``n``; for the few lengths that occur, documents give their
-``n``-grams, filtered by a join as well. A joined pair of document and item is a
-candidate only: the item's windows are then compared word by word with the
-document's, which extends each hit to all words it covers.
+training and test fingerprints misses no window. A fingerprint carries the hashes of the
+windows that chose it; where it meets a test fingerprint, these extend the hit: only
+windows that stand in the benchmark go on, so a ``K``-gram common to very many items
+costs a document one row per own window, not one per item. Items shorter than a window
+are one window of their own length ``n``; for the few lengths that occur, documents give
+their ``n``-grams. At the end a document's words are compared with those windows.
 
-The join carries no hint: Spark broadcasts the test side while it is small and
-shuffles both by hash beyond that. Fingerprints that occur in very many documents only
-meet the few test places that hold them.
+Item numbers join last, to the windows a document was seen to hold.
+
+The joins carry no hint: Spark broadcasts the test side while it is small and
+shuffles both by hash beyond that.
 
 Defined results: null and empty texts have no words and are never contaminated; an item
-without words has no window; several rows of one ``item_id`` are all its windows;
-repeated document rows each come back, sharing the items found for their ``doc_id``; an
-empty table gives an empty one, an empty benchmark clean documents; further columns
-are ignored by ``find`` and kept by ``drop_contaminated``.
+without words has no window; an item without ``item_id`` marks words, but is not counted;
+several rows of one ``item_id`` are all its windows; repeated document rows each come
+back, each judged by its own text; an empty table gives an empty one, an empty benchmark
+clean documents; further columns are ignored by ``find`` and kept by
+``drop_contaminated``.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,7 @@ from stockline.llm.store import keep
 
 WINDOW = 10
 K = 6
+_PRINTS = "doc_id long, n int, fp long, windows binary"
 
 
 def winnow(grams_of_text: np.ndarray, w: int) -> np.ndarray:
@@ -43,114 +46,152 @@ def winnow(grams_of_text: np.ndarray, w: int) -> np.ndarray:
     return low[np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))]
 
 
-def _prints(words: Words, lengths: list[int], item: bool) -> Iterator[tuple[int, int, np.ndarray]]:
-    """``(text number, item length or 0 for full windows, fingerprints)``."""
-    hashes = words.hashes()
-    full = grams(hashes, K)
-    short = {n: grams(hashes, n) for n in lengths}
-    for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
-        if b - a >= WINDOW:
-            yield i, 0, winnow(full[a : b - K + 1], WINDOW - K + 1)
-        for n in lengths:
-            if (b - a == n) if item else (b - a >= n):
-                yield i, n, np.unique(short[n][a : b - n + 1])
+def _binary(at: np.ndarray, values: np.ndarray) -> pa.Array:
+    """``values[at[i]:at[i+1]]`` as the bytes of row ``i``; the last row goes to the end."""
+    offsets = (np.append(at, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _prints(words: Words, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(n, text, fp, at, windows)``: fingerprint ``i`` of ``text[i]`` was chosen by ``windows[at[i]:at[i+1]]``."""
+    hashes, text = words.hashes(), words.text_of()
+    for n in (WINDOW, *lengths):
+        windows = grams(hashes, n)
+        own = np.flatnonzero(text[: len(windows)] == text[n - 1 :][: len(windows)]) if len(windows) else np.zeros(0, np.int64)
+        if len(own) == 0:
+            continue
+        fps = window_min(grams(hashes, K), WINDOW - K + 1)[own] if n == WINDOW else windows[own]
+        t, w = text[own], windows[own]
+        if n < WINDOW:  # short grams repeat a great deal
+            order = np.lexsort((fps, t))
+            order = order[np.concatenate(([True], (t[order][1:] != t[order][:-1]) | (fps[order][1:] != fps[order][:-1])))]
+            t, w, fps = t[order], w[order], fps[order]
+        at = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (fps[1:] != fps[:-1]))))
+        yield n, t[at], fps[at], at, w
 
 
-def fingerprints(table: DataFrame, key: str, lengths: list[int], item: bool = False) -> DataFrame:
-    """``key, n, fp``: the winnowed hashes of each text and its grams of the given short lengths."""
+def fingerprints(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """``doc_id, n, fp, windows``: winnowed hashes with the windows that chose them, and grams of the short lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0)
+            ids = batch.column(0)
             data, offsets = utf8(batch.column(1))
             for i, j in slabs(offsets):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM, lower=True)
-                found = list(_prints(words, lengths, item))
-                if not found:
+                for n, text, fp, at, windows in _prints(words, lengths):
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(text + i)), pa.array(np.full(len(text), n, np.int32)), pa.array(fp.view(np.int64)), _binary(at, windows)],
+                        names=["doc_id", "n", "fp", "windows"])
+
+    return docs.mapInArrow(run, _PRINTS)
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """``item_id, n, fp, hash, window`` of all windows of all items, with their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["item_id", "n", "fp", "hash", "window"]
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1)):
+                raw = np.frombuffer((text.as_py() or "").encode(), dtype=np.uint8)
+                words = Words(raw, np.array([0, len(raw)]), ALNUM, lower=True)
+                n = min(WINDOW, len(words))
+                if n == 0:
                     continue
-                sizes = [len(x[2]) for x in found]
-                at = np.repeat([i + x[0] for x in found], sizes)
+                hashes = words.hashes()
+                windows = grams(hashes, n)
+                fps = window_min(grams(hashes, K), WINDOW - K + 1) if n == WINDOW else windows
+                said = _spelled(_word_list(words), n)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(at)), pa.array(np.repeat([x[1] for x in found], sizes).astype(np.int32)),
-                     pa.array(np.concatenate([x[2] for x in found]).view(np.int64))], names=[key, "n", "fp"])
+                    [pa.array([item.as_py()] * len(said), pa.int64()), pa.array(np.full(len(said), n, np.int32)), pa.array(fps.view(np.int64)),
+                     pa.array(windows.view(np.int64)), pa.array(said, pa.binary())], names=names)
 
-    source = table.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, f"{key} long, n int, fp long")
+    source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "item_id long, n int, fp long, hash long, window binary")
 
 
-def _word_list(text: str | None) -> list[bytes]:
-    raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-    words = Words(raw, np.array([0, len(raw)]), ALNUM, lower=True)
+def _word_list(words: Words) -> list[bytes]:
     data = words.data.tobytes()
     return [data[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist())]
 
 
-def _windows(words: list[bytes]) -> list[bytes]:
-    n = min(WINDOW, len(words))
-    return [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] if n else []
+def _spelled(words: list[bytes], n: int) -> list[bytes]:
+    return [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
-def match(words: list[bytes], items: dict[int, list[list[bytes]]]) -> tuple[np.ndarray, list[int]]:
-    """Which words lie in a window of any item, and the items with such windows; exact, by the words themselves."""
-    by_length: dict[int, dict[bytes, set[int]]] = {}
-    for item, texts in items.items():
-        for text in texts:
-            for window in _windows(text):
-                by_length.setdefault(min(WINDOW, len(text)), {}).setdefault(window, set()).add(item)
+def match(words: list[bytes], known: dict[int, set[bytes]]) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    """Which words lie in a known window, and the windows found; exact, by the words themselves."""
     hit, seen = np.zeros(len(words), dtype=bool), set()
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist() if words else []
-    begins = [0, *ends]
-    for n, known in by_length.items():
-        for i in range(len(words) - n + 1):
-            owners = known.get(joined[begins[i] : ends[i + n - 1] - 1])
-            if owners:
+    for n, windows in known.items():
+        for i, window in enumerate(_spelled(words, n)):
+            if window in windows:
                 hit[i : i + n] = True
-                seen |= owners
+                seen.add((n, window))
     return hit, sorted(seen)
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
-    lengths = sorted(r[0] for r in benchmark.select("text").mapInArrow(_short_lengths, "n int").distinct().collect())  # at most 9 numbers
-    tests = fingerprints(benchmark, "item_id", lengths, item=True)
-    pairs = fingerprints(docs, "doc_id", lengths).join(tests, ["n", "fp"]).select("doc_id", "item_id").distinct()
-    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item_text"))
-    # A document's candidates are at most the items whose words it holds.
-    candidates, _ = keep(pairs.join(texts, "item_id").groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_list(F.struct("item_id", "item_text")).alias("items")), "candidates")
+def _candidates(docs: DataFrame, tests: DataFrame) -> DataFrame:
+    """``own_id, windows``: the test windows that a document seems to hold; at most as many as its own windows."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
+            rows = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]))], names=["doc_id", "n", "hash"])
+
+    lengths = sorted(r[0] for r in tests.where(F.col("n") < WINDOW).select("n").distinct().collect())  # at most 9 numbers
+    met = fingerprints(docs, lengths).join(tests.select("n", "fp").distinct(), ["n", "fp"], "left_semi")
+    windows = met.select("doc_id", "n", "windows").mapInArrow(each, "doc_id long, n int, hash long").distinct()
+    found = windows.join(tests.select("n", "hash", "window").distinct(), ["n", "hash"])
+    return found.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_list(F.struct("n", "window")).alias("windows"))
+
+
+def _judged(docs: DataFrame, tests: DataFrame) -> DataFrame:
+    """Per row: ``doc_id, print`` (a hash of its text), ``n_words, n_hit`` and the windows ``held``; written once."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    candidates, _ = keep(_candidates(source, tests), "candidates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
+        names = ["doc_id", "print", "n_words", "n_hit", "held"]
+        held_type = pa.list_(pa.struct([("n", pa.int32()), ("window", pa.binary())]))
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             n_words = np.zeros(len(offsets) - 1, dtype=np.int64)
+            n_hit, held = np.zeros_like(n_words), [None] * len(n_words)
+            some = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
             for i, j in slabs(offsets):
-                n_words[i:j] = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM, lower=True).counts()
-            n_hit, n_items, digests = np.zeros_like(n_words), np.zeros_like(n_words), [_digest([])] * len(n_words)
-            for row in np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False)).tolist():
-                items: dict[int, list[list[bytes]]] = {}
-                for x in batch.column(2)[row].as_py():
-                    items.setdefault(x["item_id"], []).append(_word_list(x["item_text"]))
-                hit, seen = match(_word_list(batch.column(1)[row].as_py()), items)
-                n_hit[row], n_items[row], digests[row] = int(hit.sum()), len(seen), _digest(seen)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(digests, pa.string())], names=names)
-
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(candidates, F.col("doc_id") == F.col("own_id"), "left")
-    return both.select("doc_id", "text", "items").mapInArrow(
-        run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string").withColumn("contaminated", F.col("n_hit") > 0)
-
+                words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM, lower=True)
+                n_words[i:j] = words.counts()
+                said = _word_list(words) if some[i:j].any() else []
+                for row in np.flatnonzero(some[i:j]).tolist():
+                    known: dict[int, set[bytes]] = {}
+                    for x in batch.column(2)[i + row].as_py():
+                        known.setdefault(x["n"], set()).add(x["window"])
+                    hit, seen = match(said[words.first[row] : words.first[row + 1]], known)
+                    n_hit[i + row], held[i + row] = int(hit.sum()), [{"n": n, "window": w} for n, w in seen]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(n_words), pa.array(n_hit), pa.array(held, held_type)], names=names)
 
-def _short_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = [len(_word_list(t.as_py())) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(sorted({n for n in sizes if 0 < n < WINDOW}), pa.int32())], names=["n"])
+    both = source.join(candidates, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select("doc_id", "text", "windows", F.xxhash64("text").alias("print"))
+    judged = both.mapInArrow(run, "doc_id long, print long, n_words long, n_hit long, held array<struct<n: int, window: binary>>")
+    return keep(judged.withColumn("row_no", F.monotonically_increasing_id()), "judged")[0]
 
 
-def _digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per row: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
+    tests, _ = keep(item_windows(benchmark), "test-windows")
+    judged = _judged(docs, tests)
+    owners = tests.where("item_id IS NOT NULL").select("n", "window", "item_id").distinct()
+    pairs = judged.select("row_no", F.inline("held")).join(owners, ["n", "window"]).select("row_no", F.col("item_id").cast("string").alias("item")).distinct()
+    named = pairs.groupBy(F.col("row_no").alias("of_row")).agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
+    return judged.join(named, F.col("row_no") == F.col("of_row"), "left").select(
+        "doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window."""
-    bad = find(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__id"], "left_anti")
+    tests, _ = keep(item_windows(benchmark), "test-windows")
+    bad = _judged(docs, tests).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__print"]), "left_anti")

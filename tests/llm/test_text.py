@@ -21,11 +21,24 @@ def test_decontamination_equals_brute_force(frame, corpus):
 
 
 def test_decontamination_of_odd_tables(frame):
-    docs = frame([(1, "a b"), (1, "a b"), (None, "a"), (2, None)])
+    docs = frame([(1, "a b"), (1, "a b"), (1, "c"), (None, "a"), (None, "x b"), (2, None)])
     rows = decontaminate.find(docs, frame([], "item_id")).collect()
-    assert len(rows) == 4 and not any(r["contaminated"] for r in rows)
+    assert len(rows) == 6 and not any(r["contaminated"] for r in rows)
     assert decontaminate.find(frame([]), frame([(1, "a")], "item_id")).count() == 0
-    assert sum(r["contaminated"] for r in decontaminate.find(docs, frame([(1, "B")], "item_id")).collect()) == 2
+    assert sum(r["contaminated"] for r in decontaminate.find(docs, frame([(1, "B")], "item_id")).collect()) == 3
+    left = decontaminate.drop_contaminated(docs, frame([(1, "B"), (None, None)], "item_id"))  # each row by its own text
+    assert sorted(str((r["doc_id"], r["text"])) for r in left.collect()) == ["(1, 'c')", "(2, None)", "(None, 'a')"]
+
+
+def test_a_gram_of_very_many_items_costs_a_document_only_its_own_windows(frame, spark):
+    common = "which of the following is true"
+    items = [(i, f"{common} of u{i} v{i} w{i} x{i}") for i in range(400)]
+    docs = {1: f"so {common} of u7 v7 w7 x7 then", 2: f"well {common} about nothing at all here now", 3: f"{common} of u9 v9 w9"}
+    tests = decontaminate.item_windows(frame(items, "item_id"))
+    found = {r["own_id"]: len(r["windows"]) for r in decontaminate._candidates(frame(docs.items()).select("doc_id", "text"), tests).collect()}
+    assert found == {1: 2, 3: 1}
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.find(frame(docs.items()), frame(items, "item_id")).collect()}
+    assert got == brute.contaminated(docs, items)
 
 
 def test_winnowing_keeps_a_hash_of_every_shared_window():
@@ -121,7 +134,8 @@ def test_layouts_are_known_by_fingerprint(spark):
 
 def test_license_scan(frame, corpus):
     docs = {**corpus, 300: "x Released under the MIT License.", 301: "MIT license, mit-license; Apache License", 302: "Licensed under CC BY-NC 4.0.",
-            303: "you can redistribute it and or even modify it under the terms of the GNU General Public License as published", 304: "the GNU general public license"}
+            303: "you can redistribute it and or even modify it under the terms of the GNU General Public License as published", 304: "the GNU general public license",
+            305: "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", 306: "released under the released under the released under the"}
     got = {r["doc_id"]: r for r in license_scan.scan(frame(docs.items())).collect()}
     for doc, text in docs.items():
         w = brute.ALNUM.findall(brute.lower(text))
@@ -130,6 +144,7 @@ def test_license_scan(frame, corpus):
         assert tuple(got[doc])[1:6] == (len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))), doc
         assert set(got[doc]["base_labels"].split(",")) <= set(got[doc]["labels"].split(",")) | {""} and 0 <= got[doc]["score"] <= 1
     assert got[302]["labels"] == "cc-by-nc" and got[303]["labels"] == "gpl" and got[303]["score"] > 0.5 and got[301]["labels"] == "apache,mit" and got[304]["score"] == 0.5
+    assert got[305]["labels"] == "cc-by-nc" and got[306]["labels"] == "" and got[306]["score"] == 0 and max(len(t.split()) for _, t, _ in license_scan.TEMPLATES) < 60
     assert license_scan.scan(frame([])).count() == 0
     assert license_scan.scan(frame([(1, "mit license"), (1, "mit license"), (None, None)])).count() == 3
 
