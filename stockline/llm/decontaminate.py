@@ -7,9 +7,12 @@ windows that chose it; where it meets a test fingerprint, these extend the hit:
 windows that stand in the benchmark go on, so a ``K``-gram common to very many items
 costs a document one row per own window, not one per item. Items shorter than a window
 are one window of their own length ``n``; for the few lengths that occur, documents give
-their ``n``-grams. At the end a document's words are compared with those windows.
+their ``n``-grams. Windows are compared by their own hash and their fingerprint, 128 bits
+that are independent of each other.
 
-Item numbers join last, to the windows a document was seen to hold.
+Texts are read once and never shuffled: a row per document and the fingerprints that met
+a test fingerprint are all that is written. Item numbers join last, to the windows a
+document was seen to hold.
 
 The joins carry no hint: Spark broadcasts the test side while it is small and
 shuffles both by hash beyond that.
@@ -28,14 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
-from stockline.llm.scan import ALNUM, Words, grams, slabs, utf8, window_min
+from stockline.llm.scan import ALNUM, U64, Words, grams, mix, slabs, utf8, window_min
 from stockline.llm.store import keep
 
 WINDOW = 10
 K = 6
-_PRINTS = "doc_id long, n int, fp long, windows binary"
+_ROWS = "row_no long, doc_id long, print long, n_words long, n int, fp long, starts binary, windows binary"
 
 
 def winnow(grams_of_text: np.ndarray, w: int) -> np.ndarray:
@@ -52,8 +56,12 @@ def _binary(at: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def _prints(words: Words, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(n, text, fp, at, windows)``: fingerprint ``i`` of ``text[i]`` was chosen by ``windows[at[i]:at[i+1]]``."""
+def _prints(words: Words, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array, pa.Array]]:
+    """``(n, text, fp, starts, windows)`` of each fingerprint of a text, with the windows that chose it.
+
+    Full windows of one fingerprint are consecutive: their first start, and all their
+    hashes. Short ones are their own fingerprint: all their starts.
+    """
     hashes, text = words.hashes(), words.text_of()
     for n in (WINDOW, *lengths):
         windows = grams(hashes, n)
@@ -61,137 +69,115 @@ def _prints(words: Words, lengths: list[int]) -> Iterator[tuple[int, np.ndarray,
         if len(own) == 0:
             continue
         fps = window_min(grams(hashes, K), WINDOW - K + 1)[own] if n == WINDOW else windows[own]
-        t, w = text[own], windows[own]
-        if n < WINDOW:  # short grams repeat a great deal
-            order = np.lexsort((fps, t))
-            order = order[np.concatenate(([True], (t[order][1:] != t[order][:-1]) | (fps[order][1:] != fps[order][:-1])))]
-            t, w, fps = t[order], w[order], fps[order]
+        if n < WINDOW:
+            order = np.lexsort((own, fps, text[own]))
+            own, fps = own[order], fps[order]
+        t = text[own]
+        start = (own - words.first[t]).astype(np.int32)
         at = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (fps[1:] != fps[:-1]))))
-        yield n, t[at], fps[at], at, w
+        if n == WINDOW:
+            yield n, t[at], fps[at], _binary(np.arange(len(at)), start[at]), _binary(at, windows[own])
+        else:
+            yield n, t[at], fps[at], _binary(at, start), pa.nulls(len(at), pa.binary())
 
 
-def fingerprints(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """``doc_id, n, fp, windows``: winnowed hashes with the windows that chose them, and grams of the short lengths."""
+def scan_texts(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """A row of ``n`` zero for each row of ``docs``, and a row for each of its fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [part.split()[0] for part in _ROWS.split(", ")]
+        first = TaskContext.get().partitionId() << 40  # a task that runs again counts alike
         for batch in batches:
-            ids = batch.column(0)
             data, offsets = utf8(batch.column(1))
             for i, j in slabs(offsets):
                 words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM, lower=True)
-                for n, text, fp, at, windows in _prints(words, lengths):
+                row = first + np.arange(j - i)
+                first += j - i
+                # Fingerprints of these rows meet nothing; they only spread them over the partitions of a join.
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row), batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(words.counts().astype(np.int64)),
+                     pa.array(np.zeros(j - i, np.int32)), pa.array(mix(row.astype(U64)).view(np.int64)), pa.nulls(j - i, pa.binary()), pa.nulls(j - i, pa.binary())], names=names)
+                for n, text, fp, starts, windows in _prints(words, lengths):
+                    none = pa.nulls(len(text), pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(text + i)), pa.array(np.full(len(text), n, np.int32)), pa.array(fp.view(np.int64)), _binary(at, windows)],
-                        names=["doc_id", "n", "fp", "windows"])
+                        [pa.array(row[text]), none, none, none, pa.array(np.full(len(text), n, np.int32)), pa.array(fp.view(np.int64)), starts, windows], names=names)
 
-    return docs.mapInArrow(run, _PRINTS)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("print")).mapInArrow(run, _ROWS)
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """``item_id, n, fp, hash, window`` of all windows of all items, with their words."""
+    """``item_id, n, fp, hash`` of all windows of all items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["item_id", "n", "fp", "hash", "window"]
+        names = ["item_id", "n", "fp", "hash"]
         for batch in batches:
             for item, text in zip(batch.column(0), batch.column(1)):
                 raw = np.frombuffer((text.as_py() or "").encode(), dtype=np.uint8)
-                words = Words(raw, np.array([0, len(raw)]), ALNUM, lower=True)
-                n = min(WINDOW, len(words))
+                hashes = Words(raw, np.array([0, len(raw)]), ALNUM, lower=True).hashes()
+                n = min(WINDOW, len(hashes))
                 if n == 0:
                     continue
-                hashes = words.hashes()
                 windows = grams(hashes, n)
                 fps = window_min(grams(hashes, K), WINDOW - K + 1) if n == WINDOW else windows
-                said = _spelled(_word_list(words), n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([item.as_py()] * len(said), pa.int64()), pa.array(np.full(len(said), n, np.int32)), pa.array(fps.view(np.int64)),
-                     pa.array(windows.view(np.int64)), pa.array(said, pa.binary())], names=names)
+                    [pa.array([item.as_py()] * len(windows), pa.int64()), pa.array(np.full(len(windows), n, np.int32)),
+                     pa.array(fps.view(np.int64)), pa.array(windows.view(np.int64))], names=names)
 
     source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "item_id long, n int, fp long, hash long, window binary")
-
-
-def _word_list(words: Words) -> list[bytes]:
-    data = words.data.tobytes()
-    return [data[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist())]
-
-
-def _spelled(words: list[bytes], n: int) -> list[bytes]:
-    return [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
-
-
-def match(words: list[bytes], known: dict[int, set[bytes]]) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
-    """Which words lie in a known window, and the windows found; exact, by the words themselves."""
-    hit, seen = np.zeros(len(words), dtype=bool), set()
-    for n, windows in known.items():
-        for i, window in enumerate(_spelled(words, n)):
-            if window in windows:
-                hit[i : i + n] = True
-                seen.add((n, window))
-    return hit, sorted(seen)
-
-
-def _candidates(docs: DataFrame, tests: DataFrame) -> DataFrame:
-    """``own_id, windows``: the test windows that a document seems to hold; at most as many as its own windows."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(2)]
-            rows = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]))], names=["doc_id", "n", "hash"])
-
+    return source.mapInArrow(run, "item_id long, n int, fp long, hash long")
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprint rows as one row per window: ``row_no, n, fp, hash, start``."""
+    for batch in batches:
+        n, fp = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        starts, hashes = [], []
+        for k, (at, windows) in enumerate(zip(batch.column(3), batch.column(4))):
+            s = np.frombuffer(at.as_py(), np.int32)
+            w = np.frombuffer(windows.as_py(), np.int64) if n[k] == WINDOW else np.full(len(s), fp[k])
+            starts.append(s[0] + np.arange(len(w), dtype=np.int32) if n[k] == WINDOW else s)
+            hashes.append(w)
+        rows = pa.array(np.repeat(np.arange(len(starts)), [len(s) for s in starts]))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(rows) for c in range(3)), pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)])),
+             pa.array(np.concatenate([*starts, np.zeros(0, np.int32)]))], names=["row_no", "n", "fp", "hash", "start"])
+
+
+def _met(docs: DataFrame, tests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``row_no, doc_id, print, n_words`` of all documents, and ``row_no, n, fp, hash, start`` of their test windows."""
     lengths = sorted(r[0] for r in tests.where(F.col("n") < WINDOW).select("n").distinct().collect())  # at most 9 numbers
-    met = fingerprints(docs, lengths).join(tests.select("n", "fp").distinct(), ["n", "fp"], "left_semi")
-    windows = met.select("doc_id", "n", "windows").mapInArrow(each, "doc_id long, n int, hash long").distinct()
-    found = windows.join(tests.select("n", "hash", "window").distinct(), ["n", "hash"])
-    return found.groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_list(F.struct("n", "window")).alias("windows"))
-
-
-def _judged(docs: DataFrame, tests: DataFrame) -> DataFrame:
-    """Per row: ``doc_id, print`` (a hash of its text), ``n_words, n_hit`` and the windows ``held``; written once."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    candidates, _ = keep(_candidates(source, tests), "candidates")
+    prints = tests.select("n", "fp").distinct().withColumn("met", F.lit(True))
+    met, _ = keep(scan_texts(docs, lengths).join(prints, ["n", "fp"], "left").where("met OR n = 0").drop("met"), "met-fingerprints")
+    windows = met.where("n > 0").select("row_no", "n", "fp", "starts", "windows").mapInArrow(_extend, "row_no long, n int, fp long, hash long, start int")
+    hits, _ = keep(windows.join(tests.select("n", "fp", "hash").distinct(), ["n", "fp", "hash"], "left_semi"), "hits")
+    return met.where("n = 0").select("row_no", "doc_id", "print", "n_words"), hits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "print", "n_words", "n_hit", "held"]
-        held_type = pa.list_(pa.struct([("n", pa.int32()), ("window", pa.binary())]))
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            n_words = np.zeros(len(offsets) - 1, dtype=np.int64)
-            n_hit, held = np.zeros_like(n_words), [None] * len(n_words)
-            some = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            for i, j in slabs(offsets):
-                words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM, lower=True)
-                n_words[i:j] = words.counts()
-                said = _word_list(words) if some[i:j].any() else []
-                for row in np.flatnonzero(some[i:j]).tolist():
-                    known: dict[int, set[bytes]] = {}
-                    for x in batch.column(2)[i + row].as_py():
-                        known.setdefault(x["n"], set()).add(x["window"])
-                    hit, seen = match(said[words.first[row] : words.first[row + 1]], known)
-                    n_hit[i + row], held[i + row] = int(hit.sum()), [{"n": n, "window": w} for n, w in seen]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(n_words), pa.array(n_hit), pa.array(held, held_type)], names=names)
 
-    both = source.join(candidates, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select("doc_id", "text", "windows", F.xxhash64("text").alias("print"))
-    judged = both.mapInArrow(run, "doc_id long, print long, n_words long, n_hit long, held array<struct<n: int, window: binary>>")
-    return keep(judged.withColumn("row_no", F.monotonically_increasing_id()), "judged")[0]
+def _words_hit(places: str) -> Column:
+    """How many words the ``(start, n)`` places cover, each once; ``places`` is sorted."""
+    return F.expr(
+        f"aggregate({places}, named_struct('till', 0, 'sum', 0L), (a, x) -> named_struct('till', greatest(a.till, x.start + x.n), "
+        f"'sum', a.sum + greatest(0, x.start + x.n - greatest(a.till, x.start))), a -> a.sum)")
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
     tests, _ = keep(item_windows(benchmark), "test-windows")
-    judged = _judged(docs, tests)
-    owners = tests.where("item_id IS NOT NULL").select("n", "window", "item_id").distinct()
-    pairs = judged.select("row_no", F.inline("held")).join(owners, ["n", "window"]).select("row_no", F.col("item_id").cast("string").alias("item")).distinct()
-    named = pairs.groupBy(F.col("row_no").alias("of_row")).agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    return judged.join(named, F.col("row_no") == F.col("of_row"), "left").select(
-        "doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    rows, hits = _met(docs, tests)
+    # At most as many places as a document has words and lengths.
+    covered = hits.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("places")).select("row_no", _words_hit("places").alias("n_hit"))
+    owners = tests.where("item_id IS NOT NULL").select("n", "fp", "hash", "item_id").distinct()
+    pairs = hits.select("row_no", "n", "fp", "hash").distinct().join(owners, ["n", "fp", "hash"]).select("row_no", F.col("item_id").cast("string").alias("item")).distinct()
+    named = pairs.groupBy("row_no").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
+    return rows.join(covered, "row_no", "left").join(named, "row_no", "left").select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window."""
     tests, _ = keep(item_windows(benchmark), "test-windows")
-    bad = _judged(docs, tests).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct()
+    rows, hits = _met(docs, tests)
+    bad = rows.join(hits.select("row_no").distinct(), "row_no", "left_semi").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct()
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__print"]), "left_anti")
