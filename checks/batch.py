@@ -182,19 +182,21 @@ REQ_DISPATCH_WANTED = (
     "ON s.id = a.transfer_id AND s.status = 'requested' GROUP BY ALL"
 )
 REQ_DISPATCH_NEED = (
-    "SELECT d.transfer_id, d.requested_at, CONCAT(l.product_id, '/', s.from_warehouse) AS k, CAST(SUM(l.qty) AS BIGINT) AS n, "
-    "CAST(COALESCE(ANY_VALUE(ws.qty_on_hand), -1) AS BIGINT) AS have FROM req_dispatch_wanted d JOIN wms_stock_transfers s "
+    "SELECT transfer_id, requested_at, k, CAST(SUM(qty) AS BIGINT) AS n, CAST(MAX(so_far) AS BIGINT) AS peak, "
+    "CAST(COALESCE(ANY_VALUE(have), -1000000000) AS BIGINT) AS have FROM (SELECT d.transfer_id, d.requested_at, CONCAT(l.product_id, '/', "
+    "s.from_warehouse) AS k, l.qty, ws.qty_on_hand AS have, SUM(l.qty) OVER (PARTITION BY d.transfer_id, l.product_id ORDER BY l.id "
+    "ROWS UNBOUNDED PRECEDING) AS so_far FROM req_dispatch_wanted d JOIN wms_stock_transfers s "
     "ON s.id = d.transfer_id JOIN wms_transfer_lines l ON l.transfer_id = d.transfer_id LEFT JOIN wms_warehouse_stock ws "
-    "ON ws.product_id = l.product_id AND ws.warehouse = s.from_warehouse GROUP BY ALL"
+    "ON ws.product_id = l.product_id AND ws.warehouse = s.from_warehouse) GROUP BY ALL"
 )
-_DISPATCH_SHORT = "LEN(LIST_FILTER(x.need, lambda y: y.n + COALESCE(acc.took[y.k], 0) > y.have))"
+_DISPATCH_SHORT = "LEN(LIST_FILTER(x.need, lambda y: y.peak + COALESCE(acc.took[y.k], 0) > y.have))"
 REQ_DISPATCH_FOLD = (
-    "SELECT UNNEST(LIST_REDUCE(LIST_PREPEND({'took': MAP([]::VARCHAR[], []::BIGINT[]), 'need': NULL::STRUCT(k VARCHAR, n BIGINT, have BIGINT)[], "
+    "SELECT UNNEST(LIST_REDUCE(LIST_PREPEND({'took': MAP([]::VARCHAR[], []::BIGINT[]), 'need': NULL::STRUCT(k VARCHAR, n BIGINT, peak BIGINT, have BIGINT)[], "
     "'id': NULL::BIGINT, 'done': []::BIGINT[]}, LIST({'took': NULL::MAP(VARCHAR, BIGINT), 'need': need, 'id': transfer_id, 'done': NULL::BIGINT[]} "
     "ORDER BY requested_at, transfer_id)), lambda acc, x: {'took': CASE WHEN " + _DISPATCH_SHORT + " > 0 THEN acc.took ELSE "
     "MAP_CONCAT(acc.took, MAP_FROM_ENTRIES(LIST_TRANSFORM(x.need, lambda y: {'k': y.k, 'v': COALESCE(acc.took[y.k], 0) + y.n}))) END, "
     "'need': x.need, 'id': x.id, 'done': CASE WHEN " + _DISPATCH_SHORT + " > 0 THEN acc.done ELSE LIST_APPEND(acc.done, x.id) END}).done) AS id "
-    "FROM (SELECT transfer_id, requested_at, LIST({'k': k, 'n': n, 'have': have}) AS need FROM req_dispatch_need GROUP BY ALL)"
+    "FROM (SELECT transfer_id, requested_at, LIST({'k': k, 'n': n, 'peak': peak, 'have': have}) AS need FROM req_dispatch_need GROUP BY ALL)"
 )
 REQ_BACK_OPEN = (
     "SELECT l.id AS line_id, l.order_id, o.order_ref, l.product_id, o.warehouse_code, l.product_name, l.sku, l.qty_backordered, "

@@ -140,7 +140,8 @@ _VIEWS: dict[str, tuple[str, list[str], str | None]] = {
         "CAST(NULL AS STRING) AS notes", "o_orderdate AS created_at", "CAST(NULL AS TIMESTAMP_NTZ) AS updated_at",
     ], None),
     "transfer_lines": ("lineitem", [
-        f"{_LINE_ID} AS id", "l_orderkey AS transfer_id", "l_partkey AS product_id", f"{_QTY} AS qty",
+        f"{_LINE_ID} AS id", "l_orderkey AS transfer_id", "l_partkey AS product_id",
+        f"CASE WHEN l_linenumber = 5 THEN -{_QTY} ELSE {_QTY} END AS qty",
     ], None),
     "returns": ("lineitem", [
         f"{_LINE_ID} AS id",

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from stockline.functions import parse_int, text_or
 from stockline.jobs.common import JobResult, append_rows, first_per, ledger_rows, missing, reject, updated
 from stockline.jobs.purchasing import _with_line_counts
-from stockline.operators.admission import admit_all_or_nothing
+from stockline.operators.admission import admit_all_or_nothing, so_far
 from stockline.operators.movements import apply_deltas, balances, create_missing
 from stockline.operators.numbering import assign_refs
-from stockline.operators.prefix import HOT_ROWS
+from stockline.operators.prefix import HOT_ROWS, running_totals
+from stockline.sources.staging import stage
 from stockline.tables import Tables
 
 
@@ -67,36 +68,29 @@ def _lines(t: Tables, headers: DataFrame) -> DataFrame:
 
 
 _ORDER = ("requested_at", "transfer_id", "line_id")
+_PLACE = ["product_id", "from_warehouse"]
 
 
 def dispatch_transfers(t: Tables, requests: DataFrame, hot_rows: int = HOT_ROWS) -> JobResult:
     """Take the stock of requested transfers out of their source warehouse, all lines or none.
 
     ``requests``: request_id, transfer_id, requested_at. The check is against
-    on-hand stock and ignores reservations. A transfer with a negative line is
-    refused (``negative_qty``): the acceptance rule needs quantities of 0 or more.
+    on-hand stock and ignores reservations; lines are served in the order of
+    their ids, and a negative one adds to the stock. A transfer refused for want
+    of stock names the product of its first line that fails.
     """
     judged = _judged(t, requests, "requested")
     wanted = judged.where(F.col("_first") & F.col("_in_state"))
-    stock = t.warehouse_stock.select("product_id", F.col("warehouse").alias("from_warehouse"), "qty_on_hand")
-    lines = _lines(t, wanted).join(stock, ["product_id", "from_warehouse"], "left")
-    negative = lines.where(F.col("qty") < 0).select("transfer_id").distinct()
-    countable = lines.join(negative, "transfer_id", "left_anti").select(
-        "transfer_id", "product_id", "from_warehouse", "requested_at", "qty",
-        # Without a stock row even a quantity of 0 cannot be taken.
-        F.coalesce("qty_on_hand", F.lit(-1)).alias("supply"),
-    )
-    admitted = admit_all_or_nothing(
-        countable, "transfer_id", ["product_id", "from_warehouse"], ["requested_at"], "qty", "supply",
-        hot_rows=hot_rows,
-    )
-    outcome = (
-        wanted.join(admitted, "transfer_id", "left")
-        .join(negative.withColumn("_negative", F.lit(True)), "transfer_id", "left")
-        # A transfer without lines has nothing to fail on.
-        .withColumn("accepted", F.when(F.col("_negative"), F.lit(False)).otherwise(
-            F.coalesce("accepted", F.lit(True))))
-    )
+    stock = t.warehouse_stock.select(
+        "product_id", F.col("warehouse").alias("from_warehouse"), F.col("qty_on_hand").alias("supply"))
+    lines = stage(_lines(t, wanted).join(stock, ["product_id", "from_warehouse"], "left").select(
+        "transfer_id", "line_id", "product_id", "from_warehouse", "requested_at", "qty", "supply"), "transfer-lines")
+    admitted = stage(admit_all_or_nothing(
+        lines, "transfer_id", _PLACE, ["requested_at"], "qty", "supply", ["line_id"], hot_rows=hot_rows,
+    ), "admitted")
+    # A transfer without lines has nothing to fail on.
+    outcome = wanted.join(admitted, "transfer_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(True)))
+    short = _first_short(lines.join(admitted, "transfer_id"), hot_rows)
     sent = outcome.where("accepted")
     moves = _lines(t, sent).select(
         "transfer_id", "transfer_ref", "line_id", "requested_at", "to_warehouse", "product_id",
@@ -113,17 +107,28 @@ def dispatch_transfers(t: Tables, requests: DataFrame, hot_rows: int = HOT_ROWS)
         F.col("transfer_id").alias("id"), F.lit(True).alias("_hit"), F.lit("in_transit").alias("status"),
         F.col("requested_at").alias("updated_at"),
     )
-    verdict = outcome.select("transfer_id", "accepted", "_negative")
+    verdict = outcome.select("transfer_id", "accepted").join(short, "transfer_id", "left")
     refused = judged.join(verdict, "transfer_id", "left").withColumn(
         "_error",
-        F.when(~F.col("_in_state"), "cannot_dispatch").when(F.col("_negative"), "negative_qty")
-        .when(~F.col("accepted"), "insufficient_stock").when(~F.col("_first"), "cannot_dispatch"),
-    ).where(F.col("_error").isNotNull())
+        F.when(~F.col("_in_state"), "cannot_dispatch").when(~F.col("accepted"), "insufficient_stock")
+        .when(~F.col("_first"), "cannot_dispatch"),
+    ).where(F.col("_error").isNotNull()).withColumn(
+        "_detail", F.when(F.col("_error") == "insufficient_stock", F.col("_short").cast("string"))
+        .otherwise(F.col("transfer_id").cast("string")))
     state = {
         "warehouse_stock": apply_deltas(t.warehouse_stock, moves),
         "stock_transfers": updated(t.stock_transfers, changes, "id"),
     }
-    return JobResult(state, ledger, reject(refused, F.col("_error"), "transfer_id"), changes)
+    return JobResult(state, ledger, reject(refused, F.col("_error"), "_detail"), changes)
+
+
+def _first_short(judged: DataFrame, hot_rows: int) -> DataFrame:
+    """``transfer_id, _short``: the product of the first line of a refused transfer that finds too little."""
+    taken = running_totals(
+        judged, _PLACE, [F.col(c) for c in _ORDER], {"_taken": F.when(F.col("accepted"), F.col("qty")).otherwise(0)}, hot_rows=hot_rows)
+    refused = so_far(taken.where("NOT accepted"), ["transfer_id", *_PLACE], ["line_id"], "qty", hot_rows)
+    fails = ~F.coalesce(F.col("supply") - F.col("_taken") >= F.col("_so_far"), F.lit(False))
+    return refused.where(fails).groupBy("transfer_id").agg(F.min_by("product_id", "line_id").alias("_short"))
 
 
 def receive_transfers(t: Tables, requests: DataFrame, hot_rows: int = HOT_ROWS) -> JobResult:

@@ -124,6 +124,12 @@ def _halve(requests, key, order, amount, limit, out, forced, hot_rows):
             return reduce(DataFrame.unionByName, parts)
 
 
+def so_far(lines: DataFrame, keys: Sequence[str], order: Sequence[str], qty: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``_so_far``, the total of ``qty`` within the keys up to and with each line."""
+    summed = running_totals(lines, list(keys), [F.col(o) for o in order], {"_earlier": F.col(qty)}, hot_rows=hot_rows)
+    return summed.withColumn("_so_far", F.col("_earlier") + F.col(qty)).drop("_earlier")
+
+
 def admit_all_or_nothing(
     lines: DataFrame,
     request: str,
@@ -131,22 +137,32 @@ def admit_all_or_nothing(
     order: Sequence[str],
     qty: str,
     supply: str,
+    within: Sequence[str],
     out: str = "accepted",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Accept a request only if every one of its lines fits; returns ``request, accepted``.
 
-    ``supply`` is the opening quantity of the line's resource and ``order``
-    ranks requests. In each round a request is accepted if it fits even when
-    all undecided earlier requests are taken, and rejected if it fails even
-    when none of them is. The earliest undecided request of a resource is
-    always decided, so the rounds end; with ordinary contention a handful is
-    enough.
+    ``supply`` is the opening quantity of the line's resource, ``order`` ranks
+    requests and ``within`` the lines of one. A line fits if what is left is at
+    least its quantity; a negative one gives back, so a request asks for its
+    highest total over its lines and takes their sum. In each round a request is
+    accepted if it fits even when all undecided earlier requests that take are
+    taken and none that gives back is, and rejected if it fails even when it is
+    the other way round. The earliest undecided request is always decided, so
+    the rounds end; with ordinary contention a handful is enough. A line without
+    a quantity or a supply fits never.
     """
     # One row per request and resource: lines of the same product count together.
     demand = lines.groupBy(request, *resource, *order).agg(
-        F.sum(qty).cast("bigint").alias("_need"), F.max(supply).cast("bigint").alias("_supply")
+        F.sum(qty).cast("bigint").alias("_need"), F.min(qty).alias("_least"),
+        F.when(F.bool_and(F.col(qty).isNotNull()), F.max(supply)).cast("bigint").alias("_supply"),
     )
+    signed = lines.join(demand.where(F.col("_least") < 0).select(request, *resource), [request, *resource], "left_semi")
+    peaks = so_far(signed, [request, *resource], within, qty, hot_rows).groupBy(request, *resource).agg(
+        F.max("_so_far").cast("bigint").alias("_peak"))
+    demand = stage(demand.join(peaks, [request, *resource], "left").withColumn(
+        "_peak", F.coalesce("_peak", "_need")).drop("_least"), "demand")
     rank = [F.col(o) for o in order] + [F.col(request)]
     hot = hot_groups(demand, resource, hot_rows)
     # ``out`` is NULL while a request is open; requests accepted in the last
@@ -157,7 +173,8 @@ def admit_all_or_nothing(
         is_open = F.col(out).isNull()
         summed = running_totals(
             frame, list(resource), rank,
-            {"_ahead": F.when(is_open, F.col("_need")).otherwise(0),
+            {"_ahead": F.when(is_open, F.greatest("_need", F.lit(0))).otherwise(0),
+             "_back": F.when(is_open, F.least("_need", F.lit(0))).otherwise(0),
              "_newly": F.when(is_open, 0).otherwise(F.col("_need"))},
             hot_rows=hot_rows, hot=hot,
         )
@@ -166,16 +183,17 @@ def admit_all_or_nothing(
         )
         if still.isEmpty():
             break
-        room = F.col("_supply") - F.col("_used") - F.col("_need")
+        room = F.col("_supply") - F.col("_used") - F.col("_peak")
         verdict = stage(
             still.groupBy(request).agg(
-                F.bool_and(room >= F.col("_ahead")).alias("_sure"), F.bool_and(room >= 0).alias("_possible")
+                F.bool_and(F.coalesce(room >= F.col("_ahead"), F.lit(False))).alias("_sure"),
+                F.bool_and(F.coalesce(room >= F.col("_back"), F.lit(False))).alias("_possible"),
             ).where(F.col("_sure") | ~F.col("_possible")).select(request, F.col("_sure").alias(out)),
             "verdict",
         )
         parts.append(verdict)
         frame = (
-            still.drop("_ahead").join(verdict, request, "left")
+            still.drop("_ahead", "_back").join(verdict, request, "left")
             .where(F.col(out).isNull() | F.col(out))
         )
     if not parts:

@@ -121,22 +121,23 @@ def test_credit_admission_with_credits_and_missing_numbers(spark, fold_rows):
 
 
 @pytest.mark.parametrize("hot_rows", [10**6, 15])
-def test_all_or_nothing_equals_fold(spark, hot_rows):
+@pytest.mark.parametrize("least", [1, -4])
+def test_all_or_nothing_equals_fold(spark, hot_rows, least):
     rng = random.Random(8)
-    stock = {p: rng.randint(4, 30) for p in range(6)}
-    lines = [(t, rng.randrange(6), rng.randint(1, 6)) for t in range(60) for _ in range(rng.randint(1, 3))]
+    stock = {p: rng.randint(4, 30) for p in range(5)} | {5: None}
+    lines = [(t, rng.choice([0, 1, 2, 3, 4] * 4 + [5]), rng.randint(least, 6)) for t in range(60) for _ in range(rng.randint(1, 4))]
+    lines = [(t, i, p, q) for i, (t, p, q) in enumerate(lines)] + [(60, 900, 1, None), (61, 901, 1, 0)]
     left, expected = dict(stock), {}
-    for t in range(60):
-        need = {}
-        for other, p, q in lines:
+    for t in range(62):
+        now, ok = dict(left), True
+        for other, _, p, q in lines:
             if other == t:
-                need[p] = need.get(p, 0) + q
-        expected[t] = all(left[p] >= q for p, q in need.items())
-        if expected[t]:
-            for p, q in need.items():
-                left[p] -= q
-    df = spark.createDataFrame([(t, p, t * 10, q, stock[p]) for t, p, q in lines], "t int, p int, o int, q int, s int")
-    out = admit_all_or_nothing(df, "t", ["p"], ["o"], "q", "s", hot_rows=hot_rows)
+                ok = ok and q is not None and now[p] is not None and now[p] >= q
+                now[p] = now[p] - q if ok else now[p]
+        expected[t] = ok
+        left = now if ok else left
+    df = spark.createDataFrame([(t, i, p, t * 10, q, stock[p]) for t, i, p, q in lines], "t int, i int, p int, o int, q int, s int")
+    out = admit_all_or_nothing(df, "t", ["p"], ["o"], "q", "s", ["i"], hot_rows=hot_rows)
     assert {r.t: r.accepted for r in out.collect()} == expected
 
 
