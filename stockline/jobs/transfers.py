@@ -10,7 +10,7 @@ from stockline.jobs.purchasing import _with_line_counts
 from stockline.operators.admission import admit_all_or_nothing, so_far
 from stockline.operators.movements import apply_deltas, balances, create_missing
 from stockline.operators.numbering import assign_refs
-from stockline.operators.prefix import HOT_ROWS, running_totals
+from stockline.operators.prefix import HOT_ROWS, hot_groups, running_totals
 from stockline.sources.staging import stage
 from stockline.tables import Tables
 
@@ -90,7 +90,7 @@ def dispatch_transfers(t: Tables, requests: DataFrame, hot_rows: int = HOT_ROWS)
     ), "admitted")
     # A transfer without lines has nothing to fail on.
     outcome = wanted.join(admitted, "transfer_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(True)))
-    short = _first_short(lines.join(admitted, "transfer_id"), hot_rows)
+    short = _first_short(lines, admitted, hot_rows)
     sent = outcome.where("accepted")
     moves = _lines(t, sent).select(
         "transfer_id", "transfer_ref", "line_id", "requested_at", "to_warehouse", "product_id",
@@ -122,11 +122,15 @@ def dispatch_transfers(t: Tables, requests: DataFrame, hot_rows: int = HOT_ROWS)
     return JobResult(state, ledger, reject(refused, F.col("_error"), "_detail"), changes)
 
 
-def _first_short(judged: DataFrame, hot_rows: int) -> DataFrame:
+def _first_short(lines: DataFrame, admitted: DataFrame, hot_rows: int) -> DataFrame:
     """``transfer_id, _short``: the product of the first line of a refused transfer that finds too little."""
+    # Large groups are looked for in the staged lines, not in the totals.
+    own = ["transfer_id", *_PLACE]
+    hot, hot_own = hot_groups(lines, _PLACE, hot_rows), hot_groups(lines, own, hot_rows)
     taken = running_totals(
-        judged, _PLACE, [F.col(c) for c in _ORDER], {"_taken": F.when(F.col("accepted"), F.col("qty")).otherwise(0)}, hot_rows=hot_rows)
-    refused = so_far(taken.where("NOT accepted"), ["transfer_id", *_PLACE], ["line_id"], "qty", hot_rows)
+        lines.join(admitted, "transfer_id"), _PLACE, [F.col(c) for c in _ORDER],
+        {"_taken": F.when(F.col("accepted"), F.col("qty")).otherwise(0)}, hot_rows=hot_rows, hot=hot)
+    refused = so_far(taken.where("NOT accepted"), own, ["line_id"], "qty", hot_rows, hot_own)
     fails = ~F.coalesce(F.col("supply") - F.col("_taken") >= F.col("_so_far"), F.lit(False))
     return refused.where(fails).groupBy("transfer_id").agg(F.min_by("product_id", "line_id").alias("_short"))
 

@@ -124,9 +124,13 @@ def _halve(requests, key, order, amount, limit, out, forced, hot_rows):
             return reduce(DataFrame.unionByName, parts)
 
 
-def so_far(lines: DataFrame, keys: Sequence[str], order: Sequence[str], qty: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def so_far(
+    lines: DataFrame, keys: Sequence[str], order: Sequence[str], qty: str, hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None | bool = True,
+) -> DataFrame:
     """Add ``_so_far``, the total of ``qty`` within the keys up to and with each line."""
-    summed = running_totals(lines, list(keys), [F.col(o) for o in order], {"_earlier": F.col(qty)}, hot_rows=hot_rows)
+    summed = running_totals(
+        lines, list(keys), [F.col(o) for o in order], {"_earlier": F.col(qty)}, hot_rows=hot_rows, hot=hot)
     return summed.withColumn("_so_far", F.col("_earlier") + F.col(qty)).drop("_earlier")
 
 
