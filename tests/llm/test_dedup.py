@@ -96,6 +96,20 @@ def test_substring_removal_of_odd_tables(frame):
     assert {r["doc_id"]: r["n_removed"] for r in rows} == {None: 0, 1: 0, 2: 30, 3: 0}
 
 
+@pytest.mark.parametrize("slab", [1 << 30, 10])
+def test_substring_removal_of_repeated_ids(frame, monkeypatch, slab):
+    monkeypatch.setattr(substring_dedup, "SLAB", slab)
+    text, other = " ".join(map(str, range(30))), " ".join(f"o{i}" for i in range(40))
+    rows = substring_dedup.remove_repeats(frame([(1, text), (1, text), (2, text)])).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["text"]) for r in rows) == [(1, 0, text), (1, 0, text), (2, 30, "")]
+    # Of one id with different texts, each row is cut at its own places; the same document's earlier start stays.
+    rows = substring_dedup.remove_repeats(frame([(1, text), (5, text), (5, other), (5, "a b " + other), (6, other)])).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["text"]) for r in rows) == [(1, 0, text), (5, 0, other), (5, 30, ""), (5, 40, "a b"), (6, 40, "")]
+    # An equal place of another row of the id is not an earlier one.
+    rows = substring_dedup.remove_repeats(frame([(7, text + " tail"), (7, text + " end"), (8, text)])).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["text"]) for r in rows) == [(7, 0, text + " end"), (7, 0, text + " tail"), (8, 30, "")]
+
+
 def test_exact_groups_equal_brute_force(frame, corpus):
     for files in (1, 256):  # several micro-batches, or one
         rows = exact_dedup.exact_groups(frame(corpus.items()), files).collect()
