@@ -17,7 +17,8 @@ Defined results: null and empty texts have fingerprint zero; an even split of a
 a zero; texts with fewer than three words are one shingle; repeated rows each come
 back; rows with a null ``doc_id`` get their fingerprint and, if no other document shares
 the component, a null component; an empty table gives an empty one; further columns
-are ignored.
+are ignored. ``drop_near_copies`` judges rows by ``doc_id`` and text together, so rows
+of one id, or without any, share a fate only where their texts do.
 """
 
 from __future__ import annotations
@@ -73,15 +74,16 @@ def fingerprint(text: str | None) -> int:
     return majority(np.array(hashes, dtype=U64))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *further: str) -> DataFrame:
+    """``doc_id``, the ``further`` columns (of longs) and ``fp``, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=U64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(fps.view(np.int64))], names=["doc_id", *further, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    names = ", ".join(f"{c} long" for c in ("doc_id", *further, "fp"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *further).mapInArrow(run, names)
 
 
 def _split(points: np.ndarray, rng: np.random.Generator) -> tuple[int, int] | None:
@@ -232,7 +234,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest ``doc_id``."""
-    stays = near_duplicates(docs).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(stays, docs["doc_id"].eqNullSafe(stays["__id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """``docs`` with one row of each component: that with the smallest ``doc_id``, of those without any that with the smallest text hash."""
+    own_id = F.col("doc_id").cast("long")
+    # Plain key columns, so that the join and the removal of repeated rows share one shuffle.
+    own = docs.withColumns({"__none": own_id.isNull(), "__id": F.coalesce(own_id, F.lit(0)), "__print": F.xxhash64(F.col("text").cast("string"))})
+    prints, _ = keep(fingerprints(own, "__print"), "fingerprints")
+    distinct, _ = keep(prints.select("fp").distinct(), "distinct-fingerprints")
+    groups = link_components(distinct, distinct.count())
+    rows = prints.join(groups, prints["fp"] == groups["id"], "left").select("doc_id", "__print", F.coalesce("component", "fp").alias("component"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__print")).alias("first"))
+    stays = first.select(F.col("first.none").alias("__none"), F.coalesce("first.doc_id", F.lit(0)).alias("__id"), "first.__print").distinct()
+    return own.join(stays, stays.columns, "left_semi").dropDuplicates(stays.columns).select(docs.columns)

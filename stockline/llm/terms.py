@@ -125,8 +125,8 @@ def _choose(seen: np.ndarray, n1: int, n0: int, columns: int, frequent: int) ->
     return np.union1d(order[chi[order] >= LEAST_CHI], common[a[common] + b[common] > 0])
 
 
-def score_texts(docs: DataFrame, terms: Terms, column_of: np.ndarray, score: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> DataFrame:
-    """``doc_id, score`` of every row; ``score(rows, columns, n)`` gives the scores of ``n`` texts."""
+def score_texts(docs: DataFrame, terms: Terms, column_of: np.ndarray, score: Callable[[np.ndarray, np.ndarray, int], np.ndarray], *further: str) -> DataFrame:
+    """``doc_id``, the ``further`` columns and ``score`` of every row; ``score(rows, columns, n)`` gives the scores of ``n`` texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,9 +136,10 @@ def score_texts(docs: DataFrame, terms: Terms, column_of: np.ndarray, score: Cal
                 column = column_of[bucket]
                 known = column >= 0
                 out[i:j] = score(text[known], column[known], j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(out)], names=["doc_id", *further, "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *further))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *further).mapInArrow(run, f"{kinds}, score double")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -82,17 +82,18 @@ class FactorizationMachine:
         return self
 
 
-def score(docs: DataFrame, labels: DataFrame, fold, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``doc_id, score`` of every row of ``docs``; labels are learnt only where ``fold`` holds."""
+def score(docs: DataFrame, labels: DataFrame, fold, rows: int = TRAIN_ROWS, further: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the ``further`` columns and ``score`` of every row of ``docs``; labels are learnt only where ``fold`` holds."""
     sample = gather(docs, training_rows(labels, "toxic", fold, rows), toxic_terms, COLUMNS, FREQUENT)
     if len(sample.cols) == 0:
         share = float(sample.label.mean()) if len(sample.label) else 0.5
-        return docs.select("doc_id", F.lit(share).alias("score"))
+        return docs.select("doc_id", *further, F.lit(share).alias("score"))
     model = FactorizationMachine(int(sample.column_of.max()) + 1).fit(sample)
-    return score_texts(docs, toxic_terms, sample.column_of, lambda r, c, n: sigmoid(model.margin(r, c, n)))
+    return score_texts(docs, toxic_terms, sample.column_of, lambda r, c, n: sigmoid(model.margin(r, c, n)), *further)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, fold, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` without the documents that score at or above the threshold."""
-    bad = score(docs, labels, fold, rows).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti")
+    """``docs`` without the rows whose own text scores at or above the threshold."""
+    own = docs.withColumn("__print", F.xxhash64(F.col("text").cast("string")))
+    bad = score(own, labels, fold, rows, ("__print",)).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("__id"), F.col("__print").alias("__bad")).distinct()
+    return own.join(bad, own["doc_id"].eqNullSafe(bad["__id"]) & (own["__print"] == bad["__bad"]), "left_anti").drop("__print")

@@ -34,6 +34,14 @@ def test_near_duplicates_of_repeated_null_and_no_rows(frame):
     assert simhash.drop_near_copies(frame([(3, "a b c"), (3, "a b c"), (4, "a b c"), (7, None)])).count() == 2
 
 
+def test_near_copies_are_dropped_by_row(frame):
+    other, near = "entirely other text", "z y x w"
+    rows = [(None, "x"), (None, other), (None, other), (3, near), (3, "p q r s"), (None, near), (9, "p q r s"), (5, None)]
+    left = simhash.drop_near_copies(frame(rows))
+    assert left.columns == frame([]).columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, [(None, "x"), (None, other), (3, near), (3, "p q r s"), (5, None)]))
+
+
 @pytest.mark.parametrize("shards", [1, 5, 40])
 def test_every_close_pair_meets_in_a_home_shard(shards):
     rng = np.random.default_rng(shards)

@@ -194,6 +194,16 @@ def test_toxicity_learns_pairs_that_single_words_do_not_show(frame, spark):
     _labelled(frame, spark, toxicity, make)
 
 
+def test_toxic_rows_are_dropped_by_their_own_text(frame, spark):
+    rows = [(i, "vile insult" if i % 2 else "kind praise") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    rows = frame([*rows, (None, "vile insult"), (None, "kind praise"), (4, "vile insult")])
+    left = toxicity.drop_toxic(rows, labels, toxicity.F.col("doc_id") % 4 > 1)
+    assert left.columns == rows.columns
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert len(got) == 101 and {t for _, t in got} == {"kind praise"} and (None, "kind praise") in got and (4, "kind praise") in got
+
+
 def test_quality(frame, spark):
     def make(rng, i):
         words = [f"w{k}" for k in rng.integers(0, 60, 30)]
