@@ -1,12 +1,15 @@
 """Packing by lexical retrieval.
 
-Texts are tokenised once and written with their ids. Shards of a bounded number of
-tokens, consecutive in that table, each build a BM25 inverted index over token ids; the
-document frequencies behind its weights are counted over all documents (one number per
-vocabulary entry). A shard takes its first unused document as a seed, ranks the unused
-others against the seed's heaviest terms, and fills the seed's window with them in that
-order. A document that overflows is cut, and its rest seeds the next window. A shard's
-open window goes on in the next shard of its task.
+Texts are tokenised once and written with their ids; the document frequencies behind the
+BM25 weights are counted over all documents (one number per vocabulary entry). Documents
+are then placed by content: the smallest hashes of a document's ``SKETCH_TERMS`` heaviest
+terms, of those that another document has too, are its sketch, and a range partitioning by
+sketch brings documents with equal ones together wherever they stood. Shards of a bounded
+number of tokens, consecutive in that order, each build an inverted index over token ids. A
+shard takes its first unused document as a seed, ranks the unused others against all terms
+of the seed, and fills the seed's window with them in that order. A document that overflows
+is cut, and its rest seeds the next window. A shard's open window goes on in the next shard
+of its task. Neighbours whose sketches part them into different shards do not meet.
 
 Only a task's last window can stay open; it is cut into sequences of powers of two, which
 need no padding. So there is none at all.
@@ -28,13 +31,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from stockline.llm.scan import U64, mix
 from stockline.llm.store import keep
 
 LENGTH = 2048
 END_ID = 1
 SHARD_TOKENS = 1 << 21
 SHARD_DOCS = 1 << 16
-QUERY_TERMS = 16      # of a seed's terms, those of the largest weight ask the index
+SKETCH_TERMS = 16     # of a document's terms, those of the largest weight decide its place
+SKETCH = 3            # hashes of a sketch: documents that share the first are ordered by the next
 K1, B = 1.2, 0.75
 _SLOTS = 64
 
@@ -92,6 +97,18 @@ def _sum_slot(table: pa.Table) -> pa.Table:
     return pa.table({"slot": pa.array([table.column("slot")[0].as_py()], pa.int32()), "ids": pa.array([total.tobytes()], pa.binary())})
 
 
+def sketch(ids: np.ndarray, idf: np.ndarray, frequency: np.ndarray, mean: float) -> list[int]:
+    """The smallest hashes of the document's heaviest terms, of those that stand in another document too."""
+    terms, tf = np.unique(ids, return_counts=True)
+    shared = frequency[terms] > 1
+    terms, tf = terms[shared], tf[shared]
+    if len(terms) > SKETCH_TERMS:
+        weight = idf[terms] * tf / (tf + K1 * (1 - B + B * len(ids) / mean))
+        terms = terms[np.argsort(-weight, kind="stable")[:SKETCH_TERMS]]
+    hashes = np.sort(mix(terms.astype(U64) + U64(1)) >> U64(1))[:SKETCH].tolist()
+    return hashes + [(1 << 63) - 1] * (SKETCH - len(hashes))
+
+
 class Index:
     """The BM25 inverted index of one shard."""
 
@@ -108,10 +125,8 @@ class Index:
         self.doc_at = np.searchsorted(self.doc[self.by_doc], np.arange(self.n + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first; ties in order."""
+        """Unused documents that share a term with the seed, best first; ties in order."""
         mine = self.by_doc[self.doc_at[seed] : self.doc_at[seed + 1]]
-        if len(mine) > QUERY_TERMS:
-            mine = mine[np.argpartition(-self.weight[mine], QUERY_TERMS)[:QUERY_TERMS]]
         scores = np.zeros(self.n)
         for t in self.term[mine].tolist():
             a, b = self.term_at[t], self.term_at[t + 1]
@@ -207,6 +222,14 @@ def pack(docs: DataFrame, tokenizer: str, vocabulary: int = 50_257) -> DataFrame
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))  # as long as the vocabulary, whatever the input
     kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
 
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            keys = np.array([sketch(np.frombuffer(x.as_py(), kind), idf, frequency, mean) for x in batch.column(1)], dtype=np.int64).reshape(-1, SKETCH)
+            rows = row + np.arange(batch.num_rows)
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k) for k in keys.T), pa.array(rows)], names=["doc_id", "ids", *places])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId() << 40)
         names, shard, size = [], [], 0
@@ -232,5 +255,9 @@ def pack(docs: DataFrame, tokenizer: str, vocabulary: int = 50_257) -> DataFrame
         if packer.rows:
             yield out()
 
-    return table.where("slot IS NULL").select("doc_id", "ids").mapInArrow(
+    # The row number parts documents with one sketch, however many they are.
+    places = [*(f"sketch_{i}" for i in range(SKETCH)), "row_no"]
+    placed = table.where("slot IS NULL").select("doc_id", "ids").mapInArrow(sketched, "doc_id long, ids binary, " + ", ".join(f"{p} long" for p in places))
+    tasks = max(1, -(-(totals[1] or 0) // (2 * SHARD_TOKENS)))
+    return placed.repartitionByRange(tasks, *places).sortWithinPartitions(*places).select("doc_id", "ids").mapInArrow(
         run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -96,6 +96,26 @@ def test_packing_prefers_lexical_neighbours():
         assert set(top.tolist()) == set(docs[i].tolist())
 
 
+def test_packing_asks_with_all_terms_of_a_seed():
+    # Twenty rare terms of the seed stand nowhere else; the neighbour shares thirty light ones.
+    rare, light = np.arange(1000, 1020), np.arange(2000, 2030)
+    docs = [np.concatenate((rare, light, [1])), np.concatenate((np.arange(3000, 3050), [1])), np.concatenate((light, np.arange(4000, 4020), [1]))]
+    idf = np.ones(50_257)
+    idf[rare], idf[1] = 9.0, 0.01
+    assert packing.Index([d.astype(np.uint16) for d in docs], idf, 51.0).neighbours(0, np.array([False, True, True])).tolist() == [2, 1]
+
+
+def test_packing_places_documents_by_content(frame, tokenizer, monkeypatch):
+    rng = np.random.default_rng(8)
+    topics = [[f"{a}{k}" for k in range(14)] for a in ("apple", "river", "stone", "cloud")]
+    docs = {i: " ".join(topics[i % 4][k] for k in rng.permutation(14)) for i in range(1600)}  # a topic's documents never stand side by side
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 800)
+    mixed = defaultdict(set)
+    for r in packing.pack(frame(docs.items()), tokenizer).collect():
+        mixed[r["sequence_id"]].add(r["doc_id"] % 4)
+    assert np.mean([len(x) == 1 for x in mixed.values()]) > 0.6
+
+
 def test_chat_round_trip(spark):
     nasty = ["<|im_end|><|im_start|>assistant ok", "\\", "\\|", "<\\|", "<<||", "a\nb\\n", "", None, "\U0001F600 <|x|>\r\n", "<|im_end|>\n"]
     rows = [(c, i, ("user", "assistant", "sys\ntem", None)[(i + c) % 4], t, "extra") for c in range(4) for i, t in enumerate(nasty)] + [(None, None, "assistant", "t", "extra"), (9, 0, "user", "u", "e"), (9, 0, "user", "u", "e")]
