@@ -1,13 +1,12 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by grouping equal windows, in place of relative Lempel-Ziv parsing.
 
 The corpus is its own reference, indexed in blocks. A seed (the smallest 8-gram hash
 of each window of 20 words) decides the block of the windows it stands in, so equal
 passages meet in one block wherever they occur. Each block holds its windows with
-document and place; a document is factored against it: consecutive windows that start
-earlier in the corpus grow one factor, and a window that starts nowhere earlier ends it.
-Factors from different blocks end at seed boundaries; the windows that lie across such a
-boundary belong to one block or the other and are checked there, so none is missed.
-A document's factors, joined, are its duplicate spans.
+document and place and groups them by hash; all but those at the first place go. No
+longest match is sought: a factor is only the union of such windows that touch. A window
+belongs to one block and is checked there, so none is missed. A document's factors,
+joined, are its duplicate spans.
 
 Each task first reduces its own rows: of windows equal within a slab only the first goes
 to a block, the others are already known to start earlier. A passage that a third of all
