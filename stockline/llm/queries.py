@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockline.llm import chat_format, decontaminate, exact_dedup, license_scan, packing, quality, simhash, substring_dedup, toxicity, url_filter
+from stockline.llm import chat_format, conversation_trie, decontaminate, exact_dedup, license_scan, packing, quality, simhash, substring_dedup, toxicity, url_filter
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -72,6 +72,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(quality.score(docs, labels, fold(3) != 1), 3, 1, 0.5)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,4 +84,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_toxicity, op3_packing, op4_decontamination, op5_chat_format, op6_substring_dedup, op7_exact_dedup,
-    op8_license_scan, op9_url_filter, op10_quality, pipeline)}
+    op8_license_scan, op9_url_filter, op10_quality, op11_conversation_trie, pipeline)}

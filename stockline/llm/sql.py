@@ -123,7 +123,35 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN NOT allows THEN 'block
 FROM j LEFT JOIN vote USING (node)
 """
 
+OP11 = """
+WITH t AS (
+  SELECT conv_id, octet_length(encode(coalesce(text, ''))) AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, x) AS p, x
+  FROM (SELECT *, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x FROM conversations WHERE conv_id IS NOT NULL)),
+l AS (SELECT conv_id, list(struct_pack(x := x, bytes := bytes) ORDER BY p) AS own FROM t GROUP BY conv_id),
+h AS (SELECT c, xor(crc, 4294967295) % 9 AS h FROM (
+  SELECT conv_id AS c, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT))), lambda acc, z: {STEP}) AS crc FROM l)),
+r AS (SELECT l.conv_id, coalesce(b.own, [])[1 : h.h] || l.own[h.h + 1 :] AS seq
+      FROM l JOIN h ON h.c = l.conv_id LEFT JOIN l b ON b.conv_id = l.conv_id - l.conv_id % 5),
+steps AS (SELECT conv_id, len(seq) AS n, unnest(range(0, len(seq) + 1)) AS depth, seq FROM r),
+k AS (SELECT conv_id, depth, depth = n AS ends, CASE WHEN depth > 0 THEN seq[depth].bytes ELSE 0 END AS bytes,
+             sha256(array_to_string(list_transform(seq[1 : depth], lambda z: z.x), ',')) AS key,
+             CASE WHEN depth > 0 THEN sha256(array_to_string(list_transform(seq[1 : depth - 1], lambda z: z.x), ',')) END AS up FROM steps),
+n AS (SELECT key, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM k GROUP BY key, depth),
+c AS (SELECT up AS key, depth - 1 AS depth, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up, depth),
+s AS (SELECT k.key, k.depth, sum(CASE WHEN c.n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(n.saved) AS saved_tokens
+      FROM n LEFT JOIN c ON c.key = n.key AND c.depth = n.depth JOIN k ON k.conv_id = n.conv_id AND k.depth <= n.depth GROUP BY k.key, k.depth)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.key = n.key AND s.depth = n.depth LEFT JOIN c ON c.key = n.key AND c.depth = n.depth LEFT JOIN n p ON p.key = n.up AND p.depth = n.depth - 1
+"""
+# One byte of CRC-32 (polynomial 0xEDB88320), as eight shifts of xor(acc, byte).
+_STEP = "xor(acc, z)"
+for _ in range(8):
+    _STEP = f"list_transform([{_STEP}], lambda q: xor(q >> 1, (q & 1) * 3988292384))[1]"
+OP11 = OP11.replace("{STEP}", _STEP)
+
 ORACLE = {
     "op4_decontamination": OP4, "op5_chat_format": OP5, "op6_substring_dedup": OP6, "op7_exact_dedup": OP7,
-    "op8_license_scan": OP8, "op9_url_filter": OP9,
+    "op8_license_scan": OP8, "op9_url_filter": OP9, "op11_conversation_trie": OP11,
 }
