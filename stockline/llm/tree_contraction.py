@@ -44,7 +44,7 @@ def _chains(tagged: DataFrame, values: list[str]) -> DataFrame:
     now = tagged.where("kids = 1").select("id", F.col("kid").alias("next"), *values)
     done: list[DataFrame] = []
     span, most = 1, now.count()
-    while span <= 2 * most or not most:
+    while span <= 4 * most or not most:
         if now.isEmpty():
             return _union(done).withColumnRenamed("next", "end") if done else now.withColumnRenamed("next", "end")
         below = _union([*done, now]).select(F.col("id").alias("at"), F.col("next").alias("then"), *[F.col(v).alias(f"more_{v}") for v in values])
