@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockline.llm import chat_format, conversation_trie, decontaminate, exact_dedup, license_scan, packing, quality, simhash, substring_dedup, toxicity, url_filter
+from stockline.llm import chat_format, conversation_trie, decontaminate, exact_dedup, license_scan, packing, period_runs, quality, simhash, substring_dedup, toxicity, url_filter
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -76,6 +76,32 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """``documents``, with the text of each tenth (by a hash of its id) made periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def repeated(words):
+        n, g = F.size(words), (h / 10).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(words, 1 + F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    # An array of one entry, so that the words are split once and not for each of them.
+    words = F.array(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    periodic = F.element_at(F.transform(words, lambda w: F.when(F.size(w) > 0, repeated(w))), 1)
+    return docs.select("doc_id", F.when(h % 10 == 0, periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs.periodic_runs(_with_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), "longest.length", (-F.col("longest.period")).alias("period"),
+        F.expr("(1000 * longest.length) div -longest.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,4 +110,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_toxicity, op3_packing, op4_decontamination, op5_chat_format, op6_substring_dedup, op7_exact_dedup,
-    op8_license_scan, op9_url_filter, op10_quality, op11_conversation_trie, pipeline)}
+    op8_license_scan, op9_url_filter, op10_quality, op11_conversation_trie, op13_period_runs, pipeline)}
