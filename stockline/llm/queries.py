@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockline.llm import chat_format, conversation_trie, decontaminate, exact_dedup, license_scan, packing, period_runs, quality, simhash, substring_dedup, toxicity, url_filter
+from stockline.llm import chat_format, conversation_trie, decontaminate, exact_dedup, license_scan, packing, period_runs, pivot_search, quality, simhash, substring_dedup, toxicity, url_filter
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -76,6 +76,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """``documents``, with the text of each tenth (by a hash of its id) made periodic from some word on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -110,4 +114,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_toxicity, op3_packing, op4_decontamination, op5_chat_format, op6_substring_dedup, op7_exact_dedup,
-    op8_license_scan, op9_url_filter, op10_quality, op11_conversation_trie, op13_period_runs, pipeline)}
+    op8_license_scan, op9_url_filter, op10_quality, op11_conversation_trie, op12_topk_search, op13_period_runs, pipeline)}

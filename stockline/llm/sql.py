@@ -151,7 +151,15 @@ for _ in range(8):
     _STEP = f"list_transform([{_STEP}], lambda q: xor(q >> 1, (q & 1) * 3988292384))[1]"
 OP11 = OP11.replace("{STEP}", _STEP)
 
+OP12 = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, e.vec_id, CAST(list_dot_product(q.v, e.v) AS BIGINT) AS score FROM e q JOIN e ON e.r <> q.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
 ORACLE = {
     "op4_decontamination": OP4, "op5_chat_format": OP5, "op6_substring_dedup": OP6, "op7_exact_dedup": OP7,
-    "op8_license_scan": OP8, "op9_url_filter": OP9, "op11_conversation_trie": OP11,
+    "op8_license_scan": OP8, "op9_url_filter": OP9, "op11_conversation_trie": OP11, "op12_topk_search": OP12,
 }
