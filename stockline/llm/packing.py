@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from stockline.llm.scan import U64, mix
-from stockline.llm.store import keep
+from stockline.llm.store import forget, keep
 
 LENGTH = 2048
 END_ID = 1
@@ -41,12 +41,14 @@ SHARD_DOCS = 1 << 16
 SKETCH_TERMS = 16     # of a document's terms, those of the largest weight decide its place
 SKETCH = 3            # hashes of a sketch: documents that share the first are ordered by the next
 K1, B = 1.2, 0.75
+DENSE = 8             # terms in at least one of so many documents have a row of weights
+FIRST = 32            # neighbours that are sorted at first
 _SLOTS = 64
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """``text -> ids`` of the byte-level BPE in a ``tokenizers`` file; its own special strings are plain text.
+    """``text -> ids`` of the byte-level BPE in a ``tokenizers`` file; its added tokens are found inside texts as that library finds them.
 
     Where the same vocabulary lies beside it as ranks, tiktoken gives the same ids several times as fast.
     """
@@ -54,17 +56,30 @@ def encoder(path: str):
 
     ranks = path.removesuffix(".json") + ".tiktoken"
     if path.endswith(".json") and os.path.exists(ranks):
+        import json
+
         import public_tokenizers
         import tiktoken
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        with open(path, encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
+        return lambda text: encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
+def _documents_with(ids: list[np.ndarray], vocabulary: int) -> np.ndarray:
+    """Per token, the number of documents that hold it."""
+    own = np.repeat(np.arange(len(ids), dtype=U64), [len(x) for x in ids])
+    keys = np.sort(own * U64(vocabulary) + np.concatenate(ids).astype(U64))
+    fresh = np.ones(len(keys), dtype=bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    return np.bincount((keys[fresh] % U64(vocabulary)).astype(np.int64), minlength=vocabulary)
 
 
 def tokenise(docs: DataFrame, path: str, vocabulary: int) -> DataFrame:
@@ -74,14 +89,12 @@ def tokenise(docs: DataFrame, path: str, vocabulary: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = encoder(path), np.zeros(vocabulary, dtype=np.int64)
         names = ["doc_id", "slot", "n", "ids"]
+        end = np.array([END_ID], dtype=kind)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
-                out = []
-                for text in some.column(1):
-                    ids = np.array(encode(text.as_py() or "") + [END_ID], dtype=kind)
-                    seen[np.unique(ids)] += 1
-                    out.append(ids)
+                out = [np.concatenate((encode(text.as_py() or "").astype(kind), end)) for text in some.column(1)]
+                seen += _documents_with(out, vocabulary)
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.nulls(len(out), pa.int32()), pa.array([len(x) for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], names=names)
         parts = np.array_split(seen, _SLOTS)
@@ -110,7 +123,11 @@ def sketch(ids: np.ndarray, idf: np.ndarray, frequency: np.ndarray, mean: float)
 
 
 class Index:
-    """The BM25 inverted index of one shard."""
+    """The BM25 inverted index of one shard.
+
+    Terms that stand in at least one of ``DENSE`` documents have a row of weights over all documents, the
+    others a list of postings: adding whole rows is cheaper than following long lists.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         sizes = np.array([len(d) for d in docs])
@@ -123,17 +140,34 @@ class Index:
         self.term_at = np.searchsorted(self.term, np.arange(int(self.term[-1]) + 2))
         self.by_doc = np.argsort(self.doc.astype(np.uint16), kind="stable")
         self.doc_at = np.searchsorted(self.doc[self.by_doc], np.arange(self.n + 1))
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        spread = np.diff(self.term_at)
+        dense = np.flatnonzero(spread * DENSE >= self.n)
+        self.row_of = np.full(len(spread), -1, dtype=np.int64)
+        self.row_of[dense] = np.arange(len(dense))
+        rows = self.row_of[self.term]
+        self.rows = np.zeros((len(dense), self.n), dtype=np.float32)
+        self.rows[rows[rows >= 0], self.doc[rows >= 0]] = self.weight[rows >= 0]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The BM25 score of every document for all terms of the seed."""
+        terms = self.term[self.by_doc[self.doc_at[seed] : self.doc_at[seed + 1]]]
+        rows = self.row_of[terms]
+        rare = terms[rows < 0]
+        starts, sizes = self.term_at[rare], self.term_at[rare + 1] - self.term_at[rare]
+        at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+        return self.rows[rows[rows >= 0]].sum(axis=0) + np.bincount(self.doc[at], self.weight[at], self.n)
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents that share a term with the seed, best first; ties in order."""
-        mine = self.by_doc[self.doc_at[seed] : self.doc_at[seed + 1]]
-        scores = np.zeros(self.n)
-        for t in self.term[mine].tolist():
-            a, b = self.term_at[t], self.term_at[t + 1]
-            scores[self.doc[a:b]] += self.weight[a:b]
-        scores *= unused
+        scores = self.scores(seed) * unused
         found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")]
+        # Few are taken, so few are sorted: the best, then the others.
+        if len(found) > FIRST:
+            least = np.partition(scores[found], len(found) - FIRST)[len(found) - FIRST]
+            best = found[scores[found] >= least]
+            yield from best[np.argsort(-scores[best], kind="stable")].tolist()
+            found = found[scores[found] < least]
+        yield from found[np.argsort(-scores[found], kind="stable")].tolist()
 
 
 class Packer:
@@ -198,7 +232,7 @@ def fill(packer: Packer, names: list, docs: list[np.ndarray], idf: np.ndarray, m
         # Its rest, or the whole of a short one, seeds the open window.
         while 0 < packer.fill:
             overflow = None
-            for doc in index.neighbours(seed, unused).tolist():
+            for doc in index.neighbours(seed, unused):
                 unused[doc] = False
                 cut = len(docs[doc]) > packer.room()
                 full = len(docs[doc]) >= packer.room()
@@ -213,7 +247,7 @@ def fill(packer: Packer, names: list, docs: list[np.ndarray], idf: np.ndarray, m
 
 def pack(docs: DataFrame, tokenizer: str, vocabulary: int = 50_257) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
-    table, _ = keep(tokenise(docs, tokenizer, vocabulary), "token-ids")
+    table, path = keep(tokenise(docs, tokenizer, vocabulary), "token-ids")
     totals = table.where("slot IS NULL").agg(F.count("*"), F.sum("n")).first()
     counts = table.where("slot IS NOT NULL").select("slot", "ids").groupBy("slot").applyInArrow(_sum_slot, "slot int, ids binary").collect()
     frequency = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in sorted(counts, key=lambda r: r["slot"])]) if counts else np.zeros(vocabulary)
@@ -257,7 +291,9 @@ def pack(docs: DataFrame, tokenizer: str, vocabulary: int = 50_257) -> DataFrame
 
     # The row number parts documents with one sketch, however many they are.
     places = [*(f"sketch_{i}" for i in range(SKETCH)), "row_no"]
-    placed = table.where("slot IS NULL").select("doc_id", "ids").mapInArrow(sketched, "doc_id long, ids binary, " + ", ".join(f"{p} long" for p in places))
+    # Written, as the range partitioning reads its keys twice: once, and these alone, for the bounds.
+    placed, _ = keep(table.where("slot IS NULL").select("doc_id", "ids").mapInArrow(sketched, "doc_id long, ids binary, " + ", ".join(f"{p} long" for p in places)), "placed-ids")
+    forget(docs.sparkSession, path)
     tasks = max(1, -(-(totals[1] or 0) // (2 * SHARD_TOKENS)))
     return placed.repartitionByRange(tasks, *places).sortWithinPartitions(*places).select("doc_id", "ids").mapInArrow(
         run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

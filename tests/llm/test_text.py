@@ -59,8 +59,7 @@ def test_packing_round_trip(frame, corpus, tokenizer, monkeypatch):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer)
-    plain.encode_special_tokens = True
-    docs = {**corpus, 200: "<|endoftext|> stays text"}
+    docs = {**corpus, 200: "<|endoftext|> is one id,<|endoftext|><|endoftext|>too", 201: "<|endoftext|", 202: "a <|endoftext|>"}
     for shard in (1 << 21, 3000):
         monkeypatch.setattr(packing, "SHARD_TOKENS", shard)
         pieces, sequences = defaultdict(list), defaultdict(list)
@@ -88,12 +87,29 @@ def test_packing_prefers_lexical_neighbours():
     rng = np.random.default_rng(3)
     docs = [np.concatenate((rng.integers(100 * (i % 4), 100 * (i % 4) + 100, 60), [1])).astype(np.uint16) for i in range(40)]
     index = packing.Index(docs, np.ones(50_257), 61.0)
-    found = index.neighbours(0, np.arange(40) != 0)
+    found = list(index.neighbours(0, np.arange(40) != 0))
     assert all(i % 4 == 0 for i in found[:9])
-    for i in (5, 17):  # the ranking is BM25's over the query terms, by brute force
-        mine = index.by_doc[index.doc_at[i] : index.doc_at[i + 1]]
-        top = index.term[mine[np.argsort(-index.weight[mine], kind="stable")]]
-        assert set(top.tolist()) == set(docs[i].tolist())
+
+
+def test_packing_ranks_as_plain_bm25():
+    """Rare and frequent terms, more neighbours than are sorted at first, copies that tie, used documents left out."""
+    rng = np.random.default_rng(5)
+    docs = [np.concatenate((rng.zipf(1.3, rng.integers(1, 90)) % 3_000 + 2, [1])).astype(np.uint16) for _ in range(220)]
+    docs += docs[:30]
+    frequency = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=50_257)
+    idf, mean = np.log1p((len(docs) - frequency + 0.5) / (frequency + 0.5)), float(np.mean([len(d) for d in docs]))
+    index = packing.Index(docs, idf, mean)
+    assert 0 < len(index.rows) < len(np.unique(index.term))
+    unused = rng.random(len(docs)) < 0.8
+    for seed in range(0, len(docs), 7):
+        scores = np.zeros(len(docs))
+        for i, d in enumerate(docs):
+            for t in np.intersect1d(d, docs[seed]):
+                tf = (d == t).sum()
+                scores[i] += idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+        found = list(index.neighbours(seed, unused))
+        assert sorted(found) == [i for i in np.flatnonzero(scores > 0).tolist() if unused[i]]
+        assert np.allclose(scores[found], np.sort(scores[found])[::-1], rtol=1e-5)
 
 
 def test_packing_asks_with_all_terms_of_a_seed():
@@ -102,7 +118,7 @@ def test_packing_asks_with_all_terms_of_a_seed():
     docs = [np.concatenate((rare, light, [1])), np.concatenate((np.arange(3000, 3050), [1])), np.concatenate((light, np.arange(4000, 4020), [1]))]
     idf = np.ones(50_257)
     idf[rare], idf[1] = 9.0, 0.01
-    assert packing.Index([d.astype(np.uint16) for d in docs], idf, 51.0).neighbours(0, np.array([False, True, True])).tolist() == [2, 1]
+    assert list(packing.Index([d.astype(np.uint16) for d in docs], idf, 51.0).neighbours(0, np.array([False, True, True]))) == [2, 1]
 
 
 def test_packing_places_documents_by_content(frame, tokenizer, monkeypatch):
