@@ -21,6 +21,19 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project("audit_log", _source(spark, sf_dir, "events"))
 
 
+def _in_files(spark: SparkSession, source: DataFrame, at: str, ident: str, days: int, files: int = 3) -> DataFrame:
+    """The same rows as a stream of one file per micro-batch, in order but for ``days``: each file is of later rows, shaken up that far."""
+    shaken = F.timestamp_add("SECOND", F.pmod(F.xxhash64(ident), F.lit(days * 86_400)), F.col(at))
+    bounds = source.agg(F.percentile_approx(F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), shaken), [i / files for i in range(1, files)])).first()[0] or []
+    seconds = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), shaken)
+    number = sum(((seconds > b).cast("int") for b in bounds), F.lit(0))
+    path = f"{staging_root(spark)}/files-{uuid.uuid4().hex}"
+    marked = source.withColumn("_file", number)
+    for n in range(files):  # one after another, as a file stream goes by the time of writing
+        marked.where(F.col("_file") == n).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _place(spark: SparkSession) -> tuple[str, str]:
     root = f"{staging_root(spark)}/stream-{uuid.uuid4().hex}"
     return f"{root}/out", f"{root}/checkpoint"
@@ -70,6 +83,31 @@ def order_states(spark, d):
     return spark.read.parquet(f"{out}/moves").select("request_id", "order_id", "action", "to_status", "accepted", "error_code")
 
 
+def late_order_states(spark, d):
+    actions = project("order_actions", spark.read.schema(BASE["lineitem"]).parquet(f"{d}/lineitem.parquet"))
+    out, checkpoint = _place(spark)
+    t = fixture(spark, d)[0]
+    streams.stream_order_states(_in_files(spark, actions, "requested_at", "request_id", 30), t, out, checkpoint, delay="60 days").awaitTermination()
+    return spark.read.parquet(f"{out}/moves").select("request_id", "order_id", "action", "to_status", "accepted", "error_code", "late")
+
+
+def compacted_balance(spark, d):
+    ledger = project("audit_log", spark.read.schema(BASE["events"]).parquet(f"{d}/events.parquet"))
+    out, checkpoint = _place(spark)
+    keys = ["warehouse_code", "product_id"]
+    stream = streams.stream_stock_balance(_in_files(spark, ledger, "created_at", "id", 1, files=5))
+    streams.update_sink(stream, out, checkpoint, keys=keys, every=2).awaitTermination()
+    return streams.latest(spark, out, keys)
+
+
+def backorders_in_steps(spark, d):
+    """The ledger's receipts alone, in three micro-batches: stock only grows, so the sum is that of one batch."""
+    ledger = project("audit_log", spark.read.schema(BASE["events"]).parquet(f"{d}/events.parquet")).where("action = 'stock_received'")
+    out, checkpoint = _place(spark)
+    streams.stream_backorder_allocation(_in_files(spark, ledger, "created_at", "id", 1), fixture(spark, d)[0], out, checkpoint).awaitTermination()
+    return spark.read.parquet(f"{out}/allocations").groupBy("line_id", "product_id", "warehouse").agg(F.sum("qty").cast("int").alias("qty"))
+
+
 def backorders(spark, d):
     out, checkpoint = _place(spark)
     streams.stream_backorder_allocation(_ledger(spark, d), fixture(spark, d)[0], out, checkpoint).awaitTermination()
@@ -118,6 +156,18 @@ STREAMS = {
         LATERAL (SELECT COALESCE(i0.k, (TIMESTAMP '9999-01-01', '')) AS k) i,
         LATERAL (SELECT COALESCE(p0.k, (TIMESTAMP '9999-01-01', '')) AS k) p,
         LATERAL (SELECT COALESCE(s0.k, (TIMESTAMP '9999-01-01', '')) AS k) s"""),
+    # Out of order within the delay, in three micro-batches; actions behind the last watermark still wait.
+    "stream_order_states_late": (late_order_states, """
+        SELECT a.request_id, a.order_id, a.action, a.k = i.k OR a.k = p.k OR a.k = s.k AS accepted, CASE WHEN s.k <= a.k
+          THEN 'shipped' WHEN p.k <= a.k THEN 'packing' WHEN i.k <= a.k THEN 'picking' ELSE a.was END AS to_status,
+          CASE WHEN NOT (a.k = i.k OR a.k = p.k OR a.k = s.k) THEN 'invalid_transition' END AS error_code, FALSE AS late
+        FROM (SELECT * FROM req_adv) a
+        LEFT JOIN req_pick i0 ON i0.order_id = a.order_id LEFT JOIN req_pack p0 ON p0.order_id = a.order_id
+        LEFT JOIN req_ship s0 ON s0.order_id = a.order_id,
+        LATERAL (SELECT COALESCE(i0.k, (TIMESTAMP '9999-01-01', '')) AS k) i,
+        LATERAL (SELECT COALESCE(p0.k, (TIMESTAMP '9999-01-01', '')) AS k) p,
+        LATERAL (SELECT COALESCE(s0.k, (TIMESTAMP '9999-01-01', '')) AS k) s
+        WHERE a.requested_at <= (SELECT MAX(requested_at) FROM req_order_actions) - INTERVAL '60' DAY"""),
     # The whole ledger is one micro-batch here: stock after all movements serves the pairs that received.
     "stream_backorder_allocation": (backorders, """
         WITH m AS (SELECT product_id, warehouse_code AS warehouse, SUM(qty_change) AS change FROM wms_audit_log GROUP BY ALL
@@ -131,4 +181,18 @@ STREAMS = {
             AND s.warehouse = o.warehouse_code WHERE l.fulfilment_status IN ('backordered', 'partial')
             AND l.qty_backordered > 0 AND s.avail > 0)
         SELECT * FROM a WHERE qty > 0"""),
+    "stream_backorder_steps": (backorders_in_steps, """
+        WITH m AS (SELECT product_id, warehouse_code AS warehouse, SUM(qty_change) AS change FROM wms_audit_log WHERE action = 'stock_received' GROUP BY ALL),
+        s AS (SELECT m.product_id, m.warehouse, ws.qty_on_hand + m.change - ws.qty_reserved AS avail FROM m
+            JOIN wms_warehouse_stock ws ON ws.product_id = m.product_id AND ws.warehouse = m.warehouse),
+        a AS (SELECT l.id AS line_id, l.product_id, o.warehouse_code AS warehouse, CAST(GREATEST(0, LEAST(l.qty_backordered,
+            s.avail - COALESCE(SUM(l.qty_backordered) OVER (PARTITION BY l.product_id, o.warehouse_code ORDER BY o.created_at,
+            l.order_id, l.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS INT) AS qty
+          FROM wms_order_lines l JOIN wms_orders o ON o.id = l.order_id JOIN s ON s.product_id = l.product_id
+            AND s.warehouse = o.warehouse_code WHERE l.fulfilment_status IN ('backordered', 'partial')
+            AND l.qty_backordered > 0 AND s.avail > 0)
+        SELECT * FROM a WHERE qty > 0"""),
+    "stream_stock_balance_compacted": (compacted_balance, """
+        SELECT warehouse_code, product_id, CAST(SUM(qty_change) AS BIGINT) AS balance, COUNT(*) AS movements,
+          MAX(created_at) AS last_at FROM wms_audit_log GROUP BY ALL"""),
 }

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stockline.jobs.orders import allocate_backorders, judge_stages
-from stockline.operators.prefix import HOT_ROWS
+from stockline.jobs.common import ledger_rows
+from stockline.operators.prefix import HOT_ROWS, running_totals
 from stockline.sources.snapshots import append_ledger
-from stockline.plans.trading import stage_rank
+from stockline.sources.staging import stage
+from stockline.streaming.stateful import order_stages, served_units
 from stockline.tables import Tables
 
 
@@ -24,10 +24,70 @@ def append_sink(stream: DataFrame, path: str, checkpoint: str, **trigger) -> Str
     )
 
 
-def update_sink(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep every micro-batch's changed rows under ``batch=<id>``; a retried batch replaces its folder."""
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the complete folders ``<kind>=<number>`` below a path, in order."""
+    fs, root = _files(spark, path)
+    if not fs.exists(root):
+        return []
+    found = [s.getPath().getName() for s in fs.listStatus(root)]
+    done = [n for n in found if n.startswith(f"{kind}=") and fs.exists(_files(spark, f"{path}/{n}/_SUCCESS")[1])]
+    return sorted(int(n.split("=")[1]) for n in done)
+
+
+def _changes(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """The newest complete snapshot (-1: none) and the change folders after it."""
+    base = max(_numbers(spark, path, "base"), default=-1)
+    return base, [n for n in _numbers(spark, path, "batch") if n > base]
+
+
+def _newest(spark: SparkSession, path: str, keys: Sequence[str], base: int, batches: Sequence[int]) -> DataFrame:
+    parts = [spark.read.parquet(f"{path}/batch={n}").withColumn("_batch", F.lit(n)) for n in batches]
+    if base >= 0:
+        parts.append(spark.read.parquet(f"{path}/base={base}").withColumn("_batch", F.lit(-1)))
+    rows = reduce(DataFrame.unionByName, parts)
+    values = [c for c in rows.columns if c not in keys and c != "_batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v")).select(*keys, "v.*")
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str]) -> None:
+    """Merge snapshot and change folders into a new snapshot; the old ones go once it is complete.
+
+    A run that is stopped before leaves a snapshot without its mark, which nobody reads and the next run
+    replaces; one that is stopped while removing leaves folders that are older than the snapshot, which
+    nobody reads either and the next run removes.
+    """
+    base, batches = _changes(spark, path)
+    if batches:
+        _newest(spark, path, keys, base, batches).write.mode("overwrite").parquet(f"{path}/base={batches[-1]}")
+        base = batches[-1]
+    for kind, old in (("batch", lambda n: n <= base), ("base", lambda n: n < base)):
+        for n in filter(old, _numbers(spark, path, kind)):
+            fs, target = _files(spark, f"{path}/{kind}={n}")
+            fs.delete(target, True)
+
+
+def update_sink(
+    stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] | None = None, every: int = 16, **trigger
+) -> StreamingQuery:
+    """Keep every micro-batch's changed rows under ``batch=<id>``; a retried batch replaces its folder.
+
+    With ``keys``, change folders are merged into a snapshot after each ``every`` micro-batches, so ``latest``
+    reads one snapshot and ``every`` folders at most, however long the stream has run.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # A batch that is repeated after it went into a snapshot would count as newer than it is.
+        if keys and max(_numbers(spark, path, "base"), default=-1) >= batch_id:
+            return
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if keys and len(_changes(spark, path)[1]) >= every:
+            compact(spark, path, keys)
 
     return (
         stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
@@ -37,17 +97,32 @@ def update_sink(stream: DataFrame, path: str, checkpoint: str, **trigger) -> Str
 
 def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Current rows of an update sink: of each key the one written last."""
-    changes = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    values = [c for c in changes.columns if c not in keys and c != "batch"]
-    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
-    return newest.select(*keys, "v.*")
+    base, batches = _changes(spark, path)
+    return _newest(spark, path, keys, base, batches)
+
+
+BUCKETS = 64
+
 
+def _bucket(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)).cast("int")
 
-def _batches(spark: SparkSession, path: str, schema: str, upto: int) -> DataFrame:
-    """Rows of the micro-batches before ``upto``; the folder filter prunes, and no batch yet gives no rows."""
-    if upto == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(f"{schema}, batch int").parquet(path).where(F.col("batch") < upto).drop("batch")
+
+def _queue(t: Tables, path: str, hot_rows: int) -> DataFrame:
+    """Open backorders in serving order, written once: each line with the units of its stock row queued ``before`` it."""
+    spark = t.orders.sparkSession
+    fs, mark = _files(spark, f"{path}/_SUCCESS")
+    if not fs.exists(mark):
+        orders = t.orders.select(F.col("id").alias("order_id"), "order_ref", F.col("warehouse_code").alias("warehouse"), "created_at")
+        lines = t.order_lines.where(
+            F.col("fulfilment_status").isin("backordered", "partial") & (F.col("qty_backordered") > 0) & F.col("product_id").isNotNull()
+        ).select(F.col("id").alias("line_id"), "order_id", "product_id", F.col("qty_backordered").cast("bigint").alias("need"))
+        order = [F.col("created_at"), F.col("order_id"), F.col("line_id")]
+        numbered = running_totals(
+            lines.join(orders.where("warehouse IS NOT NULL"), "order_id"), ["product_id", "warehouse"], order, {"before": F.col("need")}, hot_rows=hot_rows)
+        numbered.withColumn("bucket", _bucket("product_id", "warehouse")).hint("rebalance", F.col("bucket")).write.mode(
+            "overwrite").partitionBy("bucket").parquet(path)
+    return spark.read.parquet(path)
 
 
 def stream_backorder_allocation(
@@ -55,86 +130,55 @@ def stream_backorder_allocation(
 ) -> StreamingQuery:
     """Serve backorders whenever stock is received, from a stream of ledger rows.
 
-    ``t`` is the state the stream starts from and is never rewritten. Each
-    micro-batch appends what moved and what it allocated, and adds up the earlier
-    batches only for the products and warehouses that just received stock. A
-    retried micro-batch replaces its own folders. Results: ``root/allocations``
-    and ledger rows in ``root/ledger``.
+    ``t`` is the state the stream starts from and is never rewritten. The queue of open lines is numbered
+    once, in ``root/queue``: a line stands for the units from ``before`` to ``before + need`` of its stock
+    row's queue. What the stream keeps per stock row is how far its queue is served (``served_units``), so a
+    micro-batch reads the folders of those stock rows that it serves, and nothing of earlier micro-batches.
+    A retried micro-batch replaces its own folders. Results: ``root/allocations`` and ledger rows in ``root/ledger``.
     """
-    lines, stock = dict(t.order_lines.dtypes), dict(t.warehouse_stock.dtypes)
     key = ["product_id", "warehouse"]
-    moves_schema = f"product_id {stock['product_id']}, warehouse {stock['warehouse']}, change bigint, received boolean, latest timestamp_ntz"
-    served_schema = f"line_id {lines['id']}, product_id {stock['product_id']}, warehouse {stock['warehouse']}, qty int"
+    queue = _queue(t, f"{root}/queue", hot_rows)
+    opening = stage(t.warehouse_stock.join(queue.groupBy(*key).agg(F.sum("need").alias("queued")), key).select(
+        *key, (F.col("qty_on_hand") - F.col("qty_reserved")).cast("bigint").alias("free"), "queued"), "opening-queues")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        mine = f"{root}/moves/batch={batch_id}"
-        batch.where(F.col("product_id").isNotNull()).groupBy(
-            "product_id", F.col("warehouse_code").alias("warehouse")
-        ).agg(
-            F.coalesce(F.sum("qty_change"), F.lit(0)).alias("change"),
-            F.bool_or(F.col("action") == "stock_received").alias("received"),
-            F.max("created_at").cast("timestamp_ntz").alias("latest"),
-        ).write.mode("overwrite").parquet(mine)
-        own = spark.read.schema(moves_schema).parquet(mine)
-        touched = own.where("received").select(*key)
-        # The time of the batch itself, so that a repeated batch writes the same ledger rows.
-        asof = own.agg(F.max("latest")).first()[0] or datetime(1970, 1, 1)
-
-        moved = _batches(spark, f"{root}/moves", moves_schema, batch_id + 1).groupBy(*key).agg(F.sum("change").alias("_in"))
-        served = _batches(spark, f"{root}/allocations", served_schema, batch_id)
-        taken = served.groupBy(*key).agg(F.sum("qty").alias("_taken"))
-        now = t.warehouse_stock.join(touched, key, "left_semi").join(moved, key, "left").join(taken, key, "left").select(*key, *[
-            (F.col(c) + F.coalesce(extra, F.lit(0))).cast("int").alias(c)
-            for c, extra in (("qty_on_hand", "_in"), ("qty_reserved", "_taken"))
-        ])
-        per_line = served.groupBy(F.col("line_id").alias("id")).agg(F.sum("qty").cast("int").alias("_served"))
-        open_lines = t.order_lines.join(per_line, "id", "left").withColumn(
-            "qty_backordered", F.col("qty_backordered") - F.coalesce("_served", F.lit(0))
-        ).drop("_served")
-        job = allocate_backorders(
-            t.replace(warehouse_stock=now, order_lines=open_lines), asof, hot_rows=hot_rows
-        )
+        mine = f"{root}/served/batch={batch_id}"
+        marked = batch.withColumn("bucket", _bucket(*key))
+        marked.write.mode("overwrite").parquet(mine)
+        served = spark.read.schema(marked.schema).parquet(mine)
+        touched = [r[0] for r in served.select("bucket").distinct().collect()]  # at most BUCKETS
+        lines = spark.read.parquet(f"{root}/queue").where(F.col("bucket").isin(touched)).drop("bucket")
+        first, last = F.greatest("before", "served_from"), F.least(F.col("before") + F.col("need"), F.col("served_to"))
+        given = lines.join(served.drop("bucket"), key).where(last > first).select(
+            "line_id", *key, (last - first).cast("int").alias("qty"), "order_id", "order_ref", "at",
+            (F.col("before") + F.col("need") - first).alias("open"))
         out = f"{root}/allocations/batch={batch_id}"
-        job.accepted.select(
-            "line_id", "product_id", F.col("warehouse_code").alias("warehouse"), F.col("qty_fulfilled").alias("qty")
-        ).write.mode("overwrite").parquet(out)
-        append_ledger(job.ledger, f"{root}/ledger", f"backorders-{batch_id}")
+        given.write.mode("overwrite").parquet(out)
+        done = spark.read.schema(given.schema).parquet(out)
+        append_ledger(ledger_rows(
+            done, "backorder_fulfilled", "order", F.col("order_id"),
+            F.concat(F.lit("Auto-fulfilled "), F.col("qty").cast("string"), F.lit(" of "), F.col("open").cast("string"),
+                     F.lit(" backordered units for "), "order_ref"),
+            F.col("at"), F.col("warehouse"), F.col("product_id"), F.col("qty"),
+        ), f"{root}/ledger", f"backorders-{batch_id}")
 
     return (
-        ledger.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        served_units(ledger, opening).writeStream.foreachBatch(run).outputMode("append").option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
-def stream_order_states(actions: DataFrame, t: Tables, root: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Judge a stream of order actions (request_id, order_id, action, requested_at).
+def stream_order_states(actions: DataFrame, t: Tables, root: str, checkpoint: str, delay: str = "0 seconds", **trigger) -> StreamingQuery:
+    """Judge a stream of order actions (request_id, order_id, action, requested_at) and append the verdicts to ``root/moves``.
 
-    Each micro-batch is judged as a whole, in the order of ``requested_at``, from
-    the stages the earlier micro-batches left, and appended to ``root/moves``;
-    refused rows have ``accepted`` false and an error code. Actions on unknown orders are refused.
+    Stages are kept as state (``order_stages``); refused rows have ``accepted`` false and an error code, and
+    ``order_rejects`` reads them as a stream of their own. Actions on unknown orders are refused.
     """
-    ids = dict(t.orders.dtypes)["id"]
-    request = dict(actions.dtypes)["request_id"]
-    schema = (
-        f"request_id {request}, order_id {ids}, action string, from_status string, to_status string, "
-        "accepted boolean, error_code string"
-    )
+    return append_sink(order_stages(actions, t, delay), f"{root}/moves", checkpoint, **trigger)
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        # Stages only move forward: the furthest one reached is the current one.
-        reached = _batches(batch.sparkSession, f"{root}/moves", schema, batch_id).where("accepted").groupBy("order_id").agg(
-            F.max_by("to_status", stage_rank("to_status")).alias("_now")
-        )
-        orders = t.orders.select(F.col("id").alias("order_id"), "fulfilment_status").join(reached, "order_id", "left").select(
-            "order_id", F.coalesce("_now", "fulfilment_status").alias("was")
-        )
-        judge_stages(orders, batch).select(
-            "request_id", "order_id", "action", "from_status", "to_status", "accepted",
-            F.when(~F.col("accepted"), "invalid_transition").alias("error_code"),
-        ).write.mode("overwrite").parquet(f"{root}/moves/batch={batch_id}")
 
-    return (
-        actions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True})).start()
-    )
+def order_rejects(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The refused actions below ``root`` as a stream; ``schema`` is that of the verdicts."""
+    return spark.readStream.schema(schema).parquet(f"{root}/moves").where("NOT accepted").select(
+        F.col("request_id").cast("string").alias("request_id"), "error_code", F.col("order_id").cast("string").alias("detail"), "late")

@@ -1,13 +1,15 @@
-"""A view that needs its own state: threshold crossings of stock balances."""
+"""Views that need their own state: threshold crossings, order stages, backorders served as stock arrives."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from stockline.sources.staging import stage
 from stockline.streaming.ledger import KEY, wall_time, with_event_time, with_reorder_points
 from stockline.tables import Tables
 
@@ -70,3 +72,127 @@ def stream_low_stock_alerts(ledger: DataFrame, t: Tables, every: str = "1 minute
     return with_reorder_points(polled, t).groupBy(*KEY).transformWithStateInPandas(
         statefulProcessor=_Crossings(), outputStructType=ALERTS, outputMode="Append", timeMode="None"
     )
+
+
+# What an action needs, and what it leads to.
+MOVES = {"pick": (("confirmed",), "picking"), "pack": (("picking", "picked"), "packing"), "ship": (("packing", "packed"), "shipped")}
+
+_EPOCH = datetime(1970, 1, 1)
+
+
+def _millis(at: datetime) -> int:
+    return (at - _EPOCH) // timedelta(milliseconds=1)
+
+
+class _OrderStages(StatefulProcessor):
+    """Keeps an order's stage, and its actions until no earlier one can come."""
+
+    def __init__(self, request: str) -> None:
+        self.request = request
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.stage = handle.getValueState("stage", "status string")
+        self.waiting = handle.getListState("waiting", f"request_id {self.request}, action string, requested_at timestamp_ntz, late boolean")
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.stage.update((initialState.fulfilment_status,))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        new = [(r.request_id, r.action, r.requested_at, _millis(r.requested_at) < mark) for r in rows]
+        self.waiting.appendList(new)
+        self.handle.registerTimer(min(_millis(r[2]) for r in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.waiting.get())
+        due = sorted((r for r in rows if _millis(r[2]) <= mark), key=lambda r: (r[2], r[0] is not None, r[0]))
+        rest = [r for r in rows if _millis(r[2]) > mark]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(_millis(r[2]) for r in rest))
+        elif rows:
+            self.waiting.clear()
+        was = now = self.stage.get()[0] if self.stage.exists() else None
+        for request_id, action, _, late in due:
+            needs, leads = MOVES.get(action, ((), None))
+            accepted = now in needs
+            before, now = now, leads if accepted else now
+            yield Row(request_id=request_id, order_id=key[0], action=action, from_status=before, to_status=now, accepted=accepted,
+                      error_code=None if accepted else "invalid_transition", late=late)
+        if now != was:
+            self.stage.update((now,))
+
+    def close(self) -> None:
+        pass
+
+
+def order_stages(actions: DataFrame, t: Tables, delay: str) -> DataFrame:
+    """One verdict per action, in the order of ``requested_at`` and ``request_id``; run in append mode.
+
+    An action waits until the watermark has passed its time, so one that arrives up to ``delay`` late is judged
+    where it belongs. A later one is judged when it comes, from the stage reached by then, and marked ``late``.
+    The orders' stages are read once, as initial state.
+    """
+    _use_rocksdb(actions)
+    kinds = dict(actions.dtypes)
+    # The time without its watermark: rows behind the watermark must reach the state, too.
+    timed = with_event_time(actions.where(F.col("requested_at").isNotNull() & F.col("order_id").isNotNull()), delay, "requested_at")
+    asked = timed.select("order_id", "request_id", "action", "requested_at")
+    # Initial state travels with the query, so it has to be a plain scan.
+    opening = stage(t.orders.where("id IS NOT NULL").select(F.col("id").alias("order_id"), "fulfilment_status"), "opening-stages").groupBy("order_id")
+    return asked.groupBy("order_id").transformWithState(
+        statefulProcessor=_OrderStages(kinds["request_id"]), outputMode="Append", timeMode="EventTime", initialState=opening,
+        outputStructType=f"request_id {kinds['request_id']}, order_id {kinds['order_id']}, action string, from_status string, to_status string, "
+                         "accepted boolean, error_code string, late boolean")
+
+
+class _Queues(StatefulProcessor):
+    """Keeps three numbers of a stock row with backorders: units free, units ever queued, units of the queue served."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("queue", "free bigint, queued bigint, served bigint")
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.state.update((initialState.free, initialState.queued, 0))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        change, received, latest = 0, False, None
+        for r in rows:
+            change += r.change
+            received |= r.received
+            latest = r.created_at if latest is None else max(latest, r.created_at)
+        if not self.state.exists():
+            return
+        free, queued, served = self.state.get()
+        free += change
+        upto = min(queued, served + free) if received else served
+        if upto > served:
+            yield Row(product_id=key[0], warehouse=key[1], served_from=served, served_to=upto, at=latest)
+            free, served = free - (upto - served), upto
+        self.state.update((free, queued, served))
+
+    def close(self) -> None:
+        pass
+
+
+def served_units(ledger: DataFrame, opening: DataFrame) -> DataFrame:
+    """Which units of each stock row's backorder queue a micro-batch serves: ``served_from`` up to ``served_to``.
+
+    ``opening``: product_id, warehouse, free, queued. A row is served when a micro-batch brings it
+    received stock, from what is free after all of the batch's movements. State is three numbers per
+    stock row with backorders; nothing else is kept or looked at.
+    """
+    _use_rocksdb(ledger)
+    key = ["product_id", "warehouse"]
+    moves = ledger.where(F.col("product_id").isNotNull() & F.col("warehouse_code").isNotNull()).select(
+        "product_id", F.col("warehouse_code").alias("warehouse"), F.coalesce("qty_change", F.lit(0)).cast("bigint").alias("change"),
+        F.coalesce(F.col("action") == "stock_received", F.lit(False)).alias("received"),
+        F.coalesce("created_at", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")).alias("created_at"),
+    )
+    kinds = dict(opening.dtypes)
+    return moves.groupBy(*key).transformWithState(
+        statefulProcessor=_Queues(), outputMode="Append", timeMode="None", initialState=opening.groupBy(*key),
+        outputStructType=f"product_id {kinds['product_id']}, warehouse {kinds['warehouse']}, served_from bigint, served_to bigint, at timestamp_ntz")

@@ -4,6 +4,6 @@ from stockline.streaming.ledger import (  # noqa: F401
     read_ledger_stream, stream_burn_rate, stream_dedup_ledger, stream_movements_by_day, stream_stock_balance,
 )
 from stockline.streaming.sinks import (  # noqa: F401
-    append_sink, latest, stream_backorder_allocation, stream_order_states, update_sink,
+    append_sink, compact, latest, order_rejects, stream_backorder_allocation, stream_order_states, update_sink,
 )
 from stockline.streaming.stateful import stream_low_stock_alerts  # noqa: F401

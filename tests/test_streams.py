@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockline import streams
+from stockline.jobs.orders import advance_orders, allocate_backorders
 from stockline.sources.snapshots import read_ledger
 from stockline.tables import SCHEMAS
 
@@ -108,6 +109,72 @@ def test_order_stage_stream_matches_the_state_machine(spark, tables, ledger, tmp
     assert got["5"].error_code == "invalid_transition"
 
 
+def test_late_actions_are_judged_where_they_belong(spark, tables, ledger, tmp_path):
+    """Three micro-batches out of order within the delay equal one batch; what comes later still gets a verdict, and is marked."""
+    hours = lambda n: T0 + timedelta(hours=n)
+    t = tables(orders=[dict(id="a", fulfilment_status="confirmed"), dict(id="b", fulfilment_status="confirmed")])
+    schema = "request_id string, order_id string, action string, requested_at timestamp_ntz"
+    action = lambda i, o, a, n: dict(request_id=str(i), order_id=o, action=a, requested_at=hours(n))
+    stream, path = ledger(
+        [action(1, "a", "ship", 5), action(2, "b", "pick", 1), action(9, "nobody", "pick", 1)],
+        [action(3, "a", "pack", 3), action(4, "a", "pick", 2), action(5, "b", "ship", 6)],
+        [action(6, "a", "pick", 1), action(7, "b", "pack", 4), action(8, "b", "pack", 40)],
+        [action(11, "a", "pick", 90)], [action(10, "b", "pack", 2)], schema=schema)
+    root = str(tmp_path / "state")
+    streams.stream_order_states(stream, t, root, str(tmp_path / "cp"), delay="12 hours").awaitTermination()
+    moves = spark.read.parquet(f"{root}/moves")
+    got = {r.request_id: (r.accepted, r.to_status, r.late) for r in moves.collect()}
+    assert got == {
+        "6": (True, "picking", False), "4": (False, "picking", False), "3": (True, "packing", False), "1": (True, "shipped", False),
+        "2": (True, "picking", False), "7": (True, "packing", False), "5": (True, "shipped", False), "9": (False, None, False),
+        "8": (False, "shipped", False), "10": (False, "shipped", True)}  # 11 waits for the watermark
+    batch = advance_orders(t.replace(order_lines=t.order_lines), spark.read.schema(schema).parquet(path).where("request_id NOT IN ('10', '11')"))
+    refused = streams.order_rejects(spark, root, moves.schema)
+    out = run_append(refused, tmp_path / "rejects")
+    assert {r.request_id for r in out.where("NOT late").collect()} == {r.request_id for r in batch.rejects.collect()}
+    assert [(r.request_id, r.error_code, r.detail) for r in out.where("late").collect()] == [("10", "invalid_transition", "b")]
+
+
+def test_changes_are_merged_into_snapshots(spark, ledger, tmp_path):
+    files = [[row(10 * n + i, n, product="pqrs"[(n + i) % 4], qty=n + 1) for i in range(2)] for n in range(7)]
+    stream, _ = ledger(*files)
+    out, keys = str(tmp_path / "out"), ["warehouse_code", "product_id"]
+    streams.update_sink(streams.stream_stock_balance(stream), out, str(tmp_path / "cp"), keys=keys, every=3).awaitTermination()
+    folders = {f for f in os.listdir(out) if "=" in f}
+    assert len([f for f in folders if f.startswith("base=")]) == 1 and len(folders) <= 3
+    want = {}
+    for r in (r for f in files for r in f):
+        want[r["product_id"]] = want.get(r["product_id"], 0) + r["qty_change"]
+    assert {r.product_id: r.balance for r in streams.latest(spark, out, keys).collect()} == want
+    # A merge that was stopped: no mark, so nobody reads it; then folders that should have gone.
+    os.makedirs(f"{out}/base=99")
+    spark.range(3).write.parquet(f"{out}/base=99/_temporary/0")
+    streams.compact(spark, out, keys)
+    (base,) = [f for f in os.listdir(out) if f.startswith("base=") and f != "base=99"]
+    spark.createDataFrame([("uk", "p", -1, 1, T0)], "warehouse_code string, product_id string, balance long, movements long, last_at timestamp_ntz").write.parquet(f"{out}/batch=0")
+    assert {r.product_id: r.balance for r in streams.latest(spark, out, keys).collect()} == want
+    streams.compact(spark, out, keys)
+    assert {f for f in os.listdir(out) if "=" in f} == {base, "base=99"}
+    assert {r.product_id: r.balance for r in streams.latest(spark, out, keys).collect()} == want
+
+
+def test_backorders_over_several_batches_equal_one_allocation(spark, tables, ledger, tmp_path):
+    """Stock that only arrives: what three micro-batches serve adds up to what one batch job serves at the end."""
+    orders = [dict(id=f"o{i}", order_ref=f"R{i}", warehouse_code="uk", created_at=T0 + timedelta(i)) for i in range(12)]
+    lines = [dict(id=f"l{i}", order_id=f"o{(i * 5) % 12}", product_id="pq"[i % 2], qty_backordered=i % 4 + 1, fulfilment_status="backordered") for i in range(24)]
+    stock = [dict(id=p, product_id=p, warehouse="uk", qty_on_hand=0, qty_reserved=0) for p in "pq"]
+    t = tables(orders=orders, order_lines=lines, warehouse_stock=stock)
+    files = [[row(1, 0, "stock_received", "p", 7)], [row(2, 1, "stock_received", "q", 4), row(3, 1, "stock_received", "p", 1)], [row(4, 2, "stock_received", "q", 9), row(5, 2, "stock_received", "z", 9)]]
+    stream, _ = ledger(*files)
+    root = str(tmp_path / "state")
+    streams.stream_backorder_allocation(stream, t, root, str(tmp_path / "cp")).awaitTermination()
+    got = {r.line_id: r.qty for r in spark.read.parquet(f"{root}/allocations").groupBy("line_id").agg(F.sum("qty").alias("qty")).collect()}
+    after = tables(orders=orders, order_lines=lines, warehouse_stock=[{**s, "qty_on_hand": {"p": 8, "q": 13}[s["product_id"]]} for s in stock])
+    assert got == {r.line_id: r.qty_fulfilled for r in allocate_backorders(after, T0).accepted.collect()}
+    notes = {r.notes for r in read_ledger(spark, f"{root}/ledger").collect()}
+    assert all(n.startswith("Auto-fulfilled ") and " backordered units for R" in n for n in notes)
+
+
 def test_backorders_are_served_as_stock_arrives(spark, tables, ledger, tmp_path):
     t = tables(
         orders=[dict(id="o1", order_ref="R1", warehouse_code="uk", created_at=T0), dict(id="o2", order_ref="R2", warehouse_code="uk", created_at=T0 + timedelta(1))],
