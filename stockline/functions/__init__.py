@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, functions as F
 
 MONEY = "decimal(18,2)"
+LARGEST = 9_999_999_999  # money columns hold ten digits before the point
 
 
 def col(c: str | Column) -> Column:
@@ -78,14 +79,16 @@ def margin_pct(sell: str | Column, cost: str | Column) -> Column:
 def discounted(base: str | Column, pct: Column) -> Column:
     """Price after a percentage discount, rounded half-up to pennies."""
     factor = (F.lit(100) - pct).cast("decimal(7,2)")
-    return F.round(col(base).cast("decimal(12,2)") * factor / 100, 2).cast("decimal(12,2)")
+    return F.round(col(base).cast("decimal(20,6)") * factor / 100, 2).cast("decimal(12,2)")
 
 
 # -- text --------------------------------------------------------------------
 
 def parse_int(c: str | Column) -> Column:
-    """Leading integer of a text, 0 when there is none (lenient request parsing)."""
-    return F.coalesce(parse_int_strict(c), F.lit(0))
+    """Leading integer of a text, 0 when there is none (lenient request parsing), NULL when it does not fit."""
+    text = F.trim(col(c).cast("string"))
+    digits = F.coalesce(F.regexp_extract(text, r"^([+-]?\d+)", 1), F.lit(""))
+    return F.coalesce(text.try_cast("int"), F.when(digits == "", 0).otherwise(F.nullif(digits, F.lit("")).try_cast("int")))
 
 
 def parse_int_strict(c: str | Column) -> Column:
@@ -94,9 +97,18 @@ def parse_int_strict(c: str | Column) -> Column:
     return F.coalesce(text.try_cast("int"), F.regexp_extract(text, r"^([+-]?\d+)", 1).try_cast("int"))
 
 
+def parse_number(c: str | Column) -> Column:
+    """Whole text as a number with six decimals, 0 when it is not one, NULL when it is too large for a money column."""
+    text = F.trim(col(c).cast("string"))
+    value, number = text.try_cast("decimal(20,6)"), text.try_cast("double")
+    is_number = F.coalesce(~F.isnan(number) & (F.abs(number) < float("inf")), F.lit(False))
+    # Not a number: 0. A number that does not fit: NULL.
+    return F.when(~is_number, F.lit(0).cast("decimal(20,6)")).when(F.abs(value) < F.lit(LARGEST).cast("decimal(20,6)"), value)
+
+
 def parse_money(c: str | Column) -> Column:
-    """Whole text as a number with two decimals, 0 when it is not one."""
-    return F.coalesce(F.trim(col(c).cast("string")).try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
+    """``parse_number``, rounded to two decimals."""
+    return parse_number(c).try_cast("decimal(12,2)")
 
 
 def text_or(c: str | Column, default: str | None) -> Column:

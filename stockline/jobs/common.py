@@ -114,6 +114,14 @@ def missing(*columns: str) -> Column:
     ])
 
 
+OUT_OF_RANGE = "out_of_range"
+
+
+def unfit(*numbers: Column) -> Column:
+    """True where any of the parsed numbers does not fit its column."""
+    return reduce(lambda a, b: a | b, [n.isNull() for n in numbers], F.lit(False))
+
+
 def nested_lines(requests: DataFrame, column: str = "lines") -> tuple[DataFrame, DataFrame]:
     """Split requests with an array of lines into headers and flat lines numbered from 1."""
     lines = requests.select("request_id", F.posexplode(column).alias("_p", "_l")).select(

@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from stockline.functions import available, parse_int, parse_money, text_or
+from stockline.functions import available, parse_int, parse_money, parse_number, text_or
 from stockline.jobs.common import (
-    JobResult, append_rows, missing, no_ledger, rank, reject, union, updated,
+    OUT_OF_RANGE, JobResult, append_rows, missing, no_ledger, rank, reject, unfit, union, updated,
 )
 from stockline.operators.allocation import allocate_fifo
 from stockline.operators.movements import apply_deltas
@@ -26,7 +26,9 @@ PATCHABLE = (
 def ingest_customers(t: Tables, requests: DataFrame) -> JobResult:
     """New customers with defaults; company names are unique, the first request of a name wins."""
     named = requests.withColumn("company_name", F.trim(F.coalesce(F.col("company_name"), F.lit(""))))
-    filled = named.where(F.col("company_name") != "")
+    discount = parse_money("default_discount_pct").try_cast("decimal(5,2)")
+    too_large = unfit(parse_money("credit_limit_gbp"), discount)
+    filled = named.where((F.col("company_name") != "") & ~too_large)
     first = filled.groupBy("company_name").agg(F.min(rank()).alias("_first"))
     taken = t.customers.select("company_name").distinct().withColumn("_taken", F.lit(True))
     judged = filled.join(first, "company_name").join(taken, "company_name", "left").withColumn(
@@ -41,10 +43,11 @@ def ingest_customers(t: Tables, requests: DataFrame) -> JobResult:
         text_or("payment_terms", "prepaid").alias("payment_terms"),
         parse_money("credit_limit_gbp").alias("credit_limit_gbp"),
         F.lit(0).cast("decimal(12,2)").alias("credit_used_gbp"),
-        parse_money("default_discount_pct").cast("decimal(5,2)").alias("default_discount_pct"),
+        discount.alias("default_discount_pct"),
     )
     bad = union(
         reject(named.where(F.col("company_name") == ""), "company_name_required"),
+        reject(named.where((F.col("company_name") != "") & too_large), OUT_OF_RANGE),
         reject(judged.where(~F.col("_ok")), "duplicate_company_name", "company_name"),
     )
     return JobResult({"customers": append_rows(t.customers, new)}, no_ledger(new), bad, new)
@@ -89,8 +92,9 @@ def ingest_invoices(
     """
     region_warehouses = {"us": "us"} if region_warehouses is None else region_warehouses
     counts = lines.groupBy("request_id").agg(
-        F.count("*").alias("line_count"), F.sum(parse_int("quantity")).cast("int").alias("total_units"),
-        F.sum(parse_money("subtotal")).cast("decimal(12,2)").alias("total_value_gbp"),
+        F.count("*").alias("line_count"), F.sum(parse_int("quantity")).try_cast("int").alias("total_units"),
+        F.round(F.sum(parse_number("subtotal")), 2).try_cast("decimal(12,2)").alias("total_value_gbp"),
+        F.bool_or(unfit(parse_int("quantity"), parse_number("subtotal"), parse_money("trade_price"))).alias("unfit"),
     )
     region = F.lower(F.coalesce(F.col("customer_region").cast("string"), F.lit("")))
     kind = dict(t.customers.dtypes)["region"]
@@ -102,7 +106,7 @@ def ingest_invoices(
     })
     error = F.when(F.col("customer_name") == "", "customer_name_required").when(
         F.col("line_count").isNull(), "lines_required"
-    )
+    ).when(F.col("unfit") | unfit(F.col("total_units"), F.col("total_value_gbp")), OUT_OF_RANGE)
     checked = clean.withColumn("_error", error)
     valid = checked.where(F.col("_error").isNull())
 

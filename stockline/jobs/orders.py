@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stockline.functions import MONEY, available, moment, parse_int, parse_money, text_or
+from stockline.functions import MONEY, available, moment, parse_int, parse_money, parse_number, text_or
 from stockline.jobs.common import (
-    JobResult, append_rows, first_per, ledger_rows, missing, no_ledger, no_rejects, rank, reject, union, updated,
+    OUT_OF_RANGE, JobResult, append_rows, first_per, ledger_rows, missing, no_ledger, no_rejects, rank, reject, unfit, union,
+    updated,
 )
 from stockline.jobs.purchasing import _with_line_counts
 from stockline.operators.admission import FOLD_ROWS, admit_within_limit
@@ -122,14 +123,15 @@ def review_decisions(t: Tables, requests: DataFrame, decisions: DataFrame, hot_r
     has to wait for another. ``over_requested`` and ``overdrawn`` in the output
     flag custom quantities above the request and ships from negative stock.
     """
-    counts = decisions.groupBy("request_id").agg(F.count("*").alias("decided"))
+    counts = decisions.groupBy("request_id").agg(
+        F.count("*").alias("decided"), F.bool_or(F.coalesce(F.col("decision") == "custom", F.lit(False)) & unfit(parse_int("custom_qty"))).alias("unfit"))
     orders = t.orders.select(
         F.col("id").alias("order_id"), "order_ref", "warehouse_code",
         F.coalesce("requires_review", F.lit(False)).alias("_open"),
     )
     nonempty = requests.join(counts, "request_id", "left")
     empty = nonempty.where(F.col("decided").isNull())
-    judged = first_per(nonempty.where(F.col("decided").isNotNull()), "order_id").join(
+    judged = first_per(nonempty.where("NOT unfit"), "order_id").join(
         orders, "order_id", "left"
     ).withColumn("_ok", F.col("_first") & F.coalesce("_open", F.lit(False)))
     served = judged.where("_ok")
@@ -215,7 +217,10 @@ def review_decisions(t: Tables, requests: DataFrame, decisions: DataFrame, hot_r
         "orders": updated(t.orders, order_changes, "id"),
         "warehouse_stock": apply_deltas(t.warehouse_stock, reserve, "qty_to_ship", "qty_reserved"),
     }
-    bad = union(reject(empty, "lines_required"), reject(judged.where(~F.col("_ok")), "not_reviewable", "order_id"))
+    bad = union(
+        reject(empty, "lines_required"), reject(nonempty.where("unfit"), OUT_OF_RANGE, "order_id"),
+        reject(judged.where(~F.col("_ok")), "not_reviewable", "order_id"),
+    )
     return JobResult(state, ledger, bad, decided)
 
 
@@ -278,13 +283,13 @@ def create_orders(
     product_id, product_name, sku, qty, base_price (not yet discounted). The
     request id becomes the order's id. Nothing is reserved.
     """
-    counted = _with_line_counts(requests, lines)
+    counted = _with_line_counts(requests, lines, parse_int("qty"), parse_money("base_price"))
     error = F.when(missing("customer_id"), "customer_id_required").when(
         F.col("line_count") == 0, "lines_required"
-    )
+    ).when(F.col("unfit"), OUT_OF_RANGE)
     first = counted.withColumn("_error", error)
     valid = first.where(F.col("_error").isNull()).drop("_error").withColumn(
-        "warehouse_code", F.coalesce(F.col("warehouse_code"), F.lit(default_warehouse))
+        "warehouse_code", F.when(missing("warehouse_code"), F.lit(default_warehouse)).otherwise(F.col("warehouse_code"))
     )
     customers = t.customers.select(
         F.col("id").alias("customer_id"), F.lit(True).alias("_known"), "default_discount_pct"
@@ -294,9 +299,10 @@ def create_orders(
     ).withColumn("_unchecked", ~F.col("_checked")).drop("_known"), "order-headers")
 
     items = lines.select(
-        "request_id", "line_no", "product_id", text_or("product_name", "").alias("product_name"),
+        "request_id", "line_no", F.when(~missing("product_id"), F.col("product_id")).alias("product_id"),
+        text_or("product_name", "").alias("product_name"),
         text_or("sku", "").alias("sku"), parse_int("qty").alias("qty"),
-        parse_money("base_price").alias("base_price_gbp"),
+        parse_number("base_price").alias("base_price_gbp"),
     ).join(
         headers.select("request_id", "customer_id", "warehouse_code", "_checked", "default_discount_pct"), "request_id"
     )
@@ -321,10 +327,11 @@ def create_orders(
         "order-lines",
     )
     totals = ready.groupBy("request_id").agg(
-        F.sum(F.col("qty") * F.col("unit_price_gbp")).cast("decimal(12,2)").alias("total_gbp"),
+        F.round(F.sum(F.col("qty") * F.col("unit_price_gbp")), 2).try_cast("decimal(12,2)").alias("total_gbp"),
         F.bool_or("_short").alias("needs_review"), F.count_if("_below").alias("failures"),
     )
-    summed = stage(headers.join(totals, "request_id"), "order-totals")
+    every = stage(headers.join(totals, "request_id"), "order-totals")
+    summed = every.where(F.col("total_gbp").isNotNull())
     failing = summed.where(F.col("failures") > 0)
     # Only orders with credit terms are held against the limit; the rest, and
     # unchecked ones, are taken as they are.
@@ -343,7 +350,8 @@ def create_orders(
     new_lines = ready.join(numbered.select("request_id", "needs_review"), "request_id").select(
         F.concat_ws("-", F.col("request_id").cast("string"), F.col("line_no").cast("string")).alias("id"),
         F.col("request_id").alias("order_id"), "product_id", "product_name", "sku", F.col("qty").alias("qty_ordered"),
-        F.col("qty").alias("qty_requested"), "unit_price_gbp", F.col("warehouse_code").alias("warehouse_allocated"),
+        F.col("qty").alias("qty_requested"), F.col("unit_price_gbp").cast("decimal(12,2)").alias("unit_price_gbp"),
+        F.col("warehouse_code").alias("warehouse_allocated"),
         F.when(F.col("needs_review"), "pending_review").otherwise("unmatched").alias("fulfilment_status"),
     )
     ledger = ledger_rows(
@@ -355,6 +363,7 @@ def create_orders(
     )
     bad = union(
         reject(first.where(F.col("_error").isNotNull()), F.col("_error")),
+        reject(every.where(F.col("total_gbp").isNull()), OUT_OF_RANGE),
         reject(failing, "moq_not_met", "failures"),
         reject(admitted.where(~F.col("accepted")), "credit_limit_exceeded", "total_gbp"),
     )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stockline.functions import moment, parse_int, parse_money, replenish_qty, text_or
 from stockline.jobs.common import (
-    JobResult, append_rows, first_per, ledger_rows, missing, no_ledger, no_rejects, rank, reject, union, updated,
+    OUT_OF_RANGE, JobResult, append_rows, first_per, ledger_rows, missing, no_ledger, no_rejects, rank, reject, unfit, union,
+    updated,
 )
 from stockline.operators.movements import apply_deltas, balances
 from stockline.operators.numbering import assign_refs
@@ -19,20 +20,23 @@ from stockline.tables import Tables
 def ingest_suppliers(t: Tables, requests: DataFrame) -> JobResult:
     """New suppliers; a lead time that is 0 or not a number becomes 14 days."""
     named = requests.withColumn("name", F.trim(F.coalesce(F.col("name"), F.lit(""))))
-    good = named.where(F.col("name") != "").select(
+    too_long = unfit(parse_int("lead_time_days"))
+    good = named.where((F.col("name") != "") & ~too_long).select(
         F.col("request_id").alias("id"), "name", text_or("contact_email", None).alias("contact_email"),
         F.coalesce(F.nullif(parse_int("lead_time_days"), F.lit(0)), F.lit(14)).alias("lead_time_days"),
         text_or("currency", "GBP").alias("currency"), text_or("notes", None).alias("notes"),
     )
-    bad = reject(named.where(F.col("name") == ""), "name_required")
+    bad = reject(
+        named.where((F.col("name") == "") | too_long), F.when(F.col("name") == "", "name_required").otherwise(OUT_OF_RANGE))
     return JobResult({"suppliers": append_rows(t.suppliers, good)}, no_ledger(good), bad, good)
 
 
-def _with_line_counts(requests: DataFrame, lines: DataFrame) -> DataFrame:
-    counts = lines.groupBy("request_id").agg(F.count("*").alias("line_count"))
-    return requests.join(counts, "request_id", "left").withColumn(
-        "line_count", F.coalesce("line_count", F.lit(0))
-    )
+def _with_line_counts(requests: DataFrame, lines: DataFrame, *numbers: Column) -> DataFrame:
+    """Add ``line_count`` and whether a line has a number that does not fit (``unfit``)."""
+    counts = lines.groupBy("request_id").agg(F.count("*").alias("line_count"), F.bool_or(unfit(*numbers)).alias("unfit"))
+    return requests.join(counts, "request_id", "left").withColumns({
+        "line_count": F.coalesce("line_count", F.lit(0)), "unfit": F.coalesce("unfit", F.lit(False)),
+    })
 
 
 def create_purchase_orders(t: Tables, requests: DataFrame, lines: DataFrame) -> JobResult:
@@ -42,11 +46,11 @@ def create_purchase_orders(t: Tables, requests: DataFrame, lines: DataFrame) ->
     ``lines``: request_id, line_no, product_id, qty_ordered, unit_cost. The
     request id becomes the order's id.
     """
-    counted = _with_line_counts(requests, lines)
+    counted = _with_line_counts(requests, lines, parse_int("qty_ordered"), parse_money("unit_cost"))
     error = (
         F.when(missing("supplier_id"), "supplier_id_required")
         .when(missing("warehouse_code"), "warehouse_code_required")
-        .when(F.col("line_count") == 0, "lines_required")
+        .when(F.col("line_count") == 0, "lines_required").when(F.col("unfit"), OUT_OF_RANGE)
     )
     checked = counted.withColumn("_error", error)
     good = checked.where(F.col("_error").isNull())
@@ -120,8 +124,8 @@ def receive_goods(t: Tables, receipts: DataFrame, hot_rows: int = HOT_ROWS) -> J
     There is no upper bound on a quantity.
     """
     orders = t.purchase_orders.select(F.col("id").alias("po_id"), "po_ref", "warehouse_code", "status")
-    requests = receipts.select("request_id", "po_id", "requested_at").distinct()
-    open_po = F.coalesce(F.col("status").isin("submitted", "partial"), F.lit(False))
+    requests = receipts.groupBy("request_id", "po_id", "requested_at").agg(F.bool_or(unfit(parse_int("qty"))).alias("unfit"))
+    open_po = F.coalesce(F.col("status").isin("submitted", "partial"), F.lit(False)) & ~F.col("unfit")
     known = requests.join(orders, "po_id", "left").withColumn("_open", open_po)
     served = known.where("_open")
 
@@ -192,7 +196,8 @@ def receive_goods(t: Tables, receipts: DataFrame, hot_rows: int = HOT_ROWS) -> J
         "po_lines": new_lines,
         "purchase_orders": updated(t.purchase_orders, changes, "id"),
     }
-    return JobResult(state, ledger, reject(judged.where(~F.col("_ok")), "cannot_receive", "po_id"), changes)
+    return JobResult(state, ledger, reject(
+        judged.where(~F.col("_ok")), F.when(F.col("unfit"), OUT_OF_RANGE).otherwise("cannot_receive"), "po_id"), changes)
 
 
 def auto_reorder(t: Tables, asof, warehouse=None) -> JobResult:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockline.functions import moment, parse_int, parse_int_strict, text_or
 from stockline.jobs.common import (
-    JobResult, append_rows, first_per, ledger_rows, missing, no_ledger, no_rejects, rank, reject, union, updated,
+    OUT_OF_RANGE, JobResult, append_rows, first_per, ledger_rows, missing, no_ledger, no_rejects, rank, reject, union, updated,
 )
 from stockline.operators.movements import KEY, apply_deltas, balances
 from stockline.operators.numbering import assign_refs
@@ -27,7 +27,8 @@ def adjust_stock(t: Tables, requests: DataFrame, hot_rows: int = HOT_ROWS) -> Jo
     bad = missing("product_id", "warehouse") | F.col("adjustment").isNull()
     incomplete = requests.where(bad)
     stock = t.warehouse_stock.select(*KEY, F.col("qty_on_hand").alias("opening"))
-    known = requests.where(~bad).withColumn("qty_change", parse_int("adjustment")).join(stock, KEY, "left")
+    parsed = requests.where(~bad).withColumn("qty_change", parse_int("adjustment"))
+    known = parsed.where(F.col("qty_change").isNotNull()).join(stock, KEY, "left")
     found = known.where(F.col("opening").isNotNull())
     order = [F.col("requested_at"), F.col("request_id")]
     summed = running_totals(
@@ -46,7 +47,7 @@ def adjust_stock(t: Tables, requests: DataFrame, hot_rows: int = HOT_ROWS) -> Jo
         F.col("requested_at"), F.col("warehouse"), F.col("product_id"), F.col("qty_change"), F.col("balance_after"),
     )
     rejects = union(
-        reject(incomplete, "missing_fields"),
+        reject(incomplete, "missing_fields"), reject(parsed.where(F.col("qty_change").isNull()), OUT_OF_RANGE, "product_id"),
         reject(known.where(F.col("opening").isNull()), "stock_record_not_found", "product_id"),
     )
     out = done.select("request_id", *KEY, "qty_change", "balance_after")
@@ -59,7 +60,7 @@ def create_returns(t: Tables, requests: DataFrame) -> JobResult:
     """Register returns with the next RMA references; the default action is restock."""
     qty = parse_int("qty")
     bad = missing("product_id", "warehouse_code") | F.col("qty").isNull() | F.col("qty").cast("string").isin("", "0")
-    good = requests.where(~bad).select("*", qty.alias("_qty"), text_or("action", "restock").alias("_action"))
+    good = requests.where(~bad & qty.isNotNull()).select("*", qty.alias("_qty"), text_or("action", "restock").alias("_action"))
     new = assign_refs(
         good, t.returns, "rma_ref", "RMA", F.year("requested_at"), [F.col("requested_at"), F.col("request_id")]
     ).select(
@@ -73,7 +74,8 @@ def create_returns(t: Tables, requests: DataFrame) -> JobResult:
                  "action"),
         F.col("created_at"), F.col("warehouse_code"), F.col("product_id"),
     )
-    return JobResult({"returns": append_rows(t.returns, new)}, ledger, reject(requests.where(bad), "missing_fields"), new)
+    return JobResult({"returns": append_rows(t.returns, new)}, ledger, union(
+        reject(requests.where(bad), "missing_fields"), reject(requests.where(~bad & qty.isNull()), OUT_OF_RANGE)), new)
 
 
 def _apply_returns(t: Tables, done: DataFrame, prefix: str, suffix: Column, hot_rows: int):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stockline.functions import parse_int, text_or
-from stockline.jobs.common import JobResult, append_rows, first_per, ledger_rows, missing, reject, updated
+from stockline.jobs.common import OUT_OF_RANGE, JobResult, append_rows, first_per, ledger_rows, missing, reject, updated
 from stockline.jobs.purchasing import _with_line_counts
 from stockline.operators.admission import admit_all_or_nothing, so_far
 from stockline.operators.movements import apply_deltas, balances, create_missing
@@ -17,11 +17,11 @@ from stockline.tables import Tables
 
 def create_transfers(t: Tables, requests: DataFrame, lines: DataFrame) -> JobResult:
     """``requests``: request_id, from_warehouse, to_warehouse, notes, requested_at; ``lines``: request_id, line_no, product_id, qty."""
-    counted = _with_line_counts(requests, lines)
+    counted = _with_line_counts(requests, lines, parse_int("qty"))
     error = (
         F.when(missing("from_warehouse", "to_warehouse"), "warehouses_required")
         .when(F.col("from_warehouse") == F.col("to_warehouse"), "same_warehouse")
-        .when(F.col("line_count") == 0, "lines_required")
+        .when(F.col("line_count") == 0, "lines_required").when(F.col("unfit"), OUT_OF_RANGE)
     )
     checked = counted.withColumn("_error", error)
     good = checked.where(F.col("_error").isNull())

@@ -22,7 +22,8 @@ def _with_discount(t: Tables, lines: DataFrame, tier: str) -> DataFrame:
         .withColumn(
             "unit_price_gbp",
             F.when(F.col("discount_pct") > 0, discounted("base_price_gbp", F.col("discount_pct")))
-            .otherwise(F.col("base_price_gbp").cast("decimal(12,2)")),
+            # Without a discount nothing is rounded: further decimals of the base price stay.
+            .otherwise(F.col("base_price_gbp").cast(dict(lines.dtypes)["base_price_gbp"])),
         )
         .drop("at_pct", "best_pct", "default_discount_pct")
     )
