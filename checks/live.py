@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.fixture import BASE, fixture, project
-from checks.batch import SHARED
+from checks.batch import JOBS, SHARED
 from checks.reads import _CATEGORY
-from stockline import streams
+from stockline import jobs, streams
+from stockline.sources.snapshots import write_json
 from stockline.sources.staging import staging_root
 
 
@@ -114,6 +115,36 @@ def backorders(spark, d):
     return spark.read.parquet(f"{out}/allocations").select("line_id", "product_id", "warehouse", "qty")
 
 
+_ADJUSTMENT = "request_id long, product_id long, warehouse int, adjustment string, reason string, requested_at timestamp_ntz"
+
+
+def json_requests(spark, d):
+    """Adjustments as three JSON files, in order of time, and one broken document: one state version per file."""
+    t, requests = fixture(spark, d)
+    asked, root = requests["req_adjustments"], f"{staging_root(spark)}/requests-{uuid.uuid4().hex}"
+    third = asked.agg(F.percentile_approx(F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), "requested_at"), [1 / 3, 2 / 3])).first()[0]
+    seconds = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col("requested_at"))
+    number = sum(((seconds > b).cast("int") for b in third), F.lit(0))
+    for n in range(3):
+        write_json(asked.where(number == n).coalesce(1), f"{root}/in/{n}")
+    spark.createDataFrame([('{"request_id": 7, ',)], "value string").coalesce(1).write.text(f"{root}/in/3")
+    streams.write_state({"warehouse_stock": t.warehouse_stock}, f"{root}/state", 0)
+    streams.stream_requests(spark, f"{root}/in/*", _ADJUSTMENT, jobs.adjust_stock, f"{root}/state", f"{root}/checkpoint", max_files=1).awaitTermination()
+    return root
+
+
+def requests_accepted(spark, d):
+    return spark.read.parquet(f"{json_requests(spark, d)}/state/accepted").select("request_id", "product_id", "warehouse", "qty_change", "balance_after")
+
+
+def requests_rejected(spark, d):
+    return spark.read.parquet(f"{json_requests(spark, d)}/state/rejects").select("request_id", "error_code")
+
+
+def requests_state(spark, d):
+    return streams.read_state(spark, f"{json_requests(spark, d)}/state", 4).warehouse_stock.select("product_id", "warehouse", "qty_on_hand")
+
+
 # A window is emitted once the watermark has passed its end.
 _PASSED = "(SELECT MAX(created_at) FROM wms_audit_log WHERE action = 'stock_shipped') - INTERVAL '1' DAY"
 
@@ -195,4 +226,10 @@ STREAMS = {
     "stream_stock_balance_compacted": (compacted_balance, """
         SELECT warehouse_code, product_id, CAST(SUM(qty_change) AS BIGINT) AS balance, COUNT(*) AS movements,
           MAX(created_at) AS last_at FROM wms_audit_log GROUP BY ALL"""),
+    "json_requests": (requests_accepted, JOBS["adjust_stock"][1]),
+    "json_requests_rejects": (requests_rejected, JOBS["adjust_stock_rejects"][1] + " UNION ALL SELECT NULL, 'invalid_json'"),
+    "json_requests_state": (requests_state, """
+        SELECT ws.product_id, ws.warehouse, COALESCE(x.after, ws.qty_on_hand) AS qty_on_hand FROM wms_warehouse_stock ws
+        LEFT JOIN (SELECT product_id, warehouse, MAX_BY(after, i) AS after FROM req_adj WHERE i > 1 GROUP BY ALL) x
+          ON x.product_id = ws.product_id AND x.warehouse = ws.warehouse"""),
 }

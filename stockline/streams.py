@@ -3,6 +3,7 @@
 from stockline.streaming.ledger import (  # noqa: F401
     read_ledger_stream, stream_burn_rate, stream_dedup_ledger, stream_movements_by_day, stream_stock_balance,
 )
+from stockline.streaming.requests import read_state, stream_requests, write_state  # noqa: F401
 from stockline.streaming.sinks import (  # noqa: F401
     append_sink, compact, latest, order_rejects, stream_backorder_allocation, stream_order_states, update_sink,
 )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stockline import streams
 from stockline.jobs.orders import advance_orders, allocate_backorders
+from stockline.jobs.stock import adjust_stock
 from stockline.sources.snapshots import read_ledger
 from stockline.tables import SCHEMAS
 
@@ -189,3 +190,27 @@ def test_backorders_are_served_as_stock_arrives(spark, tables, ledger, tmp_path)
     # 3 arrive; 1 leaves; 4 arrive: 3 free. Nothing arrived for q, so nothing is looked at.
     assert [(r.batch, r.line_id, r.qty) for r in got] == [(0, "l1", 3), (2, "l1", 2), (2, "l2", 1)]
     assert read_ledger(spark, f"{root}/ledger").count() == 3
+
+
+def test_requests_as_json_files_run_a_job_per_batch(spark, tables, tmp_path):
+    """One state version per micro-batch; a repeated micro-batch writes the same version again."""
+    t = tables(warehouse_stock=[dict(id="1", product_id="p", warehouse="uk", qty_on_hand=5, qty_reserved=0)], warehouses=[dict(code="uk")])
+    root, schema = str(tmp_path / "state"), "request_id string, product_id string, warehouse string, adjustment string, reason string, requested_at timestamp_ntz"
+    streams.write_state({"warehouse_stock": t.warehouse_stock, "warehouses": t.warehouses}, root, 0)
+    (tmp_path / "in").mkdir()
+    line = '{{"request_id": "{}", "product_id": "p", "warehouse": "uk", "adjustment": "{}", "requested_at": "2024-01-0{}T00:00:00"}}\n'
+    for n, text in enumerate([line.format("a", -9, 1) + line.format("b", 4, 2), line.format("c", "x", 1) + '{"request_id": \n', line.format("d", 7, 1) + line.format("e", 3_000_000_000, 2)]):
+        (tmp_path / "in" / f"{n}.json").write_text(text)
+        os.utime(tmp_path / "in" / f"{n}.json", (1000 + n, 1000 + n))
+
+    def run(checkpoint):
+        streams.stream_requests(spark, str(tmp_path / "in"), schema, adjust_stock, root, str(tmp_path / checkpoint), max_files=1).awaitTermination()
+        stock = [streams.read_state(spark, root, v).warehouse_stock.collect()[0].qty_on_hand for v in range(4)]
+        refused = sorted((r.batch, r.request_id or "", r.error_code) for r in spark.read.parquet(f"{root}/rejects").collect())
+        return stock, refused, read_ledger(spark, f"{root}/ledger").count(), spark.read.parquet(f"{root}/accepted").count()
+
+    first = run("cp")
+    assert first == ([5, 4, 4, 11], [(1, "", "invalid_json"), (2, "e", "out_of_range")], 4, 4)
+    assert run("cp-lost") == first  # all micro-batches once more
+    assert streams.read_state(spark, root, 3).warehouses.count() == 1
+    assert os.listdir(f"{root}/tables/warehouses") == ["0"]
