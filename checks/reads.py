@@ -432,19 +432,25 @@ READS: dict[str, tuple[Read, str | None]] = {
         c AS (SELECT r.request_id, ws.warehouse, COUNT(*) FILTER (WHERE ws.qty_on_hand - ws.qty_reserved >=
             CASE WHEN r.qty = 0 THEN 1 ELSE r.qty END) AS covered
           FROM req_orders r JOIN wms_warehouse_stock ws ON ws.product_id = r.product_id GROUP BY ALL),
-        s AS (SELECT n.request_id, n.customer_id, cu.region, w.code AS warehouse, COALESCE(c.covered, 0) = n.lines AS ok,
+        s AS (SELECT n.request_id, n.customer_id, cu.region, w.code AS warehouse, w.name AS warehouse_name,
+            (SELECT MAX(code) FROM wms_warehouses WHERE code = cu.region) AS preferred_warehouse, COALESCE(c.covered, 0) = n.lines AS ok,
             CASE WHEN w.code = cu.region THEN 0 WHEN w.code = (cu.region + 1) % 5 THEN 1 ELSE 2 END AS dist
           FROM n JOIN wms_customers cu ON cu.id = n.customer_id CROSS JOIN wms_warehouses w
           LEFT JOIN c ON c.request_id = n.request_id AND c.warehouse = w.code),
         z AS (SELECT *, 50 + CASE WHEN ok THEN 30 ELSE -20 END + CASE dist WHEN 0 THEN 20 WHEN 1 THEN 10 ELSE -5 END AS score
           FROM s),
         r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY score DESC, warehouse) AS position FROM z)
-        SELECT request_id, customer_id, region, warehouse, score, ok AS can_fulfil,
+        SELECT request_id, customer_id, region, preferred_warehouse, warehouse, warehouse_name, score, ok AS can_fulfil,
           CONCAT(CASE WHEN ok THEN 'Full stock:30' ELSE 'Partial stock:-20' END, ',',
             CASE dist WHEN 0 THEN 'Local warehouse:20' WHEN 1 THEN 'Near region:10' ELSE 'Cross-region:-5' END) AS factors,
           CONCAT_WS('; ', CASE WHEN NOT ok THEN 'Cannot fulfill all items from this warehouse' END,
             CASE WHEN dist > 1 THEN 'Cross-region shipping adds cost and transit time' END) AS warnings,
           CAST(position AS INT) AS position, position = 1 AS recommended FROM r"""),
+    # The same lines, with every seventh request of a customer that does not exist.
+    "unroutable": (lambda t: a.unroutable(t, order_request_lines(t).withColumn(
+        "customer_id", F.when(F.col("request_id") % 7 == 0, -1 - F.col("customer_id")).otherwise(F.col("customer_id")))), """
+        SELECT DISTINCT request_id, 'customer_not_found' AS error_code, CAST(-1 - customer_id AS VARCHAR) AS detail
+        FROM req_orders WHERE request_id % 7 = 0"""),
     "reorder_recommendations": (a.reorder_recommendations, "SELECT * FROM req_recommended"),
     "reorder_recommendations_demand": (a.reorder_recommendations_demand, reorder_sql(BY_DEMAND)),
     "reorder_by_supplier": (a.reorder_by_supplier, """

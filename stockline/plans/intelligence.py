@@ -165,6 +165,7 @@ def route_order(
     or 0 counts as 1); ``distances`` has region, warehouse and distance. A request of an unknown
     customer yields no row (see ``unroutable``). Score: 50, +30 when every line
     is in stock or else -20, +20 local, +10 near, -5 farther. Ties keep the order of ``code``.
+    ``preferred_warehouse`` is that of the customer's region, or of the default region where it has none.
     """
     need = F.coalesce(F.nullif(F.col("qty"), F.lit(0)), F.lit(1))
     stock = t.warehouse_stock.select("product_id", "warehouse", available().alias("avail"))
@@ -187,6 +188,11 @@ def route_order(
         .join(covered, ["request_id", "warehouse"], "left")
         .join(distances, ["region", "warehouse"], "left")
     )
+    names = t.warehouses.select(F.col("code").alias("warehouse"), F.col("name").alias("warehouse_name"))
+    kind = dict(t.warehouses.dtypes)["code"]
+    own = F.when(F.array_contains(codes, F.col("region").cast(kind)), F.col("region").cast(kind))
+    options = options.join(names, "warehouse", "left").withColumn(
+        "preferred_warehouse", F.coalesce(own, F.lit(default_region).cast("string").try_cast(kind)))
     full = F.coalesce("covered", F.lit(0)) == F.col("lines")
     dist = F.coalesce("distance", F.lit(unknown_distance))
     stock_points = F.when(full, 30).otherwise(-20)
@@ -196,7 +202,7 @@ def route_order(
         return F.struct(name.alias("factor"), points.alias("points"))
 
     scored = options.select(
-        "request_id", "customer_id", "region", "warehouse",
+        "request_id", "customer_id", "region", "preferred_warehouse", "warehouse", "warehouse_name",
         (50 + stock_points + near_points).alias("score"), full.alias("can_fulfil"),
         F.array(
             factor(F.when(full, "Full stock").otherwise("Partial stock"), stock_points),
