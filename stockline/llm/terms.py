@@ -44,6 +44,22 @@ class Sample:
     at: np.ndarray
     cols: np.ndarray
     label: np.ndarray
+    telling: np.ndarray     # per column, whether it tells the classes apart by itself
+
+    def rows(self, keep: np.ndarray) -> "Sample":
+        """Some of the rows."""
+        mine = np.flatnonzero(keep)
+        sizes = self.at[mine + 1] - self.at[mine]
+        cols = self.cols[np.repeat(self.at[mine] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        return Sample(self.column_of, self.positives, self.negatives, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), cols, self.label[mine], self.telling)
+
+    def only_telling(self) -> "Sample":
+        """The telling columns alone, with the others' buckets unknown."""
+        number = np.where(self.telling, np.cumsum(self.telling) - 1, -1).astype(np.int32)
+        column_of = np.where(self.column_of >= 0, number[self.column_of], -1).astype(np.int32)
+        stays = self.telling[self.cols]
+        at = np.concatenate(([0], np.cumsum(stays)))[self.at].astype(np.int64)
+        return Sample(column_of, self.positives[self.telling], self.negatives[self.telling], at, number[self.cols[stays]], self.label, self.telling[self.telling])
 
 
 def _each_slab(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -59,8 +75,11 @@ def training_rows(labels: DataFrame, label: str, fold: Column, rows: int = TRAIN
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def gather(docs: DataFrame, labelled: DataFrame, terms: Terms, columns: int, frequent: int = 0) -> Sample:
-    """Count the sample's terms by class and bring its rows, reduced to the chosen columns, to the driver."""
+def gather(docs: DataFrame, labelled: DataFrame, terms: Terms, columns: int, frequent: int = 0, others: int = 0) -> Sample:
+    """Count the sample's terms by class and bring its rows, reduced to the chosen columns, to the driver.
+
+    ``others``: so many of the most frequent terms become columns whatever they tell.
+    """
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +111,8 @@ def gather(docs: DataFrame, labelled: DataFrame, terms: Terms, columns: int, fre
     for r in slots:
         seen[:, r["slot"] * width : (r["slot"] + 1) * width] = np.frombuffer(r["n"], np.int64).reshape(2, -1)
     classes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    chosen = _choose(seen, classes.get(1, 0), classes.get(0, 0), columns, frequent)
+    telling = _choose(seen, classes.get(1, 0), classes.get(0, 0), columns, frequent)
+    chosen = np.union1d(telling, _frequent(seen, others)) if len(telling) else telling
     column_of = np.full(1 << BITS, -1, dtype=np.int32)
     column_of[chosen] = np.arange(len(chosen))
 
@@ -106,7 +126,14 @@ def gather(docs: DataFrame, labelled: DataFrame, terms: Terms, columns: int, fre
     np.random.default_rng(3).shuffle(small)
     cols = [np.frombuffer(c, np.int32) for _, c in small]
     return Sample(column_of, seen[1, chosen], seen[0, chosen], np.concatenate(([0], np.cumsum([len(c) for c in cols]))).astype(np.int64),
-                  np.concatenate([*cols, np.zeros(0, np.int32)]), np.array([l for l, _ in small], dtype=np.int64))
+                  np.concatenate([*cols, np.zeros(0, np.int32)]), np.array([l for l, _ in small], dtype=np.int64), np.isin(chosen, telling))
+
+
+def _frequent(seen: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` buckets with the most rows, of those with any."""
+    rows = seen.sum(axis=0)
+    first = np.lexsort((np.arange(len(rows)), -rows))[:n]
+    return first[rows[first] > 0]
 
 
 def _choose(seen: np.ndarray, n1: int, n0: int, columns: int, frequent: int) -> np.ndarray:
@@ -121,8 +148,7 @@ def _choose(seen: np.ndarray, n1: int, n0: int, columns: int, frequent: int) ->
     c, d = n1 - a, n0 - b
     chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n1 * n0, 1.0)
     order = np.lexsort((np.arange(len(chi)), -chi))[:columns]
-    common = np.lexsort((np.arange(len(chi)), -(a + b)))[:frequent]
-    return np.union1d(order[chi[order] >= LEAST_CHI], common[a[common] + b[common] > 0])
+    return np.union1d(order[chi[order] >= LEAST_CHI], _frequent(seen, frequent))
 
 
 def score_texts(docs: DataFrame, terms: Terms, column_of: np.ndarray, score: Callable[[np.ndarray, np.ndarray, int], np.ndarray], *further: str) -> DataFrame:

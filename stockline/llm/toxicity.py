@@ -5,6 +5,11 @@ weight, each has a vector of ``FACTORS`` numbers; the product of two terms' vect
 weight of their meeting in one text, which a sum of single weights cannot express. Both
 are learnt together by adaptive gradient steps on the log loss.
 
+Two machines are fitted: one over the terms that tell the classes apart by themselves, one
+over the ``OTHERS`` most frequent terms as well, as terms that are neutral alone may be
+toxic together. Most of those terms are noise, so the wider machine scores only where its
+loss on ``1 / HELD`` of the training rows, kept out of both fits, is the smaller one.
+
 Defined results: null and empty texts get the score of a text without known terms; without
 any label, or with one class only, every score is the share of class 1 (0.5 without rows);
 repeated rows score alike; labels without a document and further columns are ignored; an
@@ -21,8 +26,11 @@ from stockline.llm.terms import TRAIN_ROWS, Sample, gather, score_texts, sigmoid
 
 COLUMNS = 4096
 FREQUENT = 64         # terms that take part for their frequency alone
+OTHERS = 4096         # further ones in the wider machine
+HELD = 5              # one in so many training rows decides between the machines
 FACTORS = 8
 EPOCHS = 30
+WIDE_EPOCHS = 20
 BATCH = 64
 HEADS = (5, 7)        # bytes of a word's beginning that are terms of their own
 THRESHOLD = 0.3
@@ -55,12 +63,18 @@ class FactorizationMachine:
             pairs += np.bincount(rows, x, n) ** 2 - np.bincount(rows, x * x, n)
         return self.bias + linear + pairs / 2
 
-    def fit(self, sample: Sample, rate: float = 0.1, decay: float = 1e-4, seed: int = 9) -> "FactorizationMachine":
+    def loss(self, sample: Sample) -> float:
+        """The mean log loss over the sample."""
+        n = len(sample.label)
+        p = np.clip(sigmoid(self.margin(np.repeat(np.arange(n), np.diff(sample.at)), sample.cols, n)), 1e-9, 1 - 1e-9)
+        return float(-np.log(np.where(sample.label == 1, p, 1 - p)).mean())
+
+    def fit(self, sample: Sample, rate: float = 0.1, decay: float = 1e-4, seed: int = 9, epochs: int = EPOCHS) -> "FactorizationMachine":
         rng = np.random.default_rng(seed)
         share = sample.label.mean()
         self.bias = float(np.log(share / (1 - share)))
         gw, gv, gb = np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6), 1e-6
-        for _ in range(EPOCHS):
+        for _ in range(epochs):
             order = rng.permutation(len(sample.label))
             for i in range(0, len(order), BATCH):
                 mine = order[i : i + BATCH]
@@ -82,14 +96,26 @@ class FactorizationMachine:
         return self
 
 
+def learn(sample: Sample) -> tuple[FactorizationMachine, np.ndarray]:
+    """The better one of both machines, and the columns of its buckets."""
+    narrow = sample.only_telling()
+    held = np.arange(len(sample.label)) % HELD == 0
+    if not sample.telling.all() and 0 < sample.label[~held].mean() < 1 and held.any():
+        wide = FactorizationMachine(len(sample.telling)).fit(sample.rows(~held), epochs=WIDE_EPOCHS)
+        least = FactorizationMachine(len(narrow.telling)).fit(narrow.rows(~held)).loss(narrow.rows(held))
+        if wide.loss(sample.rows(held)) < least:
+            return wide, sample.column_of
+    return FactorizationMachine(len(narrow.telling)).fit(narrow), narrow.column_of
+
+
 def score(docs: DataFrame, labels: DataFrame, fold, rows: int = TRAIN_ROWS, further: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the ``further`` columns and ``score`` of every row of ``docs``; labels are learnt only where ``fold`` holds."""
-    sample = gather(docs, training_rows(labels, "toxic", fold, rows), toxic_terms, COLUMNS, FREQUENT)
+    sample = gather(docs, training_rows(labels, "toxic", fold, rows), toxic_terms, COLUMNS, FREQUENT, OTHERS)
     if len(sample.cols) == 0:
         share = float(sample.label.mean()) if len(sample.label) else 0.5
         return docs.select("doc_id", *further, F.lit(share).alias("score"))
-    model = FactorizationMachine(int(sample.column_of.max()) + 1).fit(sample)
-    return score_texts(docs, toxic_terms, sample.column_of, lambda r, c, n: sigmoid(model.margin(r, c, n)), *further)
+    model, column_of = learn(sample)
+    return score_texts(docs, toxic_terms, column_of, lambda r, c, n: sigmoid(model.margin(r, c, n)), *further)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, fold, rows: int = TRAIN_ROWS) -> DataFrame:
