@@ -67,7 +67,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def exact_groups(docs: DataFrame, files_per_batch: int = 256) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256`` and the code points of its text."""
     spark = docs.sparkSession
     digests = docs.select(
         F.monotonically_increasing_id().alias("row_no"), "doc_id",
@@ -87,12 +87,17 @@ def exact_groups(docs: DataFrame, files_per_batch: int = 256) -> DataFrame:
     apart = split.join(by_text, ["digest", "norm"]).drop("norm")
     return plain.unionByName(apart).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
-        (F.col("row_no") == F.col("best.row_no")).alias("kept"), F.col("digest").alias("text_sha256"))
+        (F.col("row_no") == F.col("best.row_no")).alias("kept"), F.col("digest").alias("text_sha256"), "n_points")
 
 
 def drop_copies(docs: DataFrame, files_per_batch: int = 256) -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` does not keep, columns as they are."""
-    stays = exact_groups(docs, files_per_batch).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    """``docs`` without the rows that ``exact_groups`` does not keep, columns as they are.
+
+    Of rows with one id and equal texts the longest original stays; of those that are as long, any one.
+    """
+    stays = exact_groups(docs, files_per_batch).where("kept").select(
+        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_points").alias("__points")).distinct()
     own = docs.withColumn("__digest", F.sha2(normalised().cast("binary"), 256))
-    out = own.join(stays, own["doc_id"].eqNullSafe(stays["__id"]) & (own["__digest"] == stays["__sha"]), "left_semi")
+    longest = F.length(text_or_empty()) == stays["__points"]
+    out = own.join(stays, own["doc_id"].eqNullSafe(stays["__id"]) & (own["__digest"] == stays["__sha"]) & longest, "left_semi")
     return out.dropDuplicates(["doc_id", "__digest"]).drop("__digest")

@@ -30,7 +30,7 @@ OTHERS = 4096         # further ones in the wider machine
 HELD = 5              # one in so many training rows decides between the machines
 FACTORS = 8
 EPOCHS = 30
-WIDE_EPOCHS = 20
+WIDE = {"rate": 0.2, "decay": 1e-3, "epochs": 20}  # the wider machine holds mostly noise, so its numbers are held small
 BATCH = 64
 HEADS = (5, 7)        # bytes of a word's beginning that are terms of their own
 THRESHOLD = 0.3
@@ -101,10 +101,10 @@ def learn(sample: Sample) -> tuple[FactorizationMachine, np.ndarray]:
     narrow = sample.only_telling()
     held = np.arange(len(sample.label)) % HELD == 0
     if not sample.telling.all() and 0 < sample.label[~held].mean() < 1 and held.any():
-        wide = FactorizationMachine(len(sample.telling)).fit(sample.rows(~held), epochs=WIDE_EPOCHS)
+        wide = FactorizationMachine(len(sample.telling)).fit(sample.rows(~held), **WIDE)
         least = FactorizationMachine(len(narrow.telling)).fit(narrow.rows(~held)).loss(narrow.rows(held))
         if wide.loss(sample.rows(held)) < least:
-            return wide, sample.column_of
+            return FactorizationMachine(len(sample.telling)).fit(sample, **WIDE), sample.column_of
     return FactorizationMachine(len(narrow.telling)).fit(narrow), narrow.column_of
 
 

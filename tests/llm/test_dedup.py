@@ -131,3 +131,5 @@ def test_exact_dedup_of_odd_tables(frame):
     left = exact_dedup.drop_copies(frame([(1, "a b"), (1, "a b"), (2, "ab"), (None, "x"), (5, None)]))
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, [(1, "a b"), (None, "x"), (5, None)]))
     assert left.columns == ["doc_id", "text", "label", "n", "fp", "digest", "kept"]
+    left = exact_dedup.drop_copies(frame([(1, "a b"), (1, "a   b   "), (1, "ab"), (2, "ab"), (None, "c d"), (None, "c  d")]))
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, [(1, "a   b   "), (None, "c  d")]))
