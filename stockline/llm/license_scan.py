@@ -11,8 +11,9 @@ template's label. The template table is a constant of the library, so the join t
 the only one that may broadcast by its nature.
 
 Defined results: null and empty texts have no words and no labels; of repeated rows
-each gets its own result; rows that share a ``doc_id`` share the method's labels; an
-empty table gives an empty one; further columns are ignored.
+each gets its own result; votes belong to a text and its id, so rows without an id and rows
+that share one are judged each by its own text; an empty table gives an empty one; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ K = 3
 BAND = 2          # diagonals at most this far apart are one band
 MIN_SHARE = 0.5
 
+# What tells rows apart: the id and 96 bits of hashes of the text.
+ROW = ["doc_id", "text_hash", "text_hash_2"]
+
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases of the base scan.
@@ -68,21 +72,25 @@ def template_runs(spark: SparkSession) -> DataFrame:
     return rows.select("template", "label", F.size("runs").alias("n_runs"), "core", F.inline("runs").alias("t_pos", "gram"))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), F.hash(text_or_empty()).alias("text_hash_2"), words(text_or_empty()).alias("w"))
+
+
 def votes(docs: DataFrame) -> DataFrame:
-    """Merged bands that name their licence: ``doc_id, label, template, share, first_word, last_word``."""
-    runs = docs.select("doc_id", words(text_or_empty()).alias("w")).select("doc_id", F.inline(_grams("w")).alias("pos", "gram"))
+    """Merged bands that name their licence: ``ROW, label, template, share, first_word, last_word``."""
+    runs = _rows(docs).select(*ROW, F.inline(_grams("w")).alias("pos", "gram"))
     templates = template_runs(docs.sparkSession).withColumn("h", F.xxhash64("gram")).withColumnRenamed("gram", "t_gram")
     hits = runs.withColumn("h", F.xxhash64("gram")).join(F.broadcast(templates), "h").where("gram = t_gram")
-    diagonals = hits.groupBy("doc_id", "template", "label", "n_runs", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
+    diagonals = hits.groupBy(*ROW, "template", "label", "n_runs", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
         F.expr("bit_or(shiftleft(1L, t_pos))").alias("places"), F.max(F.coalesce(F.col("core") == F.col("gram"), F.lit(True))).alias("named"),
         F.min("pos").alias("low"), F.max("pos").alias("high"))
-    order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    order = Window.partitionBy(*ROW, "template").orderBy("diagonal")
     fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > BAND).cast("int"), F.lit(0))
     bands = diagonals.withColumn("fresh", fresh).withColumn("band", F.sum("fresh").over(order))
-    return bands.groupBy("doc_id", "template", "label", "n_runs", "band").agg(
+    return bands.groupBy(*ROW, "template", "label", "n_runs", "band").agg(
         F.bit_count(F.expr("bit_or(places)")).alias("votes"), F.max("named").alias("named"), F.min("low").alias("first_word"),
         F.max(F.col("high") + K - 1).alias("last_word")).where("named").select(
-        "doc_id", "label", "template", (F.col("votes") / F.col("n_runs")).alias("share"), "first_word", "last_word")
+        *ROW, "label", "template", (F.col("votes") / F.col("n_runs")).alias("share"), "first_word", "last_word")
 
 
 def _stands_at(w: Column, i: Column, phrase: str) -> Column:
@@ -105,17 +113,18 @@ def scan(docs: DataFrame) -> DataFrame:
         some = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: _stands_at(w, i, phrase))
         return F.when(F.array_contains(w, phrase.split()[-1]), some).otherwise(F.expr("CAST(array() AS ARRAY<INT>)"))
 
-    found = docs.select("doc_id", words(text_or_empty()).alias("w"))
-    found = found.select("doc_id", F.size("w").cast("long").alias("n_words"), *(places(p).alias(label) for p, label in PHRASES.items()))
+    found = _rows(docs).select(*ROW, F.size("w").cast("long").alias("n_words"), *(places(p).alias(label) for p, label in PHRASES.items()))
     everywhere = F.flatten(F.array(*PHRASES.values()))
     base = found.select(
-        "doc_id", "n_words", F.size(everywhere).cast("long").alias("n_base"),
+        *ROW, "n_words", F.size(everywhere).cast("long").alias("n_base"),
         F.array_min(everywhere).cast("long").alias("first_word"), F.array_max(everywhere).cast("long").alias("last_word"),
         F.array_compact(F.array(*(F.when(F.size(label) > 0, F.lit(label)) for label in PHRASES.values()))).alias("base"))
     # No more labels than the templates have, whatever the text.
-    method = votes(docs).groupBy("doc_id").agg(
-        F.collect_set(F.when(F.col("share") >= MIN_SHARE, F.col("label"))).alias("more"), F.max("share").alias("share")).withColumnRenamed("doc_id", "found_id")
-    return base.join(method, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select(
+    method = votes(docs).groupBy(*ROW).agg(
+        F.collect_set(F.when(F.col("share") >= MIN_SHARE, F.col("label"))).alias("more"), F.max("share").alias("share"))
+    method = method.withColumnsRenamed({name: f"found_{name}" for name in ROW})
+    same = [F.col(name).eqNullSafe(F.col(f"found_{name}")) for name in ROW]
+    return base.join(method, same, "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort("base"), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", F.coalesce("more", F.expr("CAST(array() AS ARRAY<STRING>)")))), ",").alias("labels"),

@@ -7,7 +7,12 @@ nodes. Connected components of these edges carry a block to all aliases that no
 of their own judges, unless some alias is allowed by a rule: an allow goes first.
 
 Rules are joined by host suffix and path prefix: every URL offers the suffixes of its
-host, and a rule meets those that equal its host. So the number of rules is free.
+host, with them the beginnings of its path that are as long as some rule's path for that
+host, and a rule meets those that equal it. So the number of rules of a host is free.
+
+Links are resolved against their page: ``//host``, ``/path``, ``name``, ``../name`` and
+``?query``; ``rel`` may list further words beside ``canonical``. A link that is no web
+address (``mailto:``) gives no edge. A ``<base>`` tag is not read.
 
 Defined results: a null URL or one without ``://`` has empty host and path, fits no
 rule and is allowed; equal rules with different verdicts allow; repeated rows are
@@ -40,18 +45,39 @@ def node(url: Column) -> Column:
     return F.when(host != "", F.concat(host, bare))
 
 
-def _absolute(link: Column, base: Column) -> Column:
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+_CANONICAL = r"""(?is)^<link\b.*\srel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"""
+_REFRESH = r"(?is)^<meta\b.*http-equiv\s*=\s*.?refresh"
+
+
+def _without_dots(path: Column) -> Column:
+    """The path with its ``.`` and ``..`` steps taken."""
+    def step(done: Column, name: Column) -> Column:
+        return F.when(name == ".", done).when(name == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(name)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.expr("CAST(array() AS ARRAY<STRING>)"), step), "/")
+
+
+def resolve(link: Column, base: Column) -> Column:
+    """The address that ``link`` means on page ``base``, without query where it is relative; null for other schemes."""
     root = F.regexp_extract(base, r"^[^:]*://[^/?#]*", 0)
-    return F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(F.lit("http:"), link)).when(link.startswith("/"), F.concat(root, link))
+    path = host_and_path(base)[1]
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    bare = F.regexp_extract(link, r"^[^?#]*", 0)
+    return (
+        F.when(link.rlike(_SCHEME + "//"), link).when(link.rlike(_SCHEME), F.lit(None).cast("string"))
+        .when(link.startswith("//"), F.concat(F.lit("http:"), link))
+        .when(bare == "", F.concat(root, path)).when(link.startswith("/"), F.concat(root, _without_dots(bare)))
+        .otherwise(F.concat(root, _without_dots(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), bare)))))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """``source, target`` nodes of the canonical links and the refresh redirects in ``html``."""
     tags = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    tags = pages.select("url", F.explode(F.filter(tags, lambda t: t.rlike(r"(?i)rel\s*=\s*.?canonical|http-equiv\s*=\s*.?refresh"))).alias("tag"))
+    tags = pages.select("url", F.explode(F.filter(tags, lambda t: t.rlike(_CANONICAL) | t.rlike(_REFRESH))).alias("tag"))
     link = F.when(F.col("tag").rlike(r"(?i)^<link"), F.regexp_extract("tag", r"""(?i)href\s*=\s*["']?([^"'\s>]+)""", 1)).otherwise(
         F.regexp_extract("tag", r"""(?i)url\s*=\s*["']?([^"'\s>;]+)""", 1))
-    return tags.select(node(F.col("url")).alias("source"), node(_absolute(link, F.col("url"))).alias("target")).where("source <> target")
+    return tags.select(node(F.col("url")).alias("source"), node(resolve(link, F.col("url"))).alias("target")).where("source <> target")
 
 
 def _with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -61,7 +87,9 @@ def _with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keys = pages.where("host <> ''").select("host", "path", F.explode(suffixes).alias("r_host")).distinct()
-    fits = keys.join(rules, "r_host").where(F.expr("startswith(path, r_path)"))
+    lengths = rules.select("r_host", F.length("r_path").alias("r_length")).distinct()
+    begins = keys.join(lengths, "r_host").where("r_length <= length(path)").select("host", "path", "r_host", F.expr("substring(path, 1, r_length)").alias("r_path"))
+    fits = begins.join(rules, ["r_host", "r_path"])
     longest = fits.groupBy("host", "path").agg(F.max(F.struct(F.length(F.concat("r_host", "r_path")), (F.col("r_verdict") == "allow").alias("a"), F.concat("r_host", "r_path").alias("rule"), "r_verdict")).alias("best"))
     return pages.join(longest.select("host", "path", "best.rule", F.col("best.r_verdict").alias("own")), ["host", "path"], "left")
 

@@ -186,6 +186,21 @@ def test_license_scan(frame, corpus):
     assert license_scan.scan(frame([(1, "mit license"), (1, "mit license"), (None, None)])).count() == 3
 
 
+def test_license_votes_belong_to_a_row_and_not_to_its_id(frame):
+    """Halves of a notice in two texts of one id name no licence, nor does a notice without an id speak for others."""
+    notice = "you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+    w = notice.split()
+    halves = [" ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])]
+    whole = {r["labels"] for r in license_scan.scan(frame([(7, notice)])).collect()}
+    assert whole == {"apache"}
+    parts = [" ".join(w[:9]), " ".join(w[9:])]
+    alone = [license_scan.scan(frame([(7, p)])).collect()[0] for p in (*halves, *parts)]
+    both = license_scan.scan(frame([(7, p) for p in (*halves, *parts)])).collect()
+    assert sorted((r["n_words"], r["labels"], r["score"]) for r in alone) == sorted((r["n_words"], r["labels"], r["score"]) for r in both)
+    rows = license_scan.scan(frame([(None, "Released under the MIT License"), (None, "nothing here at all to see"), (None, "nothing here at all to see")])).collect()
+    assert sorted((r["labels"], r["score"]) for r in rows) == [("", 0.0), ("", 0.0), ("mit", 1.0)]
+
+
 def test_url_rules_and_aliases(spark):
     link = '<head><LINK href="{}" rel="canonical"></head>'
     pages = [(1, "http://a.example.com/de/1", None), (2, "https://B.org/x?u=1", link.format("http://a.example.com/de/1/")), (3, "http://b.org/x.html#f", ""),
@@ -206,6 +221,29 @@ def test_url_rules_and_aliases(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), redirects=more).collect()}[14] == block
 
 
+@pytest.mark.parametrize("tag, target", [
+    ('<link rel="canonical" href="z.html">', "/a/b/z"), ('<link rel="alternate canonical" href=../z>', "/a/z"), ("<link rel='canonical nofollow' href='./../../z/'>", "/z"),
+    ('<link href="../../../z" rel=canonical>', "/z"), ('<meta http-equiv="refresh" content="3; url=z?u=http://x.io/">', "/a/b/z"), ('<link rel="canonical" href="//t.io/a/./z">', None),
+    ('<link rel="canonical" href="mailto:z">', None), ('<link rel="canonicals" href="z">', None), ('<link rel="canonical" href="?p=2">', None), ('<link rel="canonical" href="#z">', None)])
+def test_url_links_are_resolved_against_their_page(spark, tag, target):
+    pages = spark.createDataFrame([("http://s.io/a/b/c.html?q=/x/y", tag)], "url string, html string")
+    got = [tuple(r) for r in url_filter.page_links(pages).collect()]
+    if "//t.io" in tag:
+        assert got == [("s.io/a/b/c", "t.io/a/./z")]
+    else:
+        assert got == ([("s.io/a/b/c", "s.io" + target)] if target else [])
+
+
+def test_url_rules_of_one_host_meet_by_path(spark):
+    """Ten thousand rules of one host: a page meets only those whose paths begin its own."""
+    rules = spark.range(10_000).select(F.lit("block").alias("r_verdict"), F.lit("big.io").alias("r_host"), F.concat(F.lit("/r"), F.col("id").cast("string")).alias("r_path"))
+    rules = rules.unionByName(spark.createDataFrame([("allow", "big.io", "/r12/ok"), ("allow", "big.io", "")], rules.schema))
+    pages = spark.createDataFrame([(i, f"http://{'www.' * (i % 2)}big.io/r{i}/{'ok' * (i == 12)}", None) for i in (12, 13, 123_456, 99_999_999)] + [(1, "http://big.io/x", None), (2, "http://o.io/r1", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
+    assert got == {12: ("big.io/r12/ok", "allow"), 13: ("big.io/r13", "block"), 123_456: ("big.io/r1234", "block"), 99_999_999: ("big.io/r9999", "block"),
+                   1: ("big.io", "allow"), 2: (None, "allow")}
+
+
 def _labelled(frame, spark, module, make):
     rng = np.random.default_rng(6)
     texts, labels = zip(*(make(rng, i) for i in range(400)))
