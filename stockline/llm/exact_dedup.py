@@ -3,7 +3,7 @@
 Digests of the texts flow as a stream through a keyed state in RocksDB. The state
 never expires and holds, per digest, the group's size and its best row so far: the
 longest original text, then the smallest ``doc_id``; with it the row number in the
-digest table, which locates its content. Partial aggregation before the shuffle
+digest table. Partial aggregation before the shuffle
 leaves one row per digest and task, so one group may hold any share of the rows.
 
 Groups of more than one row are checked on the full normalised texts: the smallest
@@ -35,6 +35,10 @@ def normalised(column: str = "text") -> Column:
     return F.translate(text_or_empty(column), " \t\n\x0b\x0c\r", "")
 
 
+def digest_of(norm: Column) -> Column:
+    return F.sha2(norm.cast("binary"), 256)
+
+
 def _best(length: str = "n_points", doc: str = "doc_id", row: str = "row_no") -> Column:
     # The smallest of these structs is the row that stays.
     return F.min(F.struct((-F.col(length)).alias("shorter"), F.col(doc).alias("doc_id"), F.col(row).alias("row_no")))
@@ -71,18 +75,19 @@ def exact_groups(docs: DataFrame, files_per_batch: int = 256) -> DataFrame:
     spark = docs.sparkSession
     digests = docs.select(
         F.monotonically_increasing_id().alias("row_no"), "doc_id",
-        F.length(text_or_empty()).alias("n_points"), F.sha2(normalised().cast("binary"), 256).alias("digest"))
+        F.length(text_or_empty()).alias("n_points"), digest_of(normalised()).alias("digest"), F.xxhash64(normalised()).alias("check"))
     rows, path = keep(digests, "digests")
     state, _ = keep(_state(spark, path, rows.schema, rows.count(), files_per_batch), "digest-groups")
 
-    # Full bytes of every group with a second row.
-    hits = docs.select("doc_id", normalised().alias("norm")).join(
-        rows.join(state.where("group_size > 1").select("digest"), "digest", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
-    hits = hits.select("doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("digest"), "norm")
+    # Full bytes of every group with a second row. Ids choose the texts to digest again, rows without one included.
+    grouped = rows.join(state.where("group_size > 1").select("digest"), "digest", "left_semi").select(F.col("doc_id").alias("hit_id")).distinct()
+    hits = docs.select("doc_id", normalised().alias("norm")).join(grouped, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
+    hits = hits.select(digest_of(F.col("norm")).alias("digest"), F.xxhash64("norm").alias("check"), "norm")
     clashes, _ = keep(hits.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("digest"), "digest-clashes")
 
     plain = rows.join(clashes, "digest", "left_anti").join(state, "digest")
-    split = rows.join(clashes, "digest", "left_semi").join(hits.select("doc_id", "digest", "norm").distinct(), ["doc_id", "digest"])
+    # A second hash, of other bits, leads the rows of a digest with two texts back to theirs.
+    split = rows.join(clashes, "digest", "left_semi").join(hits.join(clashes, "digest", "left_semi").distinct(), ["digest", "check"])
     by_text = split.groupBy("digest", "norm").agg(F.count("*").alias("group_size"), _best().alias("best"))
     apart = split.join(by_text, ["digest", "norm"]).drop("norm")
     return plain.unionByName(apart).select(
@@ -97,7 +102,7 @@ def drop_copies(docs: DataFrame, files_per_batch: int = 256) -> DataFrame:
     """
     stays = exact_groups(docs, files_per_batch).where("kept").select(
         F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_points").alias("__points")).distinct()
-    own = docs.withColumn("__digest", F.sha2(normalised().cast("binary"), 256))
+    own = docs.withColumn("__digest", digest_of(normalised()))
     longest = F.length(text_or_empty()) == stays["__points"]
     out = own.join(stays, own["doc_id"].eqNullSafe(stays["__id"]) & (own["__digest"] == stays["__sha"]) & longest, "left_semi")
     return out.dropDuplicates(["doc_id", "__digest"]).drop("__digest")

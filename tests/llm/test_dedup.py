@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from stockline.llm import exact_dedup, simhash, substring_dedup
+from pyspark.sql import functions as F
+
+from stockline.llm import components, exact_dedup, simhash, substring_dedup
 from stockline.llm.components import connected_components
 from tests.llm import brute
 
@@ -21,6 +23,27 @@ def test_components_are_those_of_the_graph(spark):
     assert connected_components(spark.createDataFrame([], "s long, t long"), "s", "t").count() == 0
 
 
+def test_the_join_at_a_hub_is_split(spark, tmp_path):
+    """Half of all edges at one vertex: the join of edges and written minima has skewed partitions split."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB", "spark.sql.shuffle.partitions": "12", "spark.sql.files.maxPartitionBytes": "64KB"}
+    old = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        plain = spark.range(120_000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("a"), (F.col("id") + 1_000_000).alias("b"))
+        plain.repartition(8).write.parquet(f"{tmp_path}/edges")
+        edges = spark.read.parquet(f"{tmp_path}/edges")
+        components.minima(edges).write.parquet(f"{tmp_path}/minima")
+        joined = components.towards_minimum(edges, spark.read.parquet(f"{tmp_path}/minima"))
+        assert joined.where("m <> a").count() == 0
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_near_duplicates_equal_brute_force(frame, corpus):
     rows = simhash.near_duplicates(frame(corpus.items())).collect()
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == brute.near_groups(corpus)
@@ -133,3 +156,13 @@ def test_exact_dedup_of_odd_tables(frame):
     assert left.columns == ["doc_id", "text", "label", "n", "fp", "digest", "kept"]
     left = exact_dedup.drop_copies(frame([(1, "a b"), (1, "a   b   "), (1, "ab"), (2, "ab"), (None, "c d"), (None, "c  d")]))
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, [(1, "a   b   "), (None, "c  d")]))
+
+
+def test_texts_that_share_a_digest_are_told_apart(frame, monkeypatch):
+    """A digest of the first character only: groups are split by their full texts, without an id too."""
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda norm: F.sha2(F.substring(norm, 1, 1).cast("binary"), 256))
+    rows = [(1, "ax"), (2, "a x"), (3, "ay"), (None, "ay"), (None, "a  z"), (4, "b"), (4, "b c"), (4, "bc"), (5, "bc "), (6, "c")]
+    got = exact_dedup.exact_groups(frame(rows)).collect()
+    assert sorted(map(str, ((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got))) == sorted(map(str, [
+        (1, 2, 2, False), (2, 2, 2, True), (3, None, 2, False), (None, None, 2, True), (None, None, 1, True), (4, 4, 1, True),
+        (4, 4, 3, True), (4, 4, 3, False), (5, 4, 3, False), (6, 6, 1, True)]))
