@@ -13,6 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from checks.reads import half_up
+from stockline.sources.buckets import Bucketed, create, read, run_on_buckets
 from stockline.sources.snapshots import read_ledger
 from stockline.sources.staging import staging_root
 from stockline import jobs
@@ -273,6 +274,16 @@ def _ledger(df: DataFrame) -> DataFrame:
     return df.select("action", "entity_id", "warehouse_code", "product_id", "qty_change", "balance_after", "notes")
 
 
+def _adjusted_in_buckets(t: Tables, r: Tables) -> DataFrame:
+    """Stock after the adjustments, which read and write only the buckets of the stock rows that they name."""
+    spark = t.orders.sparkSession
+    stock = t.warehouse_stock
+    table = Bucketed(f"{staging_root(spark)}/buckets-{uuid.uuid4().hex}", ", ".join(f"{n} {kind}" for n, kind in stock.dtypes), ("product_id", "warehouse"))
+    create(table, stock)
+    run_on_buckets(table, "warehouse_stock", jobs.adjust_stock, t, r["req_adjustments"], 0)
+    return read(spark, table, 1).select("product_id", "warehouse", "qty_on_hand")
+
+
 def _appended_ledger(t: Tables, r: Tables) -> DataFrame:
     """The disposition ledger written to a ledger folder and read back."""
     spark = t.orders.sparkSession
@@ -410,6 +421,10 @@ JOBS: dict[str, tuple[Job, str | None]] = {
         _stock("qty_reserved", "SELECT product_id, warehouse_code AS warehouse, SUM(qty_fulfilled) AS q FROM req_back GROUP BY ALL")),
     "adjust_stock": (lambda t, r: jobs.adjust_stock(t, r["req_adjustments"]).accepted, """
         SELECT id AS request_id, product_id, warehouse, n AS qty_change, after AS balance_after FROM req_adj WHERE i > 1"""),
+    "adjust_stock_in_buckets": (_adjusted_in_buckets, """
+        SELECT ws.product_id, ws.warehouse, COALESCE(x.after, ws.qty_on_hand) AS qty_on_hand FROM wms_warehouse_stock ws
+        LEFT JOIN (SELECT product_id, warehouse, MAX_BY(after, i) AS after FROM req_adj WHERE i > 1 GROUP BY ALL) x
+          ON x.product_id = ws.product_id AND x.warehouse = ws.warehouse"""),
     "adjust_stock_rejects": (lambda t, r: jobs.adjust_stock(t, r["req_adjustments"]).rejects.drop("detail"), """
         SELECT CAST(request_id AS VARCHAR) AS request_id, CASE WHEN product_id IS NULL THEN 'missing_fields'
           ELSE 'stock_record_not_found' END AS error_code FROM req_adjustments

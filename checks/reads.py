@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stockline import analytics as a
+from stockline.sources.layout import write_together
+from stockline.sources.staging import staging_root
 from stockline.tables import Tables
 
 W = (0, 1, 2, 3, 4)
@@ -32,6 +35,15 @@ def order_request_lines(t: Tables) -> DataFrame:
     return lines.join(orders, "request_id").join(products, "product_id")
 
 
+def purchases_together(t: Tables) -> Tables:
+    """Purchase orders and their lines bucketed by the order, as many buckets as a shuffle has partitions."""
+    spark = t.orders.sparkSession
+    name = f"po_{uuid.uuid4().hex}"
+    headers, lines = write_together(
+        t.purchase_orders, t.po_lines, f"{staging_root(spark)}/{name}", name, line_key="po_id", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return t.replace(purchase_orders=headers, po_lines=lines)
+
+
 def region_distances(t: Tables) -> DataFrame:
     """0 at home, 1 to the next region number, else the default of 2."""
     codes = t.warehouses
@@ -196,13 +208,15 @@ REQ_LEAD = (
     "GROUP BY ALL"
 )
 REQ_REVIEW = (
-    "SELECT o.id AS order_id, o.order_ref, o.customer_name, c.company_name, o.warehouse_code, o.currency, o.total_gbp, "
-    "o.created_at, o.notes, l.id AS line_id, l.product_id, l.product_name, l.sku, "
-    "COALESCE(l.qty_requested, l.qty_ordered) AS qty_requested, l.qty_ordered, l.unit_price_gbp, l.fulfilment_decision, "
-    "l.qty_to_ship, l.qty_to_backorder, COALESCE(ws.qty_on_hand - ws.qty_reserved, 0) AS qty_available "
-    "FROM wms_orders o JOIN wms_order_lines l ON l.order_id = o.id LEFT JOIN wms_customers c ON c.id = o.customer_id "
-    "LEFT JOIN wms_warehouse_stock ws ON ws.product_id = l.product_id AND ws.warehouse = o.warehouse_code "
-    "WHERE o.requires_review"
+    "WITH free AS (SELECT product_id, warehouse, SUM(qty_on_hand) - SUM(qty_reserved) AS units FROM wms_warehouse_stock GROUP BY ALL), "
+    "per_line AS (SELECT id AS line_id, (SELECT units FROM free WHERE free.product_id = line.product_id AND warehouse = "
+    "(SELECT warehouse_code FROM wms_orders WHERE id = line.order_id)) AS units FROM wms_order_lines line) "
+    "SELECT waiting.*, company_name, line_id, product_id, product_name, sku, IFNULL(qty_requested, qty_ordered) AS qty_requested, "
+    "qty_ordered, unit_price_gbp, fulfilment_decision, qty_to_ship, qty_to_backorder, CAST(IFNULL(units, 0) AS INT) AS qty_available "
+    "FROM per_line JOIN wms_order_lines line ON line.id = line_id SEMI JOIN (SELECT id FROM wms_orders WHERE requires_review) r "
+    "ON r.id = line.order_id JOIN (SELECT id AS order_id, order_ref, customer_name, warehouse_code, currency, total_gbp, created_at, "
+    "notes FROM wms_orders) waiting USING (order_id) LEFT JOIN (SELECT o.id AS order_id, company_name FROM wms_orders o "
+    "JOIN wms_customers c ON o.customer_id = c.id) buyer USING (order_id)"
 )
 REQ_SKUS = (
     "SELECT sku, description, CAST(SUM(quantity) AS BIGINT) AS total_units, "
@@ -367,14 +381,14 @@ READS: dict[str, tuple[Read, str | None]] = {
         FROM wms_orders o LEFT JOIN wms_order_lines l ON l.order_id = o.id
         LEFT JOIN wms_customers c ON c.id = o.customer_id LEFT JOIN wms_products p ON p.id = l.product_id"""),
     "stock_valuation": (a.stock_valuation, """
-        SELECT w.code AS warehouse, w.name AS warehouse_name, w.currency, p.brand,
-          CAST(GROUPING(p.brand) AS INT) AS is_total, COUNT(*) AS sku_count,
-          CAST(SUM(ws.qty_on_hand) AS BIGINT) AS total_units,
-          CAST(SUM(ws.qty_on_hand * p.cost_price_gbp) AS DECIMAL(18,2)) AS cost_value,
-          CAST(SUM(ws.qty_on_hand * p.sell_price_gbp) AS DECIMAL(18,2)) AS retail_value
-        FROM wms_warehouse_stock ws JOIN wms_products p ON p.id = ws.product_id
-        JOIN wms_warehouses w ON w.code = ws.warehouse WHERE ws.qty_on_hand > 0
-        GROUP BY GROUPING SETS ((w.code, w.name, w.currency, p.brand), (w.code, w.name, w.currency))"""),
+        WITH worth AS (SELECT warehouse, brand, qty_on_hand AS units, units * cost_price_gbp AS cost, units * sell_price_gbp AS retail
+          FROM wms_products AS product, wms_warehouse_stock AS held WHERE product.id = held.product_id AND units > 0),
+        levels AS (
+          SELECT warehouse, brand, 0 AS is_total, COUNT(*) AS n, SUM(units) AS u, SUM(cost) AS c, SUM(retail) AS r FROM worth GROUP BY warehouse, brand
+          UNION ALL SELECT warehouse, NULL, 1, COUNT(*), SUM(units), SUM(cost), SUM(retail) FROM worth GROUP BY warehouse)
+        SELECT warehouse, name AS warehouse_name, currency, brand, is_total, n AS sku_count, CAST(u AS BIGINT) AS total_units,
+          CAST(c AS DECIMAL(18,2)) AS cost_value, CAST(r AS DECIMAL(18,2)) AS retail_value
+        FROM levels JOIN wms_warehouses ON code = warehouse"""),
     "demand_velocity": (lambda t: a.demand_velocity(t).withColumn(
         "stock_by_warehouse", text("stock_by_warehouse", "warehouse", "qty")), """
         SELECT p.id, p.name, p.sku, p.brand, p.cost_price_gbp, p.sell_price_gbp,
@@ -420,11 +434,12 @@ READS: dict[str, tuple[Read, str | None]] = {
           CAST(SUM(i.total_units) AS BIGINT) AS total_units
         FROM wms_customers c JOIN wms_invoices i ON i.customer_id = c.id GROUP BY ALL"""),
     "warehouse_mismatch": (lambda t: a.warehouse_mismatch(t, W), """
-        SELECT DISTINCT il.sku, il.description, c.region AS customer_region, COALESCE(ws.qty_on_hand, 0) AS region_stock
-        FROM wms_invoice_lines il JOIN wms_invoices i ON i.id = il.invoice_id
-        JOIN wms_customers c ON c.id = i.customer_id LEFT JOIN wms_products p ON p.sku = il.sku
-        LEFT JOIN wms_warehouse_stock ws ON ws.product_id = p.id AND ws.warehouse = c.region
-        WHERE c.region IS NOT NULL AND COALESCE(ws.qty_on_hand, 0) = 0"""),
+        WITH in_region AS (SELECT sku, warehouse AS customer_region, SUM(qty_on_hand) AS units
+          FROM wms_warehouse_stock s, wms_products product WHERE product.id = s.product_id GROUP BY ALL),
+        sold AS (SELECT sku, description, (SELECT region FROM wms_customers WHERE id = i.customer_id) AS customer_region
+          FROM wms_invoices i, wms_invoice_lines line WHERE line.invoice_id = i.id GROUP BY ALL)
+        SELECT sku, description, customer_region, 0 AS region_stock FROM sold
+        ANTI JOIN (SELECT * FROM in_region WHERE units <> 0) stocked USING (sku, customer_region) WHERE customer_region IS NOT NULL"""),
     "stockout_predictions": (a.stockout_predictions, "SELECT * FROM req_stockout"),
     "route_order": (lambda t: a.route_order(t, order_request_lines(t), region_distances(t)).withColumns({
         "factors": text("factors", "factor", "points"), "warnings": F.array_join("warnings", "; ")}), """
@@ -592,3 +607,4 @@ READS: dict[str, tuple[Read, str | None]] = {
             "orders", "po_lines", "price_history", "price_tiers", "products", "purchase_orders", "returns", "stock",
             "stock_transfers", "suppliers", "transfer_lines", "warehouse_stock", "warehouses"))),
 }
+READS["po_summary_together"] = (lambda t: a.po_summary(purchases_together(t)), READS["po_summary"][1])

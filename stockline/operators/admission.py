@@ -30,6 +30,7 @@ def admit_within_limit(
     forced: str | None = None,
     fold_rows: int = FOLD_ROWS,
     hot_rows: int = HOT_ROWS,
+    block_rows: int = FOLD_ROWS,
 ) -> DataFrame:
     """Accept each request whose ``amount`` fits in what is left of its key's ``limit``.
 
@@ -37,9 +38,8 @@ def admit_within_limit(
     are unique within a key. Keys with few requests are folded in one scan per
     partition; a key with more is decided in rounds that each halve its
     remaining limit. A negative amount gives back, so what does not fit now may
-    fit later and halving does not hold: a key that has one is folded whatever
-    its size, which streams over its requests and keeps one number. A request
-    marked in the boolean column ``forced`` is taken unchecked, and may overdraw
+    fit later and halving does not hold: a large key that has one is decided in
+    blocks of ``block_rows`` requests, side by side. A request marked in the boolean column ``forced`` is taken unchecked, and may overdraw
     the limit. Without an amount or a limit a request is refused unless forced,
     and takes nothing.
     """
@@ -49,14 +49,19 @@ def admit_within_limit(
     settled = requests.where("_void").drop("_void").withColumn(out, free)
     requests = requests.where("NOT _void").drop("_void")
     sizes = requests.groupBy(key).agg(F.count("*").alias("_n"), F.min(amount).alias("_least"))
-    large = stage(sizes.where((F.col("_n") > fold_rows) & (F.col("_least") >= 0)).select(key), "large-keys")
+    large = stage(sizes.where(F.col("_n") > fold_rows).select(key, (F.col("_least") < 0).alias("_credits")), "large-keys")
     if large.isEmpty():
         return settled.unionByName(_fold(requests, key, order, amount, limit, out, forced))
     # A request without a key belongs to no large one.
     small = requests.join(large, key, "left_anti")
-    big = requests.join(large, key, "left_semi")
-    folded = _fold(small, key, order, amount, limit, out, forced)
-    return settled.unionByName(folded).unionByName(_halve(big, key, order, amount, limit, out, forced, hot_rows))
+    decided = settled.unionByName(_fold(small, key, order, amount, limit, out, forced))
+    for credits, decide in ((False, _halve), (True, _in_blocks)):
+        some = large.where(F.col("_credits") == credits).select(key)
+        if not some.isEmpty():
+            big = requests.join(some, key, "left_semi")
+            more = () if decide is _halve else (block_rows,)
+            decided = decided.unionByName(decide(big, key, order, amount, limit, out, forced, hot_rows, *more))
+    return decided
 
 
 def _fold(requests, key, order, amount, limit, out, forced):
@@ -124,6 +129,93 @@ def _halve(requests, key, order, amount, limit, out, forced, hot_rows):
             return reduce(DataFrame.unionByName, parts)
 
 
+# Wider than any amount that fits a bigint sum of one block.
+_FAR = 1 << 62
+
+
+def _in_blocks(requests, key, order, amount, limit, out, forced, hot_rows, block_rows):
+    """Decide keys whose amounts may be negative, a block of consecutive requests per task.
+
+    What a block takes depends on what is left before it. A block folded from one such
+    value also tells how far the value may be off without changing any of its decisions:
+    down to where the tightest accepted request no longer fits, up to where the tightest
+    refused one does. All blocks are folded at once from a guess; one pass over their
+    results follows the key from its limit as far as the blocks' intervals hold, and
+    guesses anew behind that. The first block that does not hold had its true value in the
+    guess, so each round settles one at least, and mostly nearly all. Only such results,
+    one row per block and round, meet in one task; requests are folded a last time when
+    the value before every block is known.
+    """
+    place = running_totals(requests, [key], [F.col(o) for o in order], {"_at": F.lit(1)}, hot_rows=hot_rows)
+    numbered = stage(place.withColumn("_block", F.floor(F.col("_at") / block_rows).cast("bigint")), "numbered")
+    free = F.coalesce(F.col(forced), F.lit(False)) if forced else F.lit(False)
+    narrow = numbered.select(key, "_block", "_at", F.col(amount).cast("bigint").alias("_amount"), free.alias("_free"))
+    sizes = numbered.groupBy(key, "_block").agg(F.max(F.col(limit).cast("bigint")).alias("_limit"), F.sum(F.col(amount).cast("bigint")).alias("_sum"))
+    sizes = stage(running_totals(sizes, [key], [F.col("_block")], {"_before": F.col("_sum")}, hot_rows=hot_rows), "blocks")
+    # Exact for the first block; the rest of a busy customer's limit is mostly spent.
+    guesses = sizes.select(key, "_block", F.when(F.col("_block") == 0, F.col("_limit")).otherwise(
+        F.least("_limit", F.greatest(F.lit(0), F.col("_limit") - F.col("_before")))).cast("bigint").alias("_entry"))
+    known = None
+    while True:
+        pieces = _fold_blocks(narrow, guesses, key, None)
+        known = stage(pieces if known is None else known.unionByName(pieces), "pieces")
+        chain = stage(_chain(sizes, known, key), "chain")
+        guesses = chain.where("NOT _holds").select(key, "_block", "_entry")
+        if guesses.isEmpty():
+            break
+    verdicts = _fold_blocks(narrow, chain.select(key, "_block", "_entry"), key, out)
+    return numbered.join(verdicts, [key, "_block", "_at"]).select(*requests.columns, out)
+
+
+def _fold_blocks(narrow, entries, key, out):
+    """Fold every block named in ``entries`` from its value: its verdicts, or without ``out`` one row ``_low, _high, _spent``."""
+    kind = dict(narrow.dtypes)[key]
+    schema = f"`{key}` {kind}, _block bigint, " + (f"_at bigint, `{out}` boolean" if out else "_low bigint, _high bigint, _spent bigint")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, left, start, low, high = None, 0, 0, 0, 0
+        for pdf in batches:
+            taken, ended = [], []
+            for k, block, value, free, entry in zip(*(pdf[c].tolist() for c in (key, "_block", "_amount", "_free", "_entry"))):
+                if (k, block) != current:
+                    if current is not None:
+                        ended.append((*current, low, high, start - left))
+                    current, left, start, low, high = (k, block), entry, entry, -_FAR, _FAR
+                fits = free or value <= left
+                taken.append(fits)
+                if not free:
+                    # Off by this much, the request would be judged otherwise.
+                    low, high = (max(low, start - (left - value)), high) if fits else (low, min(high, start + (value - left) - 1))
+                left -= value if fits else 0
+            if out:
+                yield pdf[[key, "_block", "_at"]].assign(**{out: taken})
+            elif ended:
+                yield pd.DataFrame(ended, columns=[key, "_block", "_low", "_high", "_spent"])
+        if not out and current is not None:
+            yield pd.DataFrame([(*current, low, high, start - left)], columns=[key, "_block", "_low", "_high", "_spent"])
+
+    asked = narrow.join(entries, [key, "_block"])
+    return asked.repartition(key, "_block").sortWithinPartitions(key, "_block", "_at").mapInPandas(scan, schema)
+
+
+def _chain(sizes, known, key):
+    """The value before every block, following the intervals in ``known``; ``_holds`` where it lies in one."""
+    kind = dict(sizes.dtypes)[key]
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, left = [], None
+        for (block, opening), some in pdf.sort_values("_block").groupby(["_block", "_limit"]):
+            left = opening if left is None else left
+            pieces = list(zip(some["_low"].tolist(), some["_high"].tolist(), some["_spent"].tolist()))
+            away, spent = min((max(lo - left, left - hi, 0), spent) for lo, hi, spent in pieces)
+            rows.append((some[key].iloc[0], int(block), int(left), away == 0))
+            left -= spent
+        return pd.DataFrame(rows, columns=[key, "_block", "_entry", "_holds"])
+
+    pieces = known.join(sizes.select(key, "_block", "_limit"), [key, "_block"])
+    return pieces.groupBy(key).applyInPandas(follow, f"`{key}` {kind}, _block bigint, _entry bigint, _holds boolean")
+
+
 def so_far(
     lines: DataFrame, keys: Sequence[str], order: Sequence[str], qty: str, hot_rows: int = HOT_ROWS,
     hot: DataFrame | None | bool = True,

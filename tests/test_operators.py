@@ -101,6 +101,30 @@ def test_credit_admission_takes_few_rounds_on_an_adversarial_order(spark):
     assert len(calls) <= 11  # log2(1000) rounds and a last look
 
 
+@pytest.mark.parametrize("block_rows", [1, 7, 100])
+def test_credit_admission_in_blocks_equals_fold(spark, block_rows, monkeypatch):
+    """Large keys with credits never meet the scan of whole keys; many blocks take few rounds."""
+    import stockline.operators.admission as admission
+
+    rng = random.Random(block_rows)
+    limits = {1: 500, 2: 10_000, 3: -20, 4: 90}
+    asked = [(rng.choice([1, 1, 1, 2, 3, 4]), i, rng.choice([-60, -5, 0, 3, 40, 200, 700]), rng.random() < 0.04) for i in range(300)]
+    asked += [(k, 1000 + k, -1, False) for k in limits]
+    left, expected = dict(limits), {}
+    for k, i, amount, free in asked:
+        expected[i] = free or amount <= left[k]
+        left[k] -= amount if expected[i] else 0
+    folded, rounds = [], []
+    scan, follow = admission._fold, admission._chain
+    monkeypatch.setattr(admission, "_fold", lambda requests, *a: folded.append(requests.count()) or scan(requests, *a))
+    monkeypatch.setattr(admission, "_chain", lambda *a: rounds.append(1) or follow(*a))
+    df = spark.createDataFrame([(k, i, a, limits[k], f, "x") for k, i, a, f in asked], "k int, i int, a bigint, lim bigint, free boolean, note string")
+    out = admit_within_limit(df, "k", ["i"], "a", "lim", forced="free", fold_rows=0, block_rows=block_rows)
+    got = [(r.i, r.accepted) for r in out.collect()]
+    assert out.columns == [*df.columns, "accepted"] and len(got) == len(asked) and dict(got) == expected
+    assert folded == [0] and len(rounds) <= 40
+
+
 @pytest.mark.parametrize("fold_rows", [10**6, 0])
 def test_credit_admission_with_credits_and_missing_numbers(spark, fold_rows):
     """Both forms refuse what has no amount or limit, and what is given back can be spent again."""

@@ -1,11 +1,13 @@
 from datetime import datetime
+import random
 
 import pytest
 
 from stockline.jobs.common import LEDGER
-from stockline.sources import snapshots
+from stockline import jobs
+from stockline.sources import buckets, layout, snapshots
 from stockline.sources.staging import stage, staging_root
-from stockline.tables import Tables
+from stockline.tables import SCHEMAS, Tables
 
 
 def test_snapshot_round_trip_and_no_overwrite(spark, tables, tmp_path):
@@ -55,3 +57,79 @@ def test_tables_are_built_on_use():
     assert calls == [] and len(t) == 1
     with pytest.raises(AttributeError):
         t.nothing
+
+
+def _files(df):
+    return {path.split(f"{buckets.BUCKET}=")[1].split("/")[0] for path in df.inputFiles()}
+
+
+def test_an_upsert_reads_and_writes_only_its_buckets(spark, tmp_path):
+    table = buckets.Bucketed(str(tmp_path / "t"), "k long, w string, v int", ("k", "w"), 16)
+    rows = {(i, w): i for i in range(60) for w in ("uk", None)}
+    buckets.create(table, spark.createDataFrame([(k, w, v) for (k, w), v in rows.items()], table.schema))
+    assert len(buckets.manifest(spark, table, 0)) == 16
+    one = spark.createDataFrame([(7, "uk", -7, False)], "k int, w string, v int, gone boolean")
+    named = buckets.touched(table, one)
+    assert len(named) == 1 and _files(buckets.read(spark, table, 0, named)) == {str(named[0])}
+    buckets.upsert(table, one, 0, "gone")
+    rows[7, "uk"] = -7
+    assert {b for b, v in buckets.manifest(spark, table, 1).items() if v == 1} == set(named)
+    rng, version = random.Random(2), 1
+    for _ in range(3):
+        changes = {(rng.randrange(90), rng.choice(["uk", None])): (rng.randrange(1000), rng.random() < 0.3) for _ in range(25)}
+        buckets.upsert(table, spark.createDataFrame([(k, w, v, gone) for (k, w), (v, gone) in changes.items()], "k long, w string, v int, gone boolean"), version, "gone")
+        version += 1
+        for key, (v, gone) in changes.items():
+            rows.pop(key, None)
+            if not gone:
+                rows[key] = v
+        assert {(r.k, r.w): r.v for r in buckets.read(spark, table, version).collect()} == rows
+    everything = spark.createDataFrame([(k, w, 0, True) for k, w in rows], "k long, w string, v int, gone boolean")
+    buckets.upsert(table, everything, version, "gone")
+    assert buckets.read(spark, table, version + 1).count() == 0 and buckets.read(spark, table, version).count() == len(rows)
+
+
+def test_an_upsert_that_was_stopped_changes_nothing(spark, tmp_path):
+    table = buckets.Bucketed(str(tmp_path / "t"), "k long, v int", ("k",), 4)
+    buckets.create(table, spark.createDataFrame([(i, i) for i in range(20)], table.schema))
+    change = spark.createDataFrame([(3, 33)], table.schema)
+    change.withColumn(buckets.BUCKET, table.bucket()).write.partitionBy(buckets.BUCKET).parquet(f"{table.root}/rows/1")  # no manifest follows
+    assert sorted(r.v for r in buckets.read(spark, table, 0).collect()) == list(range(20))
+    for _ in range(2):  # a repeated run replaces what it wrote
+        buckets.upsert(table, change, 0)
+        assert {r.k: r.v for r in buckets.read(spark, table, 1).collect()} == {**{i: i for i in range(20)}, 3: 33}
+
+
+def test_a_job_on_its_buckets_equals_one_on_the_whole_table(spark, tables, make, tmp_path):
+    stock = [dict(id=f"s{i}", product_id=f"p{i}", warehouse=w, qty_on_hand=i, qty_reserved=0) for i in range(40) for w in ("uk", "us")]
+    t = tables(warehouse_stock=stock)
+    requests = make("request_id string, product_id string, warehouse string, adjustment string, reason string, requested_at timestamp_ntz", *[
+        dict(request_id=f"r{i}", product_id=f"p{i % 3}", warehouse="uk", adjustment=str(5 - 2 * i), requested_at=datetime(2024, 1, 1 + i)) for i in range(6)],
+        dict(request_id="x", product_id="unknown", warehouse="uk", adjustment="1", requested_at=datetime(2024, 1, 1)))
+    table = buckets.Bucketed(str(tmp_path / "stock"), SCHEMAS["warehouse_stock"], ("product_id", "warehouse"), 32)
+    buckets.create(table, t.warehouse_stock)
+    part = buckets.run_on_buckets(table, "warehouse_stock", jobs.adjust_stock, t, requests, 0)
+    whole = jobs.adjust_stock(t, requests)
+    after = buckets.read(spark, table, 1)
+    assert sorted(map(str, after.collect())) == sorted(map(str, whole.state["warehouse_stock"].collect()))
+    assert sorted(part.accepted.collect()) == sorted(whole.accepted.collect()) and part.rejects.collect() == whole.rejects.collect()
+    assert len([b for b, v in buckets.manifest(spark, table, 1).items() if v == 1]) <= 4
+
+
+def test_headers_and_lines_laid_out_together_join_without_a_shuffle(spark, tmp_path):
+    headers = spark.range(500).selectExpr("id", "id % 7 AS customer_id")
+    lines = spark.range(3000).selectExpr("id AS line_id", "id % 600 AS order_id", "CAST(id % 5 AS INT) AS qty")
+    h, n = layout.write_together(headers, lines, str(tmp_path), f"t{tmp_path.name.replace('-', '_')}", buckets=6)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def per_order(h, n):
+            totals = n.groupBy("order_id").sum("qty")
+            return h.join(n, h.id == n.order_id, "left").join(totals, "order_id").groupBy("id").count()
+
+        assert "Exchange" in per_order(headers, lines)._jdf.queryExecution().executedPlan().toString()
+        plan = per_order(h, n)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert sorted(per_order(h, n).collect()) == sorted(per_order(headers, lines).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
