@@ -180,4 +180,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tests, _ = keep(item_windows(benchmark), "test-windows")
     rows, hits = _met(docs, tests)
     bad = rows.join(hits.select("row_no").distinct(), "row_no", "left_semi").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct()
+    bad, _ = keep(bad, "contaminated")  # written, so that texts are shuffled only where this is too large to broadcast
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__print"]), "left_anti")

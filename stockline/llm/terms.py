@@ -153,6 +153,7 @@ def _choose(seen: np.ndarray, n1: int, n0: int, columns: int, frequent: int) ->
 
 def score_texts(docs: DataFrame, terms: Terms, column_of: np.ndarray, score: Callable[[np.ndarray, np.ndarray, int], np.ndarray], *further: str) -> DataFrame:
     """``doc_id``, the ``further`` columns and ``score`` of every row; ``score(rows, columns, n)`` gives the scores of ``n`` texts."""
+    others = [c for c in further if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,10 +163,12 @@ def score_texts(docs: DataFrame, terms: Terms, column_of: np.ndarray, score: Cal
                 column = column_of[bucket]
                 known = column >= 0
                 out[i:j] = score(text[known], column[known], j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(out)], names=["doc_id", *further, "score"])
+            # A text that is asked for goes out as it came in.
+            carried = [batch.column(1) if c == "text" else batch.column(2 + others.index(c)) for c in further]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *carried, pa.array(out)], names=["doc_id", *further, "score"])
 
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *further))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *further).mapInArrow(run, f"{kinds}, score double")
+    kinds = ", ".join(f"{c} {'string' if c == 'text' else docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *further))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), *others).mapInArrow(run, f"{kinds}, score double")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -119,7 +119,8 @@ def score(docs: DataFrame, labels: DataFrame, fold, rows: int = TRAIN_ROWS, furt
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, fold, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` without the rows whose own text scores at or above the threshold."""
-    own = docs.withColumn("__print", F.xxhash64(F.col("text").cast("string")))
-    bad = score(own, labels, fold, rows, ("__print",)).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("__id"), F.col("__print").alias("__bad")).distinct()
-    return own.join(bad, own["doc_id"].eqNullSafe(bad["__id"]) & (own["__print"] == bad["__bad"]), "left_anti").drop("__print")
+    """``docs`` without the rows whose own text scores at or above the threshold; rows pass through the scoring, no text is shuffled."""
+    names = {c: c if c in ("doc_id", "text") else f"__{i}" for i, c in enumerate(docs.columns)}
+    scored = score(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), labels, fold, rows, tuple(n for n in names.values() if n != "doc_id"))
+    clean = scored.where(F.col("score") < THRESHOLD)
+    return clean.select(*(F.col(n).cast(docs.schema[c].dataType).alias(c) for c, n in names.items()))
