@@ -7,8 +7,8 @@ windows that chose it; where it meets a test fingerprint, these extend the hit:
 windows that stand in the benchmark go on, so a ``K``-gram common to very many items
 costs a document one row per own window, not one per item. Items shorter than a window
 are one window of their own length ``n``; for the few lengths that occur, documents give
-their ``n``-grams. Windows are compared by their own hash and their fingerprint, 128 bits
-that are independent of each other.
+their ``n``-grams. Windows are compared by their own hash and their fingerprint; both are made
+of the same 64-bit word hashes, so two words that share one would count as one word.
 
 Texts are read once and never shuffled: a row per document and the fingerprints that met
 a test fingerprint are all that is written. Item numbers join last, to the windows a

@@ -18,7 +18,8 @@ documents and get several blocks, among which the window's own hash decides: equ
 still meet, whatever the sample saw. The list of such seeds has at most ``MOST_SPLIT``
 entries, as each stands for that share of the sample.
 
-A block compares seed hash and window hash, 128 bits that are independent of each other.
+A block compares seed hash and window hash; both are made of the same 64-bit word hashes, so two
+words that share one would count as one word.
 
 Defined results: null and empty texts have no words; texts with fewer than 20 words keep
 all; a window goes only if an equal one has a smaller ``doc_id``, or the same and an earlier
