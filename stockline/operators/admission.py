@@ -11,12 +11,14 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from stockline.operators.groups import conflict_groups
 from stockline.operators.prefix import HOT_ROWS, hot_groups, running_totals
 from stockline.sources.staging import stage
 
-# A key with at most this many requests is decided by one task in one scan.
+# A key, or a group of requests, with at most this many rows is decided by one task in one scan.
 FOLD_ROWS = 200_000
 
 
@@ -236,6 +238,7 @@ def admit_all_or_nothing(
     within: Sequence[str],
     out: str = "accepted",
     hot_rows: int = HOT_ROWS,
+    fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
     """Accept a request only if every one of its lines fits; returns ``request, accepted``.
 
@@ -246,9 +249,14 @@ def admit_all_or_nothing(
     accepted if it fits even when all undecided earlier requests that take are
     taken and none that gives back is, and rejected if it fails even when it is
     the other way round. The earliest undecided request is always decided, so
-    the rounds end; with ordinary contention a handful is enough. A line without
-    a quantity or a supply fits never.
+    the rounds end. Where a round decides less than half, the open requests are split
+    into groups that share no resource: a group of at most ``fold_rows`` rows is scanned
+    in order by one task, many groups per task, so a chain of dependants costs one pass and
+    not a round each; only larger groups go on in rounds. As few open rows as that are
+    scanned at once. A line without a quantity or a supply fits never; lines without a
+    request are left out.
     """
+    lines = lines.where(F.col(request).isNotNull())
     # One row per request and resource: lines of the same product count together.
     demand = lines.groupBy(request, *resource, *order).agg(
         F.sum(qty).cast("bigint").alias("_need"), F.min(qty).alias("_least"),
@@ -260,10 +268,14 @@ def admit_all_or_nothing(
     demand = stage(demand.join(peaks, [request, *resource], "left").withColumn(
         "_peak", F.coalesce("_peak", "_need")).drop("_least"), "demand")
     rank = [F.col(o) for o in order] + [F.col(request)]
+    unused = demand.withColumn("_used", F.lit(0).cast("bigint"))
+    before = tried = demand.count()
+    if before <= fold_rows:
+        return _fold_groups(unused.withColumn("_group", F.lit(0)), request, resource, rank, out)
     hot = hot_groups(demand, resource, hot_rows)
     # ``out`` is NULL while a request is open; requests accepted in the last
     # round stay for one more, to charge what they take to the open ones behind.
-    frame = demand.select("*", F.lit(0).cast("bigint").alias("_used"), F.lit(None).cast("boolean").alias(out))
+    frame = unused.withColumn(out, F.lit(None).cast("boolean"))
     parts: list[DataFrame] = []
     while True:
         is_open = F.col(out).isNull()
@@ -277,8 +289,22 @@ def admit_all_or_nothing(
         still = stage(
             summed.where(is_open).withColumn("_used", F.col("_used") + F.col("_newly")).drop(out, "_newly"), "open"
         )
-        if still.isEmpty():
+        open_rows = still.count()
+        if 0 < open_rows <= fold_rows:
+            parts.append(_fold_groups(still.withColumn("_group", F.lit(0)), request, resource, rank, out))
+            break
+        # Groups are looked for again only when half of the rows are gone since the last time.
+        if parts and fold_rows > 0 and open_rows * 2 > before and (open_rows * 2 <= tried or len(parts) == 1):
+            tried = open_rows
+            grouped = stage(still.join(conflict_groups(still, request, resource), request), "grouped")
+            sizes = grouped.groupBy("_group").agg(F.count("*").alias("_n"))
+            large = stage(sizes.where(F.col("_n") > fold_rows).select("_group"), "large-groups")
+            parts.append(_fold_groups(grouped.join(large, "_group", "left_anti"), request, resource, rank, out))
+            still = stage(grouped.join(large, "_group", "left_semi").drop("_group"), "large-open")
+            open_rows = still.count()
+        if not open_rows:
             break
+        before = open_rows
         room = F.col("_supply") - F.col("_used") - F.col("_peak")
         verdict = stage(
             still.groupBy(request).agg(
@@ -292,6 +318,41 @@ def admit_all_or_nothing(
             still.drop("_ahead", "_back").join(verdict, request, "left")
             .where(F.col(out).isNull() | F.col(out))
         )
-    if not parts:
-        return lines.select(request, F.lit(False).alias(out)).where(F.lit(False))
     return reduce(DataFrame.unionByName, parts)
+
+
+def _fold_groups(rows, request, resource, rank, out):
+    """Scan the open requests of each ``_group`` in order; a group lies in one task, with one number per resource."""
+    names = ["_group", request, "_need", "_spare", *resource]
+    ready = rows.withColumn("_spare", F.col("_supply") - F.col("_used") - F.col("_peak"))
+
+    def settle(asked, taken):
+        fits = all(spare is not None and spare >= taken.get(place, 0) for place, _, spare in asked)
+        for place, need, _ in asked if fits else ():
+            taken[place] = taken.get(place, 0) + need
+        return fits
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = who = kind = None
+        asked, taken = [], {}
+        for batch in batches:
+            kind = batch.schema.field(request).type
+            done: list[tuple] = []
+            for g, r, need, spare, *place in zip(*(batch.column(n).to_pylist() for n in names)):
+                if asked and (g, r) != (group, who):
+                    done.append((who, settle(asked, taken)))
+                    asked = []
+                if g != group:
+                    taken = {}
+                group, who = g, r
+                asked.append((tuple(place), need, spare))
+            yield _verdicts(done, kind)
+        if asked:
+            yield _verdicts([(who, settle(asked, taken))], kind)
+
+    def _verdicts(done, kind):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r for r, _ in done], kind), pa.array([fits for _, fits in done], pa.bool_())], [request, out])
+
+    schema = f"`{request}` {dict(rows.dtypes)[request]}, `{out}` boolean"
+    return ready.repartition("_group").sortWithinPartitions("_group", *rank).select(*names).mapInArrow(scan, schema)

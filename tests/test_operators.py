@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockline.operators.admission import admit_all_or_nothing, admit_within_limit
 from stockline.operators.allocation import allocate_fifo
+from stockline.operators.groups import conflict_groups
 from stockline.operators.numbering import assign_refs
 from stockline.operators.prefix import running_totals
 from stockline.operators.tiers import with_tiers
@@ -144,9 +145,10 @@ def test_credit_admission_with_credits_and_missing_numbers(spark, fold_rows):
     assert got == expected and got[0] and got[1] and got[2]
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 15])
+# Rounds alone, rounds with a scan of what is left, groups on the way, one scan.
+@pytest.mark.parametrize("hot_rows, fold_rows", [(10**6, 0), (15, 0), (15, 12), (10**6, 10**6)])
 @pytest.mark.parametrize("least", [1, -4])
-def test_all_or_nothing_equals_fold(spark, hot_rows, least):
+def test_all_or_nothing_equals_fold(spark, hot_rows, fold_rows, least):
     rng = random.Random(8)
     stock = {p: rng.randint(4, 30) for p in range(5)} | {5: None}
     lines = [(t, rng.choice([0, 1, 2, 3, 4] * 4 + [5]), rng.randint(least, 6)) for t in range(60) for _ in range(rng.randint(1, 4))]
@@ -161,10 +163,62 @@ def test_all_or_nothing_equals_fold(spark, hot_rows, least):
         expected[t] = ok
         left = now if ok else left
     df = spark.createDataFrame([(t, i, p, t * 10, q, stock[p]) for t, i, p, q in lines], "t int, i int, p int, o int, q int, s int")
-    out = admit_all_or_nothing(df, "t", ["p"], ["o"], "q", "s", ["i"], hot_rows=hot_rows)
+    df = df.unionByName(df.limit(1).withColumn("t", F.lit(None).cast("int")))
+    out = admit_all_or_nothing(df, "t", ["p"], ["o"], "q", "s", ["i"], hot_rows=hot_rows, fold_rows=fold_rows)
     assert {r.t: r.accepted for r in out.collect()} == expected
 
 
+def _chains(chains, length):
+    """Of each chain every request shares one unit with the next, so each outcome hangs on the one before."""
+    return [(c * 1000 + n, c * 1000 + p, n) for c in range(chains) for n in range(length) for p in (n, n + 1)]
+
+
+@pytest.mark.parametrize("chains, length, fold_rows", [(1, 500, 5000), (4, 20, 50)])
+def test_all_or_nothing_takes_bounded_passes_on_chains(spark, monkeypatch, chains, length, fold_rows):
+    from stockline.operators import admission
+
+    rounds = []
+    monkeypatch.setattr(admission, "running_totals", lambda *a, **k: rounds.append(1) or running_totals(*a, **k))
+    df = spark.createDataFrame([(t, p, n, 1, 1, i) for i, (t, p, n) in enumerate(_chains(chains, length))],
+                               "t int, p int, o int, q int, s int, i int")
+    got = {r.t: r.accepted for r in admit_all_or_nothing(df, "t", ["p"], ["o"], "q", "s", ["i"], fold_rows=fold_rows).collect()}
+    assert got == {t: n % 2 == 0 for t, _, n in _chains(chains, length)}
+    assert len(rounds) <= 4
+
+
+def test_only_large_groups_go_on_in_rounds(spark):
+    """A chain too long for one scan beside short ones gives the same verdicts."""
+    rows = _chains(2, 4) + [(t + 9000, p + 9000, n) for t, p, n in _chains(1, 7)]
+    df = spark.createDataFrame([(t, p, n, 1, 1, i) for i, (t, p, n) in enumerate(rows)], "t int, p int, o int, q int, s int, i int")
+    got = {r.t: r.accepted for r in admit_all_or_nothing(df, "t", ["p"], ["o"], "q", "s", ["i"], fold_rows=9).collect()}
+    assert got == {t: n % 2 == 0 for t, _, n in rows}
+
+
+def test_conflict_groups_equal_union_find(spark):
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 150), rng.choice(["x", "y", None]), rng.randint(0, 120)) for _ in range(190)]
+    # A long chain, with names that do not grow along it, and one place that many requests touch.
+    names = rng.sample(range(1000, 1200), 200)
+    rows += [(name, "c", n + step) for n, name in enumerate(names) for step in (0, 1)] + [(i, "hot", 0) for i in range(2000, 2300)]
+    rows += [(None, "c", 1), (None, "c", 150), (3000, None, None)]
+    parent = {r: r for r, _, _ in rows if r is not None}
+
+    def find(r):
+        while parent[r] != r:
+            r = parent[r]
+        return r
+
+    first = {}
+    for r, a, b in rows:
+        if r is not None and a is not None and b is not None:
+            x, y = sorted((find(r), find(first.setdefault((a, b), r))))
+            parent[y] = x
+    df = spark.createDataFrame(rows, "r int, a string, b int")
+    groups = {g.r: g._group for g in conflict_groups(df, "r", ["a", "b"]).collect()}
+    assert groups == {r: find(r) for r in parent}
+    assert conflict_groups(df.limit(0), "r", ["a", "b"]).collect() == []
+
+
 def test_references_continue_per_year_and_grow_beyond_four_digits(spark):
     existing = spark.createDataFrame([("PO-2024-0007",), ("PO-2024-9998",), ("PO-2023-0050",), ("X-2024-1",)], "po_ref string")
     rows = spark.createDataFrame([(1, 2024), (2, 2023), (3, 2024), (4, 2025)], "id int, y int")
