@@ -12,11 +12,11 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from checks.reads import half_up
+from checks.reads import READS, half_up
 from stockline.sources.buckets import Bucketed, create, read, run_on_buckets
-from stockline.sources.snapshots import read_ledger
+from stockline.sources.snapshots import append_ledger, read_ledger
 from stockline.sources.staging import staging_root
-from stockline import jobs
+from stockline import analytics, jobs
 from stockline.jobs.purchasing import update_lead_times
 from stockline.tables import Tables
 
@@ -292,6 +292,14 @@ def _appended_ledger(t: Tables, r: Tables) -> DataFrame:
     return read_ledger(spark, path)
 
 
+def _search_by_day(t: Tables) -> DataFrame:
+    """The whole ledger in day folders, searched from the newest day backwards."""
+    spark = t.orders.sparkSession
+    path = f"{staging_root(spark)}/ledger-{uuid.uuid4().hex}"
+    append_ledger(t.audit_log, path, "1")
+    return analytics.audit_search_newest(t, read_ledger(spark, path), 3)
+
+
 def _new_orders(t: Tables, r: Tables):
     return jobs.create_orders(t, r["req_new_orders"], r["req_new_order_lines"], default_warehouse=0)
 
@@ -454,6 +462,7 @@ JOBS: dict[str, tuple[Job, str | None]] = {
         SELECT DATE '2002-01-01' AS ledger_date, CASE action WHEN 'restock' THEN 'stock_returned' ELSE 'stock_written_off' END
           AS action, COUNT(*) AS n, CAST(SUM(CASE action WHEN 'restock' THEN qty ELSE 0 END) AS BIGINT) AS q,
           COUNT(DISTINCT warehouse_code) AS w FROM req_disposed GROUP BY ALL"""),
+    "audit_search_by_day": (lambda t, r: _search_by_day(t), READS["audit_search"][1]),
     "assign_refs": (lambda t, r: jobs.assign_refs(
         t.orders.select("id", "created_at"), t.purchase_orders, "po_ref", "PO", F.year("created_at"),
         [F.col("created_at"), F.col("id")]), f"""

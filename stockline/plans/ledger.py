@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stockline.sources.snapshots import newest_days
 from stockline.tables import Tables
 
 # Activity category of each ledger action; anything else is "other".
@@ -26,8 +27,7 @@ def category(action: str = "action") -> Column:
     return out.otherwise("other")
 
 
-def _filtered(t: Tables, warehouse, action: str) -> DataFrame:
-    log = t.audit_log
+def _filtered(log: DataFrame, warehouse, action: str) -> DataFrame:
     if warehouse is not None:
         log = log.where(F.col("warehouse_code") == F.lit(warehouse))
     if action:
@@ -41,7 +41,7 @@ def audit_search(t: Tables, warehouse=None, action: str = "", limit: int = 100)
     The top rows are chosen before the join, so only ``limit`` rows meet the
     product table.
     """
-    newest = _filtered(t, warehouse, action).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+    newest = _filtered(t.audit_log, warehouse, action).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
     products = t.products.select(
         F.col("id").alias("product_id"), F.col("name").alias("product_name"), F.col("sku").alias("product_sku")
     )
@@ -55,9 +55,15 @@ def audit_search(t: Tables, warehouse=None, action: str = "", limit: int = 100)
     )
 
 
+def audit_search_newest(t: Tables, ledger: DataFrame, warehouse=None, action: str = "", limit: int = 100) -> DataFrame:
+    """``audit_search`` over a ledger folder (``read_ledger``) that reads the newest days only, until ``limit`` rows are found."""
+    newest = newest_days(_filtered(ledger, warehouse, action), limit)
+    return audit_search(t.replace(audit_log=newest), warehouse, action, limit)
+
+
 def ledger_timeline(t: Tables, warehouse=None, category_filter: str = "") -> DataFrame:
     """Ledger rows per day, warehouse and category with their net quantity."""
-    log = _filtered(t, warehouse, "").select(
+    log = _filtered(t.audit_log, warehouse, "").select(
         F.to_date("created_at").alias("day"), "warehouse_code", category().alias("category"), "qty_change"
     )
     if category_filter:

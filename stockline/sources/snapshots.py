@@ -7,7 +7,9 @@ valid and a repeated run writes the same rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -53,6 +55,30 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path.rstrip('/')}/batch=*")
 
 
+_DAY = re.compile(r"/ledger_date=(\d{4}-\d{2}-\d{2})/")
+
+
+def newest_days(ledger: DataFrame, limit: int) -> DataFrame:
+    """The rows of the newest day folders, as many as hold ``limit`` rows; all rows when there are fewer.
+
+    ``ledger`` comes from ``read_ledger``, filters included. The folder listing names
+    the days; they are counted backwards, each step twice as many as the last, so the files
+    read depend on ``limit`` and on how rare the wanted rows are, not on the ledger's age.
+    Folders of older days are pruned from the result. Rows without a time lie behind all days.
+    """
+    days = sorted({d[1] for d in map(_DAY.search, ledger.inputFiles()) if d}, reverse=True)
+    day = F.col("ledger_date").cast("date")
+    found = start = 0
+    step = 1
+    while start + step < len(days):
+        newest, oldest = date.fromisoformat(days[start]), date.fromisoformat(days[start + step - 1])
+        found += ledger.where(day.between(F.lit(oldest), F.lit(newest))).count()
+        if found >= limit:
+            return ledger.where(day >= F.lit(oldest))
+        start, step = start + step, step * 2
+    return ledger
+
+
 def read_requests(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
     """Read a JSON request folder; returns (well-formed requests, rejects).
 

@@ -1,10 +1,10 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 import random
 
 import pytest
 
 from stockline.jobs.common import LEDGER
-from stockline import jobs
+from stockline import analytics, jobs
 from stockline.sources import buckets, layout, snapshots
 from stockline.sources.staging import stage, staging_root
 from stockline.tables import SCHEMAS, Tables
@@ -133,3 +133,26 @@ def test_headers_and_lines_laid_out_together_join_without_a_shuffle(spark, tmp_p
         assert sorted(per_order(h, n).collect()) == sorted(per_order(headers, lines).collect())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_newest_search_reads_no_more_files_as_the_ledger_ages(spark, make, tables, tmp_path):
+    def ledger(days, path):
+        rows = [dict(id=f"{d:03}-{i}", created_at=datetime(2024, 6, 30, i) - timedelta(days=d), action="rare" if d == days - 2 else "a",
+                     warehouse_code="uk" if i else "us", product_id="p") for d in range(days) for i in range(3)]
+        rows.append(dict(id="x", created_at=None, action="timeless", warehouse_code="uk"))
+        frame = make("audit_log", *rows)
+        snapshots.append_ledger(frame, path, "1")
+        return frame, snapshots.read_ledger(spark, path)
+
+    def files(frame):
+        return frame.select("_metadata.file_path").distinct().count()
+
+    reads = []
+    for days in (4, 12):
+        frame, folder = ledger(days, str(tmp_path / f"of-{days}"))
+        reads.append((files(snapshots.newest_days(folder, 3)), files(folder)))
+        t = tables().replace(audit_log=frame)
+        for asked in (dict(limit=4), dict(warehouse="us", limit=2), dict(action="rare"), dict(action="timeless", limit=1), dict(action="none")):
+            want = [tuple(r) for r in analytics.audit_search(t, **asked).collect()]
+            assert [tuple(r) for r in analytics.audit_search_newest(t, folder, **asked).collect()] == want
+    assert reads[0][0] == reads[1][0] == 2 and reads[0][1] < reads[1][1]
