@@ -221,3 +221,20 @@ def test_ledger_refs_and_categories(tables):
     days = [(str(r["day"]), r["category"], r["net_qty"]) for r in rows(a.ledger_timeline(t))]
     assert days == [("2024-01-02", "other", 3), ("2024-01-01", "orders", 0)]
     assert [r["id"] for r in rows(a.audit_search(t, limit=1))] == ["2"]
+
+
+def _broadcast_joins(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+@pytest.mark.parametrize("query", [a.warehouse_summary, a.kpi_warehouses, a.dashboard_warehouses,
+                                   a.dashboard_totals, a.stock_line_value, a.stock_status])
+def test_stock_meets_products_by_a_shuffle(spark, make, tables, tmp_path, query):
+    """However small their files are, neither stock nor products are collected on the driver."""
+    t = tables(warehouses=[{"code": "uk"}])
+    for name, row in (("products", {"id": "p1", "cost_price_gbp": D("2.00")}), ("warehouse_stock", {"id": "s1", "product_id": "p1", "warehouse": "uk"})):
+        make(name, row).write.parquet(str(tmp_path / name))
+        t = t.replace(**{name: spark.read.parquet(str(tmp_path / name))})
+    warehouses = query not in (a.stock_line_value, a.stock_status)
+    plan = query(t)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [product_id" in plan and _broadcast_joins(query(t)) <= warehouses
