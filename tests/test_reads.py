@@ -238,3 +238,17 @@ def test_stock_meets_products_by_a_shuffle(spark, make, tables, tmp_path, query)
     warehouses = query not in (a.stock_line_value, a.stock_status)
     plan = query(t)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [product_id" in plan and _broadcast_joins(query(t)) <= warehouses
+
+
+def test_count_lines_are_not_broadcast(spark, make, tables, tmp_path):
+    t = tables()
+    for name, rows in (("products", [{"id": "p1", "name": "One"}]), ("cycle_counts", [{"id": "a"}, {"id": "b"}, {"id": "b"}, {"id": None}]),
+                       ("cycle_count_lines", [{"id": "l1", "cycle_count_id": "a", "product_id": "p1"}, {"id": "l2", "cycle_count_id": "a"},
+                                              {"id": "l3", "cycle_count_id": "gone"}])):
+        make(name, *rows).write.parquet(str(tmp_path / name))
+        t = t.replace(**{name: spark.read.parquet(str(tmp_path / name))})
+    df = a.cycle_count_detail(t)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [product_id" in plan and "LeftOuter, BuildRight" not in plan
+    got = sorted((r.cycle_count_id or "-", r.line_id or "-", r.product_name or "-") for r in df.collect())
+    assert got == [("-", "-", "-"), ("a", "l1", "One"), ("a", "l2", "-"), ("b", "-", "-"), ("b", "-", "-")]
