@@ -11,6 +11,7 @@ from stockline.jobs.common import (
     OUT_OF_RANGE, JobResult, append_rows, missing, no_ledger, rank, reject, unfit, union, updated,
 )
 from stockline.operators.allocation import allocate_fifo
+from stockline.operators.joins import growing
 from stockline.operators.movements import apply_deltas
 from stockline.operators.prefix import HOT_ROWS
 from stockline.sources.staging import stage
@@ -116,9 +117,9 @@ def ingest_invoices(
     first = valid.where(F.col("order_number").isNotNull()).groupBy("customer_name", "order_number").agg(
         F.min(rank()).alias("_first"))
     judged = stage(
-        valid.join(customers, "customer_name", "left")
-        .join(booked, ["known_id", "order_number"], "left")
-        .join(first, ["customer_name", "order_number"], "left")
+        valid.join(growing(customers), "customer_name", "left")
+        .join(growing(booked), ["known_id", "order_number"], "left")
+        .join(growing(first), ["customer_name", "order_number"], "left")
         .withColumn("_ok", F.col("_booked").isNull() & (F.col("_first").isNull() | (rank() == F.col("_first"))))
         .drop("_error"),
         "invoice-headers",
@@ -140,7 +141,7 @@ def ingest_invoices(
         F.col("known_id").alias("id"), F.lit(True).alias("_hit"), "region"
     )
     invoices = accepted.drop("known_id").join(
-        per_name.select("customer_name", owner.alias("customer_id")), "customer_name"
+        growing(per_name.select("customer_name", owner.alias("customer_id"))), "customer_name"
     )
     new_invoices = invoices.select(
         F.col("request_id").alias("id"), "customer_id", "order_number", F.col("order_date").cast("date").alias("order_date"),
@@ -151,12 +152,17 @@ def ingest_invoices(
     for r, w in region_warehouses.items():
         warehouse = F.when(F.col("_region") == F.lit(r), F.lit(w)).otherwise(warehouse)
     skus = t.products.groupBy("sku").agg(F.min("id").alias("product_id"))
-    stock = t.warehouse_stock.select("product_id", "warehouse", available().alias("_avail"))
-    items = (
+    # A product's stock in all warehouses comes along with its SKU, so that lines are not shuffled once more to meet it.
+    stock = t.warehouse_stock.groupBy("product_id").agg(F.collect_list(F.struct("warehouse", available().alias("_avail"))).alias("_stock"))
+    shelves = skus.join(growing(stock), "product_id", "left")
+    here = F.filter("_stock", lambda x: x["warehouse"] == F.col("warehouse"))
+    # Allocation reads them several times, so the joins are done once.
+    items = stage(
         lines.withColumn("sku", F.trim(F.coalesce("sku", F.lit("")))).withColumn("qty", parse_int("quantity"))
-        .join(accepted.select("request_id", "requested_at", warehouse.alias("warehouse")), "request_id")
-        .join(skus, "sku", "left")
-        .join(stock, ["product_id", "warehouse"], "left")
+        .join(growing(accepted.select("request_id", "requested_at", warehouse.alias("warehouse"))), "request_id")
+        .join(growing(shelves), "sku", "left")
+        .select("*", F.explode_outer(here).alias("_here")).withColumn("_avail", F.col("_here._avail")).drop("_stock", "_here"),
+        "invoice-items",
     )
     order = [F.col("requested_at"), F.col("request_id"), F.col("line_no")]
     stocked = items.where(F.col("_avail").isNotNull())

@@ -518,3 +518,37 @@ def test_nested_request_lines_are_flattened(spark):
     headers, lines = jobs.nested_lines(df)
     assert headers.columns == ["request_id"]
     assert [tuple(r) for r in lines.orderBy("line_no").collect()] == [("r", 1, "p", 2), ("r", 2, "q", 3)]
+
+
+def test_invoice_joins_do_not_broadcast(spark, make, tables, tmp_path, monkeypatch):
+    """However small their files are, customers, products and stock are not collected on the driver; the joins run once."""
+    from stockline.jobs import customers as module
+
+    plans = {}
+
+    def stage(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        path = str(tmp_path / label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    monkeypatch.setattr(module, "stage", stage)
+    t = tables()
+    for name, row in (("products", dict(id="p1", sku="A")), ("warehouse_stock", dict(id="w1", product_id="p1", warehouse="uk", qty_on_hand=5, qty_reserved=0)),
+                      ("customers", dict(id="c1", company_name="One")), ("invoices", dict(id="i1", customer_id="c1", order_number="N-1"))):
+        make(name, row).write.parquet(str(tmp_path / name))
+        t = t.replace(**{name: spark.read.parquet(str(tmp_path / name))})
+    asked = make("request_id string, customer_name string, customer_region string, order_number string, order_date date, invoice_date date, "
+                 "source_filename string, requested_at timestamp_ntz",
+                 dict(request_id="r1", customer_name="One", order_number="N-2", requested_at=datetime(2024, 1, 1)),
+                 dict(request_id="r2", customer_name="One", order_number="N-1", requested_at=datetime(2024, 1, 1)))
+    lines = make("request_id string, line_no int, sku string, description string, barcode string, trade_price string, quantity string, subtotal string",
+                 *[dict(request_id=r, line_no=n, sku=s, trade_price="1", quantity="4", subtotal="4")
+                   for r, n, s in (("r1", 1, "A"), ("r1", 2, "A"), ("r1", 3, "?"), ("r2", 1, "A"))])
+    r = jobs.ingest_invoices(t, asked, lines)
+    assert list(plans) == ["invoice-headers", "invoice-items", "invoice-lines"]
+    assert not any("BroadcastHashJoin" in p for p in plans.values())
+    assert "products" not in plans["invoice-lines"] and "customers" not in plans["invoice-lines"]
+    assert sorted((x.id, x.qty_fulfilled, x.fulfilment_status) for x in r.extra["lines"].collect()) == [
+        ("r1-1", 4, "fulfilled"), ("r1-2", 1, "partial"), ("r1-3", 0, "backordered")]
+    assert [x.request_id for x in r.rejects.collect()] == ["r2"]
