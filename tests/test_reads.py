@@ -252,3 +252,15 @@ def test_count_lines_are_not_broadcast(spark, make, tables, tmp_path):
     assert "SortMergeJoin [product_id" in plan and "LeftOuter, BuildRight" not in plan
     got = sorted((r.cycle_count_id or "-", r.line_id or "-", r.product_name or "-") for r in df.collect())
     assert got == [("-", "-", "-"), ("a", "l1", "One"), ("a", "l2", "-"), ("b", "-", "-"), ("b", "-", "-")]
+
+
+def test_review_lines_meet_stock_by_a_shuffle(spark, make, tables, tmp_path):
+    t = tables()
+    for name, row in (("warehouse_stock", {"id": "s1", "product_id": "p1", "warehouse": "uk", "qty_on_hand": 3, "qty_reserved": 1}),
+                      ("orders", {"id": "o1", "warehouse_code": "uk", "requires_review": True}), ("order_lines", {"id": "l1", "order_id": "o1", "product_id": "p1"})):
+        make(name, row).write.parquet(str(tmp_path / name))
+        t = t.replace(**{name: spark.read.parquet(str(tmp_path / name))})
+    df = a.review_queue(t)
+    joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "warehouse_code" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+    assert [r.qty_available for r in df.collect()] == [2]
