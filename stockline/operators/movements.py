@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stockline.operators.joins import growing
 from stockline.operators.prefix import HOT_ROWS, running_totals
 
 KEY = ["product_id", "warehouse"]
@@ -41,7 +42,7 @@ def balances(
 ) -> DataFrame:
     """Add ``balance_after`` to every change; ``absent`` is used where there is no stock row."""
     opening = stock.select(*KEY, F.col("qty_on_hand").alias("_opening"))
-    joined = running_totals(moves, KEY, order, {"_before": F.col(qty)}, hot_rows=hot_rows).join(opening, KEY, "left")
+    joined = running_totals(moves, KEY, order, {"_before": F.col(qty)}, hot_rows=hot_rows).join(growing(opening), KEY, "left")
     after = F.col("_opening") + F.col("_before") + F.col(qty)
     return joined.withColumn(
         "balance_after", F.when(F.col("_opening").isNotNull(), after).otherwise(absent).cast("int")

@@ -552,3 +552,44 @@ def test_invoice_joins_do_not_broadcast(spark, make, tables, tmp_path, monkeypat
     assert sorted((x.id, x.qty_fulfilled, x.fulfilment_status) for x in r.extra["lines"].collect()) == [
         ("r1-1", 4, "fulfilled"), ("r1-2", 1, "partial"), ("r1-3", 0, "backordered")]
     assert [x.request_id for x in r.rejects.collect()] == ["r2"]
+
+
+@pytest.fixture
+def filed(spark, make, tables, tmp_path):
+    """Tables read from small Parquet files, so that plans name their paths and Spark would broadcast them."""
+    def build(**given):
+        t = tables()
+        for name, rows in given.items():
+            make(name, *rows).write.parquet(str(tmp_path / name))
+            t = t.replace(**{name: spark.read.parquet(str(tmp_path / name))})
+        return t
+    return build
+
+
+@pytest.fixture
+def staged_plans(monkeypatch):
+    """Physical plans of what jobs and operators stage, by label."""
+    from stockline.jobs import orders, purchasing, stock
+    from stockline.operators import prefix
+    from stockline.sources import staging
+
+    plans = {}
+
+    def stage(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return staging.stage(df, label)
+
+    for module in (orders, purchasing, stock, prefix):
+        monkeypatch.setattr(module, "stage", stage, raising=False)
+    return plans
+
+
+STOCK = dict(id="w1", product_id="p1", warehouse="uk", qty_on_hand=5, qty_reserved=0)
+
+
+def test_balances_meet_stock_by_a_shuffle(filed):
+    t = filed(warehouse_stock=[STOCK], returns=[dict(id="r1", rma_ref="RMA-1", product_id="p1", warehouse_code="uk", qty=2, status="pending", reason="other",
+                                                     created_at=T0)])
+    ledger = jobs.returns_disposition(t, T0).ledger
+    assert "BroadcastHashJoin" not in ledger._jdf.queryExecution().executedPlan().toString()
+    assert [(r.product_id, r.balance_after) for r in ledger.collect()] == [("p1", 7)]
