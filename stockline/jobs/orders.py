@@ -13,6 +13,7 @@ from stockline.jobs.purchasing import _with_line_counts
 from stockline.operators.admission import FOLD_ROWS, admit_within_limit
 from stockline.operators.allocation import allocate_fifo
 from stockline.operators.movements import apply_deltas, balances
+from stockline.operators.joins import growing
 from stockline.operators.numbering import assign_refs
 from stockline.operators.prefix import HOT_ROWS, running_totals
 from stockline.plans.pricing import price_order_lines
@@ -145,13 +146,15 @@ def review_decisions(t: Tables, requests: DataFrame, decisions: DataFrame, hot_r
     )
     decision = F.col("decision")
     custom = F.greatest(F.lit(0), parse_int("custom_qty"))
-    work = (
+    # Running totals read it several times, so the joins are done once.
+    work = stage(
         decisions.where(decision.isin("ship_available", "custom", "hold"))
         .join(served.select("request_id", "order_id", "order_ref", "warehouse_code", "requested_at"), "request_id")
         .join(lines, ["line_id", "order_id"])
-        .join(stock, ["product_id", "warehouse_code"], "left")
+        .join(growing(stock), ["product_id", "warehouse_code"], "left")
         .withColumn("_custom", F.when(decision == "custom", custom).otherwise(0))
-        .withColumn("_demand", F.when(decision == "ship_available", F.col("requested")).otherwise(F.col("_custom")))
+        .withColumn("_demand", F.when(decision == "ship_available", F.col("requested")).otherwise(F.col("_custom"))),
+        "review-work",
     )
     keys = ["product_id", "warehouse_code"]
     order = [F.col("requested_at"), F.col("request_id"), F.col("line_no")]

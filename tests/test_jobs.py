@@ -593,3 +593,15 @@ def test_balances_meet_stock_by_a_shuffle(filed):
     ledger = jobs.returns_disposition(t, T0).ledger
     assert "BroadcastHashJoin" not in ledger._jdf.queryExecution().executedPlan().toString()
     assert [(r.product_id, r.balance_after) for r in ledger.collect()] == [("p1", 7)]
+
+
+
+def test_review_joins_run_once(make, filed, staged_plans):
+    t = filed(warehouse_stock=[STOCK], orders=[dict(id="o1", warehouse_code="uk", requires_review=True)],
+              order_lines=[dict(id="l1", order_id="o1", product_id="p1", qty_ordered=7)])
+    asked = make("request_id string, order_id string, requested_at timestamp_ntz", dict(request_id="r1", order_id="o1", requested_at=T0))
+    decisions = make("request_id string, line_no int, line_id string, decision string, custom_qty string",
+                     dict(request_id="r1", line_no=1, line_id="l1", decision="ship_available"))
+    r = jobs.review_decisions(t, asked, decisions)
+    assert all("Join" not in p for label in ("hot-groups", "review") for p in staged_plans[label])
+    assert [(x.qty_to_ship, x.qty_to_backorder) for x in r.accepted.collect()] == [(5, 2)]
