@@ -595,6 +595,18 @@ def test_balances_meet_stock_by_a_shuffle(filed):
     assert [(r.product_id, r.balance_after) for r in ledger.collect()] == [("p1", 7)]
 
 
+def test_order_lines_meet_stock_by_a_shuffle(make, filed, staged_plans):
+    t = filed(warehouse_stock=[STOCK], products=[dict(id="p1", moq=1)], customers=[dict(id="c1")])
+    asked = make("request_id string, customer_id string, customer_name string, warehouse_code string, currency string, notes string, skip_checks boolean, "
+                 "requested_at timestamp_ntz", dict(request_id="r1", customer_id="c1", customer_name="One", warehouse_code="uk", requested_at=T0))
+    lines = make("request_id string, line_no int, product_id string, product_name string, sku string, qty string, base_price string",
+                 dict(request_id="r1", line_no=1, product_id="p1", qty="6", base_price="1"))
+    r = jobs.create_orders(t, asked, lines)
+    plan, = staged_plans["order-lines"]
+    joins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x or "SortMergeJoin" in x]
+    assert any("SortMergeJoin" in x and "warehouse_code" in x for x in joins) and not any("BroadcastHashJoin" in x and "warehouse_code" in x for x in joins)
+    assert [x.requires_review for x in r.accepted.collect()] == [True]
+
 
 def test_review_joins_run_once(make, filed, staged_plans):
     t = filed(warehouse_stock=[STOCK], orders=[dict(id="o1", warehouse_code="uk", requires_review=True)],
