@@ -14,6 +14,7 @@ from stockline.operators.movements import KEY, apply_deltas, balances
 from stockline.operators.numbering import assign_refs
 from stockline.operators.prefix import HOT_ROWS, running_totals
 from stockline.plans.intelligence import abc_classification
+from stockline.sources.staging import stage
 from stockline.tables import Tables
 
 
@@ -110,10 +111,11 @@ def process_returns(t: Tables, requests: DataFrame, hot_rows: int = HOT_ROWS) ->
     judged = first_per(requests, "return_id").join(state, "return_id", "left").withColumn(
         "_ok", F.col("_first") & F.coalesce(F.col("was") == "pending", F.lit(False))
     )
-    done = judged.where("_ok").select(
+    # Read several times below, so the requests are judged once.
+    done = stage(judged.where("_ok").select(
         F.col("return_id").alias("id"), "rma_ref", "product_id", "warehouse_code", "qty", "action",
         F.col("requested_at").alias("at"),
-    )
+    ), "returns-done")
     stock, ledger = _apply_returns(t, done, "", F.lit(""), hot_rows)
     changes = done.select("id", F.lit(True).alias("_hit"), F.lit("processed").alias("status"))
     return JobResult(

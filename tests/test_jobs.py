@@ -617,3 +617,11 @@ def test_review_joins_run_once(make, filed, staged_plans):
     r = jobs.review_decisions(t, asked, decisions)
     assert all("Join" not in p for label in ("hot-groups", "review") for p in staged_plans[label])
     assert [(x.qty_to_ship, x.qty_to_backorder) for x in r.accepted.collect()] == [(5, 2)]
+
+
+def test_returns_are_judged_once(make, filed, staged_plans):
+    t = filed(warehouse_stock=[STOCK], returns=[dict(id="r1", product_id="p1", warehouse_code="uk", qty=2, action="restock", status="pending")])
+    asked = make("request_id string, return_id string, requested_at timestamp_ntz", dict(request_id="q1", return_id="r1", requested_at=T0))
+    r = jobs.process_returns(t, asked)
+    assert all("Join" not in p for p in staged_plans["hot-groups"])
+    assert [x.qty_on_hand for x in r.state["warehouse_stock"].collect()] == [7]
