@@ -126,7 +126,8 @@ def receive_goods(t: Tables, receipts: DataFrame, hot_rows: int = HOT_ROWS) -> J
     orders = t.purchase_orders.select(F.col("id").alias("po_id"), "po_ref", "warehouse_code", "status")
     requests = receipts.groupBy("request_id", "po_id", "requested_at").agg(F.bool_or(unfit(parse_int("qty"))).alias("unfit"))
     open_po = F.coalesce(F.col("status").isin("submitted", "partial"), F.lit(False)) & ~F.col("unfit")
-    known = requests.join(orders, "po_id", "left").withColumn("_open", open_po)
+    # Read by every step below, so the receipts are grouped once.
+    known = stage(requests.join(orders, "po_id", "left").withColumn("_open", open_po), "receipt-requests")
     served = known.where("_open")
 
     po_lines = t.po_lines.select(

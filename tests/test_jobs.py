@@ -625,3 +625,13 @@ def test_returns_are_judged_once(make, filed, staged_plans):
     r = jobs.process_returns(t, asked)
     assert all("Join" not in p for p in staged_plans["hot-groups"])
     assert [x.qty_on_hand for x in r.state["warehouse_stock"].collect()] == [7]
+
+
+def test_receipts_are_grouped_once(make, filed, staged_plans):
+    t = filed(warehouse_stock=[STOCK], purchase_orders=[dict(id="o1", warehouse_code="uk", status="submitted")],
+              po_lines=[dict(id="l1", po_id="o1", product_id="p1", qty_ordered=4, qty_received=0)])
+    asked = make("request_id string, po_id string, requested_at timestamp_ntz, line_no int, line_id string, qty string",
+                 dict(request_id="q1", po_id="o1", requested_at=T0, line_no=1, line_id="l1", qty="4"))
+    r = jobs.receive_goods(t, asked)
+    assert all("purchase_orders" not in p for label in ("receipts", "judged") for p in staged_plans[label])
+    assert [(x.id, x.status) for x in r.state["purchase_orders"].collect()] == [("o1", "received")]
