@@ -22,17 +22,27 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project("audit_log", _source(spark, sf_dir, "events"))
 
 
+FILE_ROWS = 500_000
+
+
 def _in_files(spark: SparkSession, source: DataFrame, at: str, ident: str, days: int, files: int = 3) -> DataFrame:
-    """The same rows as a stream of one file per micro-batch, in order but for ``days``: each file is of later rows, shaken up that far."""
+    """The same rows as a stream of ``files`` micro-batches, in order but for ``days``: each is of later rows, shaken up that far.
+
+    A micro-batch is one file, or of large tables as many as keep each near ``FILE_ROWS``, the same number in every micro-batch.
+    """
     shaken = F.timestamp_add("SECOND", F.pmod(F.xxhash64(ident), F.lit(days * 86_400)), F.col(at))
-    bounds = source.agg(F.percentile_approx(F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), shaken), [i / files for i in range(1, files)])).first()[0] or []
     seconds = F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), shaken)
-    number = sum(((seconds > b).cast("int") for b in bounds), F.lit(0))
+    bounds, rows = source.agg(F.percentile_approx(seconds, [i / files for i in range(1, files)]), F.count("*")).first()
+    number = sum(((seconds > b).cast("int") for b in bounds or []), F.lit(0))
     path = f"{staging_root(spark)}/files-{uuid.uuid4().hex}"
     marked = source.withColumn("_file", number)
+    parts = max(1, rows // files // FILE_ROWS)
+    if parts > 1:  # dealt out in turn, every part gets rows and so its file, unless a micro-batch is nearly empty
+        least = min((r[1] for r in marked.groupBy("_file").count().where("_file IS NOT NULL").collect()), default=0)
+        parts = parts if least > 100 * parts and bounds else 1
     for n in range(files):  # one after another, as a file stream goes by the time of writing
-        marked.where(F.col("_file") == n).drop("_file").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        marked.where(F.col("_file") == n).drop("_file").repartition(parts).write.mode("append").parquet(path)
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", parts).parquet(path)
 
 
 def _place(spark: SparkSession) -> tuple[str, str]:

@@ -12,7 +12,7 @@ from stockline.jobs.common import ledger_rows
 from stockline.operators.prefix import HOT_ROWS, running_totals
 from stockline.sources.snapshots import append_ledger
 from stockline.sources.staging import stage
-from stockline.streaming.stateful import order_stages, served_units
+from stockline.streaming.stateful import order_stages, served_units, shards_for
 from stockline.tables import Tables
 
 
@@ -125,6 +125,14 @@ def _queue(t: Tables, path: str, hot_rows: int) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _shards(spark: SparkSession, path: str, keys: DataFrame) -> int:
+    """The number of shards for a stream's state, found by its first start and kept."""
+    fs, mark = _files(spark, f"{path}/_SUCCESS")
+    if not fs.exists(mark):
+        spark.range(1).select(F.lit(shards_for(keys.count())).alias("shards")).write.mode("overwrite").parquet(path)
+    return spark.read.schema("shards int").parquet(path).first()[0]
+
+
 def stream_backorder_allocation(
     ledger: DataFrame, t: Tables, root: str, checkpoint: str, hot_rows: int = HOT_ROWS, **trigger
 ) -> StreamingQuery:
@@ -175,7 +183,8 @@ def stream_order_states(actions: DataFrame, t: Tables, root: str, checkpoint: st
     Stages are kept as state (``order_stages``); refused rows have ``accepted`` false and an error code, and
     ``order_rejects`` reads them as a stream of their own. Actions on unknown orders are refused.
     """
-    return append_sink(order_stages(actions, t, delay), f"{root}/moves", checkpoint, **trigger)
+    shards = _shards(actions.sparkSession, f"{root}/shards", t.orders)
+    return append_sink(order_stages(actions, t, delay, shards), f"{root}/moves", checkpoint, **trigger)
 
 
 def order_rejects(spark: SparkSession, root: str, schema: str) -> DataFrame:

@@ -214,3 +214,53 @@ def test_requests_as_json_files_run_a_job_per_batch(spark, tables, tmp_path):
     assert run("cp-lost") == first  # all micro-batches once more
     assert streams.read_state(spark, root, 3).warehouses.count() == 1
     assert os.listdir(f"{root}/tables/warehouses") == ["0"]
+
+
+def _state_rows(query):
+    query.awaitTermination()
+    return max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
+
+
+def test_order_stages_are_kept_by_shards_of_orders(spark, tables, ledger, tmp_path, monkeypatch):
+    """State is a few rows per shard, not per order; several shards and a second start give what one does."""
+    t = tables(orders=[dict(id=str(i), fulfilment_status=["confirmed", "picked", None][i % 3]) for i in range(300)])
+    schema = "request_id long, order_id string, action string, requested_at timestamp_ntz"
+    rows = [dict(request_id=None if i % 50 == 9 else 2**60 + i, order_id=str(i * 7 % 310), action=["ship", "pack", "pick", None][i * 5 % 4],
+                 requested_at=T0 + timedelta(minutes=i * 37 % 600)) for i in range(900)]
+    now = {str(i): ["confirmed", "picked", None][i % 3] for i in range(300)}
+    want = []
+    for r in sorted(rows, key=lambda r: (r["requested_at"], r["request_id"] is not None, r["request_id"] or 0)):
+        was, leads = now.get(r["order_id"]), {("confirmed", "pick"): "picking", ("picking", "pack"): "packing", ("picked", "pack"): "packing",
+                                               ("packing", "ship"): "shipped"}
+        now[r["order_id"]] = leads.get((was, r["action"]), was)
+        want.append((str(r["request_id"]), r["order_id"], str(was), str(now[r["order_id"]]), (was, r["action"]) in leads))
+    stream, _ = ledger(rows[:400], rows[400:], schema=schema)
+    for keys in (4096, 40):
+        monkeypatch.setattr("stockline.streaming.stateful.SHARD_KEYS", keys)
+        root = str(tmp_path / f"state-{keys}")
+        assert _state_rows(streams.stream_order_states(stream, t, root, str(tmp_path / f"cp-{keys}"), delay="1 day")) < 60
+        # Started again with another number of orders: the shards stay.
+        monkeypatch.setattr("stockline.streaming.stateful.SHARD_KEYS", 1)
+        end = spark.createDataFrame([(0, "none", "pick", T0 + timedelta(days=9))], schema)
+        if keys == 4096:
+            end.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.stream_order_states(stream, t, root, str(tmp_path / f"cp-{keys}"), delay="1 day").awaitTermination()
+        got = spark.read.parquet(f"{root}/moves").where("NOT late").collect()
+        assert sorted((str(r.request_id), r.order_id, str(r.from_status), str(r.to_status), r.accepted) for r in got) == sorted(want)
+
+
+def test_micro_batches_of_several_files_hold_the_same_rows(spark, make, monkeypatch):
+    """The checks' streams write large micro-batches as several files, side by side, and read as many at a time."""
+    from checks import live
+
+    rows = make("audit_log", *[row(i, i) for i in range(3000)])
+    monkeypatch.setattr(live, "FILE_ROWS", 300)
+    stream, sizes = live._in_files(spark, rows, "created_at", "id", 1), []
+
+    def look(batch, _):
+        times = sorted(r.created_at for r in batch.collect())
+        sizes.append((len(times), batch.select(F.input_file_name()).distinct().count(), times[0], times[-1]))
+
+    stream.writeStream.foreachBatch(look).trigger(availableNow=True).start().awaitTermination()
+    assert len(sizes) == 3 and sum(s[0] for s in sizes) == 3000 and {s[1] for s in sizes} == {3}
+    assert all(a[2] < b[2] and a[3] < b[3] for a, b in zip(sizes, sizes[1:]))
