@@ -172,7 +172,7 @@ def stream_backorder_allocation(
         ), f"{root}/ledger", f"backorders-{batch_id}")
 
     return (
-        served_units(ledger, opening).writeStream.foreachBatch(run).outputMode("append").option("checkpointLocation", checkpoint)
+        served_units(ledger, opening, _shards(opening.sparkSession, f"{root}/shards", opening)).writeStream.foreachBatch(run).outputMode("append").option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stockline.sources.staging import stage
@@ -218,49 +218,61 @@ def order_stages(actions: DataFrame, t: Tables, delay: str, shards: int | None =
 
 
 class _Queues(StatefulProcessor):
-    """Keeps three numbers of a stock row with backorders: units free, units ever queued, units of the queue served."""
+    """Keeps three numbers per stock row with backorders: units free, units ever queued, units of the queue served; a shard's rows as one frame."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("queue", "free bigint, queued bigint, served bigint")
+        self.state = handle.getValueState("queues", "queues binary")
 
-    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
-        self.state.update((initialState.free, initialState.queued, 0))
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        first = initialState.drop(columns="shard").assign(served=0)
+        if self.state.exists():
+            first = pd.concat([_unpacked(self.state.get()), first], ignore_index=True)
+        self.state.update(_packed(first.drop_duplicates(_STOCK_ROW, keep="last")))
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        change, received, latest = 0, False, None
-        for r in rows:
-            change += r.change
-            received |= r.received
-            latest = r.created_at if latest is None else max(latest, r.created_at)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
         if not self.state.exists():
             return
-        free, queued, served = self.state.get()
-        free += change
-        upto = min(queued, served + free) if received else served
-        if upto > served:
-            yield Row(product_id=key[0], warehouse=key[1], served_from=served, served_to=upto, at=latest)
-            free, served = free - (upto - served), upto
-        self.state.update((free, queued, served))
+        moved = new.groupby(_STOCK_ROW, as_index=False).agg(change=("change", "sum"), received=("received", "any"), at=("at", "max"))
+        held = _unpacked(self.state.get())
+        met = held.reset_index().merge(moved, on=_STOCK_ROW).set_index("index")
+        if met.empty:
+            return
+        free = met["free"] + met["change"]
+        upto = met["served"].where(~met["received"], np.maximum(met["served"], np.minimum(met["queued"], met["served"] + free)))
+        out = met.assign(served_from=met["served"], served_to=upto)[met["served"] < upto]
+        held.loc[met.index, "free"] = free - (upto - met["served"])
+        held.loc[met.index, "served"] = upto
+        self.state.update(_packed(held))
+        yield out[[*_STOCK_ROW, "served_from", "served_to", "at"]].reset_index(drop=True)
 
     def close(self) -> None:
         pass
 
 
-def served_units(ledger: DataFrame, opening: DataFrame) -> DataFrame:
+_STOCK_ROW = ["product_id", "warehouse"]
+
+
+def served_units(ledger: DataFrame, opening: DataFrame, shards: int | None = None) -> DataFrame:
     """Which units of each stock row's backorder queue a micro-batch serves: ``served_from`` up to ``served_to``.
 
     ``opening``: product_id, warehouse, free, queued. A row is served when a micro-batch brings it
     received stock, from what is free after all of the batch's movements. State is three numbers per
-    stock row with backorders; nothing else is kept or looked at.
+    stock row with backorders, kept by shards of stock rows; nothing else is kept or looked at. Their number
+    belongs to the checkpoint, as in ``order_stages``.
     """
     _use_rocksdb(ledger)
-    key = ["product_id", "warehouse"]
+    shards = shards or shards_for(opening.count())
+    epoch = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
     moves = ledger.where(F.col("product_id").isNotNull() & F.col("warehouse_code").isNotNull()).select(
         "product_id", F.col("warehouse_code").alias("warehouse"), F.coalesce("qty_change", F.lit(0)).cast("bigint").alias("change"),
         F.coalesce(F.col("action") == "stock_received", F.lit(False)).alias("received"),
-        F.coalesce("created_at", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")).alias("created_at"),
-    )
+        F.timestamp_diff("MICROSECOND", epoch, F.coalesce("created_at", epoch)).alias("at"),
+    ).select(_shard(shards, *_STOCK_ROW), "*")
     kinds = dict(opening.dtypes)
-    return moves.groupBy(*key).transformWithState(
-        statefulProcessor=_Queues(), outputMode="Append", timeMode="None", initialState=opening.groupBy(*key),
-        outputStructType=f"product_id {kinds['product_id']}, warehouse {kinds['warehouse']}, served_from bigint, served_to bigint, at timestamp_ntz")
+    # Stock of unknown quantity serves nobody.
+    first = stage(opening.where("free IS NOT NULL").select(_shard(shards, *_STOCK_ROW), *_STOCK_ROW, "free", "queued"), "opening-shards")
+    served = moves.groupBy("shard").transformWithStateInPandas(
+        statefulProcessor=_Queues(), outputMode="Append", timeMode="None", initialState=first.groupBy("shard"),
+        outputStructType=f"product_id {kinds['product_id']}, warehouse {kinds['warehouse']}, served_from bigint, served_to bigint, at bigint")
+    return served.withColumn("at", F.timestamp_add("MICROSECOND", F.col("at"), epoch))

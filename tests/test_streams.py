@@ -249,6 +249,21 @@ def test_order_stages_are_kept_by_shards_of_orders(spark, tables, ledger, tmp_pa
         assert sorted((str(r.request_id), r.order_id, str(r.from_status), str(r.to_status), r.accepted) for r in got) == sorted(want)
 
 
+def test_backorder_queues_are_kept_by_shards_of_stock_rows(spark, tables, ledger, tmp_path, monkeypatch):
+    n = 200
+    t = tables(orders=[dict(id="o", order_ref="R", warehouse_code="uk", created_at=T0)],
+               order_lines=[dict(id=f"l{i}", order_id="o", product_id=f"p{i}", qty_backordered=5, fulfilment_status="backordered") for i in range(n)],
+               warehouse_stock=[dict(id=str(i), product_id=f"p{i}", warehouse="uk", qty_on_hand=None if i == 7 else 0, qty_reserved=1) for i in range(n)])
+    stream, _ = ledger([row(i, i, "stock_received", f"p{i}", 3) for i in range(n)], [row(n + i, n + i, "stock_received", f"p{i}", i % 3) for i in range(n)])
+    for keys in (4096, 30):
+        monkeypatch.setattr("stockline.streaming.stateful.SHARD_KEYS", keys)
+        root = str(tmp_path / f"state-{keys}")
+        assert _state_rows(streams.stream_backorder_allocation(stream, t, root, str(tmp_path / f"cp-{keys}"))) < 10
+        got = {(r.batch, r.line_id): r.qty for r in spark.read.parquet(f"{root}/allocations").collect()}
+        # Stock of unknown quantity (p7) serves nobody.
+        assert got == {(b, f"l{i}"): q for i in range(n) if i != 7 for b, q in ((0, 2), (1, i % 3)) if q}
+
+
 def test_micro_batches_of_several_files_hold_the_same_rows(spark, make, monkeypatch):
     """The checks' streams write large micro-batches as several files, side by side, and read as many at a time."""
     from checks import live
