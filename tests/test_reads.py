@@ -264,3 +264,49 @@ def test_review_lines_meet_stock_by_a_shuffle(spark, make, tables, tmp_path):
     joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "warehouse_code" in x]
     assert joins and all("SortMergeJoin" in x for x in joins)
     assert [r.qty_available for r in df.collect()] == [2]
+
+
+def shuffles(df, *columns):
+    """How many shuffles carry all these columns, when nothing is broadcast."""
+    import re
+
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = df.select("*")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    inputs = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan)
+    return sum(all(f"{c}#" in i for c in columns) for i in inputs)
+
+
+@pytest.fixture(scope="module")
+def paperwork(tables):
+    """Keys that are null, unknown or there twice."""
+    keys = [None, "1", "2", "x"]
+    return tables(
+        orders=[dict(id="1", order_ref="O1", customer_id="1"), dict(id="2", order_ref="O2", customer_id=None), dict(id="2", order_ref="O2b", customer_id="x"),
+                dict(id=None, order_ref="none", customer_id="2"), dict(id="3", order_ref="O3", customer_id="2")],
+        customers=[dict(id="1", company_name="C1", default_discount_pct=D(0)), dict(id="1", company_name="C1b", default_discount_pct=D(4)),
+                   dict(id="2", company_name="C2", default_discount_pct=D(7)), dict(id=None, company_name="none", default_discount_pct=D(9))],
+        products=[dict(id="1", name="P1", sku="S1", brand="B1"), dict(id="2", name="P2"), dict(id="2", name="P2b", brand="B2"), dict(id=None, name="none")],
+        price_tiers=[dict(id="t", product_id="1", min_qty=5, discount_pct=D(5)), dict(id="u", product_id="1", min_qty=10, discount_pct=D(3)),
+                     dict(id="v", product_id=None, min_qty=1, discount_pct=D(50))],
+        order_lines=[dict(id=f"{o}{p}", order_id=o, product_id=p, sku="s") for o in keys for p in keys] * 2,
+        returns=[dict(id=f"{o}{c}{p}", rma_ref="R", order_id=o, customer_id=c, product_id=p, qty=1) for o in keys for c in keys for p in keys] * 2,
+    )
+
+
+def _left(left, right, key):
+    """A left join by hand: unknown and null keys meet nothing."""
+    return [(*x, y) for x in left for y in [r for r in right if r["id"] is not None and r["id"] == key(x)] or [{}]]
+
+
+def test_returns_are_shuffled_once(paperwork):
+    t = paperwork
+    df = a.returns_list(t)
+    assert shuffles(df, "rma_ref") == 1
+    o, c, p = (rows(x) for x in (t.orders, t.customers, t.products))
+    want = _left(_left(_left([(r,) for r in rows(t.returns)], o, lambda x: x[0]["order_id"]), c, lambda x: x[0]["customer_id"]), p, lambda x: x[0]["product_id"])
+    assert sorted(map(str, ((r.id, r.order_ref, r.customer_name, r.product_name, r.sku, r.brand) for r in df.collect()))) == sorted(map(str, (
+        (r["id"], x.get("order_ref"), y.get("company_name"), z.get("name"), z.get("sku"), z.get("brand")) for r, x, y, z in want)))
