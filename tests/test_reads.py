@@ -310,3 +310,16 @@ def test_returns_are_shuffled_once(paperwork):
     want = _left(_left(_left([(r,) for r in rows(t.returns)], o, lambda x: x[0]["order_id"]), c, lambda x: x[0]["customer_id"]), p, lambda x: x[0]["product_id"])
     assert sorted(map(str, ((r.id, r.order_ref, r.customer_name, r.product_name, r.sku, r.brand) for r in df.collect()))) == sorted(map(str, (
         (r["id"], x.get("order_ref"), y.get("company_name"), z.get("name"), z.get("sku"), z.get("brand")) for r, x, y, z in want)))
+
+
+def test_slips_meet_names_before_lines_meet_headers(paperwork):
+    t = paperwork
+    df = a.packing_slip(t)
+    assert shuffles(df, "order_ref", "sku") == 0
+    c, p = rows(t.customers), rows(t.products)
+    lines = [dict(x, id=x["order_id"], line=x["id"]) for x in rows(t.order_lines)]
+    want = _left(_left([(x, y) for x, y in _left([(h,) for h in rows(t.orders)], lines, lambda x: x[0]["id"])], c, lambda x: x[0]["customer_id"]),
+                 p, lambda x: x[1].get("product_id"))
+    assert sorted(map(str, ((r.order_ref, r.line_id, r.company_name, r.brand) for r in df.collect()))) == sorted(map(str, (
+        (h["order_ref"], x.get("line"), y.get("company_name"), z.get("brand")) for h, x, y, z in want)))
+    assert {r.line_id for r in a.packing_slip(t, order_id="1").collect()} == {x["line"] for x in lines if x["order_id"] == "1"}
