@@ -323,3 +323,17 @@ def test_slips_meet_names_before_lines_meet_headers(paperwork):
     assert sorted(map(str, ((r.order_ref, r.line_id, r.company_name, r.brand) for r in df.collect()))) == sorted(map(str, (
         (h["order_ref"], x.get("line"), y.get("company_name"), z.get("brand")) for h, x, y, z in want)))
     assert {r.line_id for r in a.packing_slip(t, order_id="1").collect()} == {x["line"] for x in lines if x["order_id"] == "1"}
+
+
+@pytest.mark.parametrize("price, of_ten", [(a.effective_price, D(5)), (a.price_order_lines, D(3))])
+def test_priced_lines_meet_breaks_where_they_met_products(paperwork, make, price, of_ten):
+    t = paperwork
+    lines = make("line_id string, customer_id string, product_id string, qty int, base_price_gbp decimal(12,2)", *[
+        dict(line_id=f"{c}{p}{q}", customer_id=c, product_id=p, qty=q, base_price_gbp=D(100)) for c in (None, "1", "2", "x") for p in (None, "1", "x") for q in (4, 5, 10)])
+    joined = lines.join(t.products.select(F.col("id").alias("product_id"), "name"), "product_id", "left")
+    assert shuffles(price(t, joined), "line_id") == 2  # products and breaks, customers
+    got = sorted((r.line_id, r.discount_pct, r.unit_price_gbp) for r in price(t, lines).collect())
+    own = {"1": [D(0), D(4)], "2": [D(7)]}
+    want = sorted((f"{c}{p}{q}", d := max(o, {4: D(0), 5: D(5), 10: of_ten}[q] if p == "1" else D(0)), 100 - d)
+                  for c in (None, "1", "2", "x") for p in (None, "1", "x") for q in (4, 5, 10) for o in own.get(c, [D(0)]))
+    assert got == want
