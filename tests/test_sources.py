@@ -51,6 +51,29 @@ def test_staging_uses_the_configured_folder(spark, make):
     assert staged.inputFiles()[0].startswith(f"file://{root}") and staged.collect()[0].code == "uk"
 
 
+def test_staging_drops_what_it_shuffled(spark):
+    import time
+
+    import pyarrow.parquet as pq
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    # The driver's garbage collection may remove files of earlier tests meanwhile, but adds none.
+    def held():
+        files = manager.getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before, setting = held(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    staged = stage(spark.range(1000).repartition(3, "id"), "shuffled")
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert sorted(r.id for r in staged.collect()) == list(range(1000))
+    assert {pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0).column(0).compression for f in staged.inputFiles()} == {"ZSTD"}
+
+
 def test_tables_are_built_on_use():
     calls = []
     t = Tables({"orders": lambda: calls.append(1)})
