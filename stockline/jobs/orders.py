@@ -299,18 +299,26 @@ def create_orders(
     )
     headers = stage(valid.join(customers, "customer_id", "left").withColumn(
         "_checked", F.coalesce("_known", F.lit(False)) & ~F.coalesce("skip_checks", F.lit(False))
-    ).withColumn("_unchecked", ~F.col("_checked")).drop("_known"), "order-headers")
+    ).withColumn("_unchecked", ~F.col("_checked")).drop("_known").withColumn(
+        "_header", F.monotonically_increasing_id()
+    ), "order-headers")
 
     items = lines.select(
         "request_id", "line_no", F.when(~missing("product_id"), F.col("product_id")).alias("product_id"),
         text_or("product_name", "").alias("product_name"),
         text_or("sku", "").alias("sku"), parse_int("qty").alias("qty"),
-        parse_number("base_price").alias("base_price_gbp"),
-    ).join(
-        headers.select("request_id", "customer_id", "warehouse_code", "_checked", "default_discount_pct"), "request_id"
-    )
+        # All of parse_number's values fit, and 16 digits are kept in one word.
+        parse_number("base_price").cast("decimal(16,6)").alias("base_price_gbp"),
+    )
+    # What is found out about a line goes by these; its texts stay behind, and meet that only in the end. Lines alike
+    # in an order are one row, judged once for each header that has its request id.
+    alike = ["request_id", "product_id", "qty", "base_price_gbp"]
+    told = ["warehouse_code", "_checked", "default_discount_pct"]
+    wanted = items.select(*alike).join(headers.select("request_id", "_header", *told), "request_id").groupBy(
+        *alike, "_header", *told
+    ).agg(F.count("*").alias("_alike")).drop("_header")
     stock = t.warehouse_stock.select(
-        "product_id", F.col("warehouse").alias("warehouse_code"), available().alias("_avail")
+        F.col("product_id").alias("_product"), F.col("warehouse").alias("_warehouse"), available().alias("_avail")
     )
     minima = t.products.where(F.col("moq") > 1).select(
         F.col("id").alias("product_id"), F.col("name").alias("moq_product_name"), "moq"
@@ -318,22 +326,32 @@ def create_orders(
     # Unchecked orders, and lines without a product, keep the price they came with.
     own_price = ~F.col("_checked") | F.col("product_id").isNull()
     short = F.col("product_id").isNotNull() & (F.col("qty") > F.coalesce("_avail", F.lit(0)))
+    # Lines lie by product after prices and minima. With the warehouse among the join's keys they would be shuffled again
+    # to meet stock; as a range of one value it picks among the rows of a product.
+    here = (F.col("_product") == F.col("product_id")) & F.col("warehouse_code").between(F.col("_warehouse"), F.col("_warehouse"))
+    below = F.col("_checked") & F.coalesce(F.col("qty") < F.col("moq"), F.lit(False))
     ready = stage(
-        price_order_lines(t, items)
+        price_order_lines(t, wanted)
         .join(minima, "product_id", "left")
-        .join(growing(stock), ["product_id", "warehouse_code"], "left")
-        .withColumns({
-            "unit_price_gbp": F.when(own_price, F.col("base_price_gbp")).otherwise(F.col("unit_price_gbp")),
-            "_short": short,
-            "_below": F.col("_checked") & F.coalesce(F.col("qty") < F.col("moq"), F.lit(False)),
-        }).drop("_avail"),
+        .join(growing(stock), here, "left")
+        .select(
+            *alike, "warehouse_code", "_alike", F.when(own_price, F.col("base_price_gbp")).otherwise(F.col("unit_price_gbp")).alias("unit_price_gbp"),
+            short.alias("_short"), below.alias("_below"),
+            *[F.when(below, F.col(c)).alias(c) for c in ("moq_product_name", "moq")],
+        ),
         "order-lines",
     )
+
+    def meet(found: DataFrame) -> DataFrame:
+        """Lines with their texts and what was found out about them."""
+        found = found.withColumnsRenamed({c: f"_{c}" for c in alike})
+        return items.join(growing(found), [F.col(c).eqNullSafe(F.col(f"_{c}")) if c == "product_id" else F.col(c) == F.col(f"_{c}") for c in alike])
+
     totals = ready.groupBy("request_id").agg(
-        F.round(F.sum(F.col("qty") * F.col("unit_price_gbp")), 2).try_cast("decimal(12,2)").alias("total_gbp"),
-        F.bool_or("_short").alias("needs_review"), F.count_if("_below").alias("failures"),
+        F.round(F.sum(F.col("qty") * F.col("unit_price_gbp") * F.col("_alike")), 2).try_cast("decimal(12,2)").alias("total_gbp"),
+        F.bool_or("_short").alias("needs_review"), F.sum(F.when(F.col("_below"), F.col("_alike")).otherwise(0)).alias("failures"),
     )
-    every = stage(headers.join(totals, "request_id"), "order-totals")
+    every = stage(headers.drop("_header").join(totals, "request_id"), "order-totals")
     summed = every.where(F.col("total_gbp").isNotNull())
     failing = summed.where(F.col("failures") > 0)
     # Only orders with credit terms are held against the limit; the rest, and
@@ -350,7 +368,9 @@ def create_orders(
         text_or("notes", None).alias("notes"), F.col("needs_review").alias("requires_review"),
         F.col("requested_at").alias("created_at"), "line_count",
     )
-    new_lines = ready.join(numbered.select("request_id", "needs_review"), "request_id").select(
+    new_lines = meet(ready.join(numbered.select("request_id", "needs_review"), "request_id").select(
+        *alike, "warehouse_code", "unit_price_gbp", "needs_review"
+    )).select(
         F.concat_ws("-", F.col("request_id").cast("string"), F.col("line_no").cast("string")).alias("id"),
         F.col("request_id").alias("order_id"), "product_id", "product_name", "sku", F.col("qty").alias("qty_ordered"),
         F.col("qty").alias("qty_requested"), F.col("unit_price_gbp").cast("decimal(12,2)").alias("unit_price_gbp"),
@@ -376,7 +396,7 @@ def create_orders(
     }
     return JobResult(state, ledger, bad, new_orders, {
         "lines": new_lines,
-        "moq_failures": ready.where("_below").select(
+        "moq_failures": meet(ready.where("_below").select(*alike, "moq_product_name", "moq")).select(
             "request_id", "line_no", "product_id", "moq_product_name", F.col("qty").alias("ordered"), "moq"
         ),
     })

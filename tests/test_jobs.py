@@ -608,6 +608,64 @@ def test_order_lines_meet_stock_by_a_shuffle(make, filed, staged_plans):
     assert [x.requires_review for x in r.accepted.collect()] == [True]
 
 
+NEW_ORDERS_AND_LINES = (
+    "request_id string, customer_id string, customer_name string, warehouse_code string, currency string, notes string, skip_checks boolean, "
+    "requested_at timestamp_ntz",
+    "request_id string, line_no int, product_id string, product_name string, sku string, qty string, base_price string")
+
+
+def test_order_lines_travel_without_their_texts(make, filed, monkeypatch):
+    """Only the meeting of lines with what was found out about them moves texts; the rest moves twice, by order and by product."""
+    from stockline.jobs import orders
+    from stockline.sources import staging
+    from tests.test_reads import shuffles
+
+    t = filed(warehouse_stock=[STOCK], products=[dict(id="p1", moq=3)], customers=[dict(id="c1")])
+    orders_ddl, lines_ddl = NEW_ORDERS_AND_LINES
+    asked = make(orders_ddl, dict(request_id="r1", customer_id="c1", customer_name="One", requested_at=T0))
+    lines = make(lines_ddl, dict(request_id="r1", line_no=1, product_id="p1", product_name="P", sku="S", qty="6", base_price="1"))
+    texts, moves = [], []
+
+    def stage(df, label):
+        texts.append(shuffles(df, "sku"))
+        if label == "order-lines":
+            moves.append(shuffles(df, "base_price_gbp"))
+        return staging.stage(df, label)
+
+    monkeypatch.setattr(orders, "stage", stage)
+    r = jobs.create_orders(t, asked, lines)
+    assert (sum(texts), moves, shuffles(r.extra["lines"], "sku"), shuffles(r.extra["lines"], "needs_review")) == (0, [2], 1, 1)
+    assert [(x.id, x.product_name, x.sku, x.unit_price_gbp) for x in r.extra["lines"].collect()] == [("r1-1", "P", "S", D("1.00"))]
+
+
+def test_order_lines_alike_and_keys_there_twice(tables, make):
+    t = tables(
+        customers=[dict(id="c", payment_terms="prepaid", default_discount_pct=D(d)) for d in (0, 10)],
+        products=[dict(id="p", name="P", moq=2), dict(id="p", name="Pb", moq=3), dict(id="q", name="Q", moq=9), dict(id=None, name="none", moq=9)],
+        warehouse_stock=[stock_row(1, "p", 5), stock_row(2, "p", 1), stock_row(3, None, 0), stock_row(4, "p", 0, warehouse="us"), stock_row(5, "p", 0, warehouse=None)])
+    orders_ddl, lines_ddl = NEW_ORDERS_AND_LINES
+    asked = make(orders_ddl, *[dict(request_id=i, customer_id="c", customer_name="n", requested_at=at(k)) for k, i in enumerate("aabd")])
+    lines = make(lines_ddl, *[dict(request_id=i, line_no=n, product_id=p, sku=f"s{n}", qty=q, base_price=b) for i, n, p, q, b in [
+        ("a", 1, "p", "3", "1.00"), ("a", 1, "p", "3", "1.00"), ("a", 2, "p", "3", "1.000"), ("a", 3, "", "1", "0.5"), ("a", 4, None, "1", "0.5"),
+        ("b", 1, "q", "8", "1"), ("b", 1, "q", "8", "1"), ("b", 2, "q", "9", "1"), ("d", 1, "x", "1", "2.345"), ("z", 1, "x", "1", "1")]])
+    r = jobs.create_orders(t, asked, lines)
+    # Headers: 2 requests x 2 customers for a, 2 for b and d; each meets its customer's terms twice. A line of p meets 2 minima and 2 stock rows.
+    taken = rows(r.accepted)
+    assert {(x["id"], x["total_gbp"], x["requires_review"]) for x in taken} == {("a", D("140.80"), True), ("d", D("4.46"), True)}
+    assert sorted(x["id"] for x in taken) == ["a"] * 8 + ["d"] * 4
+    made = {}
+    for x in rows(r.extra["lines"]):
+        key = (x["id"], x["product_id"], x["sku"], x["unit_price_gbp"])
+        made[key] = made.get(key, 0) + 1
+    # a-1 twice in the table; of its headers half have a discount.
+    assert made == {("a-1", "p", "s1", D("1.00")): 2 * 8 * 8, ("a-1", "p", "s1", D("0.90")): 2 * 8 * 8, ("a-2", "p", "s2", D("1.00")): 8 * 8,
+                    ("a-2", "p", "s2", D("0.90")): 8 * 8, ("a-3", None, "s3", D("0.50")): 4 * 8, ("a-4", None, "s4", D("0.50")): 4 * 8,
+                    ("d-1", "x", "s1", D("2.35")): 4, ("d-1", "x", "s1", D("2.11")): 4}
+    # b has two lines alike, below the minimum for both headers.
+    assert {(x.request_id, x.error_code, x.detail) for x in r.rejects.collect()} == {("b", "moq_not_met", "4")}
+    assert sorted((x.line_no, x.moq_product_name, x.ordered, x.moq) for x in r.extra["moq_failures"].collect()) == [(1, "Q", 8, 9)] * 4
+
+
 def test_review_joins_run_once(make, filed, staged_plans):
     t = filed(warehouse_stock=[STOCK], orders=[dict(id="o1", warehouse_code="uk", requires_review=True)],
               order_lines=[dict(id="l1", order_id="o1", product_id="p1", qty_ordered=7)])
