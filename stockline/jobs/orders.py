@@ -368,9 +368,11 @@ def create_orders(
         text_or("notes", None).alias("notes"), F.col("needs_review").alias("requires_review"),
         F.col("requested_at").alias("created_at"), "line_count",
     )
-    new_lines = meet(ready.join(numbered.select("request_id", "needs_review"), "request_id").select(
+    # Staged, so that meeting the texts finds on disk no shuffle but its own.
+    verdicts = stage(ready.join(numbered.select("request_id", "needs_review"), "request_id").select(
         *alike, "warehouse_code", "unit_price_gbp", "needs_review"
-    )).select(
+    ), "line-verdicts")
+    new_lines = meet(verdicts).select(
         F.concat_ws("-", F.col("request_id").cast("string"), F.col("line_no").cast("string")).alias("id"),
         F.col("request_id").alias("order_id"), "product_id", "product_name", "sku", F.col("qty").alias("qty_ordered"),
         F.col("qty").alias("qty_requested"), F.col("unit_price_gbp").cast("decimal(12,2)").alias("unit_price_gbp"),
