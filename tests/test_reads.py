@@ -312,6 +312,20 @@ def test_returns_are_shuffled_once(paperwork):
         (r["id"], x.get("order_ref"), y.get("company_name"), z.get("name"), z.get("sku"), z.get("brand")) for r, x, y, z in want)))
 
 
+def test_returns_are_listed_in_slices(paperwork, monkeypatch):
+    """A slice's shuffles are gone when the next one is listed; rows with equal keys share a slice, and none is lost or doubled."""
+    from stockline.operators import joins
+
+    staged, stage = [], joins.stage
+    monkeypatch.setattr(joins, "stage", lambda df, label: staged.append(shuffles(df, "rma_ref")) or stage(df, label))
+    whole = a.returns_list(paperwork)
+    assert not staged
+    sliced = a.returns_list(paperwork, slice_rows=20)
+    assert staged == [1] * 6 and shuffles(sliced, "rma_ref") == 1  # 128 returns
+    assert sliced.schema == whole.schema and sorted(map(str, rows(sliced))) == sorted(map(str, rows(whole)))
+    assert a.returns_list(paperwork, slice_rows=1) and len(staged) == 6 + joins.MOST_SLICES - 1
+
+
 def test_slips_meet_names_before_lines_meet_headers(paperwork):
     t = paperwork
     df = a.packing_slip(t)
